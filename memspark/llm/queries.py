@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from memspark.session import ship
+
+from . import mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -18,8 +21,13 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"))
 
 
+def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target of every document's source and the words that the mix takes of the document."""
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_compression_bands,)}
+    return {f.__name__: f for f in (op1_compression_bands, op9_cube_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
