@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from memspark.session import ship
 
-from . import decontam, mixing, quality
+from . import decontam, minhash, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"))
 
 
+def op4_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that benchmark windows cover, and the items they come from."""
     return decontam.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -32,7 +37,7 @@ def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_compression_bands, op5_suffix_decontamination, op9_cube_mixing)}
+    return {f.__name__: f for f in (op1_compression_bands, op4_tensored_minhash, op5_suffix_decontamination, op9_cube_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

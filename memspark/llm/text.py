@@ -11,6 +11,8 @@ import pyarrow as pa
 
 #: Rows are cut into slices of about this many bytes, so temporaries stay small whatever the batch.
 SLICE_BYTES = 2 << 20
+#: Rows of a slice at most, so that row numbers fit 16 bits.
+SLICE_ROWS = 50_000
 
 _M = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
@@ -100,7 +102,7 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES):
     n, at = len(offs) - 1, 0
     while at < n:
         to = int(np.searchsorted(offs, offs[at] + limit, "right")) - 1
-        to = min(n, max(at + 1, to))
+        to = min(n, at + SLICE_ROWS, max(at + 1, to))
         yield at, to
         at = to
 
