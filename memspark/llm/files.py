@@ -26,9 +26,14 @@ def shared(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def token() -> str:
+    """A new name part."""
+    return uuid.uuid4().hex[:12]
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; nothing is there yet."""
-    path = f"{shared(spark)}/memspark-{uuid.uuid4().hex[:12]}-{name}"
+    path = f"{shared(spark)}/memspark-{token()}-{name}"
     _made.append((spark, path))
     return path
 
