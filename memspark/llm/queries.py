@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memspark.session import ship
 
-from . import decontam, minhash, mixing, quality, sharding
+from . import decontam, minhash, mixing, quality, sharding, sufdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,13 +45,18 @@ def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeated 200-byte strings cover."""
+    return sufdedup.removed(_table(spark, sf_dir, "documents"))
+
+
 def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target of every document's source and the words that the mix takes of the document."""
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_compression_bands, op2_tiered_compaction, op4_tensored_minhash, op5_suffix_decontamination, op9_cube_mixing)}
+    return {f.__name__: f for f in (op1_compression_bands, op2_tiered_compaction, op4_tensored_minhash, op5_suffix_decontamination, op7_difference_cover_dedup, op9_cube_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
