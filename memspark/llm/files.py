@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -46,6 +47,40 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of keys is broadcast (some tens of bytes each).
+BROADCAST_ROWS = 2_000_000
+
+
+def few(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if a count shows that it is within the bound, else as it is."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
+def _arrow_fs(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1))
+
+
+@contextlib.contextmanager
+def opened(uri: str):
+    """A file of the shared folder, for reading in a task."""
+    fs, path = _arrow_fs(uri)
+    with fs.open_input_file(path) as f:
+        yield f
+
+
+@contextlib.contextmanager
+def placed(uri: str):
+    """A file of the shared folder, for writing in a task; it is in its place once it is whole."""
+    fs, path = _arrow_fs(uri)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    draft = f"{path}.{token()}.part"
+    with fs.open_output_stream(draft) as f:
+        yield f
+    fs.move(draft, path)
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

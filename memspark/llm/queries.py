@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memspark.session import ship
 
-from . import decontam, minhash, mixing, quality, sharding, sufdedup
+from . import chat, decontam, minhash, mixing, quality, sharding, sufdedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,19 +45,63 @@ def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_columnar_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, and of one full of control strings."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+    return chat.digests(turns.unionByName(spark.sql(tricky)))
+
+
+OP6_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(17 + length(role) + length(text)
+    + len(regexp_extract_all(text, '[<\[]\\*(?:\|turn\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\])'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+
 def op7_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeated 200-byte strings cover."""
     return sufdedup.removed(_table(spark, sf_dir, "documents"))
 
 
+def op8_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from normalised archives."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS hex FROM pages
+), b AS (
+  SELECT *, max(page_id) OVER (PARTITION BY hex) AS kept_id,
+    list_transform(range(0, 8), lambda k: CAST(('0x' || substr(hex, CAST(k * 5 + 1 AS INT), 5)) AS BIGINT)) AS quanta FROM p
+)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((quanta[CAST(j // 4 + 1 AS INT)] >> CAST(15 - 5 * (j % 4) AS INT)) & 31) + 1 AS INT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = kept_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = kept_id THEN NULL ELSE kept_id END AS refers_to
+FROM b
+"""
+
+
 def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target of every document's source and the words that the mix takes of the document."""
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_compression_bands, op2_tiered_compaction, op4_tensored_minhash, op5_suffix_decontamination, op7_difference_cover_dedup, op9_cube_mixing)}
+    return {f.__name__: f for f in (op1_compression_bands, op2_tiered_compaction, op4_tensored_minhash, op5_suffix_decontamination, op6_columnar_chat, op7_difference_cover_dedup, op8_gzip_normaliser, op9_cube_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_tiered_compaction": OP2_SQL}
+    return {"op2_tiered_compaction": OP2_SQL, "op6_columnar_chat": OP6_SQL, "op8_gzip_normaliser": OP8_SQL}
