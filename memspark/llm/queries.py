@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memspark.session import ship
 
-from . import chat, decontam, minhash, mixing, quality, sharding, sufdedup, warc
+from . import chat, decontam, langid, minhash, mixing, quality, sharding, sufdedup, tokcount, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ FROM documents
 """
 
 
+def op3_mixture_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three of four folds."""
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -99,8 +104,17 @@ def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
+def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files."""
+    return tokcount.count(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_compression_bands, op2_tiered_compaction, op4_tensored_minhash, op5_suffix_decontamination, op6_columnar_chat, op7_difference_cover_dedup, op8_gzip_normaliser, op9_cube_mixing)}
+    every = (
+        op1_compression_bands, op2_tiered_compaction, op3_mixture_language_id, op4_tensored_minhash, op5_suffix_decontamination,
+        op6_columnar_chat, op7_difference_cover_dedup, op8_gzip_normaliser, op9_cube_mixing, op10_separator_scan,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
