@@ -26,7 +26,7 @@ def dense(queries: DataFrame, memories: DataFrame, k: int = CANDIDATES) -> DataF
 def postings(memories: DataFrame) -> DataFrame:
     """An inverted index: token, id, scope, tf and the memory's length in tokens."""
     words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0))
-    each = memories.select("id", "scope", F.size(words).alias("len"), F.explode(words).alias("token"))
+    each = memories.select("id", "scope", words.alias("words")).select("id", "scope", F.size("words").alias("len"), F.explode("words").alias("token"))
     return each.groupBy("token", "id", "scope", "len").agg(F.count("*").alias("tf"))
 
 

@@ -21,9 +21,15 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from memspark.plans import corpus, recall  # noqa: F401  they register their queries
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
