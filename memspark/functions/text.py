@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that name no subject.
 STOPWORDS = """the a an we i it this that they our all use uses used using for to and or but is are was were be now no not
@@ -174,13 +175,13 @@ def redact_text(text: str | None, pii: bool = True, entropy: bool = True) -> str
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redact(text: pd.Series) -> pd.Series:
     """All of a text's secrets and personal data replaced; needs callbacks, hence Python."""
     return text.map(redact_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def blake_fingerprint(text: pd.Series) -> pd.Series:
     """128-bit BLAKE2b in hex, for parity with stores that key by it."""
     return text.map(lambda t: None if t is None else hashlib.blake2b(t.encode(), digest_size=16).hexdigest())
@@ -206,6 +207,6 @@ def embed_text(text: str, dim: int = 256) -> list[float]:
     return (out / norm if norm else out).tolist()
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_embed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: embed_text(t or ""))

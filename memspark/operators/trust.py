@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memspark.functions import text as ft
 from memspark.operators.store import shareable, visibility
@@ -79,13 +80,13 @@ def conformance(records: DataFrame) -> DataFrame:
     wrong = [F.when(~F.coalesce(F.col("type").isin(*TYPES), F.lit(False)), F.lit("unknown type")), F.when(~F.col("confidence").between(0, 1), F.lit("confidence out of range"))]
     errors = F.array_compact(F.array(*missing, *wrong))
     per = records.withColumn("e", F.size(errors)).groupBy("doc").agg(F.sum("e").alias("n_errors"), F.count("*").alias("count"), F.min(F.col("signature").isNotNull()).alias("signed"))
-    return per.select("doc", "count", "n_errors", (F.col("n_errors") == 0).alias("valid"), F.when(F.col("n_errors") > 0, F.lit(None)).when("signed", "signed").otherwise("core").alias("level"))
+    return per.select("doc", "count", "n_errors", (F.col("n_errors") == 0).alias("valid"), F.when(F.col("n_errors") > 0, F.lit(None)).when(F.col("signed"), "signed").otherwise("core").alias("level"))
 
 
 def macs(facts: DataFrame, key: bytes) -> DataFrame:
     """Keyed BLAKE2b of each fact's fingerprint text; Spark has no keyed digest, hence Python."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def mac(text: pd.Series) -> pd.Series:
         return text.map(lambda t: ft.mac_text(key, t))
 
