@@ -193,19 +193,20 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     Rows that agree in id, source and size share their decisions evenly, the rest going to the first.
     """
-    key = ["_id", "_source", "_size"]
-    got = decide(docs, seed).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    got = files.saved(got.groupBy(*key).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "copies").filter("_copies > 0")
+    mark = files.token()  # no column of docs is called like the ones made here
+    key, n = [f"_{k}_{mark}" for k in ("id", "source", "size")], f"_n_{mark}"
+    got = decide(docs, seed).select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "source", "size"), key, strict=True)], "copies")
+    got = got.groupBy(*key).agg(F.sum("copies").alias(f"_copies_{mark}"), F.count("*").alias(f"_rows_{mark}"))
+    got = files.saved(got, "copies").filter(F.col(f"_copies_{mark}") > 0)
     keyed = docs.select("*", *[c.alias(k) for c, k in zip(_unit(), key, strict=True)])
     on = lambda side: [keyed[k].eqNullSafe(side[k]) for k in key]
-    single = got.filter("_rows = 1")
-    several = got.filter("_rows > 1")
+    single = got.filter(F.col(f"_rows_{mark}") == 1)
+    several = got.filter(F.col(f"_rows_{mark}") > 1)
     columns = [keyed[c] for c in docs.columns]
-    one = keyed.join(single, on(single)).select(*columns, single["_copies"].alias("_n"))
-    more = keyed.join(several, on(several)).select(*columns, *[keyed[k].alias(k) for k in key], several["_copies"], several["_rows"])
+    one = keyed.join(single, on(single)).select(*columns, single[f"_copies_{mark}"].alias(n))
+    more = keyed.join(several, on(several)).select(*columns, *[keyed[k].alias(k) for k in key], several[f"_copies_{mark}"], several[f"_rows_{mark}"])
     place = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.col("text").cast("string"))))
-    share = F.floor(F.col("_copies") / F.col("_rows")) + (place <= F.col("_copies") % F.col("_rows")).cast("long")
-    more = more.withColumn("_n", share.cast("long")).select(*docs.columns, "_n")
-    both = one.unionByName(more)
-    return both.filter("_n > 0").withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).drop("_n")
-
+    copies, rows = F.col(f"_copies_{mark}"), F.col(f"_rows_{mark}")
+    share = (F.floor(copies / rows) + (place <= copies % rows).cast("long")).cast("long")
+    both = one.unionByName(more.withColumn(n, share).select(*docs.columns, n)).filter(F.col(n) > 0)
+    return both.withColumn(n, F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int")))).drop(n)
