@@ -6,6 +6,8 @@ the columns they came with; the last returns what its shards hold, with the shar
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,46 +17,54 @@ from memspark.session import ship
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the compression bands and the base rules."""
-    files.release()
     ship(spark)
     return quality.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component."""
-    files.release()
     ship(spark)
     return minhash.deduplicate(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with the benchmark."""
-    files.release()
     ship(spark)
     return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them, each as often as it is taken."""
-    files.release()
     ship(spark)
     return mixing.mix(docs)
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents read back from the committed shards, with the shard's file."""
-    files.release()
     out, _, version = sharding.shard(docs)
     return out.select("*", out.metadataColumn("_metadata")["file_name"].alias("shard_file"), F.lit(version).alias("manifest_version"))
 
 
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_dedup", near_dedup),
-    ("decontaminate", decontaminate),
-    ("mix_sources", mix_sources),
-    ("shard_documents", shard_documents),
-]
+_used: list[tuple[int, int]] = []
+
+
+def _tidy(stage):
+    """The stage, after deleting what the one before worked with: its result has been written by now."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _used:
+            files.release(*_used.pop())
+        mark = files.made()
+        out = stage(spark, docs, sf_dir)
+        if stage is not shard_documents:  # its shards are the result
+            _used.append((mark, files.made()))
+        return out
+
+    return run_stage
+
+
+STAGES = [(f.__name__, _tidy(f)) for f in (quality_rules, near_dedup, decontaminate, mix_sources, shard_documents)]
 
 #: Zstandard ratios and the cube method have no SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None

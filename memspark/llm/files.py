@@ -103,11 +103,15 @@ def drop(df_or_path, spark: SparkSession | None = None) -> None:
     remove(spark, df_or_path)
 
 
-def release() -> None:
-    """Delete everything made so far; for callers whose results are written elsewhere."""
-    while _made:
-        spark, path = _made.pop()
-        with contextlib.suppress(Exception):  # the session may have ended
+def made() -> int:
+    """How many folders were made so far; a mark for release()."""
+    return len(_made)
+
+
+def release(since: int = 0, until: int | None = None) -> None:
+    """Delete what was made between two marks; for callers whose results are written elsewhere."""
+    for spark, path in _made[since:until]:
+        with contextlib.suppress(Exception):  # the session may have ended, or the folder be gone
             remove(spark, path)
 
 
