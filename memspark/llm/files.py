@@ -76,9 +76,18 @@ def placed(uri: str):
     fs, path = _arrow_fs(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     draft = f"{path}.{token()}.part"
-    with fs.open_output_stream(draft) as f:
-        yield f
-    fs.move(draft, path)
+    try:
+        with fs.open_output_stream(draft) as f:
+            yield f
+    except BaseException:
+        fs.delete_file(draft)
+        raise
+    try:
+        fs.move(draft, path)
+    except OSError:  # some stores don't replace: another attempt of the task has written the same file
+        if not fs.get_file_info(path).is_file:
+            raise
+        fs.delete_file(draft)
 
 
 def _fs(spark: SparkSession, path: str):

@@ -72,16 +72,19 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> DataFrame
                     out.write(tokens.tobytes())
                     out.write(np.array([SEPARATOR], KIND).tobytes())
                     names.append(name)
-                    ordinals.append(at if not ordinals or names[-1] != names[-2] else ordinals[-1] + 1)
-                    size = out.tell() // np.dtype(KIND).itemsize
-                    at = ordinals[-1] + 1
-                    if size >= FILE_TOKENS:
+                    ordinals.append(at)
+                    at += 1
+                    if out.tell() >= FILE_TOKENS * np.dtype(KIND).itemsize:
                         now.__exit__(None, None, None)
                         out, k = None, k + 1
                 yield pa.RecordBatch.from_pydict({"file": pa.array(names, pa.string()), "ordinal": pa.array(ordinals, pa.int64()), "doc_id": batch.column(0)})
-        finally:
             if out is not None:
                 now.__exit__(None, None, None)
+                out = None
+        except BaseException as e:
+            if out is not None:  # a part of a file is no file
+                now.__exit__(type(e), e, e.__traceback__)
+            raise
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "file string, ordinal long, doc_id long")
