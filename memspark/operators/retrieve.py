@@ -16,6 +16,8 @@ STALE_PENALTY, SAME, PACK_SAME = 0.6, 0.9, 0.85
 BUDGET, FLOOR, CHARS_PER_TOKEN = 1500, 0.22, 4
 RERANKED, BLEND = 25, 0.5
 BM25_K1, BM25_B = 1.2, 0.75
+#: Different tokens of all questions up to which they are broadcast.
+BROADCAST_TOKENS = 200_000
 
 
 def dense(queries: DataFrame, memories: DataFrame, k: int = CANDIDATES) -> DataFrame:
@@ -23,10 +25,16 @@ def dense(queries: DataFrame, memories: DataFrame, k: int = CANDIDATES) -> DataF
     return nearest(queries, memories, k)
 
 
-def postings(memories: DataFrame) -> DataFrame:
-    """An inverted index: token, id, scope, tf and the memory's length in tokens."""
+def postings(memories: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """An inverted index: token, id, scope, tf and the memory's length in tokens.
+
+    With a table of asked tokens only their postings are made, before anything is shuffled.
+    """
     words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0))
     each = memories.select("id", "scope", words.alias("words")).select("id", "scope", F.size("words").alias("len"), F.explode("words").alias("token"))
+    if asked is not None:
+        few = asked.select("token").distinct()
+        each = each.join(F.broadcast(few) if few.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS else few, "token", "left_semi")
     return each.groupBy("token", "id", "scope", "len").agg(F.count("*").alias("tf"))
 
 
@@ -37,7 +45,7 @@ def bm25(queries: DataFrame, memories: DataFrame, k: int = CANDIDATES, terms: in
     """
     words = F.slice(ft.tokens(F.col("text")), 1, terms)
     asked = queries.select("qid", F.col("scope").alias("q_scope"), F.explode(words).alias("token"))
-    index = postings(memories)
+    index = postings(memories, asked)
     stats = memories.agg(F.count("*").alias("docs"), F.avg(F.size(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("avg_len"))
     df = index.groupBy("token").agg(F.count("*").alias("df"))
     hit = asked.join(index, "token").filter(F.col("q_scope").isNull() | (F.col("scope") == F.col("q_scope")) | (F.col("scope") == "global"))
