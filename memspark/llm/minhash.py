@@ -7,9 +7,10 @@ either collection, so 2 * m * r minhashes serve tables that would take 2 * m * m
 1. Documents of equal sets form a class, found by a digest of the set; all later steps see classes.
 2. In each table's bucket the most central class is the hub; every member is compared with it on full
    sets. No bucket is expanded into pairs.
-3. Pairs that a hub doesn't explain are found exactly from what they add to the hub and what they leave
-   out: two members can only be linked if they share so many of these differences, which a prefix
-   filter over the differences turns into a join on rare shingles. They are then compared on full sets.
+3. In groups that a hub doesn't explain, members are measured against a pivot set in their midst. The
+   one next to it is compared with all. Other pairs can only be linked if they share so many of their
+   differences from the pivot, which a prefix filter turns into a join on rare shingles; those that are
+   not in one component by then are compared on full sets.
 4. Links are joined into components.
 
 A link of similarity 0.85 escapes all tables with a chance of about 2 * (1 - 0.85**r)**m, 7e-5 at the
@@ -32,13 +33,12 @@ from pyspark.sql import functions as F
 from . import files
 from . import text as tx
 from .components import components
+from .files import few
 
 SHINGLE = 5
 #: Signatures of a collection, and minhashes of a signature.
 M, R = 8, 2
 PERCENT = 85
-#: Documents up to which ids are broadcast (8 bytes each); beyond, a shuffled join takes their place.
-BROADCAST_IDS = 2_000_000
 
 _RNG = np.random.default_rng(85)
 _XOR = _RNG.integers(0, 1 << 63, 2 * M * R, dtype=np.uint64)
@@ -110,11 +110,6 @@ def _sets(docs: DataFrame, with_sets: bool) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id long, n_shingles long, set_key binary, {tail}")
 
 
-def few(df: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
-    """df marked for broadcast if a count shows that it is within the bound."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b) with both sizes and the size of the intersection of the full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -148,36 +143,57 @@ def hub_pairs(per: DataFrame) -> DataFrame:
     return pairs.select("node", "hub").distinct()
 
 
-def unexplained(edges: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a hub's members that may be linked though one of them isn't to the hub.
+def measured(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, hub, n, f, room, diff: how each member of a hub's group differs from the group's pivot.
 
-    ``edges`` has node, hub, the sets of both, and inter. With D shingles of the hub left out and A
-    added, a link of x and y takes at least t = c * (n_x + n_y) - (|H| - D_x - D_y) common differences,
-    c = percent / (100 + percent). With f = (1 - c) * D + c * A and room = (1 - 2 * c) * -|H|, that is
-    f_x + f_y - |room|; for an x not linked to the hub f_x > |room|, hence t > f_y for every y, and
-    t >= f_x - |room|. The differences are ordered with added shingles first, as they are rarer.
+    The pivot holds the shingles that most of some 32 members share. Any set would give the same links;
+    this one is near to all members, so differences are few. With D shingles of the pivot left out and A
+    added, f = (1 - c) * D + c * A and room = (1 - 2 * c) * |pivot|, c = percent / (100 + percent): a
+    link of x and y takes at least f_x + f_y - room common differences. Added shingles come first in
+    diff, as they are rarer.
     """
     c = percent / (100 + percent)
-    h = F.size("sb")
-    d, a = h - F.col("inter"), F.size("sa") - F.col("inter")
-    f = F.lit(1 - c) * d + F.lit(c) * a
-    room = F.lit(2 * c - 1) * h  # negative where the hub leaves room
-    e = edges.select(
-        "node", "hub", "linked", (d + a).alias("n_diff"), F.size("sa").alias("n"), f.alias("f"), (f + room).alias("over"),
-        F.concat(F.array_sort(F.array_except("sa", "sb")), F.array_sort(F.array_except("sb", "sa"))).alias("diff"),
-    )
+    sized = group.groupBy("hub").agg(F.count("*").alias("n"))
+    some = group.join(sized, "hub").filter(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / 32)) == 0).select("node", "hub")
+    some = some.union(sized.select("hub", F.col("hub").alias("h"))).join(sets, "node")
+    votes = some.groupBy("hub").agg(F.count("*").alias("voters"))
+    token = some.select("hub", F.explode("shingles").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("k"))
+    pivot = token.join(votes, "hub").filter(2 * F.col("k") > F.col("voters")).groupBy("hub").agg(F.collect_list("token").alias("pivot"))
+    e = group.join(sets.withColumnRenamed("shingles", "s"), "node").join(pivot, "hub", "left")
+    e = e.withColumn("pivot", F.coalesce("pivot", F.array().cast("array<bigint>")))
+    e = e.withColumn("added", F.array_sort(F.array_except("s", "pivot"))).withColumn("missed", F.array_sort(F.array_except("pivot", "s")))
+    f = F.lit(1 - c) * F.size("missed") + F.lit(c) * F.size("added")
+    return e.select("node", "hub", F.size("s").alias("n"), f.alias("f"), (F.lit(1 - 2 * c) * F.size("pivot")).alias("room"), F.concat("added", "missed").alias("diff"))
+
+
+def unexplained(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a group's members that may be linked and are in different components so far.
+
+    ``members`` has node, hub, n, f, low, room, diff, open, component: low is the smallest f of the
+    group, and open tells that the member isn't linked to the one that has it. A link of an open x then
+    takes at least f_x + low - room > 0 common differences, and more than f_y - low for any y, so that
+    two that are linked share one of the first few of their ordered differences.
+    """
     eps = 1e-9
-    as_y = F.col("n_diff") - F.floor(F.col("f") + eps)
-    as_x = F.col("n_diff") - F.greatest(F.lit(1), F.ceil(F.col("over") - eps)) + 1
-    y = e.select("hub", F.col("node").alias("b"), F.col("n").alias("nb"), F.explode(F.slice("diff", F.lit(1), F.greatest(as_y, F.lit(0)).cast("int"))).alias("token"))
-    x = e.filter("not linked").select("hub", F.col("node").alias("a"), F.col("n").alias("na"), F.explode(F.slice("diff", F.lit(1), F.greatest(as_x, F.lit(0)).cast("int"))).alias("token"))
-    fits = (F.col("na") * percent <= F.col("nb") * 100) & (F.col("nb") * percent <= F.col("na") * 100)
-    pairs = x.join(y, ["hub", "token"]).filter((F.col("a") != F.col("b")) & fits)
+    size = F.size("diff")
+    as_y = size - F.greatest(F.lit(0), F.floor(F.col("f") - F.col("low") + eps))
+    as_x = size - F.greatest(F.lit(1), F.ceil(F.col("f") + F.col("low") - F.col("room") - eps)) + 1
+
+    def side(df: DataFrame, length, name: str) -> DataFrame:
+        head = F.slice("diff", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
+        at = df.select("hub", F.posexplode(head).alias("at", "token"), "node", "n", "component", "f", "room", size.alias("size"))
+        rest = F.col("size") - F.col("at")  # what may still be shared from here on
+        return at.select("hub", "token", F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("component").alias(f"c_{name}"), rest.alias(f"rest_{name}"), F.col("f").alias(f"f_{name}"), F.col("room").alias(f"room_{name}"))
+
+    x, y = side(members.filter("open"), as_x, "a"), side(members, as_y, "b")
+    fits = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
+    enough = F.least("rest_a", "rest_b") >= F.col("f_a") + F.col("f_b") - F.col("room_a") - eps
+    pairs = x.join(y, ["hub", "token"]).filter((F.col("c_a") != F.col("c_b")) & fits & enough)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(docs: DataFrame, per: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Confirmed links (a, b) between classes."""
+def link_components(docs: DataFrame, per: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """node, label: components of the confirmed links between classes; nodes without links are left out."""
     pairs = files.saved(hub_pairs(per), "pairs")
     nodes = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
     wanted = files.saved(per.select("node", "rep", "set_key").join(nodes, "node"), "wanted")
@@ -185,22 +201,32 @@ def links(docs: DataFrame, per: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = _sets(texts, True).join(few(wanted.select("node", "set_key")), "set_key").select("node", "shingles")
     sets = files.saved(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     edges = _compare(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets)
-    edges = edges.withColumn("linked", _linked(percent)).withColumnsRenamed({"a": "node", "b": "hub"})
-    edges = files.saved(edges.select("node", "hub", "inter", "linked"), "edges")
+    edges = files.saved(edges.select("a", "b", _linked(percent).alias("linked")), "edges")
+    links = edges.filter("linked").select("a", "b")
     # Groups in which someone is not linked to the hub and has company.
-    open_hubs = edges.groupBy("hub").agg(F.count("*").alias("n"), F.min("linked").alias("all")).filter("n > 1 and not all").select("hub")
-    again = edges.join(open_hubs, "hub")
-    left = sets.select("node", F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sb"))
-    more = files.saved(unexplained(again.join(left, "node").join(right, "hub"), percent), "more")
-    more = _compare(more, sets).filter(_linked(percent)).select("a", "b")
-    return edges.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")).union(more)
+    unsettled = edges.groupBy("b").agg(F.count("*").alias("n"), F.min("linked").alias("all")).filter("n > 1 and not all").select("b")
+    group = edges.join(unsettled, "b").select(F.col("a").alias("node"), F.col("b").alias("hub"))
+    members = files.saved(measured(group, sets, percent), "members")
+    closest = members.groupBy("hub").agg(F.min(F.struct("f", "node")).alias("m")).select("hub", F.col("m.f").alias("low"), F.col("m.node").alias("mid"))
+    members = members.join(few(closest), "hub")
+    star = members.filter("node <> mid").select(F.col("node").alias("a"), F.col("mid").alias("b")).distinct()
+    star = files.saved(_compare(star, sets).select("a", "b", _linked(percent).alias("linked")), "star")
+    links = links.union(star.filter("linked").select("a", "b"))
+    found = components(links)
+    apart = star.filter("not linked").select(F.col("a").alias("node"), F.col("b").alias("mid"), F.lit(True).alias("open"))
+    members = members.join(apart, ["node", "mid"], "left").join(found, "node", "left")
+    members = members.withColumn("open", F.coalesce("open", F.lit(False))).withColumn("component", F.coalesce("label", "node"))
+    more = files.saved(unexplained(members, percent), "more")
+    more = files.saved(_compare(more, sets).filter(_linked(percent)).select("a", "b"), "late")
+    if not more.limit(1).count():
+        return found
+    return components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: its number of shingles, component and whether it is the one to keep."""
     rows, per = classes(docs)
-    found = components(links(docs, per, percent))
+    found = link_components(docs, per, percent)
     joined = per.select("node", "rep", "set_key").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = joined.groupBy("label").agg(F.min("rep").alias("component"))
     named = joined.join(low, "label").select("set_key", F.col("rep").alias("class_id"), "component")
@@ -217,7 +243,10 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     got = files.saved(near_duplicates(docs, percent).select("doc_id", "kept").filter("doc_id is not null"), "kept")
     ids = files.saved(got.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"), "odd")
-    once = docs.join(few(ids.select(F.col("doc_id").alias("_id"))), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    often = docs.join(few(ids.filter("kept").select(F.col("doc_id").alias("_id"))), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    return once.unionByName(often.withColumn("_place", place).filter("_place = 1").drop("_place"))
+    mark = files.token()  # no column of docs is called like the ones made here
+    name, place = f"_id_{mark}", f"_place_{mark}"
+    same = docs["doc_id"].cast("long") == F.col(name)
+    once = docs.join(few(ids.select(F.col("doc_id").alias(name))), same, "left_anti")
+    often = docs.join(few(ids.filter("kept").select(F.col("doc_id").alias(name))), same, "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+    return once.unionByName(often.withColumn(place, first).filter(F.col(place) == 1).drop(place))
