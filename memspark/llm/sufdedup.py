@@ -28,7 +28,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
@@ -40,6 +40,10 @@ K = 64
 PERIOD = 32
 #: Bytes of stretches that are sorted together, and stretches of a bucket up to which it is.
 BLOCK_BYTES, BUCKET = 1 << 20, 20_000
+#: Strings that are sorted together, roughly; bytes of text that anchors are sought in together.
+TILE, SLICE = 200_000, 512 << 10
+#: Rows of a batch that are worked on together where each brings a list along.
+ROWS = 200
 
 
 def difference_cover(period: int) -> list[int]:
@@ -119,40 +123,51 @@ def sort_block(bucket: np.ndarray, data: np.ndarray, offs: np.ndarray, anchor: n
     size = np.diff(offs)
     n = size - length + 1
     # Each stretch begins where its anchor meets a multiple of the period.
-    room = size + anchor + 2 * PERIOD
+    room = size + 2 * PERIOD
     room = room + (-room) % PERIOD
     base = np.cumsum(room) - room
     begin = base + (-anchor) % PERIOD
     text = np.zeros(int(room.sum()) + 2 * length, np.uint8)
     text[np.repeat(begin - offs[:-1], size) + np.arange(len(data))] = data
     word = np.ndarray((len(text) - 8,), ">u8", text.data, strides=(1,))
-    count = np.cumsum(n) - n
-    step = np.arange(int(n.sum())) - np.repeat(count, n)
-    owner = np.repeat(np.arange(len(n)), n)
-    start = np.repeat(begin, n) + step
     marked = np.zeros(len(text), bool)
     for c in COVER:
         marked[c::PERIOD] = True
     marked[-length:] = False
-    ranks = np.zeros(len(text), np.uint64)
     places = np.flatnonzero(marked)
+    ranks = np.zeros(len(text), np.uint32)
     ranks[places] = cover_ranks(text, word, places)
-    tie = ranks[start + TO_COVER[start % PERIOD]]
-    from_anchor = np.repeat(anchor, n) - step
-    key = tx.mix(bucket[owner] + tx.mix(tie * np.uint64(512) + from_anchor.astype(np.uint64)))
-    at = np.flatnonzero(tx.repeated(key))
+    # Strings at different distances from their anchors are never equal, so distances go tile by tile.
+    tiles = max(1, int(n.sum()) // TILE)
+    width = -(-(length - K + 1) // tiles)
+    found = [_sort_tile(bucket, begin, anchor, n, ranks, word, d, d + width, length) for d in range(0, length - K + 1, width)]
+    owner, step = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((step, owner))
+    return owner[order], step[order]
+
+
+def _sort_tile(bucket, begin, anchor, n, ranks, word, near: int, far: int, length: int):
+    """sort_block() for the strings that start from near up to far bytes before their anchor."""
+    lo, hi = np.maximum(anchor - far + 1, 0), np.minimum(anchor - near + 1, n)
+    m = np.maximum(hi - lo, 0)
+    owner = np.repeat(np.arange(len(n)), m)
+    step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + lo[owner]
+    start = begin[owner] + step
+    tie = ranks[start + TO_COVER[start % PERIOD]].astype(np.uint64)
+    distance = (anchor[owner] - step).astype(np.uint64)
+    at = np.flatnonzero(tx.repeated(tx.mix(bucket[owner] + tx.mix(tie * np.uint64(512) + distance))))
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     s = start[at]
     head = [word[s + 8 * j].astype(np.uint64) for j in range(4)]
     tail = [word[s + length - 32 + 8 * j].astype(np.uint64) for j in range(4)]
-    columns = [bucket[owner[at]], from_anchor[at].astype(np.uint64), *head, tie[at], *tail]
+    columns = [bucket[owner[at]], distance[at], *head, tie[at], *tail]
     order = np.lexsort(columns[::-1])
     same = np.all([x[order][1:] == x[order][:-1] for x in columns], axis=0)
     hit = np.zeros(len(at), bool)
     hit[1:] = same
     hit[:-1] |= same
-    found = np.sort(at[order[hit]])
+    found = at[order[hit]]
     return owner[found], step[found]
 
 
@@ -172,7 +187,7 @@ def _emit(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             buf, offs = tx.flat(batch.column(1))
-            for a, b in tx.slices(offs):
+            for a, b in tx.slices(offs, SLICE):
                 lo = offs[a]
                 part, rows = np.ascontiguousarray(buf[lo : offs[b]]), offs[a : b + 1] - lo
                 row, anchor, i0, i1, p = stretches(part, rows)
@@ -192,15 +207,20 @@ def _fetch(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts, ids = batch.column(1), batch.column(0).to_pylist()
-            out: dict[str, list] = {k: [] for k in ("anchor", "t", "place", "n", "bytes")}
-            for k, wanted in enumerate(batch.column(2).to_pylist()):
-                view = memoryview(texts[k].as_buffer())
-                for w in wanted:
-                    p, left, right = w["place"] >> 16, (w["place"] >> 8) & 255, w["place"] & 255
-                    for name, x in zip(out, (w["anchor"], ids[k], w["place"], w["n"], bytes(view[p - left : p - right + LENGTH])), strict=True):
-                        out[name].append(x)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "bytes" else pa.int64()) for k, v in out.items()})
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                buf, offs = tx.flat(part.column(1))
+                view = memoryview(np.ascontiguousarray(buf))
+                row = np.repeat(np.arange(part.num_rows), part.column(2).value_lengths().to_numpy(zero_copy_only=False))
+                wanted = part.column(2).flatten()
+                place = wanted.field("place").to_numpy()
+                start = offs[row] + (place >> 16) - ((place >> 8) & 255)
+                stop = offs[row] + (place >> 16) - (place & 255) + LENGTH
+                data = b"".join([view[s:e] for s, e in zip(start.tolist(), stop.tolist(), strict=True)])
+                bounds = np.zeros(len(row) + 1, np.int64)
+                np.cumsum(stop - start, out=bounds[1:])
+                pieces = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).cast(pa.binary())
+                yield pa.RecordBatch.from_pydict({"anchor": wanted.field("anchor"), "t": part.column(0).take(pa.array(row)), "place": wanted.field("place"), "n": wanted.field("n"), "bytes": pieces})
 
     return docs.select("t", "text", "wanted").mapInArrow(run, "anchor long, t long, place long, n long, bytes binary")
 
@@ -258,10 +278,11 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     docs has doc_id, t and text as bytes.
     """
-    rows = files.saved(_emit(docs), "stretches")
-    per = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).filter("n > 1")
-    shared = files.saved(rows.join(per.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchor"), "shared")
-    files.drop(rows)
+    # A bucket holds one row per document at most (or as many as a text's own period makes), out of all
+    # stretches of all documents: one shuffle brings them together, and the window streams over them.
+    peers = Window.partitionBy("anchor")
+    rows = _emit(docs).withColumn("peers", F.count("*").over(peers)).withColumn("mixed", F.min("whole").over(peers) != F.max("whole").over(peers))
+    shared = files.saved(rows.filter("peers > 1").drop("peers"), "shared")
     first, last = F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.shiftright("place", 16) - F.col("place").bitwiseAND(F.lit(255))
     span = [F.col("t"), first.alias("first"), last.alias("last")]
     mixed = shared.filter("mixed")
@@ -287,23 +308,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     return out.groupBy("t").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
-def _cut(spans: list, n: int) -> tuple[int, int, list[tuple[int, int]]]:
-    """Bytes and runs removed, and what is kept, from (first, last) starts of repeated strings."""
-    kept, at, removed, runs = [], 0, 0, 0
-    end = -1
-    for first, last in sorted((s["first"], s["last"] + LENGTH) for s in spans):
-        if first > end:
-            runs += 1
-            if first > at:
-                kept.append((at, first))
-            end = last
-        elif last > end:
-            end = last
-        at = end
-    if at < n:
-        kept.append((at, n))
-    removed = n - sum(e - s for s, e in kept)
-    return removed, runs, kept
+def _cut(first: np.ndarray, last: np.ndarray, n: int) -> tuple[int, int, list[tuple[int, int]]]:
+    """Bytes and runs removed, and what is kept, from first and last starts of repeated strings."""
+    order = np.argsort(first, kind="stable")
+    begin, end = first[order], np.maximum.accumulate(last[order] + LENGTH)
+    new = np.flatnonzero(np.concatenate(([True], begin[1:] > end[:-1])))
+    begin, end = begin[new], end[np.append(new[1:] - 1, len(end) - 1)]
+    kept = [(s, e) for s, e in zip([0, *end.tolist()], [*begin.tolist(), n], strict=True) if s < e]
+    return int((end - begin).sum()), len(new), kept
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -320,17 +332,23 @@ def removed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            out: list[list] = [[], [], [], []]
-            for k, spans in enumerate(batch.column(2).to_pylist()):
-                view = memoryview(texts[k].as_buffer())
-                gone, runs, kept = _cut(spans, len(view))
-                digest = hashlib.sha256()
-                for s, e in kept:
-                    digest.update(view[s:e])
-                for col, x in zip(out, (len(view), gone, runs, digest.hexdigest()), strict=True):
-                    col.append(x)
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                buf, offs = tx.flat(part.column(1))
+                view = memoryview(np.ascontiguousarray(buf))
+                bounds = np.concatenate(([0], np.cumsum(part.column(2).value_lengths().to_numpy(zero_copy_only=False))))
+                spans = part.column(2).flatten()
+                first, last = spans.field("first").to_numpy(), spans.field("last").to_numpy()
+                out: list[list] = [[], [], [], []]
+                for k in range(part.num_rows):
+                    n, lo, hi = int(offs[k + 1] - offs[k]), bounds[k], bounds[k + 1]
+                    gone, runs, kept = _cut(first[lo:hi], last[lo:hi], n)
+                    digest = hashlib.sha256()
+                    for s, e in kept:
+                        digest.update(view[offs[k] + s : offs[k] + e])
+                    for col, x in zip(out, (n, gone, runs, digest.hexdigest()), strict=True):
+                        col.append(x)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     hit = docs.join(found, "t").select("doc_id", "text", "spans")
     return clean.unionByName(hit.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))

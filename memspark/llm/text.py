@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Rows are cut into slices of about this many bytes, so temporaries stay small whatever the batch.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 #: Rows of a slice at most, so that row numbers fit 16 bits.
 SLICE_ROWS = 50_000
 
