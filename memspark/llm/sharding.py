@@ -120,15 +120,18 @@ def compact(spark: SparkSession, root: str, target: int = TARGET_BYTES) -> int:
     n_runs = chosen.select("run").distinct().count()
     docs = spark.read.schema(_schema(spark, root)).parquet(*paths)
     taken = {c.lower() for c in docs.columns}
-    run, file = ("_run", "_file")
-    while {run, file} & taken:
-        run, file = run + "_", file + "_"
-    where = chosen.select(F.regexp_extract("path", r"[^/]+$", 0).alias(file), F.col("run").alias(run))
+    run, file, task = "_run", "_file", "_task"
+    while {run, file, task} & taken:
+        run, file, task = run + "_", file + "_", task + "_"
+    # Each run is written by a task of its own; the window numbers runs, of which there is one per target size.
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("run")) - 1
+    numbered = chosen.select("run").distinct().withColumn(task, number)
+    where = chosen.join(numbered, "run").select(F.regexp_extract("path", r"[^/]+$", 0).alias(file), F.col("run").alias(run), task)
     where = F.broadcast(where) if len(paths) <= BROADCAST_SHARDS else where
     named = docs.select("*", docs.metadataColumn("_metadata")["file_name"].alias(file))
     merged = named.join(where, file).drop(file)
     path = _data(root, "merged")
-    merged.repartition(n_runs, run).write.option("compression", "zstd").partitionBy(run).parquet(path)
+    merged.repartitionById(n_runs, F.col(task)).drop(task).write.option("compression", "zstd").partitionBy(run).parquet(path)
     version = _commit(spark, root, _listed(spark, path, 1).unionByName(kept), have + 1)
     for p in paths:
         files.remove(spark, p)
