@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from memspark.llm import decontam, files, minhash, mixing, quality, sharding
 from memspark.session import ship
 
+#: Similarity from which near_dedup links documents; op4's 85 is of that query alone.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the compression bands and the base rules."""
@@ -22,9 +25,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
+    """One document of each near-duplicate component, linked from a similarity of 0.80 up."""
     ship(spark)
-    return minhash.deduplicate(docs)
+    return minhash.deduplicate(docs, NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ either collection, so 2 * m * r minhashes serve tables that would take 2 * m * m
 4. Links are joined into components.
 
 A link of similarity 0.85 escapes all tables with a chance of about 2 * (1 - 0.85**r)**m, 7e-5 at the
-parameters below; more similar ones far more rarely.
+parameters below, and one of 0.80 with 6e-4; more similar ones far more rarely.
 
 Cases: a null or empty text, or one without words, has no shingles and is linked with nothing; a
 document of fewer words than a shingle is one shingle. A row without doc_id is linked with nothing and
