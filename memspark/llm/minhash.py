@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import files
 from . import text as tx
@@ -223,30 +224,61 @@ def link_components(docs: DataFrame, per: DataFrame, percent: int = PERCENT) ->
     return components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per document: its number of shingles, component and whether it is the one to keep."""
+def _named(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, named): every document's set key; and per key its class, component and the component's label."""
     rows, per = classes(docs)
     found = link_components(docs, per, percent)
     joined = per.select("node", "rep", "set_key").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = joined.groupBy("label").agg(F.min("rep").alias("component"))
-    named = joined.join(low, "label").select("set_key", F.col("rep").alias("class_id"), "component")
-    named = files.saved(named, "components")
+    named = joined.join(low, "label").select("set_key", F.col("rep").alias("class_id"), "component", "label")
+    return rows, files.saved(named, "components")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per document: its number of shingles, component and whether it is the one to keep."""
+    rows, named = _named(docs, percent)
     out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the digest of each row's set in a column of that name; empty where there are no shingles."""
+    at = docs.columns.index("text")
+    names = [*docs.columns, name]
+
+    def run(batches):
+        for batch in batches:
+            buf, offs = tx.flat(batch.column(at))
+            for lo, hi in tx.slices(offs):
+                sets, first = shingles(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                raw = sets.view(np.uint8)
+                digest = [xxhash.xxh3_128_digest(raw[8 * s : 8 * e]) if e > s else b"" for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(digest, pa.binary())], names=names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+
+
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs with one document of each component, with the columns they came with.
+    """The rows of docs with one row of each component, with the columns they came with.
 
-    Rows that share an id count as one document; the first by text stays.
+    Rows are told apart by id and shingles, so rows of one id stay or go each with its own text; of those
+    of one id in one component the first by text stays, as of those of one id without words.
     """
-    got = files.saved(near_duplicates(docs, percent).select("doc_id", "kept").filter("doc_id is not null"), "kept")
+    rows, named = _named(docs, percent)
+    each = rows.filter("doc_id is not null").select("doc_id", "set_key")
+    kept = F.col("doc_id") == F.coalesce("component", "doc_id")
+    got = files.saved(each.join(named, "set_key", "left").select("doc_id", kept.alias("kept")), "kept")
     ids = files.saved(got.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"), "odd")
     mark = files.token()  # no column of docs is called like the ones made here
-    name, place = f"_id_{mark}", f"_place_{mark}"
+    name, place, key, label = (f"_{x}_{mark}" for x in ("id", "place", "key", "label"))
     same = docs["doc_id"].cast("long") == F.col(name)
+    repeated = ids.filter("kept").select(F.col("doc_id").alias(name))
     once = docs.join(few(ids.select(F.col("doc_id").alias(name))), same, "left_anti")
-    often = docs.join(few(ids.filter("kept").select(F.col("doc_id").alias(name))), same, "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    return once.unionByName(often.withColumn(place, first).filter(F.col(place) == 1).drop(place))
+    often = _keyed(docs.join(few(repeated), same, "left_semi"), key)
+    stay = each.withColumnRenamed("doc_id", name).join(few(repeated), name, "left_semi").join(named, "set_key", "left").filter(F.col(name) == F.coalesce("component", name))
+    stay = stay.select(name, F.coalesce("set_key", F.lit(b"")).alias(f"{key}_"), F.col("label").alias(label)).distinct()
+    often = often.join(stay, (often["doc_id"].cast("long") == F.col(name)) & (F.col(key) == F.col(f"{key}_")))
+    first = F.row_number().over(Window.partitionBy(name, label).orderBy(F.col("text").asc_nulls_last()))
+    often = often.withColumn(place, first).filter(F.col(place) == 1)
+    return once.unionByName(often.drop(name, key, f"{key}_", label, place))

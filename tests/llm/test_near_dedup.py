@@ -6,6 +6,7 @@ import numpy as np
 from test_operators import shingle_set
 
 import corpus_pipeline
+from memspark.llm import minhash
 
 
 def pair(k: int, changed: int, words: int = 204) -> tuple[str, str]:
@@ -30,3 +31,16 @@ def test_near_dedup_links_from_080(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()}
     assert got == {2 * k for k in alike} | {2 * k + 1 for k, s in alike.items() if s < 0.80}
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    a, near = pair(50, 1)
+    lone, other, third = (pair(k, 1)[0] for k in (51, 52, 53))
+    rows = [(1, a, "first"), (2, near, "copy of 1"), (2, lone, "alone"), (3, other, "alone"), (3, third, "alone"), (4, third, "copy of 3")]
+    rows += [(5, " ", "no words"), (5, None, "no words"), (6, lone + " x", "copy of 2"), (6, "short text", "alone"), (None, a, "no id"), (None, a, "no id")]
+    rows += [(3, other, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(3)
+    out = minhash.deduplicate(docs)
+    assert out.columns == docs.columns
+    want = [(1, a), (2, lone), (3, other), (3, third), (5, " "), (6, "short text"), (None, a), (None, a)]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
