@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from . import files
 
-#: Bytes that a merged file aims at; runs that are at least this large are never rewritten.
+#: Bytes that a merged file aims at; shards over three quarters of it are never rewritten.
 TARGET_BYTES = 128 << 20
 #: Rows of a small shard at most.
 SMALL_ROWS = 50_000
-#: Runs of one tier that are merged at least; each tier spans sizes of a factor of ``TIER``.
+#: Shards of one tier that are merged at least if they stay far below the target; each tier spans sizes of a factor of ``TIER``.
 MIN_RUNS, TIER = 4, 4
 #: Shards that one window of the planning sees at most, roughly.
 SECTION = 4096
@@ -95,17 +95,23 @@ def append(docs: DataFrame, root: str) -> int:
 def plan(shards: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     """(path, bytes, run): which shards are merged, and the run that each belongs to.
 
-    Within a tier, in order of their paths, runs are cut as their bytes pass the target. The planning
-    windows see a section of the shards each, so no task sees all.
+    Within a tier, in order of their paths, runs are cut as their bytes pass the target. A run is merged
+    if it has MIN_RUNS shards, or two or more that make half of the target at least. Shards over half of
+    it are taken in pairs, and those over three quarters are near enough to stay, so no merged file is
+    over one and a half targets. The planning windows see a section of the shards each, so no task sees
+    all.
     """
     n = shards.count()
-    small = shards.filter(F.col("bytes") < target).withColumn("section", F.pmod(F.xxhash64("path"), F.lit(max(1, -(-n // SECTION)))))
-    order = Window.partitionBy("tier", "section").orderBy("path")
+    small = shards.filter(F.col("bytes") * 4 <= 3 * target)
+    small = small.withColumn("large", F.col("bytes") * 2 > target).withColumn("section", F.pmod(F.xxhash64("path"), F.lit(max(1, -(-n // SECTION)))))
+    order = Window.partitionBy("tier", "large", "section").orderBy("path")
     before = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("bytes")
-    cut = small.withColumn("cut", F.floor(before / target))
-    run = Window.partitionBy("tier", "section", "cut")
-    cut = cut.withColumn("runs", F.count("*").over(run)).filter(F.col("runs") >= MIN_RUNS)
-    return cut.select("path", "bytes", F.concat_ws("-", "tier", "section", "cut").alias("run"))
+    pair = F.floor((F.row_number().over(order) - 1) / 2)
+    cut = small.withColumn("cut", F.when(F.col("large"), pair).otherwise(F.floor(before / target)))
+    run = Window.partitionBy("tier", "large", "section", "cut")
+    cut = cut.withColumn("runs", F.count("*").over(run)).withColumn("sum", F.sum("bytes").over(run))
+    cut = cut.filter((F.col("runs") >= MIN_RUNS) | (F.col("runs") > 1) & (F.col("sum") * 2 >= target))
+    return cut.select("path", "bytes", F.concat_ws("-", "tier", "section", "cut", F.col("large").cast("string")).alias("run"))
 
 
 def compact(spark: SparkSession, root: str, target: int = TARGET_BYTES) -> int:
