@@ -163,15 +163,15 @@ def blocks(benchmark: DataFrame, width: int = WIDTH):
         yield Index(got["item_id"].to_pylist(), got["text"], width)
 
 
-def _judge(index: Index, buf, offs, spans: list | None, items: list | None):
-    """Per row: words, mask of hit words, spans and items found so far, and the longest match."""
+def _judge(index: Index, buf, offs, spans: list | None, items: list | None, longest: list | None):
+    """Per row: words, mask of hit words, items found so far, and the longest match so far."""
     h, first = _words((buf, offs))
     where, key = index.search(h, first)
     row = tx.row_of(first)
     hit = tx.covered(where, index.length[key], len(h)) if len(where) else np.zeros(len(h), bool)
     rows = len(offs) - 1
     found: list[set] = [set() for _ in range(rows)]
-    longest = np.zeros(rows, np.int64)
+    longest = np.zeros(rows, np.int64) if longest is None else np.array(longest, np.int64)
     if len(where):
         r, i, _, _, n = index.matches(where, key, row)
         np.maximum.at(longest, r, n)
@@ -207,19 +207,19 @@ def _passes(docs: DataFrame, benchmark: DataFrame, width: int):
 def _carry(docs: DataFrame, block, state: bool) -> DataFrame:
     names = docs.columns
     at = names.index("text")
-    schema = docs.schema if state else T.StructType([*docs.schema.fields, T.StructField("_spans", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType()))])
-    keep = len(names) - 2 * state
+    schema = docs.schema if state else T.StructType([*docs.schema.fields, T.StructField("_spans", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType())), T.StructField("_longest", T.LongType())])
+    keep = len(names) - 3 * state
 
     def run(batches):
         for batch in batches:
             buf, offs = tx.flat(batch.column(at))
             for a, b in tx.slices(offs):
                 part = batch.slice(a, b - a)
-                old = [part.column(keep + k).to_pylist() for k in range(2)] if state else [None, None]
-                _, hit, first, found, _ = _judge(block.value, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], *old)
+                old = [part.column(keep + k).to_pylist() for k in range(3)] if state else [None] * 3
+                _, hit, first, found, longest = _judge(block.value, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], *old)
                 spans = [_runs(hit[first[k] : first[k + 1]]) for k in range(b - a)]
-                new = [pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:keep], *new], names=[*names[:keep], "_spans", "_items"])
+                new = [pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string())), pa.array(longest, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:keep], *new], names=[*names[:keep], "_spans", "_items", "_longest"])
 
     return docs.mapInArrow(run, schema)
 
@@ -234,7 +234,7 @@ def score(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFram
         for batch in batches:
             buf, offs = tx.flat(batch.column(1))
             for a, b in tx.slices(offs):
-                old = [batch.column(2 + k).slice(a, b - a).to_pylist() for k in range(2)] if state else [None, None]
+                old = [batch.column(2 + k).slice(a, b - a).to_pylist() for k in range(3)] if state else [None] * 3
                 n, hit, first, found, longest = _judge(block.value, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], *old)
                 n_hit = tx.per_row(hit, first)
                 digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]
@@ -279,7 +279,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
             buf, offs = tx.flat(batch.column(text))
             for a, b in tx.slices(offs):
                 part = batch.slice(a, b - a)
-                old = [part.column(len(names) + k).to_pylist() for k in range(2)] if state else [None, None]
+                old = [part.column(len(names) + k).to_pylist() for k in range(3)] if state else [None] * 3
                 _, hit, first, _, _ = _judge(block.value, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], *old)
                 clean = part.filter(pa.array(tx.per_row(hit, first) == 0))
                 yield pa.RecordBatch.from_arrays(clean.columns[: len(names)], names=names)
