@@ -1,26 +1,35 @@
 """Working tables and files in the folder that the whole cluster shares.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests, a
-temporary folder of this machine is set in its place.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is this
+machine, as in tests, a temporary folder is set in its place; on a cluster that is an error.
+
+What is made within a ``scope`` is deleted when the scope ends, but for what is kept for its result; that
+goes with the scope around it, or at the end of the program.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
+#: Folders of each scope that is open, the outermost first.
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def shared(spark: SparkSession) -> str:
     """The shared folder's URI."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = "file://" + tempfile.mkdtemp(prefix="memspark-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -32,28 +41,64 @@ def token() -> str:
     return uuid.uuid4().hex[:12]
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; nothing is there yet."""
+def folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder; nothing is there yet. Kept, it outlives the innermost scope."""
     path = f"{shared(spark)}/memspark-{token()}-{name}"
     _made.append((spark, path))
+    open_ = _scopes.get()[: -1 if keep else None]
+    if open_:
+        open_[-1].append(path)
     return path
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Deletes the folders made inside and not kept."""
+    inside: list[str] = []
+    before = _scopes.set((*_scopes.get(), inside))
+    try:
+        yield
+    finally:
+        _scopes.reset(before)
+        for path in inside:
+            with contextlib.suppress(Exception):  # already gone
+                remove(spark, path)
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df as a written table; its lineage ends here."""
     spark = df.sparkSession
-    path = folder(spark, name)
+    path = folder(spark, name, keep)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
 
+#: Bytes of a table up to which it is broadcast.
+BROADCAST_BYTES = 16 << 20
 
-#: Rows up to which a table of keys is broadcast (some tens of bytes each).
-BROADCAST_ROWS = 2_000_000
 
+def few(df: DataFrame, row_bytes: int = 64, rows: int | None = None) -> DataFrame:
+    """df marked for broadcast if its rows, counted, are within the bound; else for a sort-merge join."""
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df.hint("merge")
 
-def few(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if a count shows that it is within the bound, else as it is."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+def numbered(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """df with a running number from 0, by an order without ties; no task sees more than its range.
+
+    Ranges are written in order, one file each, so a row's number is its place in the file after the
+    rows of the files before it.
+    """
+    ranges = saved(df.repartitionByRange(order).sortWithinPartitions(order), "ranges")
+    meta = ranges.metadataColumn("_metadata")
+    part, row = f"_part_{token()}", f"_row_{token()}"
+    placed = ranges.select("*", F.regexp_extract(meta["file_name"], r"^part-(\d+)", 1).cast("long").alias(part), meta["row_index"].alias(row))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy(part).agg(F.count("*").alias("n")).select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(name))  # a row per task
+    both = placed.join(F.broadcast(base), part)
+    return both.select(*df.columns, (F.col(name) + F.col(row)).alias(name))
 
 
 def _arrow_fs(uri: str):
@@ -101,25 +146,14 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def drop(df_or_path, spark: SparkSession | None = None) -> None:
+def drop(df: DataFrame) -> None:
     """Delete the files of a table made by saved(); it must not be read again."""
-    if isinstance(df_or_path, DataFrame):
-        spark = df_or_path.sparkSession
-        for f in df_or_path.inputFiles()[:1]:
-            path = f.rsplit("/", 1)[0]
-            remove(spark, path)
-        return
-    remove(spark, df_or_path)
-
-
-def made() -> int:
-    """How many folders were made so far; a mark for release()."""
-    return len(_made)
+    remove(df.sparkSession, df._path)
 
 
-def release(since: int = 0, until: int | None = None) -> None:
-    """Delete what was made between two marks; for callers whose results are written elsewhere."""
-    for spark, path in _made[since:until]:
+def release() -> None:
+    """Delete all that was made."""
+    for spark, path in _made:
         with contextlib.suppress(Exception):  # the session may have ended, or the folder be gone
             remove(spark, path)
 

@@ -128,6 +128,33 @@ def words(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.nda
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def word_hashes(buf: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word after lower-casing A-Z, and the index of each row's first (one more at the end).
+
+    Rows of any length are taken in pieces that end outside words, so temporaries stay small; a hash
+    depends on a word's bytes alone.
+    """
+    out, ends = [], []
+    at, n = 0, len(buf)
+    while at < n:
+        to = min(n, at + SLICE_BYTES)
+        while to < n and inside[LOWER[buf[to - 1]]] and inside[LOWER[buf[to]]]:
+            step = LOWER[buf[to : to + SLICE_BYTES]]
+            gap = np.flatnonzero(~inside[step])
+            to = min(n, to + (int(gap[0]) if len(gap) else len(step)))
+            if len(gap):
+                break
+        # No word crosses a row's end either.
+        cuts = offs[np.searchsorted(offs, at, "right") : np.searchsorted(offs, to, "left")]
+        part = LOWER[buf[at:to]]
+        starts, stops, _ = words(part, np.concatenate(([0], cuts - at, [to - at])), inside)
+        out.append(Hasher(part)(starts, stops))
+        ends.append(starts + at)
+        at = to
+    starts = np.concatenate(ends) if ends else np.zeros(0, np.int64)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.searchsorted(starts, offs)
+
+
 def per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Sums of flags in each row."""
     c = np.zeros(len(flags) + 1, np.int64)
