@@ -7,9 +7,13 @@ balancing constraints (words and documents of the source), so both totals stay a
 least one probability lands at each move. Blocks of a source fly side by side and leave some two fractions
 each; those fly together level by level, until a small landing problem per source remains.
 
-Cases: a null text has size 0; null sources are a source of their own; equal rows are units of their
-own; a document with null id takes part like any other. Sources without words have target 0. An empty
-table gives an empty result. Extra columns are kept by ``mix`` and not looked at.
+Rows that agree in id, source and text are one unit with their number as its weight, made in a counted
+aggregation, so a million of them weigh no more than one; what the unit takes is dealt out among its
+rows. Decisions travel to the rows by their place (see ``places``): no text is shuffled, at any size.
+
+Cases: a null text has size 0; null sources are a source of their own; equal rows share their unit's
+copies as evenly as can be; a document with null id takes part like any other. Sources without words
+have target 0. An empty table gives an empty result. Extra columns are kept by ``mix`` and not looked at.
 """
 
 from __future__ import annotations
@@ -18,57 +22,58 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import files
+from . import files, places
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Units of a block of the flight; the fractions of so many blocks meet on the next level.
 BLOCK, FAN = 1024, 256
-#: Sources up to which their table is broadcast (some 40 bytes each); beyond, it is joined by shuffle.
-BROADCAST_SOURCES = 100_000
-MAX_REPEATS = 3.0
+#: Rows of a unit that are numbered together.
+EQUAL_ROWS = 1 << 16
+MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 _EPS = 1e-9
 
 
-def _unit() -> list:
-    """Id, source and size of a document, as columns."""
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0))
-    return [F.col("doc_id").cast("long"), F.col("source").cast("string"), size.cast("long")]
-
-
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size of every document."""
-    return docs.select(*[c.alias(n) for c, n in zip(_unit(), ("doc_id", "source", "size"), strict=True)])
+    """Place, doc_id, source, size and a 128-bit name of the unit of every row of a rooted table."""
+    text, source = F.col("text").cast("string"), F.col("source").cast("string")
+    doc_id = F.col("doc_id").cast("long")
+    # A null is not the empty string, and no value runs into the next.
+    said = [F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in (doc_id.cast("string"), source, text)]
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(*places.place(docs), doc_id.alias("doc_id"), source.alias("source"), size.alias("size"), F.unhex(F.md5(F.concat(*said))).alias("unit"))
 
 
-def targets(sizes: DataFrame) -> DataFrame:
-    """Per source: its size, number of documents, target and expected repeats.
+def level(per: DataFrame) -> float:
+    """The level at which targets min(level * w, cap) share all sizes.
 
-    Targets are min(level * weight, cap); the level follows from the sources sorted by cap / weight,
-    which is where resharing the excess again and again ends. The windows see one row per source.
+    Sources above their cap give the excess to the others, again and again, until none is above: a pass
+    over one row per source each time. Sums are whole numbers, so their order has no bearing.
     """
+    total, weight = per.agg(F.sum("source_size"), F.sum("w")).first()
+    now = total / weight if weight else 0.0
+    while weight:
+        full = F.col("cap") <= F.lit(now) * F.col("w")
+        capped, free = per.agg(F.sum(F.when(full, F.col("cap")).otherwise(0)), F.sum(F.when(full, 0).otherwise(F.col("w")))).first()
+        if not free or (total - capped) / free <= now:
+            break
+        now = (total - capped) / free
+    return now
+
+
+def targets(sizes: DataFrame) -> DataFrame:
+    """Per source: its size, number of documents, target and expected repeats."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    everything = Window.partitionBy(F.lit(0))
-    by_name = everything.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(by_name) - 1) % len(WEIGHTS)
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in WEIGHTS]), (place + 1).cast("int"))
-    cap = F.lit(MAX_REPEATS) * F.col("source_size")
-    per = per.withColumn("source_no", F.row_number().over(by_name)).withColumn("w", w).withColumn("cap", cap)
-    by_ratio = everything.orderBy(F.col("cap") / F.col("w"), "source_no")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    total = F.sum("source_size").over(everything)
-    # The level if all sources before this one in that order are capped, and no other.
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    fits = F.when(level * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), "source_no", level.alias("level")))
-    per = per.withColumn("fits", fits)
-    target = F.least(F.coalesce(F.min("fits").over(everything)["level"], F.lit(0.0)) * F.col("w"), F.col("cap"))
-    per = per.withColumn("target", target)
+    per = files.numbered(per, F.col("source").asc_nulls_last(), "source_no")
+    w = F.element_at(F.array(*[F.lit(x) for x in WEIGHTS]), (F.col("source_no") % len(WEIGHTS) + 1).cast("int"))
+    per = files.saved(per.withColumn("w", w).withColumn("cap", F.col("source_size") * MAX_REPEATS), "sources")
+    target = F.least(F.lit(level(per)) * F.col("w"), F.col("cap").cast("double"))
     repeats = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return per.withColumn("repeats", repeats).select("source", "source_no", "source_size", "n_docs", "target", "repeats")
+    return per.withColumn("target", target).select("source", "source_no", "source_size", "n_docs", "target", repeats.alias("repeats"))
 
 
 def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -138,23 +143,21 @@ def _seed(*parts) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.sha256(repr(parts).encode()).digest()[:8], "little"))
 
 
-def decide(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: how often each document is taken."""
-    sizes = files.saved(sized(docs), "sizes")
+def _units(sizes: DataFrame, seed: int) -> DataFrame:
+    """unit, n, copies: how often the rows of each unit are taken in all."""
     per = files.saved(targets(sizes), "targets")
     n_sources, most = per.agg(F.count("*"), F.max("n_docs")).first()
-    side = F.broadcast(per) if n_sources <= BROADCAST_SOURCES else per
-    units = sizes.withColumnRenamed("source", "_s").join(side, F.col("_s").eqNullSafe(F.col("source")))
-    mixed = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    once = sizes.groupBy("unit", F.col("source").alias("_s"), "size").agg(F.count("*").alias("n"))
+    units = once.join(files.few(per, 200, n_sources), F.col("_s").eqNullSafe(F.col("source")))
+    mixed, want = F.xxhash64(F.col("unit"), F.lit(seed)), F.col("n") * F.col("repeats")
     units = units.select(
-        "doc_id", "source", "source_no", "size", "source_size", "target",
-        F.floor("repeats").cast("long").alias("whole"), (F.col("repeats") - F.floor("repeats")).alias("pi"),
+        "unit", "source_no", "size", "n", F.floor(want).cast("long").alias("whole"), (want - F.floor(want)).alias("pi"),
         F.pmod(mixed, F.ceil(F.col("n_docs") / BLOCK)).cast("long").alias("block"), mixed.alias("mixed"),
     )
 
     def fly(level: int, last: bool):
         def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["size", "mixed", "doc_id"], ascending=[False, True, True], ignore_index=True)
+            pdf = pdf.sort_values(["size", "mixed", "unit"], ascending=[False, True, True], ignore_index=True)
             rng = _seed(seed, level, int(key[0]), int(key[1]))
             x = pdf["size"].to_numpy(np.int64)
             pi = flight(pdf["pi"].to_numpy(float), x, rng)
@@ -165,10 +168,10 @@ def decide(docs: DataFrame, seed: int = 7) -> DataFrame:
 
         return run
 
-    blocks, level, settled = max(1, -(-int(most or 0) // BLOCK)), 0, None
+    blocks, level_, settled = max(1, -(-int(most or 0) // BLOCK)), 0, None
     while True:
-        flown = units.groupBy("source_no", "block").applyInPandas(fly(level, blocks == 1), units.schema)
-        flown = files.saved(flown, f"flight{level}")
+        flown = units.groupBy("source_no", "block").applyInPandas(fly(level_, blocks == 1), units.schema)
+        flown = files.saved(flown, f"flight{level_}")
         if blocks == 1:
             done = flown
         else:
@@ -177,36 +180,55 @@ def decide(docs: DataFrame, seed: int = 7) -> DataFrame:
         settled = done if settled is None else settled.unionByName(done)
         if blocks == 1:
             break
-        blocks, level = -(-blocks // FAN), level + 1
+        blocks, level_ = -(-blocks // FAN), level_ + 1
     copies = (F.col("whole") + F.round("pi").cast("long")).alias("copies")
-    return settled.select("doc_id", "source", "size", "source_size", "target", copies)
+    # A source's row again, as its name may be null and was not carried along.
+    named = settled.join(files.few(per.select("source_no", "source_size", "target"), 24, n_sources), "source_no")
+    return named.select("unit", "n", copies, "source_size", "target")
+
+
+def _dealt(sizes: DataFrame, units: DataFrame) -> DataFrame:
+    """Rows with their own copies; rows of one unit get as many each, and the rest goes to its first."""
+    both = files.saved(sizes.join(units.hint("merge"), "unit"), "matched")
+    alone = both.filter("n = 1").drop("unit", "n")
+    many = both.filter("n > 1").withColumn("salt", F.pmod(F.xxhash64(places.FILE, places.ROW), F.ceil(F.col("n") / EQUAL_ROWS)))
+    before = Window.partitionBy("unit").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = many.groupBy("unit", "salt").agg(F.count("*").alias("c")).select("unit", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+    number = F.row_number().over(Window.partitionBy("unit", "salt").orderBy(places.FILE, places.ROW)) + F.col("base")
+    own = F.floor(F.col("copies") / F.col("n")) + (number <= F.col("copies") % F.col("n")).cast("long")
+    many = many.join(base, ["unit", "salt"]).withColumn("copies", own.cast("long"))
+    return alone.unionByName(many.drop("unit", "n", "salt", "base"))
+
+
+def decide(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """file, row, doc_id, source, size, source_size, target, copies: how often each row of a rooted table is taken."""
+    with files.scope(docs.sparkSession):
+        sizes = files.saved(sized(docs), "sizes")
+        return files.saved(_dealt(sizes, _units(sizes, seed)), "decided", keep=True)
 
 
 def taken(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix per document, in words."""
-    got = decide(docs, seed)
+    got = decide(places.rooted(docs), seed)
     return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The rows of docs as the mix takes them, each as often as it is taken.
-
-    Rows that agree in id, source and size share their decisions evenly, the rest going to the first.
-    """
-    mark = files.token()  # no column of docs is called like the ones made here
-    key, n = [f"_{k}_{mark}" for k in ("id", "source", "size")], f"_n_{mark}"
-    got = decide(docs, seed).select(*[F.col(c).alias(k) for c, k in zip(("doc_id", "source", "size"), key, strict=True)], "copies")
-    got = got.groupBy(*key).agg(F.sum("copies").alias(f"_copies_{mark}"), F.count("*").alias(f"_rows_{mark}"))
-    got = files.saved(got, "copies").filter(F.col(f"_copies_{mark}") > 0)
-    keyed = docs.select("*", *[c.alias(k) for c, k in zip(_unit(), key, strict=True)])
-    on = lambda side: [keyed[k].eqNullSafe(side[k]) for k in key]
-    single = got.filter(F.col(f"_rows_{mark}") == 1)
-    several = got.filter(F.col(f"_rows_{mark}") > 1)
-    columns = [keyed[c] for c in docs.columns]
-    one = keyed.join(single, on(single)).select(*columns, single[f"_copies_{mark}"].alias(n))
-    more = keyed.join(several, on(several)).select(*columns, *[keyed[k].alias(k) for k in key], several[f"_copies_{mark}"], several[f"_rows_{mark}"])
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.col("text").cast("string"))))
-    copies, rows = F.col(f"_copies_{mark}"), F.col(f"_rows_{mark}")
-    share = (F.floor(copies / rows) + (place <= copies % rows).cast("long")).cast("long")
-    both = one.unionByName(more.withColumn(n, share).select(*docs.columns, n)).filter(F.col(n) > 0)
-    return both.withColumn(n, F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int")))).drop(n)
+    """The rows of docs as the mix takes them, each as often as it is taken."""
+    docs = places.rooted(docs)
+    decided = decide(docs, seed)
+    # A row without a mark is taken once.
+    folder = places.mark(decided.filter("copies <> 1").select(places.FILE, places.ROW, "copies"), name="copies")
+    files.drop(decided)
+
+    def run(batch, table, lo, hi):
+        copies = np.ones(batch.num_rows, np.int64)
+        if table is not None:
+            at = np.flatnonzero(hi > lo)
+            copies[at] = table.column(1).to_numpy()[lo[at]]
+        for k in range(max(1, int(copies.max()))):  # never more than one batch of rows at a time
+            more = batch.filter(pa.array(copies > k))
+            if more.num_rows:
+                yield more
+
+    return places.beside(docs, [docs[c] for c in docs.columns], folder, run, docs.schema)
