@@ -1,14 +1,18 @@
 """Size-tiered compaction of immutable shards under a versioned manifest.
 
 ``append`` writes arrivals as they come, one small shard per task and no shuffle. ``compact`` puts the
-shards of a version into tiers by size, merges runs of one tier into files of the target size, and
-leaves the others alone. Either ends by committing a manifest: its rows are written to a folder of
-their own, and one rename that fails if the version exists publishes it. Readers see a version whole
-or not at all; a job that dies leaves files that no manifest names. Only DataFrame operations and, on
-the driver, renames are used.
+shards of a version into tiers by size, picks runs of one tier, and rewrites them as files of the target
+size, wave by wave; other shards are left alone. A tier's shards are read in as many tasks as files come
+out of them, so nothing is shuffled. Each append and each wave ends by committing a manifest: its rows
+are written to a folder of their own, and one rename that fails if the version exists publishes it.
+A writer that loses that race builds its manifest anew on the version that won. Readers see a version
+whole or not at all, and every version stays readable, as replaced shards are kept until ``vacuum``;
+a job that dies leaves files that no manifest names. Only DataFrame operations and, on the driver,
+renames are used. The rename is atomic on file systems such as HDFS; on object stores it is only as good
+as the connector's.
 
 Cases: null values, repeated rows and extra columns go through as they are, whatever their names; an
-empty table makes a version without shards, read back as an empty table; very long texts make a shard
+empty table makes a version without rows, read back as an empty table; very long texts make a shard
 larger than others of so many rows, which then sits in a higher tier.
 """
 
@@ -29,9 +33,11 @@ SMALL_ROWS = 50_000
 MIN_RUNS, TIER = 4, 4
 #: Shards that one window of the planning sees at most, roughly.
 SECTION = 4096
-#: Shards up to which their names and runs are broadcast (some 100 bytes each); beyond, they are shuffled.
-BROADCAST_SHARDS = 500_000
-_MANIFEST = "path string, bytes long, tier int, level int"
+#: Bytes and shards that a wave rewrites, about; the driver sees the names of one wave's shards at a time.
+WAVE_BYTES, WAVE_SHARDS = 1 << 40, 50_000
+#: The folder of an append or a wave, in a shard's path.
+_FOLDER = r"/data/((?:small|merged)-[0-9a-f]{12})/"
+_MANIFEST = "path string, bytes long, tier int, level int, folder_files int"
 
 
 def _data(root: str, kind: str) -> str:
@@ -42,7 +48,8 @@ def _listed(spark: SparkSession, path: str, level: int) -> DataFrame:
     """Manifest rows of the shards under a folder; their content isn't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
     tier = F.floor(F.log(float(TIER), F.greatest(F.col("length"), F.lit(1)))).cast("int")
-    return found.select("path", F.col("length").alias("bytes"), tier.alias("tier"), F.lit(level).alias("level"))
+    n = found.select("path").count()
+    return found.select("path", F.col("length").alias("bytes"), tier.alias("tier"), F.lit(level).alias("level"), F.lit(n).cast("int").alias("folder_files"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -78,6 +85,17 @@ def _commit(spark: SparkSession, root: str, shards: DataFrame, version: int) ->
     return version
 
 
+def _publish(spark: SparkSession, root: str, change) -> int:
+    """Commit change(newest manifest or None) as the next version, on top of whatever others commit meanwhile."""
+    while True:
+        have = versions(spark, root)
+        try:
+            return _commit(spark, root, change(manifest(spark, root, have[-1]) if have else None), (have[-1] if have else 0) + 1)
+        except Exception as e:
+            if "FileAlreadyExists" not in str(e):
+                raise
+
+
 def append(docs: DataFrame, root: str) -> int:
     """Write docs as small shards and commit them beside those of the newest version."""
     spark = docs.sparkSession
@@ -85,15 +103,12 @@ def append(docs: DataFrame, root: str) -> int:
     docs.write.option("compression", "zstd").option("maxRecordsPerFile", SMALL_ROWS).parquet(path)
     if not _exists(spark, f"{root}/schema"):
         spark.createDataFrame([], docs.schema).write.mode("ignore").parquet(f"{root}/schema")
-    have = versions(spark, root)
     shards = _listed(spark, path, 0)
-    if have:
-        shards = shards.unionByName(manifest(spark, root))
-    return _commit(spark, root, shards, (have[-1] if have else 0) + 1)
+    return _publish(spark, root, lambda now: shards if now is None else shards.unionByName(now))
 
 
 def plan(shards: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
-    """(path, bytes, run): which shards are merged, and the run that each belongs to.
+    """(path, bytes, tier, run): which shards are merged, and the run that each belongs to.
 
     Within a tier, in order of their paths, runs are cut as their bytes pass the target. A run is merged
     if it has MIN_RUNS shards, or two or more that make half of the target at least. Shards over half of
@@ -111,54 +126,115 @@ def plan(shards: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
     run = Window.partitionBy("tier", "large", "section", "cut")
     cut = cut.withColumn("runs", F.count("*").over(run)).withColumn("sum", F.sum("bytes").over(run))
     cut = cut.filter((F.col("runs") >= MIN_RUNS) | (F.col("runs") > 1) & (F.col("sum") * 2 >= target))
-    return cut.select("path", "bytes", F.concat_ws("-", "tier", "section", "cut", F.col("large").cast("string")).alias("run"))
+    return cut.select("path", "bytes", "tier", F.concat_ws("-", "tier", "section", "cut", F.col("large").cast("string")).alias("run"))
+
+
+class Replaced(Exception):
+    """Another writer has replaced shards that a wave was about to replace."""
 
 
 def compact(spark: SparkSession, root: str, target: int = TARGET_BYTES) -> int:
-    """Merge runs of similar size, commit the result, then delete what it replaces."""
-    have = versions(spark, root)[-1]
-    now = manifest(spark, root, have)
-    chosen = files.saved(plan(now, target), "compaction")
-    paths = [r["path"] for r in chosen.select("path").collect()]  # one short string per shard, not per document
-    kept = now.join(chosen.select("path"), "path", "left_anti")
-    if not paths:
-        return _commit(spark, root, now, have + 1)
-    n_runs = chosen.select("run").distinct().count()
-    docs = spark.read.schema(_schema(spark, root)).parquet(*paths)
-    taken = {c.lower() for c in docs.columns}
-    run, file, task = "_run", "_file", "_task"
-    while {run, file, task} & taken:
-        run, file, task = run + "_", file + "_", task + "_"
-    # Each run is written by a task of its own; the window numbers runs, of which there is one per target size.
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("run")) - 1
-    numbered = chosen.select("run").distinct().withColumn(task, number)
-    where = chosen.join(numbered, "run").select(F.regexp_extract("path", r"[^/]+$", 0).alias(file), F.col("run").alias(run), task)
-    where = F.broadcast(where) if len(paths) <= BROADCAST_SHARDS else where
-    named = docs.select("*", docs.metadataColumn("_metadata")["file_name"].alias(file))
-    merged = named.join(where, file).drop(file)
-    path = _data(root, "merged")
-    merged.repartitionById(n_runs, F.col(task)).drop(task).write.option("compression", "zstd").partitionBy(run).parquet(path)
-    version = _commit(spark, root, _listed(spark, path, 1).unionByName(kept), have + 1)
-    for p in paths:
-        files.remove(spark, p)
-    return version
+    """Merge runs of similar size wave by wave, each committed by itself; the last version.
+
+    Replaced shards stay for the readers of older versions; see ``vacuum``. Where another compaction was
+    faster, its result stands and this one plans again.
+    """
+    while True:
+        version = versions(spark, root)[-1]
+        with files.scope(spark):
+            chosen = files.saved(plan(manifest(spark, root, version), target), "compaction")
+            total = chosen.agg(F.sum("bytes"), F.count("*")).first()
+            waves = max(1, -(-(total[0] or 0) // WAVE_BYTES), -(-total[1] // WAVE_SHARDS))
+            try:
+                for w in range(waves):
+                    part = chosen if waves == 1 else chosen.filter(F.pmod(F.xxhash64("run"), F.lit(waves)) == w)
+                    version = _wave(spark, root, part, target)
+                return version
+            except Replaced:
+                continue
+
+
+def _wave(spark: SparkSession, root: str, part: DataFrame, target: int) -> int:
+    """Rewrite the shards of part, tier by tier, and commit."""
+    by_tier: dict[int, list] = {}
+    for r in part.select("path", "bytes", "tier").collect():  # no more than a wave's
+        by_tier.setdefault(r["tier"], []).append(r)
+    path, schema = _data(root, "merged"), _schema(spark, root)
+    for tier, rows in sorted(by_tier.items()):
+        n = max(1, -(-sum(r["bytes"] for r in rows) // target))
+        docs = spark.read.schema(schema).parquet(*[r["path"] for r in rows])
+        docs.coalesce(n).write.option("compression", "zstd").parquet(f"{path}/tier={tier}")
+    gone = part.select("path")
+    merged = _listed(spark, path, 1) if by_tier else None
+
+    def change(now: DataFrame) -> DataFrame:
+        if merged is None:
+            return now
+        if now.join(F.broadcast(gone), "path", "left_semi").count() < sum(map(len, by_tier.values())):  # bounded by WAVE_SHARDS
+            files.remove(spark, path)
+            raise Replaced
+        return now.join(F.broadcast(gone), "path", "left_anti").unionByName(merged)
+
+    return _publish(spark, root, change)
+
+
+def vacuum(spark: SparkSession, root: str, retain: int = 1, grace_seconds: int = 86_400) -> None:
+    """Forget all but the newest versions, and delete folders of shards that none of those names.
+
+    Folders younger than the grace period may belong to a writer that hasn't committed yet and stay.
+    """
+    have = versions(spark, root)
+    for v in have[:-retain]:
+        files.remove(spark, f"{root}/versions/v{v:010d}")
+    live = set()
+    for v in have[-retain:]:
+        live |= {r["folder"] for r in _folders(manifest(spark, root, v))}
+    fs, p = files._fs(spark, f"{root}/data")
+    now = spark.sparkContext._jvm.System.currentTimeMillis()
+    for s in fs.listStatus(p) if fs.exists(p) else []:
+        if s.getPath().getName() not in live and now - s.getModificationTime() >= grace_seconds * 1000:
+            fs.delete(s.getPath(), True)
 
 
 def _schema(spark: SparkSession, root: str):
     return spark.read.parquet(f"{root}/schema").schema
 
 
-def read(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The documents of a version, as they were appended."""
-    paths = [r["path"] for r in manifest(spark, root, version).select("path").collect()]
-    schema = _schema(spark, root)
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+def _folders(shards: DataFrame) -> list:
+    """folder, live, all: one row for each append or wave, of which a store has few."""
+    folder = F.regexp_extract("path", _FOLDER, 1).alias("folder")
+    return shards.groupBy(folder).agg(F.count("*").alias("live"), F.first("folder_files").alias("all")).collect()
+
 
+def read(spark: SparkSession, root: str, version: int | None = None, file: str | None = None) -> DataFrame:
+    """The documents of a version, as they were appended, on request with the name of each one's shard.
 
-def shard(docs: DataFrame, root: str | None = None, target: int = TARGET_BYTES) -> tuple[DataFrame, str, int]:
+    Folders whose shards are all live are read as they are; of others, rows of replaced shards are left
+    out. No list of shards passes through the driver's plan.
+    """
+    shards, schema = manifest(spark, root, version), _schema(spark, root)
+    whole, partly = [], []
+    for r in _folders(shards):
+        (whole if r["live"] == r["all"] else partly).append(r["folder"])
+    name = file or f"_file_{files.token()}"
+    out = None
+    for some, all_live in ((whole, True), (partly, False)):
+        if some:
+            docs = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{root}/data/{x}" for x in some])
+            named = docs.select("*", docs.metadataColumn("_metadata")["file_name"].alias(name))
+            if not all_live:
+                live = shards.filter(F.regexp_extract("path", _FOLDER, 1).isin(some)).select(F.regexp_extract("path", r"[^/]+$", 0).alias(name))
+                named = named.join(files.few(live, 128), name, "left_semi").select(*docs.columns, name)
+            out = named if out is None else out.unionByName(named)
+    if out is None:
+        return spark.createDataFrame([], schema) if file is None else spark.createDataFrame([], schema).withColumn(name, F.lit(""))
+    return out if file else out.drop(name)
+
+
+def shard(docs: DataFrame, root: str | None = None, target: int = TARGET_BYTES, file: str | None = None) -> tuple[DataFrame, str, int]:
     """Append and compact docs; what the manifest then reads back, the root, and the version."""
     spark = docs.sparkSession
     root = root or files.folder(spark, "shards")
     append(docs, root)
     version = compact(spark, root, target)
-    return read(spark, root, version), root, version
+    return read(spark, root, version, file), root, version
