@@ -1,58 +1,61 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-Each slice of documents is a shard with a suffix array of its words: positions sorted by the words
-that follow, as deep as a window. Every suffix of every benchmark item is binary-searched in it; the
-interval it finds are the occurrences, and neighbouring occurrences on one diagonal join into the
-longest verbatim matches with their locations. Only positions whose first words open some item's
-window enter the array, as no other can match.
+Documents are gathered into shards of some megabytes. Of each a suffix array over all its words is
+built, by doubling the number of words that ranks look at until it passes a window's. Every suffix of
+every benchmark item is then binary-searched in it; the interval that it finds are the occurrences of
+its first ``width`` words, and neighbouring occurrences on one diagonal join into the longest verbatim
+matches with their locations. Documents with a match are removed.
 
 A window is ``width`` consecutive words of an item; an item of fewer words, but not none, is one
-window. Words are those of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.
+window. Words are those of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Words are
+told apart by 64-bit hashes; a window of ten words only matches another by mistake if a word's hash
+does: with 10^9 different words here and 10^6 there, one such pair of words exists with a chance of 5e-5.
+
+The benchmark is cut into blocks of ``BLOCK_BYTES`` of text, written to the shared folder, some 25 bytes
+a word. A task holds one shard and one block at a time and takes all blocks to each shard, so documents
+are read once whatever the benchmark's size.
 
 Cases: null and empty texts have no words and are clean. Equal rows are judged row by row; rows of the
 benchmark with one id count as one item, a null id as the empty string. An empty benchmark leaves all
 clean; empty documents give an empty result. Extra columns are kept by ``remove``, else not looked at.
-The benchmark is held by each worker in blocks of a checked size; with several blocks the documents
-pass once per block and carry what they found along.
+A text longer than a shard is a shard of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
+import pickle
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import files
 from . import text as tx
 
 WIDTH = 10
-#: Bytes of benchmark text in a block.
-BLOCK_BYTES = 32 << 20
-_BITS = 20
+#: Bytes of benchmark text in a block, and of documents in a shard.
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
+_held: dict[str, "Index"] = {}
 
 
 def _words(texts) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the index of each row's first."""
     buf, offs = texts if isinstance(texts, tuple) else tx.flat(texts)
-    buf = tx.LOWER[buf]
-    starts, ends, first = tx.words(buf, offs, tx.ALNUM)
-    return tx.Hasher(buf)(starts, ends), first
+    return tx.word_hashes(buf, offs, tx.ALNUM)
 
 
 class Index:
-    """The items of a block: their words as numbers and their suffixes as sorted search keys."""
+    """The items of a block: their words as numbers, and the suffixes that are searched."""
 
     def __init__(self, ids: list, texts: pa.Array, width: int = WIDTH):
         h, first = _words(texts)
         self.width = width
         self.ids = np.array(["" if x is None else str(x) for x in ids], object)
         self.vocabulary, number = np.unique(h, return_inverse=True)
-        self.filter = np.zeros(1 << _BITS, bool)
-        self.filter[(self.vocabulary >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.number = number.astype(np.int32)
         n = np.diff(first)
         items = np.flatnonzero(n)
         length = np.minimum(n[items], width)
@@ -66,77 +69,38 @@ class Index:
             ok = long > k
             rows[ok, k] = number[start[ok] + k] + 1
         keys = rows.view(f"S{4 * width}").ravel() if len(rows) else np.zeros(0, f"S{4 * width}")
-        #: A key for each different suffix; owners of key k are owner[bound[k]:bound[k + 1]].
-        self.keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        self.length = long[at]
-        over = rows[at].copy()
-        for k in range(width):
-            over[self.length <= k, k] = 0xFFFFFFFF
-        self.upper = over.view(f"S{4 * width}").ravel() if len(over) else self.keys
+        #: First word and length of each different suffix; owners of suffix k are owner[bound[k]:bound[k + 1]].
+        _, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        self.start, self.length = start[at], long[at].astype(np.int64)
         order = np.argsort(back, kind="stable")
-        self.owner, self.offset = item[order], step[order]
-        self.bound = np.searchsorted(back[order], np.arange(len(self.keys) + 1))
-        self.depth = int(min(3, self.length.min())) if len(self.length) else 1
-        self.openings = np.unique(self._opening(rows[:, : self.depth].astype(np.uint64)))
-
-    @staticmethod
-    def _opening(columns: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(columns), np.uint64)
-        for k in range(columns.shape[1]):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + columns[:, k]
-        return tx.mix(h)
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        """Numbers of words from 1; 0 for words of no item."""
-        out = np.zeros(len(h), np.int64)
-        if len(self.vocabulary):
-            may = np.flatnonzero(self.filter[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.vocabulary, h[may]), len(self.vocabulary) - 1)
-            same = self.vocabulary[at] == h[may]
-            out[may[same]] = at[same] + 1
-        return out
-
-    def suffix_array(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted suffix keys of a shard, and the word that each begins at."""
-        rows, w = len(first) - 1, self.width
-        line = np.zeros(len(h) + rows + w, np.int64)  # a 0 after each row ends its suffixes
-        place = np.arange(len(h)) + tx.row_of(first)
-        line[place] = self.numbers(h)
-        ok = line[place] > 0
-        for k in range(1, self.depth):
-            ok &= line[place + k] > 0
-        at = np.flatnonzero(ok)
-        if len(at) and len(self.openings):
-            opening = self._opening(np.stack([line[place[at] + k] for k in range(self.depth)], 1).astype(np.uint64))
-            near = np.minimum(np.searchsorted(self.openings, opening), len(self.openings) - 1)
-            at = at[self.openings[near] == opening]
-        suffix = np.zeros((len(at), w), ">u4")
-        alive = np.ones(len(at), bool)
-        for k in range(w):
-            x = line[place[at] + k]
-            alive &= x > 0
-            suffix[:, k] = np.where(alive, x, 0)
-        keys = suffix.view(f"S{4 * w}").ravel() if len(at) else np.zeros(0, f"S{4 * w}")
-        order = np.argsort(keys, kind="stable")
-        return keys[order], at[order]
-
-    def search(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word, key) for each occurrence of a suffix key in the shard."""
-        keys, at = self.suffix_array(h, first)
-        if not len(keys) or not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        lo = np.searchsorted(keys, self.keys, "left")
-        hi = np.searchsorted(keys, self.upper, "right")
+        self.owner, self.offset = item[order].astype(np.int32), step[order].astype(np.int32)
+        self.bound = np.searchsorted(back[order], np.arange(len(at) + 1))
+
+    def search(self, shard: "Shard") -> tuple[np.ndarray, np.ndarray]:
+        """(word, suffix) for each occurrence of a suffix of the block in the shard."""
+        none = np.zeros(0, np.int64)
+        if not len(shard.array) or not len(self.start):
+            return none, none
+        near = np.minimum(np.searchsorted(shard.vocabulary, self.vocabulary), len(shard.vocabulary) - 1)
+        there = shard.vocabulary[near] == self.vocabulary
+        query = np.where(there, near + 1, 0).astype(np.int32)[self.number]
+        # A suffix with a word that the shard hasn't can't occur in it.
+        absent = np.zeros(len(query) + 1, np.int64)
+        np.cumsum(query == 0, out=absent[1:])
+        asked = np.flatnonzero(absent[self.start + self.length] == absent[self.start])
+        if not len(asked):
+            return none, none
+        lo = shard.bound(query, self.start[asked], self.length[asked], False)
+        hi = shard.bound(query, self.start[asked], self.length[asked], True)
         n = hi - lo
-        key = np.repeat(np.arange(len(n)), n)
-        where = at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        return where, key
+        where = shard.array[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        return shard.word[where], np.repeat(asked, n)
 
     def expand(self, where: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, item, offset in the item) for each occurrence and each item that owns it."""
         n = self.bound[key + 1] - self.bound[key]
         own = np.repeat(self.bound[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(where, n), self.owner[own], self.offset[own]
+        return np.repeat(where, n), self.owner[own].astype(np.int64), self.offset[own].astype(np.int64)
 
     def matches(self, where: np.ndarray, key: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
         """Longest verbatim matches: row, item, first word, offset in the item, words."""
@@ -152,6 +116,56 @@ class Index:
         return [row[word[start]], item[start], word[start], off[start], word[last] - word[start] + long[last]] if len(word) else [np.zeros(0, np.int64)] * 5
 
 
+class Shard:
+    """The words of some documents and their suffix array, sorted as deep as a window."""
+
+    def __init__(self, h: np.ndarray, first: np.ndarray, width: int = WIDTH):
+        rows = len(first) - 1
+        self.vocabulary, number = np.unique(h, return_inverse=True)
+        #: Word numbers from 1, with a 0 after each row that ends its suffixes.
+        self.line = np.zeros(len(h) + rows + width, np.int32)
+        place = np.arange(len(h)) + tx.row_of(first)
+        self.line[place] = number + 1
+        self.word = np.full(len(self.line), -1, np.int64)
+        self.word[place] = np.arange(len(h))
+        rank, depth = self.line.astype(np.uint64), 1
+        order = np.argsort(rank, kind="stable")
+        while depth < width:
+            after = np.zeros(len(rank), np.uint64)
+            after[: len(rank) - depth] = rank[depth:]
+            both = (rank << np.uint64(32)) | after
+            order = np.argsort(both, kind="stable")
+            new = np.ones(len(both), np.uint64)
+            new[0], new[1:] = 0, both[order][1:] != both[order][:-1]
+            rank[order] = np.cumsum(new)
+            depth *= 2
+        self.array = order[self.line[order] > 0]
+        count = np.bincount(self.line[self.array], minlength=len(self.vocabulary) + 2)
+        #: Suffixes that begin with a word are array[begin[word]:begin[word + 1]].
+        self.begin = np.concatenate(([0], np.cumsum(count)))
+
+    def bound(self, query: np.ndarray, start: np.ndarray, length: np.ndarray, past: bool) -> np.ndarray:
+        """Where in the array the suffixes that begin with query[start : start + length] begin, or end."""
+        lo, hi = self.begin[query[start]].copy(), self.begin[query[start] + 1].copy()
+        while True:
+            open_ = np.flatnonzero(lo < hi)
+            if not len(open_):
+                return lo
+            mid = (lo[open_] + hi[open_]) >> 1
+            suffix, s, n = self.array[mid], start[open_], length[open_]
+            less = np.full(len(open_), past)  # what begins with the query is less than the end
+            tied = np.arange(len(open_))
+            for k in range(1, int(n.max())):
+                tied = tied[n[tied] > k]
+                x, y = self.line[suffix[tied] + k], query[s[tied] + k]
+                less[tied[x < y]], less[tied[x > y]] = True, False
+                tied = tied[x == y]
+                if not len(tied):
+                    break
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+
+
 def blocks(benchmark: DataFrame, width: int = WIDTH):
     """The benchmark's indexes, one for each block of a checked size."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -163,83 +177,79 @@ def blocks(benchmark: DataFrame, width: int = WIDTH):
         yield Index(got["item_id"].to_pylist(), got["text"], width)
 
 
-def _judge(index: Index, buf, offs, spans: list | None, items: list | None, longest: list | None):
-    """Per row: words, mask of hit words, items found so far, and the longest match so far."""
-    h, first = _words((buf, offs))
-    where, key = index.search(h, first)
-    row = tx.row_of(first)
-    hit = tx.covered(where, index.length[key], len(h)) if len(where) else np.zeros(len(h), bool)
-    rows = len(offs) - 1
-    found: list[set] = [set() for _ in range(rows)]
-    longest = np.zeros(rows, np.int64) if longest is None else np.array(longest, np.int64)
-    if len(where):
-        r, i, _, _, n = index.matches(where, key, row)
-        np.maximum.at(longest, r, n)
-        for a, b in {*zip(r.tolist(), i.tolist(), strict=True)}:
-            found[a].add(index.ids[b])
-    if spans is not None:
-        for a in range(rows):
-            at = int(first[a])
-            for s, e in zip(spans[a][0::2], spans[a][1::2], strict=True):
-                hit[at + s : at + e] = True
-            found[a] |= set(items[a])
-    return np.diff(first), hit, first, found, longest
-
-
-def _runs(hit: np.ndarray) -> list[int]:
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-    return edge.tolist()
+def _placed(benchmark: DataFrame, width: int) -> list[str]:
+    """The blocks, written to the shared folder."""
+    folder, paths = files.folder(benchmark.sparkSession, "benchmark"), []
+    for k, index in enumerate(blocks(benchmark, width)):
+        paths.append(f"{folder}/{k:06d}.block")
+        with files.placed(paths[-1]) as out:
+            out.write(pickle.dumps(index, protocol=5))
+    return paths
 
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long"
+def _block(path: str, alone: bool) -> Index:
+    if path not in _held:
+        with files.opened(path) as f:
+            index = pickle.load(io.BytesIO(f.read()))
+        if not alone:
+            return index
+        _held.clear()  # a benchmark of one block stays in the worker
+        _held[path] = index
+    return _held[path]
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, width: int):
-    """The documents, with what all blocks but the last have found, and the last block."""
-    spark, last, state = docs.sparkSession, None, False
-    for index in blocks(benchmark, width):
-        if last is not None:
-            docs, state = files.saved(_carry(docs, last, state), "decontam"), True
-        last = spark.sparkContext.broadcast(index)
-    return docs, last, state
+def _shards(batches, column: int):
+    """Slices of batches of about SHARD_BYTES of text."""
+    for batch in batches:
+        buf, offs = tx.flat(batch.column(column))
+        for a, b in tx.slices(offs, SHARD_BYTES):
+            yield batch.slice(a, b - a), buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
 
 
-def _carry(docs: DataFrame, block, state: bool) -> DataFrame:
-    names = docs.columns
-    at = names.index("text")
-    schema = docs.schema if state else T.StructType([*docs.schema.fields, T.StructField("_spans", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType())), T.StructField("_longest", T.LongType())])
-    keep = len(names) - 3 * state
+def _judge(paths: list[str], width: int, buf, offs):
+    """Per row: words, mask of hit words, items found, and words and place of the longest match."""
+    h, first = _words((buf, offs))
+    shard, row, rows = Shard(h, first, width), tx.row_of(first), len(offs) - 1
+    hit, found = np.zeros(len(h), bool), [set() for _ in range(rows)]
+    longest, at = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    for path in paths:
+        index = _block(path, len(paths) == 1)
+        where, key = index.search(shard)
+        if not len(where):
+            continue
+        hit |= tx.covered(where, index.length[key], len(h))
+        r, i, w, _, n = index.matches(where, key, row)
+        for a, b in {*zip(r.tolist(), i.tolist(), strict=True)}:
+            found[a].add(index.ids[b])
+        order = np.lexsort((w, -n, r))
+        best = order[np.flatnonzero(np.diff(r[order], prepend=-1))]  # of each row the longest, then the first
+        r, w, n = r[best], w[best] - first[r[best]], n[best]
+        better = (n > longest[r]) | ((n == longest[r]) & (w < at[r]))
+        longest[r[better]], at[r[better]] = n[better], w[better]
+    return np.diff(first), hit, first, found, longest, at
 
-    def run(batches):
-        for batch in batches:
-            buf, offs = tx.flat(batch.column(at))
-            for a, b in tx.slices(offs):
-                part = batch.slice(a, b - a)
-                old = [part.column(keep + k).to_pylist() for k in range(3)] if state else [None] * 3
-                _, hit, first, found, longest = _judge(block.value, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], *old)
-                spans = [_runs(hit[first[k] : first[k + 1]]) for k in range(b - a)]
-                new = [pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string())), pa.array(longest, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:keep], *new], names=[*names[:keep], "_spans", "_items", "_longest"])
 
-    return docs.mapInArrow(run, schema)
+SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_at long"
 
 
 def score(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row per document: its words, those that are hit, the items found, and the longest match."""
+    """One row per document: its words, those that are hit, the items found, and the longest match.
+
+    longest is in words, and longest_at the number of its first word, from 0; null without a match.
+    """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    docs, block, state = _passes(docs, benchmark, width)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("longest", pa.int64())])
+    paths = _placed(benchmark, width)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+    schema = pa.schema([(c.split()[0], k) for c, k in zip(SCHEMA.split(", "), kinds, strict=True)])
 
     def run(batches):
-        for batch in batches:
-            buf, offs = tx.flat(batch.column(1))
-            for a, b in tx.slices(offs):
-                old = [batch.column(2 + k).slice(a, b - a).to_pylist() for k in range(3)] if state else [None] * 3
-                n, hit, first, found, longest = _judge(block.value, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], *old)
-                n_hit = tx.per_row(hit, first)
-                digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]
-                cols = [n, n_hit, [len(x) for x in found], digest, n_hit > 0, longest]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True)]], schema=schema)
+        for part, buf, offs in _shards(batches, 1):
+            n, hit, first, found, longest, at = _judge(paths, width, buf, offs)
+            n_hit = tx.per_row(hit, first)
+            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]
+            cols = [n, n_hit, [len(x) for x in found], digest, n_hit > 0, longest]
+            cols = [part.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=False)], pa.array(at, pa.int64(), mask=longest == 0)]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -247,41 +257,29 @@ def score(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFram
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The longest verbatim matches: doc_id, item_id, first word in either, and number of words."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    spark, out = docs.sparkSession, None
+    paths = _placed(benchmark, width)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])
-    for index in blocks(benchmark, width):
-        block = spark.sparkContext.broadcast(index)
 
-        def run(batches, block=block):
-            for batch in batches:
-                buf, offs = tx.flat(batch.column(1))
-                ids = batch.column(0)
-                for a, b in tx.slices(offs):
-                    h, first = _words((buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]))
-                    where, key = block.value.search(h, first)
-                    r, i, w, o, n = block.value.matches(where, key, tx.row_of(first))
-                    cols = [ids.take(pa.array(r + a)), pa.array(block.value.ids[i], pa.string()), pa.array(w - first[r]), pa.array(o), pa.array(n)]
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+    def run(batches):
+        for part, buf, offs in _shards(batches, 1):
+            h, first = _words((buf, offs))
+            shard, row = Shard(h, first, width), tx.row_of(first)
+            for path in paths:
+                index = _block(path, len(paths) == 1)
+                r, i, w, o, n = index.matches(*index.search(shard), row)
+                cols = [part.column(0).take(pa.array(r)), pa.array(index.ids[i], pa.string()), pa.array(w - first[r]), pa.array(o), pa.array(n)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-        part = docs.mapInArrow(run, "doc_id long, item_id string, doc_word long, item_word long, n_words long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return docs.mapInArrow(run, "doc_id long, item_id string, doc_word long, item_word long, n_words long")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs without a hit word, with the columns they came with."""
-    names, schema = docs.columns, docs.schema
-    text = names.index("text")
-    docs, block, state = _passes(docs, benchmark, width)
+    text, paths = docs.columns.index("text"), _placed(benchmark, width)
 
     def run(batches):
-        for batch in batches:
-            buf, offs = tx.flat(batch.column(text))
-            for a, b in tx.slices(offs):
-                part = batch.slice(a, b - a)
-                old = [part.column(len(names) + k).to_pylist() for k in range(3)] if state else [None] * 3
-                _, hit, first, _, _ = _judge(block.value, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], *old)
-                clean = part.filter(pa.array(tx.per_row(hit, first) == 0))
-                yield pa.RecordBatch.from_arrays(clean.columns[: len(names)], names=names)
-
-    return docs.mapInArrow(run, schema)
+        for part, buf, offs in _shards(batches, text):
+            _, hit, first, _, _, _ = _judge(paths, width, buf, offs)
+            yield part.filter(pa.array(tx.per_row(hit, first) == 0))
+
+    return docs.mapInArrow(run, docs.schema)

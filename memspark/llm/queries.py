@@ -62,21 +62,25 @@ FROM sets JOIN low USING (doc_id)
 
 def op5_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that benchmark windows cover, and the items they come from."""
-    return decontam.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("longest")
+    return decontam.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all({_LOWER_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS words FROM (
+win AS (SELECT item_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS words FROM (
   SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
 place AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS words FROM (
   SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
-occ AS (SELECT doc_id, p, n, item_id FROM place JOIN win USING (n, words)),
+occ AS (SELECT doc_id, p, n, k, item_id FROM place JOIN win USING (n, words)),
 hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM occ) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM occ) GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM occ) GROUP BY doc_id),
+run AS (SELECT doc_id, min(p) AS spot, count(*) + min(n) - 1 AS long FROM (
+  SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - k ORDER BY p) AS island FROM occ) GROUP BY doc_id, item_id, p - k, island),
+best AS (SELECT doc_id, long, spot FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY long DESC, spot) = 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(long, 0) AS BIGINT) AS longest, CAST(spot - 1 AS BIGINT) AS longest_at
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN best USING (doc_id)
 """
 
 
@@ -134,9 +138,9 @@ def op9_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
-def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op10_separator_scan(spark: SparkSession, sf_dir: str, vocabulary: str = tokcount.VOCABULARY) -> DataFrame:
     """Tokens of every document, counted in flat token files."""
-    return tokcount.count(_table(spark, sf_dir, "documents"))
+    return tokcount.count(_table(spark, sf_dir, "documents"), vocabulary)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
