@@ -5,21 +5,28 @@ of ``r`` minhashes, are computed once; the keys of the m * m tables are all pair
 either collection, so 2 * m * r minhashes serve tables that would take 2 * m * m * r of their own.
 
 1. Documents of equal sets form a class, found by a digest of the set; all later steps see classes.
-2. In each table's bucket the most central class is the hub; every member is compared with it on full
-   sets. No bucket is expanded into pairs.
+2. Only signatures that another class shares make keys. In each table's bucket the most central class
+   is the hub; every member is compared with it on full sets. No bucket is expanded into pairs.
 3. In groups that a hub doesn't explain, members are measured against a pivot set in their midst. The
    one next to it is compared with all. Other pairs can only be linked if they share so many of their
-   differences from the pivot, which a prefix filter turns into a join on rare shingles; those that are
-   not in one component by then are compared on full sets.
+   differences from the pivot, which a prefix filter turns into groups around rare shingles. Of a group
+   some members at a time, twice as many each round, are compared with those that are not in their
+   component by then, so a group that holds together costs a few rounds and not all its pairs.
 4. Links are joined into components.
 
+A hub's set is dealt out to chunks of its partners, so a hub of any number of members is no task's alone.
+Texts are read twice and stay where they are: once for signatures, once for the full sets of classes
+that have a candidate, named by their place (see ``places``), and in ``deduplicate`` once more for the rows kept.
+
 A link of similarity 0.85 escapes all tables with a chance of about 2 * (1 - 0.85**r)**m, 7e-5 at the
-parameters below, and one of 0.80 with 6e-4; more similar ones far more rarely.
+parameters below, and one of 0.80 with 6e-4; more similar ones far more rarely. Shingles are told apart by
+64-bit hashes: two sets of 10^5 shingles hold a false common one with a chance of 6e-10, so 10^11
+comparisons of sets that long shift some 60 by one shingle.
 
 Cases: a null or empty text, or one without words, has no shingles and is linked with nothing; a
 document of fewer words than a shingle is one shingle. A row without doc_id is linked with nothing and
 kept. Equal rows share class and component. Extra columns are not looked at, and kept by
-``deduplicate``. Empty tables give empty results.
+``deduplicate``. Empty tables give empty results. Very long texts are hashed piece by piece.
 """
 
 from __future__ import annotations
@@ -27,11 +34,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import files
+from . import files, places
 from . import text as tx
 from .components import components
 from .files import few
@@ -40,6 +46,8 @@ SHINGLE = 5
 #: Signatures of a collection, and minhashes of a signature.
 M, R = 8, 2
 PERCENT = 85
+#: Partners that meet one copy of a hub's set; members of a group that are compared with the others in its first round.
+PARTNERS, FIRST = 256, 4
 
 _RNG = np.random.default_rng(85)
 _XOR = _RNG.integers(0, 1 << 63, 2 * M * R, dtype=np.uint64)
@@ -48,9 +56,7 @@ _MUL = _RNG.integers(0, 1 << 63, 2 * M * R, dtype=np.uint64) | np.uint64(1)
 
 def shingles(buf: np.ndarray, offs: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, and the index of each row's first."""
-    buf = tx.LOWER[buf]
-    starts, ends, first = tx.words(buf, offs, tx.SPACELESS)
-    h = tx.Hasher(buf)(starts, ends)
+    h, first = tx.word_hashes(buf, offs, tx.SPACELESS)
     wide, at = tx.windows(h, first, width)
     row = tx.row_of(first)[at]
     n = np.diff(first)
@@ -84,38 +90,64 @@ def signatures(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, with_sets: bool) -> DataFrame:
-    """doc_id, n_shingles, set_key and either the signatures or the shingles themselves."""
-    tail = "shingles array<bigint>" if with_sets else "a array<bigint>, b array<bigint>"
+def _digests(sets: np.ndarray, first: np.ndarray) -> list:
+    raw = sets.view(np.uint8)
+    return [xxhash.xxh3_128_digest(raw[8 * s : 8 * e]) if e > s else None for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """Place, doc_id, n_shingles, set_key, signatures a and b, and a hash of the text, of a rooted table's rows."""
+    names = ["file", "row", "doc_id", "n_shingles", "set_key", "a", "b", "text_key"]
 
     def run(batches):
         for batch in batches:
-            buf, offs = tx.flat(batch.column(1))
+            buf, offs = tx.flat(batch.column(3))
             for lo, hi in tx.slices(offs):
                 sets, first = shingles(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 n = np.diff(first)
-                raw = sets.view(np.uint8)
-                digest = [xxhash.xxh3_128_digest(raw[8 * s : 8 * e]) if e > s else None for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                cols = {"doc_id": batch.column(0).slice(lo, hi - lo), "n_shingles": pa.array(n, pa.int64()), "set_key": pa.array(digest, pa.binary())}
-                if with_sets:
-                    cols["shingles"] = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))
-                else:
-                    sig = np.zeros((hi - lo, 2 * M), np.uint64)
-                    sig[n > 0] = signatures(sets, first)
-                    bounds = pa.array(np.arange(0, (hi - lo + 1) * M, M, dtype=np.int32))
-                    for name, part in (("a", sig[:, :M]), ("b", sig[:, M:])):
-                        cols[name] = pa.ListArray.from_arrays(bounds, pa.array(np.ascontiguousarray(part).ravel().view(np.int64)))
-                yield pa.RecordBatch.from_pydict(cols)
-
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, f"doc_id long, n_shingles long, set_key binary, {tail}")
+                sig = np.zeros((hi - lo, 2 * M), np.uint64)
+                sig[n > 0] = signatures(sets, first)
+                bounds = pa.array(np.arange(0, (hi - lo + 1) * M, M, dtype=np.int32))
+                both = [pa.ListArray.from_arrays(bounds, pa.array(np.ascontiguousarray(x).ravel().view(np.int64))) for x in (sig[:, :M], sig[:, M:])]
+                place = [batch.column(k).slice(lo, hi - lo) for k in (0, 1, 2)]
+                cols = [*place, pa.array(n, pa.int64()), pa.array(_digests(sets, first), pa.binary()), *both, batch.column(4).slice(lo, hi - lo)]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    text = docs["text"].cast("string")
+    rows = docs.select(*places.place(docs), docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.when(text.isNotNull(), F.xxhash64(text)).alias("text_key"))
+    return rows.mapInArrow(run, "file string, row long, doc_id long, n_shingles long, set_key binary, a array<bigint>, b array<bigint>, text_key long")
+
+
+def _sets(docs: DataFrame, folder: str) -> DataFrame:
+    """node and shingles of the marked rows."""
+
+    def run(batch, table, lo, hi):
+        if table is None:
+            return
+        at = np.flatnonzero(hi > lo)
+        node, texts = table.column("node").to_numpy()[lo[at]], batch.column(0).take(pa.array(at))
+        buf, offs = tx.flat(texts)
+        for a, b in tx.slices(offs):
+            sets, first = shingles(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+            yield pa.RecordBatch.from_arrays([pa.array(node[a:b]), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["node", "shingles"])
+
+    return places.beside(docs, [docs["text"].cast("string").alias("text")], folder, run, "node long, shingles array<bigint>")
+
+
+def _dealt(pairs: DataFrame, hubs: DataFrame) -> DataFrame:
+    """pairs(.., hub) with the columns of hubs(hub, ..), of which each chunk of partners gets its own copy."""
+    mark = files.token()
+    n, chunk = f"_n_{mark}", f"_chunk_{mark}"
+    sized = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).alias(n))
+    copies = hubs.join(sized.hint("merge"), "hub").withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))).drop(n)
+    spread = pairs.join(sized.hint("merge"), "hub").withColumn(chunk, F.pmod(F.xxhash64("node"), F.col(n))).drop(n)
+    return spread.join(copies.hint("merge"), ["hub", chunk]).drop(chunk)
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b) with both sizes and the size of the intersection of the full sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    """pairs(node, hub) with both full sets, sa and sb, and the size of their intersection."""
+    left = pairs.join(sets.select("node", F.col("shingles").alias("sa")).hint("merge"), "node")
+    both = _dealt(left, sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sb")))
     return both.withColumn("inter", F.size(F.array_intersect("sa", "sb")).cast("long"))
 
 
@@ -125,23 +157,27 @@ def _linked(percent: int):
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): every document's set key; and per key a node, its smallest doc_id and signatures."""
-    rows = files.saved(_sets(docs, False), "signatures")
+    """(rows, classes): every document's set key; and per key a node, its smallest doc_id, that one's place, and signatures."""
+    rows = files.saved(_signed(docs), "signatures")
     with_words = rows.filter("set_key is not null and doc_id is not null")
-    per = with_words.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"))
-    return rows, files.saved(per.withColumn("node", F.monotonically_increasing_id()), "classes")
+    per = with_words.groupBy("set_key").agg(F.min(F.struct("doc_id", "file", "row")).alias("one"), F.first("a").alias("a"), F.first("b").alias("b"))
+    per = per.select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("one.doc_id").alias("rep"), "one.file", "one.row", "a", "b")
+    return rows, files.saved(per, "classes")
 
 
 def hub_pairs(per: DataFrame) -> DataFrame:
     """Distinct (node, hub) over the buckets of all tables."""
-    keys = per.select("node", F.posexplode("a").alias("i", "x"), "b").select("node", "i", "x", F.posexplode("b").alias("j", "y"))
-    keys = keys.select("node", F.xxhash64("i", "j", "x", "y").alias("key"))
-    crowd = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = files.saved(keys.join(crowd, "key"), "buckets")
-    central = shared.groupBy("node").agg(F.sum("n").alias("central"))
-    hub = shared.join(central, "node").groupBy("key").agg(F.max(F.struct("central", (-F.col("node")).alias("minus"))).alias("hub"))
-    pairs = shared.join(hub.select("key", (-F.col("hub.minus")).alias("hub")), "key").filter("node <> hub")
-    return pairs.select("node", "hub").distinct()
+    each = per.select("node", F.posexplode(F.concat("a", "b")).alias("k", "x"))
+    crowd = each.groupBy("k", "x").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = each.join(crowd.hint("merge"), ["k", "x"]).groupBy("node").agg(F.sum("n").alias("central"), F.bit_or(F.expr("shiftleft(1, k)")).alias("has"))
+    live = shared.filter((F.col("has") % (1 << M) > 0) & (F.col("has") >= 1 << M))
+    live = per.select("node", "a", "b").join(live.hint("merge"), "node")
+    sides = [F.posexplode(c).alias(i, x) for c, i, x in (("a", "i", "x"), ("b", "j", "y"))]
+    keys = live.select("node", "central", "has", sides[0], "b").filter("shiftright(has, i) % 2 = 1").select("node", "central", "has", "i", "x", sides[1])
+    keys = keys.filter(f"shiftright(has, j + {M}) % 2 = 1").select("node", "central", F.xxhash64("i", "j", "x", "y").alias("key"))
+    best = F.max(F.struct("central", (-F.col("node")).alias("minus")))
+    hub = keys.groupBy("key").agg(F.count("*").alias("n"), best.alias("hub")).filter("n > 1").select("key", (-F.col("hub.minus")).alias("hub"))
+    return keys.select("key", "node").join(hub.hint("merge"), "key").filter("node <> hub").select("node", "hub").distinct()
 
 
 def measured(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -155,130 +191,129 @@ def measured(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     c = percent / (100 + percent)
     sized = group.groupBy("hub").agg(F.count("*").alias("n"))
-    some = group.join(sized, "hub").filter(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / 32)) == 0).select("node", "hub")
-    some = some.union(sized.select("hub", F.col("hub").alias("h"))).join(sets, "node")
+    some = group.join(sized.hint("merge"), "hub").filter(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / 32)) == 0).select("node", "hub")
+    some = some.union(sized.select(F.col("hub").alias("node"), "hub")).join(sets.hint("merge"), "node")
     votes = some.groupBy("hub").agg(F.count("*").alias("voters"))
     token = some.select("hub", F.explode("shingles").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("k"))
-    pivot = token.join(votes, "hub").filter(2 * F.col("k") > F.col("voters")).groupBy("hub").agg(F.collect_list("token").alias("pivot"))
-    e = group.join(sets.withColumnRenamed("shingles", "s"), "node").join(pivot, "hub", "left")
-    e = e.withColumn("pivot", F.coalesce("pivot", F.array().cast("array<bigint>")))
+    pivot = token.join(votes.hint("merge"), "hub").groupBy("hub").agg(F.collect_list(F.when(2 * F.col("k") > F.col("voters"), F.col("token"))).alias("pivot"))
+    e = _dealt(group.join(sets.withColumnRenamed("shingles", "s").hint("merge"), "node"), pivot)
     e = e.withColumn("added", F.array_sort(F.array_except("s", "pivot"))).withColumn("missed", F.array_sort(F.array_except("pivot", "s")))
     f = F.lit(1 - c) * F.size("missed") + F.lit(c) * F.size("added")
     return e.select("node", "hub", F.size("s").alias("n"), f.alias("f"), (F.lit(1 - 2 * c) * F.size("pivot")).alias("room"), F.concat("added", "missed").alias("diff"))
 
 
-def unexplained(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a group's members that may be linked and are in different components so far.
+_EPS = 1e-9
 
-    ``members`` has node, hub, n, f, low, room, diff, open, component: low is the smallest f of the
-    group, and open tells that the member isn't linked to the one that has it. A link of an open x then
-    takes at least f_x + low - room > 0 common differences, and more than f_y - low for any y, so that
-    two that are linked share one of the first few of their ordered differences.
+
+def _heads(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Open members x and all members y, once for each of the first few differences that a link must share.
+
+    ``members`` has node, hub, n, f, low, room, diff, open: low is the smallest f of the group, and open
+    tells that the member isn't linked to the one that has it. A link of an open x takes at least
+    f_x + low - room > 0 common differences, and more than f_y - low for any y, so that two that are
+    linked share one of the first few of their ordered differences. x come with a round: some ``FIRST`` of
+    a group go first, then twice as many each time.
     """
-    eps = 1e-9
     size = F.size("diff")
-    as_y = size - F.greatest(F.lit(0), F.floor(F.col("f") - F.col("low") + eps))
-    as_x = size - F.greatest(F.lit(1), F.ceil(F.col("f") + F.col("low") - F.col("room") - eps)) + 1
+    as_y = size - F.greatest(F.lit(0), F.floor(F.col("f") - F.col("low") + _EPS))
+    as_x = size - F.greatest(F.lit(1), F.ceil(F.col("f") + F.col("low") - F.col("room") - _EPS)) + 1
 
     def side(df: DataFrame, length, name: str) -> DataFrame:
         head = F.slice("diff", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
-        at = df.select("hub", F.posexplode(head).alias("at", "token"), "node", "n", "component", "f", "room", size.alias("size"))
+        at = df.select("hub", F.posexplode(head).alias("at", "token"), "node", "n", "f", "room", size.alias("size"))
         rest = F.col("size") - F.col("at")  # what may still be shared from here on
-        return at.select("hub", "token", F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("component").alias(f"c_{name}"), rest.alias(f"rest_{name}"), F.col("f").alias(f"f_{name}"), F.col("room").alias(f"room_{name}"))
+        return at.select("hub", "token", F.col("node").alias(name), F.col("n").alias(f"n_{name}"), rest.alias(f"rest_{name}"), F.col("f").alias(f"f_{name}"), F.col("room").alias(f"room_{name}"))
 
     x, y = side(members.filter("open"), as_x, "a"), side(members, as_y, "b")
-    fits = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
-    enough = F.least("rest_a", "rest_b") >= F.col("f_a") + F.col("f_b") - F.col("room_a") - eps
-    pairs = x.join(y, ["hub", "token"]).filter((F.col("c_a") != F.col("c_b")) & fits & enough)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    crowd = x.groupBy("hub", "token").agg(F.ceil(F.count("*") / FIRST).alias("parts"))
+    place = F.pmod(F.xxhash64("a", "token"), F.col("parts"))
+    x = x.join(crowd.hint("merge"), ["hub", "token"]).withColumn("round", F.floor(F.log2(place + 1)).cast("int")).drop("parts")
+    return files.saved(x, "open"), files.saved(y, "heads")
+
+
+def late_links(members: DataFrame, sets: DataFrame, links: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """components() of the links and of those among members that no hub explains, round by round."""
+    x, y = _heads(members)
+    last = x.agg(F.max("round")).first()[0]
+    for k in range(0 if last is None else last + 1):
+        label = lambda df, name: df.join(found.select(F.col("node").alias(name), F.col("label").alias(f"c_{name}")).hint("merge"), name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))  # noqa: E731,B023
+        fits = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
+        enough = F.least("rest_a", "rest_b") >= F.col("f_a") + F.col("f_b") - F.col("room_a") - _EPS
+        pairs = label(x.filter(F.col("round") == k), "a").join(label(y, "b").hint("merge"), ["hub", "token"]).filter((F.col("c_a") != F.col("c_b")) & fits & enough)
+        pairs = files.saved(pairs.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("hub")).distinct(), "late-pairs")
+        more = files.saved(_compare(pairs, sets).filter(_linked(percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")), "late")
+        if more.limit(1).count():
+            links = found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)
+            found = components(links)
+    return found
 
 
 def link_components(docs: DataFrame, per: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, label: components of the confirmed links between classes; nodes without links are left out."""
     pairs = files.saved(hub_pairs(per), "pairs")
     nodes = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
-    wanted = files.saved(per.select("node", "rep", "set_key").join(nodes, "node"), "wanted")
-    texts = docs.join(few(wanted.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    sets = _sets(texts, True).join(few(wanted.select("node", "set_key")), "set_key").select("node", "shingles")
-    sets = files.saved(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    edges = _compare(pairs.select(F.col("node").alias("a"), F.col("hub").alias("b")), sets)
-    edges = files.saved(edges.select("a", "b", _linked(percent).alias("linked")), "edges")
-    links = edges.filter("linked").select("a", "b")
+    wanted = per.select("node", "file", "row").join(nodes.hint("merge"), "node")
+    sets = files.saved(_sets(docs, places.mark(wanted.select("file", "row", "node"))), "sets")
+    edges = files.saved(_compare(pairs, sets).select("node", "hub", _linked(percent).alias("linked")), "edges")
+    links = edges.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     # Groups in which someone is not linked to the hub and has company.
-    unsettled = edges.groupBy("b").agg(F.count("*").alias("n"), F.min("linked").alias("all")).filter("n > 1 and not all").select("b")
-    group = edges.join(unsettled, "b").select(F.col("a").alias("node"), F.col("b").alias("hub"))
+    unsettled = edges.groupBy("hub").agg(F.count("*").alias("n"), F.min("linked").alias("all")).filter("n > 1 and not all").select("hub")
+    group = edges.join(unsettled.hint("merge"), "hub").select("node", "hub")
     members = files.saved(measured(group, sets, percent), "members")
     closest = members.groupBy("hub").agg(F.min(F.struct("f", "node")).alias("m")).select("hub", F.col("m.f").alias("low"), F.col("m.node").alias("mid"))
-    members = members.join(few(closest), "hub")
-    star = members.filter("node <> mid").select(F.col("node").alias("a"), F.col("mid").alias("b")).distinct()
-    star = files.saved(_compare(star, sets).select("a", "b", _linked(percent).alias("linked")), "star")
-    links = links.union(star.filter("linked").select("a", "b"))
+    members = files.saved(members.join(closest.hint("merge"), "hub"), "near")
+    star = members.filter("node <> mid").select("node", F.col("mid").alias("hub")).distinct()
+    star = files.saved(_compare(star, sets).select("node", F.col("hub").alias("mid"), _linked(percent).alias("linked")), "star")
+    links = links.union(star.filter("linked").select("node", "mid"))
     found = components(links)
-    apart = star.filter("not linked").select(F.col("a").alias("node"), F.col("b").alias("mid"), F.lit(True).alias("open"))
-    members = members.join(apart, ["node", "mid"], "left").join(found, "node", "left")
-    members = members.withColumn("open", F.coalesce("open", F.lit(False))).withColumn("component", F.coalesce("label", "node"))
-    more = files.saved(unexplained(members, percent), "more")
-    more = files.saved(_compare(more, sets).filter(_linked(percent)).select("a", "b"), "late")
-    if not more.limit(1).count():
-        return found
-    return components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    apart = star.filter("not linked").select("node", "mid", F.lit(True).alias("open"))
+    members = members.join(apart.hint("merge"), ["node", "mid"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    return late_links(members, sets, links, found, percent)
 
 
 def _named(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows, named): every document's set key; and per key its class, component and the component's label."""
     rows, per = classes(docs)
     found = link_components(docs, per, percent)
-    joined = per.select("node", "rep", "set_key").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    joined = per.select("node", "rep", "set_key").join(found.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = joined.groupBy("label").agg(F.min("rep").alias("component"))
-    named = joined.join(low, "label").select("set_key", F.col("rep").alias("class_id"), "component", "label")
+    named = joined.join(low.hint("merge"), "label").select("set_key", F.col("rep").alias("class_id"), "component", "label")
     return rows, files.saved(named, "components")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: its number of shingles, component and whether it is the one to keep."""
-    rows, named = _named(docs, percent)
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
-
-
-def _keyed(docs: DataFrame, name: str) -> DataFrame:
-    """docs with the digest of each row's set in a column of that name; empty where there are no shingles."""
-    at = docs.columns.index("text")
-    names = [*docs.columns, name]
-
-    def run(batches):
-        for batch in batches:
-            buf, offs = tx.flat(batch.column(at))
-            for lo, hi in tx.slices(offs):
-                sets, first = shingles(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                raw = sets.view(np.uint8)
-                digest = [xxhash.xxh3_128_digest(raw[8 * s : 8 * e]) if e > s else b"" for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(digest, pa.binary())], names=names)
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
+    docs = places.rooted(docs)
+    with files.scope(docs.sparkSession):
+        rows, named = _named(docs, percent)
+        out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named.hint("merge"), "set_key", "left")
+        component = F.coalesce("component", "doc_id")
+        out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
+        return files.saved(out, "near-duplicates", keep=True)
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs with one row of each component, with the columns they came with.
 
     Rows are told apart by id and shingles, so rows of one id stay or go each with its own text; of those
-    of one id in one component the first by text stays, as of those of one id without words.
+    of one id in one component one stays, as of those of one id without words: of texts that are not
+    null, the one of the smallest hash, then the first by place.
     """
-    rows, named = _named(docs, percent)
-    each = rows.filter("doc_id is not null").select("doc_id", "set_key")
-    kept = F.col("doc_id") == F.coalesce("component", "doc_id")
-    got = files.saved(each.join(named, "set_key", "left").select("doc_id", kept.alias("kept")), "kept")
-    ids = files.saved(got.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"), "odd")
-    mark = files.token()  # no column of docs is called like the ones made here
-    name, place, key, label = (f"_{x}_{mark}" for x in ("id", "place", "key", "label"))
-    same = docs["doc_id"].cast("long") == F.col(name)
-    repeated = ids.filter("kept").select(F.col("doc_id").alias(name))
-    once = docs.join(few(ids.select(F.col("doc_id").alias(name))), same, "left_anti")
-    often = _keyed(docs.join(few(repeated), same, "left_semi"), key)
-    stay = each.withColumnRenamed("doc_id", name).join(few(repeated), name, "left_semi").join(named, "set_key", "left").filter(F.col(name) == F.coalesce("component", name))
-    stay = stay.select(name, F.coalesce("set_key", F.lit(b"")).alias(f"{key}_"), F.col("label").alias(label)).distinct()
-    often = often.join(stay, (often["doc_id"].cast("long") == F.col(name)) & (F.col(key) == F.col(f"{key}_")))
-    first = F.row_number().over(Window.partitionBy(name, label).orderBy(F.col("text").asc_nulls_last()))
-    often = often.withColumn(place, first).filter(F.col(place) == 1)
-    return once.unionByName(often.drop(name, key, f"{key}_", label, place))
+    docs = places.rooted(docs)
+    with files.scope(docs.sparkSession):
+        rows, named = _named(docs, percent)
+        each = rows.filter("doc_id is not null").select("file", "row", "doc_id", "text_key", "set_key").join(named.hint("merge"), "set_key", "left")
+        each = files.saved(each.select("file", "row", "doc_id", "text_key", F.coalesce("label", F.lit(-1)).alias("label"), (F.col("doc_id") == F.coalesce("component", "doc_id")).alias("kept")), "judged")
+        group = ["doc_id", "label"]
+        first = F.min(F.struct(F.col("text_key").isNull(), "text_key", "file", "row")).alias("one")
+        again = each.filter("kept").groupBy(*group).agg(F.count("*").alias("n"), first).filter("n > 1").select(*group, "one")
+        others = each.filter("kept").join(again.hint("merge"), group).filter((F.col("file") != F.col("one.file")) | (F.col("row") != F.col("one.row")))
+        gone = each.filter("not kept").select("file", "row").union(others.select("file", "row"))
+        folder = places.mark(gone, name="copies", keep=True)
+
+    def run(batch, table, lo, hi):
+        stay = batch if table is None else batch.filter(pa.array(hi == lo))
+        if stay.num_rows:
+            yield stay
+
+    return places.beside(docs, [docs[c] for c in docs.columns], folder, run, docs.schema)
