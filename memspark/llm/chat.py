@@ -41,6 +41,8 @@ _PLAIN = re.compile(rf"([<\[]\\*)(?={_TAILS})")
 _ESCAPED = re.compile(rf"([<\[]\\*)\\(?={_TAILS})")
 #: The same without a lookahead, for engines that have none; no control string begins inside another's tail.
 ANY_CONTROL = rf"[<\[]\\*(?:{_TAILS})"
+#: Bytes of texts that are assembled together.
+SLICE_BYTES = 64 << 20
 CHUNKS = "conv_id long, part int, chunk int, n_turns long, formatted binary, mask array<long>"
 
 
@@ -101,9 +103,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
     def run(batches):
         part, chunk = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(x, y - x) for b in batches for x, y in tx.slices(tx.flat(b.column(3))[1], SLICE_BYTES)):
             ids = batch.column(0)
             out, places, begin = assemble(batch.column(2), batch.column(3))
             key = ids.fill_null(0).to_numpy(zero_copy_only=False)

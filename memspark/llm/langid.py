@@ -7,12 +7,14 @@ among the first by proportion, of the largest likelihood less a penalty of half
 number of words for each language after the first.
 
 Training takes documents with text and a language whose crc32(doc_id as text) mod 4 is not 2: of each
-language some ``PER_LANGUAGE``, chosen by a hash of the id, whole texts. Prediction sees only texts.
+language some ``PER_LANGUAGE``, chosen by a hash of the id, whole texts, and of languages the
+``MAX_LANGUAGES`` with most documents, ties by name. Prediction sees only texts.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0, and so is all if nothing was
 learned. Null ids are neither held out nor learned from; null languages aren't learned from. Equal rows
 get equal results. Extra columns are not looked at. An empty table gives an empty result. Very long
-texts are read whole.
+texts are read whole, piece by piece: the mixture sees their different words with counts. A language
+column with any number of values, junk included, is no error: rare ones aren't learned.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from . import text as tx
 
 #: Documents of a language that are learned from, about; buckets of trigrams; added to each count.
 PER_LANGUAGE, BUCKETS, SMOOTHING = 4000, 1 << 16, 0.5
-#: Languages that are learned at most; more is an error, as the model goes to every worker.
-MAX_LANGUAGES = 400
+#: Languages that are learned at most; the model, 256 KB for each, goes to every worker.
+MAX_LANGUAGES = 100
+#: Numbers of a table of likelihoods that are looked up together; bytes of text from which a row is taken in pieces.
+CELLS, LONG = 4 << 20, 4 << 20
 ROUNDS, MIN_SHARE = 8, 0.01
 UNKNOWN = "und"
 _LETTER = tx.lut(lambda b: 0x61 <= b <= 0x7A or b >= 0x80)
@@ -63,9 +67,8 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     fold = F.crc32(F.col("doc_id").cast("long").cast("string")) % 4
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != 2))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in top.collect()}
     names = sorted(sizes)
     if not names:
         return [], np.zeros((BUCKETS, 0), np.float32)
@@ -85,7 +88,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"cell": pa.array(at), "n": pa.array(total[at])})
 
-    counted = known.filter(drawn).select("lang", "text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counted = known.filter(F.col("lang").isin(names) & drawn).select("lang", "text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     got = counted.toArrow()  # one number per bucket and language at most
     counts = np.zeros(BUCKETS * len(names))
     counts[got["cell"].to_numpy()] = got["n"].to_numpy()
@@ -93,55 +96,104 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, np.log(counts / counts.sum(0)).astype(np.float32)
 
 
-def _em(like: np.ndarray, share: np.ndarray, row: np.ndarray, at: np.ndarray, n: np.ndarray, rounds: int):
+def _em(like: np.ndarray, share: np.ndarray, row: np.ndarray, at: np.ndarray, weight: np.ndarray, n: np.ndarray, rounds: int):
     """Proportions after some rounds, and the words' log-likelihood (without their scale), per row."""
-    for k in range(rounds):
+    for _ in range(rounds):
         r = like * share[row]
-        total = r.sum(1)
-        r /= total[:, None]
+        r *= (weight / r.sum(1))[:, None]
         share = np.add.reduceat(r, at, axis=0) / n[:, None]
-    return share, np.add.reduceat(np.log((like * share[row]).sum(1)), at)
+    return share, np.add.reduceat(weight * np.log((like * share[row]).sum(1)), at)
+
+
+def likelihoods(gram: np.ndarray, bounds: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Words by languages: logarithms of likelihoods, looked up some words at a time."""
+    out = np.zeros((len(bounds) - 1, model.shape[1]))
+    step, k = max(1, CELLS // max(1, model.shape[1])), 0
+    while k < len(out):
+        to = max(k + 1, int(np.searchsorted(bounds, bounds[k] + step, "right")) - 1)
+        lo, hi = bounds[k], bounds[to]
+        if hi - lo <= step:
+            out[k:to] = np.add.reduceat(model[gram[lo:hi]], bounds[k:to] - lo, axis=0)
+        else:  # one long word
+            for a in range(lo, hi, step):
+                out[k] += model[gram[a : min(hi, a + step)]].sum(0, dtype=np.float64)
+        k = to
+    return out
 
 
-def infer(buf: np.ndarray, offs: np.ndarray, model: np.ndarray) -> np.ndarray:
-    """Rows by languages: proportions of the chosen set; zeros for rows without words."""
-    gram, bounds, first = trigrams(buf, offs)
-    out = np.zeros((len(offs) - 1, model.shape[1]))
-    n = np.diff(first)
-    rows = np.flatnonzero(n)
-    if not len(rows) or not model.shape[1]:
+def mixture(log: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rows by languages: proportions of the chosen set; zeros for rows without words.
+
+    Row k has the words first[k] up to first[k + 1], each ``weight`` times.
+    """
+    out = np.zeros((len(first) - 1, log.shape[1]))
+    rows = np.flatnonzero(np.diff(first))
+    if not len(rows) or not log.shape[1]:
         return out
-    log = np.add.reduceat(model[gram], bounds[:-1], axis=0).astype(np.float64)
-    log -= log.max(1, keepdims=True)
-    like = np.exp(np.maximum(log, -60))
-    row = np.repeat(np.arange(len(rows)), n[rows])
-    at, n = first[rows], n[rows].astype(float)
-    share, _ = _em(like, np.full((len(rows), model.shape[1]), 1.0 / model.shape[1]), row, at, n, ROUNDS)
+    like = np.exp(np.maximum(log - log.max(1, keepdims=True), -60))
+    row = np.repeat(np.arange(len(rows)), np.diff(first)[rows])
+    at = first[rows]
+    n = np.add.reduceat(weight, at)
+    share, _ = _em(like, np.full((len(rows), log.shape[1]), 1.0 / log.shape[1]), row, at, weight, n, ROUNDS)
     order = np.argsort(-share, axis=1, kind="stable")
     best = np.zeros_like(share)
     best[np.arange(len(rows)), order[:, 0]] = 1.0
     # One language is settled where no other has a share worth a test.
-    some = np.flatnonzero((share >= MIN_SHARE).sum(1) > 1)
+    tests = (share >= MIN_SHARE).sum(1)
+    some = np.flatnonzero(tests > 1)
     if len(some):
         words = np.flatnonzero(np.isin(row, some))
         sub = np.searchsorted(some, row[words])
         sub_at = np.searchsorted(sub, np.arange(len(some)))
-        size = n[some]
+        size, tests = n[some], tests[some]
         rank = np.argsort(order[some], axis=1)
         score = np.full(len(some), -np.inf)
         pick = best[some]
-        for k in range(1, int((share[some] >= MIN_SHARE).sum(1).max()) + 1):
+        for k in range(1, int(tests.max()) + 1):
             start = np.where(rank < k, np.maximum(share[some], 1e-6), 0.0)
             start /= start.sum(1, keepdims=True)
-            got, fit = _em(like[words] + 1e-300, start, sub, sub_at, size, 1 if k == 1 else ROUNDS)
+            got, fit = _em(like[words] + 1e-300, start, sub, sub_at, weight[words], size, 1 if k == 1 else ROUNDS)
             fit -= 0.5 * (k - 1) * np.log(size)
-            better = fit > score
+            better = (fit > score) & (k <= tests)
             score[better], pick[better] = fit[better], got[better]
         best[some] = pick
     out[rows] = best
     return out
 
 
+def infer(buf: np.ndarray, offs: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """mixture() of the words of each row."""
+    gram, bounds, first = trigrams(buf, offs)
+    return mixture(likelihoods(gram, bounds, model), np.ones(len(bounds) - 1), first)
+
+
+def infer_long(buf: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """infer() of one row of any length: its different words, gathered piece by piece, with counts."""
+    keys, counts, logs = np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, model.shape[1]))
+    at = 0
+    while at < len(buf):
+        to = min(len(buf), at + LONG // 8)
+        gap = np.flatnonzero(~_LETTER[lowered(buf[to : to + LONG])])  # pieces end outside words
+        to = to + int(gap[0]) if len(gap) else len(buf)
+        part = buf[at:to]
+        gram, bounds, _ = trigrams(part, np.array([0, len(part)]))
+        low = lowered(part)
+        starts, ends, _ = tx.words(low, np.array([0, len(low)]), _LETTER)
+        key, one, n = np.unique(tx.Hasher(low)(starts, ends), return_index=True, return_counts=True)
+        fresh = np.flatnonzero(~np.isin(key, keys))
+        where = np.searchsorted(keys, key)
+        old = np.setdiff1d(np.arange(len(key)), fresh)
+        counts[where[old]] += n[old]
+        size = np.diff(bounds)[one[fresh]]
+        span = np.concatenate(([0], np.cumsum(size)))
+        picked = gram[np.repeat(bounds[one[fresh]] - span[:-1], size) + np.arange(span[-1])]
+        keys, counts, logs = np.concatenate((keys, key[fresh])), np.concatenate((counts, n[fresh])), np.concatenate((logs, likelihoods(picked, span, model)))
+        order = np.argsort(keys)
+        keys, counts, logs = keys[order], counts[order], logs[order]
+        at = to
+    return mixture(logs, counts, np.array([0, len(keys)]))
+
+
 def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
@@ -155,10 +207,10 @@ def predict(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
         names, model = known.value
         for batch in batches:
             buf, offs = tx.flat(batch.column(2))
-            for a, b in tx.slices(offs):
+            for a, b in tx.slices(offs, max(1 << 16, 8 * tx.SLICE_BYTES // max(8, len(names)))):
                 part = buf[offs[a] : offs[b]]
                 rows = offs[a : b + 1] - offs[a]
-                share = infer(part, rows, model)
+                share = infer_long(part, model) if len(part) >= LONG else infer(part, rows, model)
                 ascii_letter = tx.per_row((part | 0x20 >= 0x61) & (part | 0x20 <= 0x7A), rows) > 0
                 lang, score, langs = [], [], []
                 for k in range(b - a):

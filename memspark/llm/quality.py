@@ -4,7 +4,9 @@ Zstandard ratios (compressed bytes / bytes) of the whole document and of fixed c
 in a band. A ratio under the band is repetitive text, one over it is incompressible text. The limits
 depend on the length, as a short text has little to refer back to.
 
-Cases: a null or empty text has no words, fails the base rules and is not kept; its ratio is null.
+``kept`` takes the base rules and the bands; ``in_band`` is the bands' verdict alone.
+
+Cases: a null or empty text has no words, fails the base rules, is in no band and not kept; its ratio is null.
 Repeated rows and equal ids are judged row by row. Extra columns are never looked at. An empty table
 gives an empty result. Very long texts are read whole, chunk by chunk.
 """
@@ -54,7 +56,7 @@ class Bands:
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "base_failed boolean, kept boolean, ratio double, chunks long, chunks_low long, chunks_high long"
+    "base_failed boolean, kept boolean, in_band boolean, ratio double, chunks long, chunks_low long, chunks_high long"
 )
 _SYMBOL = tx.lut(lambda b: chr(b) in "#*$%&|<>")
 
@@ -125,7 +127,7 @@ def judge(buf: np.ndarray, offs: np.ndarray, bands: Bands) -> dict[str, np.ndarr
     rows = [ratios(view[a:b], bands, z) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
     ok = np.array([in_band(n, *r, bands) for n, r in zip(np.diff(offs).tolist(), rows, strict=True)], bool)
     failed = (out["n_words"] < bands.min_words) | (100 * out["n_repeat_words"] > bands.max_repeat_percent * out["n_words"])
-    out |= {"base_failed": failed, "kept": ok & ~failed}
+    out |= {"base_failed": failed, "kept": ok & ~failed, "in_band": ok}
     for k, name in enumerate(("ratio", "chunks", "chunks_low", "chunks_high")):
         out[name] = np.array([r[k] for r in rows], float if k == 0 else np.int64)
     return out
@@ -136,7 +138,7 @@ def score(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     schema = pa.schema(
         [("doc_id", pa.int64())]
         + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-        + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("ratio", pa.float64())]
+        + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("in_band", pa.bool_()), ("ratio", pa.float64())]
         + [(c, pa.int64()) for c in ("chunks", "chunks_low", "chunks_high")]
     )
 

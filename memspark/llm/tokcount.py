@@ -10,7 +10,9 @@ Cases: null and empty texts have no tokens but a separator; equal rows are docum
 null doc_id stays null. A file without a separator, or with tokens after its last, ends in an open
 document, reported with ``closed`` false. An empty table writes nothing and gives an empty result; very
 long texts may cross many blocks. Extra columns are not looked at. A text can't hold the separator, as
-text is tokenised as ordinary text. Files are written under a temporary name and moved into place.
+text is tokenised as ordinary text. Files are written under a temporary name and moved into place, and
+named after the attempt that wrote them: a task that runs twice leaves a file that no row names, and only
+files that rows name are scanned.
 """
 
 from __future__ import annotations
@@ -57,7 +59,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> DataFrame
 
     def run(batches):
         encode = _encoder(ranks.value).encode_ordinary
-        part, k, at = TaskContext.get().partitionId(), 0, 0
+        context, k, at = TaskContext.get(), 0, 0
+        part, attempt = context.partitionId(), context.taskAttemptId()
         name, now, out = None, None, None
         try:
             for batch in batches:
@@ -65,7 +68,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> DataFrame
                 names, ordinals = [], []
                 for i in range(batch.num_rows):
                     if out is None:
-                        name, at = f"part-{part:06d}-{k:04d}.bin", 0
+                        name, at = f"part-{part:06d}-{k:04d}-{attempt}.bin", 0
                         now = files.placed(f"{path}/{name}")
                         out = now.__enter__()
                     tokens = np.array(encode(texts[i].as_py() or ""), KIND)
@@ -97,11 +100,13 @@ def separators(tokens: np.ndarray, separator: int = SEPARATOR) -> tuple[np.ndarr
     return lengths, len(tokens) - (int(at[-1]) + 1 if len(at) else 0)
 
 
-def scan(spark: SparkSession, path: str, separator: int = SEPARATOR, block: int = 0) -> DataFrame:
-    """file, ordinal, n_tokens, closed of every document in the flat files of a folder."""
+def scan(spark: SparkSession, path: str, separator: int = SEPARATOR, block: int = 0, only: DataFrame | None = None) -> DataFrame:
+    """file, ordinal, n_tokens, closed of every document in the flat files of a folder, or ``only`` in those named."""
     block = block or BLOCK_TOKENS
     width = np.dtype(KIND).itemsize
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select("path", (F.col("length") / width).cast("long").alias("size"))
+    if only is not None:
+        found = found.withColumn("file", F.regexp_extract("path", r"[^/]+$", 0)).join(only.select("file").distinct(), "file", "left_semi")
     parts = found.filter("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block).cast("long"))).alias("begin"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = parts.repartition(max(n, spark.sparkContext.defaultParallelism))
@@ -141,4 +146,4 @@ def count(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     order = files.saved(write(docs, path, vocabulary), "token-order")
     if not order.limit(1).count():
         return spark.createDataFrame([], "doc_id long, n_tokens long")
-    return order.join(scan(spark, path), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return order.join(scan(spark, path, only=order), ["file", "ordinal"]).select("doc_id", "n_tokens")

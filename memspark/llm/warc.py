@@ -6,13 +6,13 @@ own, and writes a sidecar index of member offsets beside the archive. ``read`` g
 and inflates each record by itself.
 
 Pages of equal payload are stored once: the largest page_id has the response record, the others are
-revisit records that name it. Payloads under ``min_bytes`` are always stored.
+revisit records that name it. Payloads under ``min_bytes`` are always stored. Digests are ``sha1:`` and base32.
 
 Cases: a null html is an empty payload; a null url becomes a URN, and white space and controls of a url
 are percent-encoded. Rows that repeat the largest page_id are all responses; a row without page_id
 revisits one that has it, and is a response where none has. Equal rows get equal records. Extra columns
-are not looked at. An empty table makes no archive and gives an empty result. Records of any length are
-held one at a time; archives hold ``RECORDS`` at most.
+are not looked at. An empty table makes no archive and gives an empty result. Archives are read in
+pieces, and records of any length are held one at a time; archives hold ``RECORDS`` at most.
 
 Archives are files in the shared folder, written under a temporary name and moved into place, so a task
 that runs twice leaves the same files. Python opens them through Arrow's file systems.
@@ -39,8 +39,13 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX_SUFFIX = ".idx.jsonl"
 
 
-def _digest(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def base32(hexed):
+    """A SHA-1 in hexadecimal as base32: five digits hold four of its characters."""
+    quanta = [F.conv(F.substring(hexed, 5 * k + 1, 5), 16, 10).cast("int") for k in range(8)]
+    return F.concat(*[F.substring(F.lit(_ALPHABET), F.shiftright(q, 15 - 5 * j).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for q in quanta for j in range(4)])
 
 
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -50,7 +55,8 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     pages = pages.withColumn("sha1", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
     equal = pages.groupBy("sha1", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("kept_id")).filter((F.col("n") > 1) & F.col("kept_id").isNotNull() & (F.col("size") >= min_bytes))
     equal = equal.select(F.col("sha1").alias("same"), "kept_id")
-    pages = pages.join(files.few(equal), F.col("sha1") == F.col("same"), "left")
+    equal = files.saved(equal, "equal")
+    pages = pages.join(files.few(equal, 72), F.col("sha1") == F.col("same"), "left")
     revisit = F.col("kept_id").isNotNull() & (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("kept_id"))
     name = F.concat(F.lit("urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))
     uri = F.coalesce(F.regexp_replace(F.col("url"), r"[\x00-\x20\x7f]", "%20"), name)
@@ -60,7 +66,7 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", F.lit("<"), name, F.lit(">")), line("WARC-Target-URI", uri), F.lit("WARC-Date: 2024-01-01T00:00:00Z\r\n"),
-        line("WARC-Payload-Digest", F.lit("sha1hex:"), F.col("sha1")),
+        line("WARC-Payload-Digest", F.lit("sha1:"), base32(F.col("sha1"))),
         F.when(revisit, F.concat(line("WARC-Refers-To", F.lit("<urn:x-page:"), F.col("kept_id"), F.lit(">")), F.lit(f"WARC-Profile: {PROFILE}\r\n"))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", body), F.lit("\r\n"), http,
     )
@@ -112,22 +118,31 @@ class Stream:
                 at = 0
 
 
-def inflate(data: bytes, size: int = 1 << 18):
-    """The stream inside gzip data, of one member or more, piece by piece."""
-    z = zlib.decompressobj(31)
-    rest = data
-    while rest:
-        out = z.decompress(rest, size)
-        if out:
-            yield out
-        rest = z.unconsumed_tail
-        if z.eof:
-            rest, z = z.unused_data, zlib.decompressobj(31)
-        elif not rest:
-            while out := z.decompress(b"", size):
+def pieces(data, size: int = 1 << 18):
+    """Bytes, or what a file still has, piece by piece."""
+    if isinstance(data, bytes):
+        view = memoryview(data)
+        yield from (view[k : k + size] for k in range(0, len(view), size))
+        return
+    while piece := data.read(size):
+        yield piece
+
+
+def inflate(data, size: int = 1 << 18):
+    """The stream inside gzip data, bytes or a file, of one member or more, piece by piece."""
+    z, fresh = zlib.decompressobj(31), True
+    for rest in pieces(data, size):
+        while rest:
+            out, fresh = z.decompress(rest, size), False
+            if out:
                 yield out
-            if not z.eof:
-                raise ValueError("a gzip stream is cut off")
+            rest = z.unconsumed_tail
+            if z.eof:
+                rest, z, fresh = z.unused_data, zlib.decompressobj(31), True
+    while not fresh and (out := z.decompress(z.unconsumed_tail, size)):
+        yield out
+    if not fresh and not z.eof:
+        raise ValueError("a gzip stream is cut off")
 
 
 def member(record: bytes) -> bytes:
@@ -140,15 +155,16 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
 
     Lazy: the archives are written when the result is evaluated.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")  # contents are read by the tasks
+    found = found.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
     def run(batches):
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for path in batch.column(0).to_pylist():
                 name = path.rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".txt") + ".warc.gz"
                 offset, count = 0, 0
-                with files.placed(f"{target}/{name}") as out, files.placed(f"{target}/{name}{INDEX_SUFFIX}") as index:
-                    for fields, record, _ in Stream(inflate(data.as_buffer().to_pybytes())):
+                with files.opened(path) as data, files.placed(f"{target}/{name}") as out, files.placed(f"{target}/{name}{INDEX_SUFFIX}") as index:
+                    for fields, record, _ in Stream(inflate(data)):
                         packed = member(record)
                         out.write(packed)
                         index.write((json.dumps({"offset": offset, "length": len(packed), "id": fields["WARC-Record-ID"], "type": fields["WARC-Type"]}) + "\n").encode())
@@ -175,11 +191,11 @@ def read(archives: DataFrame) -> DataFrame:
                         data.seek(entry["offset"])
                         fields, _, block = next(iter(Stream(inflate(data.read(entry["length"])))))
                         http, _, payload = block.partition(b"\r\n\r\n")
-                        hexed = fields["WARC-Payload-Digest"].split(":", 1)[1]
-                        if fields["WARC-Type"] == "response" and hashlib.sha1(payload).hexdigest() != hexed:
+                        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                        if fields["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                             raise ValueError(f"{path}: the payload of {fields['WARC-Record-ID']} doesn't match its digest")
                         size = int(http.decode().rsplit("Content-Length: ", 1)[1])
-                        rows.append((number(fields["WARC-Record-ID"]), size, base64.b32encode(bytes.fromhex(hexed)).decode(), fields["WARC-Type"], number(fields.get("WARC-Refers-To"))))
+                        rows.append((number(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], number(fields.get("WARC-Refers-To"))))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
                 if rows:
