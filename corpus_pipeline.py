@@ -6,8 +6,6 @@ the columns they came with; the last returns what its shards hold, with the shar
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,67 +17,70 @@ NEAR_PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents within the compression bands and the base rules."""
+    """Documents within the compression bands and the base rules; null, empty and short texts go.
+
+    Rows are judged one by one, so repeated rows and ids stay or go alike.
+    """
     ship(spark)
     return quality.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, linked from a similarity of 0.80 up."""
+    """One document of each near-duplicate component, linked from a similarity of 0.80 up.
+
+    Rows without doc_id stay; of rows that share an id and a component one stays.
+    """
     ship(spark)
     return minhash.deduplicate(docs, NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with the benchmark."""
+    """Documents that share no window with the benchmark; texts without words share none."""
     ship(spark)
     return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix takes them, each as often as it is taken."""
+    """Documents as the mix takes them, each as often as it is taken; a null source is one of its own."""
     ship(spark)
     return mixing.mix(docs)
 
 
-def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents read back from the committed shards, with the shard's file."""
-    out, _, version = sharding.shard(docs)
-    return out.select("*", out.metadataColumn("_metadata")["file_name"].alias("shard_file"), F.lit(version).alias("manifest_version"))
-
-
-_used: list[tuple[int, int]] = []
+def _unused(name: str, docs: DataFrame) -> str:
+    """The name, with underscores after it where docs has such a column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def _tidy(stage):
-    """The stage, after deleting what the one before worked with: its result has been written by now."""
-
-    @functools.wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _used:
-            files.release(*_used.pop())
-        mark = files.made()
-        out = stage(spark, docs, sf_dir)
-        if stage is not shard_documents:  # its shards are the result
-            _used.append((mark, files.made()))
-        return out
+def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents read back from the committed shards, with shard_file, the shard's name, and manifest_version.
 
-    return run_stage
+    Where docs has columns of those names, the new ones get underscores after theirs.
+    """
+    out, _, version = sharding.shard(docs, file=_unused("shard_file", docs))
+    return out.withColumn(_unused("manifest_version", docs), F.lit(version))
 
 
-STAGES = [(f.__name__, _tidy(f)) for f in (quality_rules, near_dedup, decontaminate, mix_sources, shard_documents)]
+STAGES = [(f.__name__, f) for f in (quality_rules, near_dedup, decontaminate, mix_sources, shard_documents)]
 
 #: Zstandard ratios and the cube method have no SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        if name == STAGES[-1][0]:
-            return out
-        path = f"{files.shared(spark)}/pipeline-{files.token()}-{name}"
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+    """All stages over the documents of a folder, each written and read again.
+
+    What a stage worked with goes once its result is written, and its input with it.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        with files.scope(spark):
+            docs = files.saved(stage(spark, docs, sf_dir), name, keep=True)
+        if before is not None:
+            files.drop(before)
+        before = docs
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    files.drop(docs)  # the shards hold all of it by now
+    return out
