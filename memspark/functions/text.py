@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 
 import numpy as np
@@ -133,6 +132,42 @@ def secret_kinds(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(k)) for k, p in SECRETS]))
 
 
+def entropy(token: Column) -> Column:
+    """Shannon entropy of a text's characters, in bits."""
+    chars = F.filter(F.split(token, ""), lambda c: c != "")
+    share = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.length(token))
+    return F.aggregate(share, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+
+
+def high_entropy(text: Column) -> Column:
+    """Tokens that look like secrets of no known kind: long, of mixed characters, of high entropy."""
+    tokens_ = F.regexp_extract_all(text, F.lit(rf"[A-Za-z0-9+/_=-]{{{ENTROPY_LENGTH},}}"), F.lit(0))
+    return F.filter(tokens_, lambda t: t.rlike("[a-z]") & t.rlike("[A-Z0-9]") & (entropy(t) >= ENTROPY_BITS))
+
+
+def secret_findings(text: Column) -> Column:
+    """kind and hint of all secrets in a text; a hint never tells the secret."""
+    known = F.transform(secret_kinds(text), lambda k: F.struct(k.alias("kind"), F.lit("«detected»").alias("hint")))
+    odd = F.transform(high_entropy(text), lambda t: F.struct(F.lit("high-entropy").alias("kind"), F.concat(F.substring(t, 1, 4), F.lit("…"), F.substring(t, -2, 2)).alias("hint")))
+    return F.concat(known, odd)
+
+
+def cache_key(model: Column, system: Column, prompt: Column) -> Column:
+    """Where a model's reply is kept: a digest of what it was asked."""
+    return F.sha2(F.concat_ws("\x00", model, F.coalesce(system, F.lit("")), prompt), 256)
+
+
+def iso(at: Column) -> Column:
+    """A timestamp in ISO 8601, in UTC."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def parse_iso(text: Column) -> Column:
+    """A timestamp from ISO 8601; one without zone is UTC, anything else null."""
+    zoned = F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), text).otherwise(F.concat(text, F.lit("+00:00")))
+    return F.try_to_timestamp(F.regexp_replace(zoned, r"([+-]\d{2})(\d{2})$", "$1:$2"))
+
+
 def fingerprint(kind: Column, content: Column) -> Column:
     """Identity of a fact by type and normalised content."""
     return F.sha2(F.concat(kind, F.lit("|"), F.lower(F.trim(content))), 256)
@@ -191,22 +226,37 @@ def mac_text(key: bytes, text: str) -> str:
     return hashlib.blake2b(text.encode(), digest_size=32, key=key).hexdigest()
 
 
-def embed_text(text: str, dim: int = 256) -> list[float]:
-    """A signed hash of words (weight 2) and character 3- and 4-grams, of unit length."""
+def _features(text: str) -> tuple[list[str], int]:
+    """Words, marked as such, then character 3- and 4-grams; and how many are words."""
     low = text.lower()
     padded = f" {low} "
-    features = [("w:" + w, 2.0) for w in re.findall("[a-z0-9]+", low)]
-    features += [(padded[i : i + n], 1.0) for n in (3, 4) for i in range(len(padded) - n + 1)]
-    out = np.zeros(dim)
-    for name, weight in features:
+    words = ["w:" + w for w in re.findall("[a-z0-9]+", low)]
+    return words + [padded[i : i + n] for n in (3, 4) for i in range(len(padded) - n + 1)], len(words)
+
+
+def embed_texts(texts, dim: int = 256) -> np.ndarray:
+    """Signed hashes of words (weight 2) and character 3- and 4-grams, of unit length; each feature is hashed once."""
+    known: dict[str, int] = {}
+    row, code = [], []
+    for i, text in enumerate(texts):
+        names, _ = _features(text or "")
+        code += [known.setdefault(x, len(known)) for x in names]
+        row += [i] * len(names)
+    out = np.zeros((len(texts), dim))
+    if known:
+        h = np.array([int.from_bytes(hashlib.blake2s(x.encode(), digest_size=8).digest(), "big") for x in known], np.uint64)
         # A character n-gram that happens to begin like a word feature weighs as one.
-        weight = 2.0 if name.startswith("w:") else weight
-        h = int.from_bytes(hashlib.blake2s(name.encode(), digest_size=8).digest(), "big")
-        out[h % dim] += weight if h >> 33 & 1 else -weight
-    norm = math.sqrt(float(out @ out))
-    return (out / norm if norm else out).tolist()
+        weight = np.array([2.0 if x.startswith("w:") else 1.0 for x in known])
+        value = np.where((h >> np.uint64(33)) & np.uint64(1) > 0, weight, -weight)
+        np.add.at(out, (np.array(row), (h % np.uint64(dim)).astype(np.int64)[code]), value[code])
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1.0)
+
+
+def embed_text(text: str, dim: int = 256) -> list[float]:
+    return embed_texts([text], dim)[0].tolist()
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_embed(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: embed_text(t or ""))
+    return pd.Series(list(embed_texts(text.tolist())), index=text.index)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.text import key_entities
 from memspark.operators.store import scan, without_hubs
+from memspark.schema import STATUSES
 
 # What an embedding and an operation would have cost with a hosted model.
 PER_MEMORY, PER_OPERATION = 4e-7, 8e-5
@@ -44,13 +45,25 @@ def savings(memories: DataFrame, history: DataFrame) -> DataFrame:
 def clusters(memories: DataFrame, least: int = 3, sources: int = 10) -> DataFrame:
     """Scopes with enough to reflect on, with the newest sources of each.
 
-    A scope keeps its newest few while it is aggregated, so a large one stays small on its way.
+    Only the newest few of a scope are shuffled beyond their own partition, however large it is.
     """
-    m = scan(without_hubs(memories))
-    newest = F.struct((-F.unix_timestamp("created_at")).alias("age"), "id")
-    salted = m.groupBy("scope", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(newest)), 1, sources).alias("top"))
-    per = salted.groupBy("scope").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, sources).alias("top"))
-    return per.filter(F.col("n") >= least).select("scope", "n", F.concat_ws(",", F.transform("top", lambda x: x["id"])).alias("sources"))
+    m = scan(without_hubs(memories)).select("scope", "id", "created_at")
+    sized = m.groupBy("scope").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    place = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("created_at"), "id"))
+    newest = m.withColumn("at", place).filter(F.col("at") <= sources)
+    lists = newest.groupBy("scope").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("top"))
+    return lists.join(sized, "scope").select("scope", "n", F.concat_ws(",", F.transform("top", lambda x: x["id"])).alias("sources"))
+
+
+def stats(memories: DataFrame, edges: DataFrame, tombstones: DataFrame, history: DataFrame) -> DataFrame:
+    """metric, value: what a store holds, by state, with its edges, tombstones, operations and vectors' length."""
+    m = memories.agg(
+        *[F.count_if(F.col("status") == s).alias(f"{s}_memories") for s in STATUSES], F.coalesce(F.max(F.size("vec")), F.lit(0)).cast("long").alias("embedding_dim") if "vec" in memories.columns else F.lit(0).cast("long").alias("embedding_dim"),
+    )
+    out = m.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in m.columns]), F.array(*m.columns))).alias("metric", "value"))
+    for name, df in (("edges", edges), ("tombstones", tombstones), ("operations", history)):
+        out = out.unionByName(df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value"))
+    return out
 
 
 def tally(decisions: DataFrame) -> DataFrame:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memspark.functions import text as ft
+from memspark.session import saved
+
+#: Bytes of gold texts that one pass over the documents is matched with.
+GOLD_BYTES = 1 << 20
+
 
 def matches(found: Column, gold: Column) -> Column:
     """Equal, or one inside the other, ignoring case and outer blanks."""
@@ -12,6 +19,69 @@ def matches(found: Column, gold: Column) -> Column:
     return a.contains(b) | b.contains(a)
 
 
+def containing(docs: DataFrame, gold: DataFrame) -> DataFrame:
+    """doc_id, item_id where matches() holds between docs (doc_id, text) and gold (item_id, text).
+
+    One automaton over the gold texts finds those inside a document in one pass over it. For the other
+    way, a document goes through the gold texts only if its first characters occur in one. Gold beyond
+    ``GOLD_BYTES`` takes further passes. Empty texts are inside every other.
+    """
+    norm = F.lower(F.trim("text")).alias("text")
+    spark, out = docs.sparkSession, None
+    wanted = saved(gold.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), norm), "gold")
+    parts = max(1, -(-(wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GOLD_BYTES))
+    for p in range(parts):
+        got = (wanted if parts == 1 else wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)).toArrow()
+        held = spark.sparkContext.broadcast((got["item_id"].to_pylist(), got["text"].to_pylist()))
+
+        def run(batches, held=held):
+            import ahocorasick
+
+            ids, texts = held.value
+            same: dict[str, list[int]] = {}
+            for i, t in zip(ids, texts, strict=True):
+                same.setdefault(t, []).append(i)
+            machine, every = ahocorasick.Automaton(), same.pop("", [])
+            for t in same:
+                machine.add_word(t, t)
+            if same:
+                machine.make_automaton()
+            width, longest = 8, max(map(len, same), default=0)
+            starts = {t[k : k + width] for t in same for k in range(len(t))}
+            for batch in batches:
+                doc, item = [], []
+                for d, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found = {t for _, t in machine.iter(low)} if same and low else set()
+                    if len(low) <= longest and any(x.startswith(low) for x in starts) if len(low) < width else low[:width] in starts and len(low) <= longest:
+                        found |= {t for t in same if low in t}
+                    hits = [i for t in found for i in same[t]] + every
+                    doc += [d] * len(hits)
+                    item += hits
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "item_id": pa.array(item, pa.int64())})
+
+        found = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), norm).mapInArrow(run, "doc_id long, item_id long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def similar_sets(sets: DataFrame, least: float) -> DataFrame:
+    """a, b, sim: pairs of sets (id, words) whose Jaccard similarity is large enough.
+
+    Words are put in order from the rarest up; two sets that similar share one of the first few, so only
+    those meet, and a set's common words bring it together with nobody.
+    """
+    words = sets.filter(F.size("words") > 0).select("id", F.array_distinct("words").alias("words"))
+    each = words.select("id", F.explode("words").alias("word"))
+    rare = saved(each.join(each.groupBy("word").agg(F.count("*").alias("n")), "word"), "words")
+    lists = saved(rare.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("words")), "sets")
+    head = F.slice("words", F.lit(1), (F.size("words") - F.ceil(F.lit(least - 1e-9) * F.size("words")) + 1).cast("int"))
+    heads = lists.select("id", F.explode(head).alias("word"))
+    pairs = heads.withColumnRenamed("id", "a").join(heads.withColumnRenamed("id", "b"), "word").filter("a < b").select("a", "b").distinct()
+    side = lambda n: lists.select(F.col("id").alias(n), F.col("words").alias(f"w{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("sim", ft.jaccard(F.col("wa"), F.col("wb")))
+    return both.filter(F.col("sim") >= least).select("a", "b", "sim")
+
+
 def at_k(ranked: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     """qid, precision, recall, rr over ranked (qid, rank from 0, content) and gold (qid, gold_id, text)."""
     top = ranked.filter(F.col("rank") < k)
@@ -31,9 +101,64 @@ def nearest_rank(values: DataFrame, column: str, group: str, percents: tuple[int
     sizes = values.groupBy(group).agg(F.count("*").alias("n"))
     # Counts per value put values in place without a sorted list of all.
     counts = values.groupBy(group, F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    from pyspark.sql import Window
-
     place = F.sum("c").over(Window.partitionBy(group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumn("upto", place).join(sizes, group)
     picks = [F.min(F.when(F.col("upto") > F.bround(F.lit(p / 100) * (F.col("n") - 1)), F.col("v"))).alias(f"p{p}") for p in percents]
     return ranked.groupBy(group).agg(*picks)
+
+
+def capabilities(memories: DataFrame, planted: DataFrame, stale: DataFrame) -> DataFrame:
+    """name, rate, n: how often what should hold does.
+
+    ``memories`` are those that a store kept of texts with secrets and personal data. ``planted`` (kind,
+    text) has the personal data that must be in none of them. ``stale`` (should, flagged) tells of facts
+    whether they had to be flagged and were. ``conflict`` of memories counts as handled if the pair is
+    flagged or one is superseded; see ``conflict_rate``.
+    """
+    m = memories.filter("status = 'active' and not coalesce(hub, false)")
+    open_ = (F.size(ft.secret_kinds(F.col("content"))) > 0) | (F.size(ft.high_entropy(F.col("content"))) > 0)
+    rate = lambda df, name, ok: df.agg(F.round(F.avg(ok.cast("double")), 3).alias("rate"), F.count("*").alias("n")).select(F.lit(name).alias("name"), "rate", "n")
+    out = rate(m, "secret_block", ~open_)
+    leaks = m.crossJoin(F.broadcast(planted.limit(1000))).groupBy("id").agg(F.max(F.col("content").contains(F.col("text"))).alias("leak"))  # planted by hand
+    out = out.unionByName(rate(leaks, "pii_block", ~F.col("leak")))
+    return out.unionByName(rate(stale, "stale_catch", F.col("should") == F.col("flagged")))
+
+
+def conflict_rate(memories: DataFrame, pairs: DataFrame) -> DataFrame:
+    """name, rate, n: of contradicting pairs (a, b, ids) those that are flagged on both sides, or of which one is closed."""
+    side = lambda n: memories.select(F.col("id").alias(n), F.col("conflict").alias(f"{n}_flag"), F.col("status").alias(f"{n}_status"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    ok = (F.col("a_flag") & F.col("b_flag")) | (F.col("a_status") == "superseded") | (F.col("b_status") == "superseded")
+    return both.agg(F.round(F.avg(ok.cast("double")), 3).alias("rate"), F.count("*").alias("n")).select(F.lit("conflict_handling").alias("name"), "rate", "n")
+
+
+#: A small benchmark of what an agent keeps in mind: (case, memory, scope), and (question, gold memory, scope).
+CASES = [
+    ("service", "The invoice service keeps its data in CockroachDB because it needs serializable transactions.", "project:invoices"),
+    ("service", "Error bodies follow the problem+json format in every endpoint.", "project:invoices"),
+    ("service", "The invoice service runs on Nomad and is written with Litestar.", "project:invoices"),
+    ("service", "Events travel over Pulsar topics.", "project:invoices"),
+    ("habits", "I prefer hypothesis for property tests.", "global"),
+    ("habits", "Format Python code with ruff before every commit.", "global"),
+    ("habits", "Public functions always carry type annotations.", "global"),
+    ("scopes", "This service caches responses in Valkey.", "project:north"),
+    ("scopes", "This service caches responses in Hazelcast.", "project:south"),
+]
+QUESTIONS = [
+    ("which data store does the invoice service use", 0, "project:invoices"), ("what is the format of error bodies", 1, "project:invoices"),
+    ("over what do events travel", 3, "project:invoices"), ("which library do I prefer for property tests", 4, "global"),
+    ("what formats Python code", 5, "global"), ("in what does this service cache responses", 7, "project:north"),
+]
+
+
+def benchmark(spark, now, k: int = 5) -> DataFrame:
+    """qid, precision, recall, rr of the built-in benchmark through the write path and recall."""
+    from memspark.operators import retrieve, write
+
+    texts = spark.createDataFrame([(i, scope, text) for i, (_, text, scope) in enumerate(CASES)], "seq long, scope string, text string")
+    store = write.remember(spark.createDataFrame([], "id string, scope string, content string"), None, texts, now)
+    asked = spark.createDataFrame([(i, q, scope) for i, (q, _, scope) in enumerate(QUESTIONS)], "qid long, text string, scope string")
+    asked = asked.withColumn("vec", ft.hash_embed(F.col("text")))
+    hits = retrieve.recall(asked, saved(store["memories"], "benchmark"), store["edges"], now, k)
+    gold = spark.createDataFrame([(i, i, CASES[g][1]) for i, (_, g, _) in enumerate(QUESTIONS)], "qid long, gold_id long, text string")
+    return at_k(hits.select("qid", F.col("place").alias("rank"), "content"), gold, k)

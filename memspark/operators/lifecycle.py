@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as ft
 from memspark.functions.vectors import dot
+from memspark.schema import cognitive_of, complete, provenance
 
 # Half-lives in days, growth per reinforcement, thresholds of upkeep and consolidation.
 HALF_LIFE = {"episodic": 7.0, "procedural": 90.0, "semantic": 3650.0, "entity": 3650.0}
@@ -87,44 +87,11 @@ def merged(pairs: DataFrame) -> DataFrame:
     )
 
 
-def fold(candidates: DataFrame, memories: DataFrame, key: str = "scope") -> DataFrame:
-    """Consolidate in order, each candidate seeing what earlier ones did: seq, op, id per candidate.
+def fold(candidates: DataFrame, memories: DataFrame) -> DataFrame:
+    """seq, op, id: what consolidation makes of candidates, each seeing what earlier ones did."""
+    from memspark.operators.write import decisions  # that module builds on this one
 
-    The order within a scope is part of the meaning, so a scope is folded by one task; scopes fold side
-    by side. Both tables need seq, id, scope, type, content, vec; memories come with seq null.
-    """
-    columns = ["seq", "id", key, "type", "content", "vec"]
-    rows = memories.withColumn("seq", F.lit(None).cast("long")).select(*columns).unionByName(candidates.select(*columns))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        old, new = pdf[pdf.seq.isna()].sort_values("id"), pdf[pdf.seq.notna()].sort_values("seq")
-        ids, kinds, texts = old.id.tolist(), old.type.tolist(), old.content.tolist()
-        vecs = [np.array(v, float) for v in old.vec]
-        alive, out = [True] * len(ids), []
-        for r in new.itertuples():
-            v = np.array(r.vec, float)
-            live = [i for i in range(len(ids)) if alive[i]]
-            best = max(live, key=lambda i: (round(float(vecs[i] @ v), 9), -i), default=None)
-            sim = float(vecs[best] @ v) if best is not None else -1.0
-            same = best is not None and kinds[best] == r.type
-            negated = r.type == "identity" or bool(ft.re.search(ft.NEGATION_CUE, r.content, ft.re.I))
-            if same and sim >= DUPLICATE:
-                op, at = "NOOP", ids[best]
-            elif same and sim >= UPDATE and not negated:
-                op, at = "UPDATE", ids[best]
-                if len(r.content) > len(texts[best]):
-                    texts[best], vecs[best] = r.content, v
-            else:
-                op, at = ("SUPERSEDE" if same and sim >= UPDATE else "ADD"), r.id
-                if op == "SUPERSEDE":
-                    alive[best] = False
-                ids.append(r.id), kinds.append(r.type), texts.append(r.content), vecs.append(v), alive.append(True)
-            out.append((int(r.seq), op, at))
-        return pd.DataFrame(out, columns=["seq", "op", "id"])
-
-    return rows.groupBy(key).applyInPandas(run, "seq long, op string, id string")
+    return decisions(candidates, memories).select("seq", "op", "id")
 
 
 def stale_dependents(replaced: DataFrame, memories: DataFrame, newest: int = 200) -> DataFrame:
@@ -158,6 +125,126 @@ def outcomes(procedures: DataFrame) -> DataFrame:
 def procedures_for(queries: DataFrame, procedures: DataFrame, k: int = 3) -> DataFrame:
     """Procedures by similarity and reliability; queries are few and matched within their scope."""
     both = queries.select("qid", F.col("vec").alias("qv"), "scope").join(procedures, "scope")
+    # k is small, so the window keeps few of each question on its way.
     total = F.round(0.7 * dot(F.col("qv"), F.col("vec")) + 0.3 * F.col("reliability"), 6)
     order = Window.partitionBy("qid").orderBy(F.desc("total"), "id")
     return both.withColumn("total", total).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("qid", "rank", "id", "total")
+
+
+def learn_procedures(recipes: DataFrame, now: Column, agent: str = "cli") -> DataFrame:
+    """Memories of recipes (trigger, steps, scope, success_signal): redacted, embedded, of even reliability."""
+    line = ft.redact(F.concat(F.lit("When "), F.col("trigger"), F.lit(": "), F.concat_ws("; ", "steps")))
+    from memspark.operators.write import new_id
+
+    rows = recipes.withColumn("content", line).withColumn("trigger", ft.redact(F.col("trigger")))
+    parts = rows.withColumn("_row", F.monotonically_increasing_id()).select("*", F.posexplode_outer("steps").alias("_at", "_step")).withColumn("_step", ft.redact(F.col("_step")))
+    keys = [c for c in rows.columns if c != "steps"]
+    rows = parts.groupBy("_row", *keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_step"))), lambda x: x["_step"]).alias("steps"))
+    made = rows.withColumns({
+        "id": new_id(F.lit("procedure"), F.col("content"), F.col("scope")), "type": F.lit("procedure"), "cognitive": F.lit("procedural"), "importance": F.lit(0.6), "confidence": F.lit(0.6),
+        "success_count": F.lit(0), "reliability": F.lit(0.5), "provenance": F.array(provenance(agent, "procedure", "user-asserted", at=now)), "vec": ft.hash_embed(F.col("content")),
+        **{c: now for c in ("valid_from", "recorded_at", "created_at", "updated_at", "last_seen_at")},
+    })
+    return complete(made)
+
+
+def record_outcomes(memories: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """Procedures after results (id, seq, ok), in order: a success sets reliability from their number, a failure lowers it."""
+    lists = results.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "ok"))), lambda x: x["ok"]).alias("_ok"))
+    both = complete(memories).join(lists, "id", "left")
+    hit = F.col("_ok").isNotNull() & (F.col("type") == "procedure")
+    start = F.struct(F.coalesce("success_count", F.lit(0)).cast("long").alias("n"), F.coalesce("reliability", F.lit(0.5)).alias("r"))
+    lower = lambda s: F.greatest(s["r"] - 0.15, F.lit(0.0))
+    step = lambda s, ok: F.when(ok, F.struct((s["n"] + 1).alias("n"), F.least(0.5 + 0.1 * (s["n"] + 1), F.lit(1.0)).alias("r"))).otherwise(F.struct(s["n"].alias("n"), lower(s).alias("r")))
+    done, good = F.aggregate("_ok", start, step), F.size(F.filter("_ok", lambda x: x))
+    new = {
+        "success_count": F.when(hit, done["n"]).otherwise(F.col("success_count")), "reliability": F.when(hit, F.round(done["r"], 6)).otherwise(F.col("reliability")),
+        "reinforced": F.col("reinforced") + F.when(hit, good).otherwise(0), "last_seen_at": F.when(hit & (good > 0), now).otherwise(F.col("last_seen_at")),
+        "updated_at": F.when(hit, now).otherwise(F.col("updated_at")),
+    }
+    return both.withColumns(new).drop("_ok")
+
+
+def forget(memories: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """The listed memories are forgotten, softly: they stay until they are purged."""
+    hit = F.coalesce("_hit", F.lit(False))
+    both = memories.join(ids.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left")
+    both = both.withColumn("status", F.when(hit, F.lit("forgotten")).otherwise(F.col("status")))
+    return both.withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at"))).select(*memories.columns)
+
+
+def edit(memories: DataFrame, edits: DataFrame, now: Column, replica: str = "") -> DataFrame:
+    """Memories after edits (id, and content, scope, type, importance where they are to change; seq).
+
+    Content is redacted and embedded again if it changed; importance is clamped; an edited memory gets a
+    clock after all others, edits in the order of seq. Several edits of one memory: the last counts.
+    """
+    last = edits.groupBy("id").agg(*[F.max_by(c, "seq").alias(f"_{c}") for c in ("content", "scope", "type", "importance")], F.max("seq").alias("_seq"))
+    before = F.coalesce(F.sum(F.lit(1)).over(Window.orderBy("_seq", "id").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    last = last.withColumn("_tick", before)  # as many rows as memories edited by hand
+    m = complete(memories)
+    top = m.agg(F.coalesce(F.max("clock"), F.lit(0))).first()[0]
+    both = m.join(last, "id", "left")
+    hit = F.col("_seq").isNotNull()
+    both = both.withColumn("_content", ft.redact(F.col("_content")))
+    changed = hit & F.col("_content").isNotNull() & (F.col("_content") != F.col("content"))
+    kind = F.coalesce("_type", "type")
+    both = both.withColumns({
+        "vec": F.when(changed, ft.hash_embed(F.coalesce("_content", F.lit("")))).otherwise(F.col("vec")), "content": F.coalesce("_content", "content"), "scope": F.coalesce("_scope", "scope"),
+        "type": kind, "cognitive": F.when(F.col("_type").isNotNull(), cognitive_of(kind)).otherwise(F.col("cognitive")),
+        "importance": F.when(F.col("_importance").isNull(), F.col("importance")).otherwise(F.least(F.greatest(F.col("_importance").cast("double"), F.lit(0.0)), F.lit(1.0))),
+        "updated_at": F.when(hit, now).otherwise(F.col("updated_at")), "clock": F.when(hit, F.lit(top) + F.col("_tick")).otherwise(F.col("clock")), "replica": F.when(hit, F.lit(replica)).otherwise(F.col("replica")),
+    })
+    return both.select(*m.columns)
+
+
+def resolve_stale(memories: DataFrame, verdicts: DataFrame, now: Column) -> DataFrame:
+    """Review verdicts (id, keep): kept memories lose their flags, the others are forgotten."""
+    m = complete(memories)
+    both = m.join(verdicts.groupBy("id").agg(F.min("keep").alias("_keep")), "id", "left")
+    keep, gone = F.coalesce("_keep", F.lit(False)), F.coalesce(~F.col("_keep"), F.lit(False))
+    both = both.withColumns({
+        "stale": F.col("stale") & ~keep, "conflict": F.col("conflict") & ~keep, "stale_reason": F.when(~keep, F.col("stale_reason")),
+        "status": F.when(gone, F.lit("forgotten")).otherwise(F.col("status")), "updated_at": F.when(F.col("_keep").isNotNull(), now).otherwise(F.col("updated_at")),
+    })
+    return both.select(*m.columns)
+
+
+def reembed(memories: DataFrame, embed=ft.hash_embed) -> DataFrame:
+    """Memories with vectors of another embedder, a function of a text column; hubs stay without."""
+    return memories.withColumn("vec", F.when(~F.coalesce("hub", F.lit(False)), embed(F.coalesce("content", F.lit("")))))
+
+
+def insights(memories: DataFrame, synthesize, least: int = 3, sources: int = 10, shown: int = 30) -> DataFrame:
+    """scope, at, content, sources: what ``synthesize`` makes of each scope with enough to reflect on.
+
+    ``synthesize`` maps a column with up to ``shown`` contents, newest first, to one with up to three
+    insights; a hosted model is a pandas function, and there is none by default. Memories made that way
+    aren't reflected on again.
+    """
+    m = complete(memories).filter("status = 'active' and not hub and not reflection")
+    newest = Window.partitionBy("scope").orderBy(F.desc("created_at"), "id")
+    sized = m.groupBy("scope").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    top = m.withColumn("_at", F.row_number().over(newest)).filter(F.col("_at") <= shown).join(sized, "scope")
+    rows = F.array_sort(F.collect_list(F.struct("_at", "id", "content")))
+    per = top.groupBy("scope").agg(rows.alias("rows"))
+    made = per.select("scope", F.slice(synthesize(F.transform("rows", lambda x: x["content"])), 1, 3).alias("made"), F.transform(F.slice("rows", 1, sources), lambda x: x["id"]).alias("sources"))
+    each = made.select("scope", F.posexplode("made").alias("at", "content"), "sources").withColumn("content", F.trim("content"))
+    return each.filter("content <> ''")
+
+
+def reflect(memories: DataFrame, edges: DataFrame, synthesize, now: Column, **how) -> dict[str, DataFrame]:
+    """insights() written as memories that cite their sources by derived_from edges."""
+    from memspark.operators import graph
+    from memspark.operators.write import consolidate, new_id
+    from memspark.session import numbered, saved
+
+    found = numbered(insights(memories, synthesize, **how), F.col("scope"), F.col("at"), name="seq")
+    found = saved(found.withColumns({
+        "id": new_id(F.lit("fact"), F.col("content"), F.col("scope")), "type": F.lit("fact"), "cognitive": F.lit("semantic"), "importance": F.lit(0.7), "confidence": F.lit(0.7), "reflection": F.lit(True),
+        "provenance": F.array(provenance("reflect", "reflect", at=now)), "vec": ft.hash_embed(F.col("content")),
+    }), "insights")
+    out = consolidate(memories, edges, complete(found, "seq"), now)
+    cited = out["decisions"].filter("op <> 'NOOP'").select("seq", "id").join(found.select("seq", F.explode("sources").alias("source")), "seq")
+    out["edges"] = out["edges"].unionByName(cited.select(*graph.edge(F.col("id"), F.col("source"), "derived_from"))).dropDuplicates(["id"])
+    return out

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as ft
-from memspark.functions.vectors import nearest
+from memspark.functions.vectors import CELLS, best_of, nearest
 from memspark.operators import lifecycle
+from memspark.operators.store import visible
+from memspark.schema import GLOBAL, complete
+from memspark.session import few, saved
 
 # Fusion, candidates, seeds, weights of the signals, penalty, similarity cuts, packing.
 RRF_K, CANDIDATES, SEEDS, TOP = 60, 50, 5, 8
 WEIGHTS = {"rrf": 0.35, "sim": 0.22, "salience": 0.12, "recency": 0.08, "confidence": 0.08, "graph": 0.15}
 STALE_PENALTY, SAME, PACK_SAME = 0.6, 0.9, 0.85
 BUDGET, FLOOR, CHARS_PER_TOKEN = 1500, 0.22, 4
-RERANKED, BLEND = 25, 0.5
+RERANKED, BLEND, RERANK_FETCH = 25, 0.5, 30
 BM25_K1, BM25_B = 1.2, 0.75
-#: Different tokens of all questions up to which they are broadcast.
-BROADCAST_TOKENS = 200_000
 
 
 def dense(queries: DataFrame, memories: DataFrame, k: int = CANDIDATES) -> DataFrame:
@@ -25,17 +28,26 @@ def dense(queries: DataFrame, memories: DataFrame, k: int = CANDIDATES) -> DataF
     return nearest(queries, memories, k)
 
 
+#: In place of a token, in the row that every memory has for its length.
+_LENGTH = ""
+
+
 def postings(memories: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """An inverted index: token, id, scope, tf and the memory's length in tokens.
+    """An inverted index, written: token, id, scope, tf and the memory's length in tokens, and for the empty token every memory.
 
-    With a table of asked tokens only their postings are made, before anything is shuffled.
+    Contents are read once. With a table of asked tokens only their postings are made, before anything
+    is shuffled.
     """
     words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0))
-    each = memories.select("id", "scope", words.alias("words")).select("id", "scope", F.size("words").alias("len"), F.explode("words").alias("token"))
+    each = memories.select("id", "scope", words.alias("words")).select("id", "scope", F.size("words").alias("len"), F.explode(F.concat("words", F.array(F.lit(_LENGTH)))).alias("token"))
     if asked is not None:
-        few = asked.select("token").distinct()
-        each = each.join(F.broadcast(few) if few.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS else few, "token", "left_semi")
-    return each.groupBy("token", "id", "scope", "len").agg(F.count("*").alias("tf"))
+        wanted = saved(asked.select("token").union(asked.sparkSession.createDataFrame([(_LENGTH,)], "token string")).distinct(), "tokens")
+        each = each.join(few(wanted, 48), "token", "left_semi")
+    return saved(each.groupBy("token", "id", "scope", "len").agg(F.count("*").alias("tf")), "postings")
+
+
+def sees(query_scope: str = "q_scope", scope: str = "scope"):
+    return visible(F.col(query_scope), F.col(scope))
 
 
 def bm25(queries: DataFrame, memories: DataFrame, k: int = CANDIDATES, terms: int = 12) -> DataFrame:
@@ -44,11 +56,12 @@ def bm25(queries: DataFrame, memories: DataFrame, k: int = CANDIDATES, terms: in
     The index is joined on the terms that queries use, so its other postings never leave the scan side.
     """
     words = F.slice(ft.tokens(F.col("text")), 1, terms)
-    asked = queries.select("qid", F.col("scope").alias("q_scope"), F.explode(words).alias("token"))
+    asked = saved(queries.select("qid", F.col("scope").alias("q_scope"), F.explode(words).alias("token")), "asked")
     index = postings(memories, asked)
-    stats = memories.agg(F.count("*").alias("docs"), F.avg(F.size(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("avg_len"))
+    stats = index.filter(F.col("token") == _LENGTH).agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
+    index = index.filter(F.col("token") != _LENGTH)
     df = index.groupBy("token").agg(F.count("*").alias("df"))
-    hit = asked.join(index, "token").filter(F.col("q_scope").isNull() | (F.col("scope") == F.col("q_scope")) | (F.col("scope") == "global"))
+    hit = few(asked, 64).join(index, "token").filter(sees())
     hit = hit.join(df, "token").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len")))
@@ -56,19 +69,66 @@ def bm25(queries: DataFrame, memories: DataFrame, k: int = CANDIDATES, terms: in
     return _top(scored, "score", k)
 
 
+#: Bytes of questions that one pass over the memories answers.
+ASKED_BYTES = 4 << 20
+
+
 def keyword_hits(queries: DataFrame, memories: DataFrame, k: int = CANDIDATES, terms: int = 8) -> DataFrame:
     """qid, rank, id, score: how many of a query's first terms a memory contains anywhere.
 
-    Substrings have no index: memories are compared with every query, of which there are few beside
-    them; the queries are broadcast once their size is known.
+    One automaton over the terms of all queries finds those that a content holds in one pass over it,
+    whatever their number; a partition keeps its best k of each query.
     """
-    words = F.slice(ft.tokens(F.col("text")), 1, terms)
-    asked = queries.select("qid", F.col("scope").alias("q_scope"), words.alias("terms"))
-    small = asked.limit(50_001).count() <= 50_000
-    pairs = memories.select("id", "scope", F.lower("content").alias("low")).join(F.broadcast(asked) if small else asked, F.col("q_scope").isNull() | (F.col("scope") == F.col("q_scope")) | (F.col("scope") == "global"))
-    hits = F.size(F.filter("terms", lambda t: F.col("low").contains(t)))
-    scored = pairs.select("qid", "id", hits.cast("double").alias("score")).filter("score > 0")
-    return _top(scored, "score", k)
+    spark, out = queries.sparkSession, None
+    asked = saved(queries.select("qid", F.col("scope").alias("q_scope"), F.slice(ft.tokens(F.col("text")), 1, terms).alias("terms")), "asked")
+    size = asked.agg(F.sum(F.length(F.concat_ws("", "terms")) + 32)).first()[0] or 0
+    parts = max(1, -(-size // ASKED_BYTES))
+    for p in range(parts):
+        got = (asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == p)).toArrow()
+        held = spark.sparkContext.broadcast((got["qid"].to_numpy(), got["q_scope"].to_pylist(), got["terms"].to_pylist()))
+
+        def run(batches, held=held):
+            import ahocorasick
+
+            qid, scopes, lists = held.value
+            owners: dict[str, list[int]] = {}
+            for j, words in enumerate(lists):
+                for w in words or ():
+                    owners.setdefault(w, []).append(j)
+            if not owners:
+                return
+            machine = ahocorasick.Automaton()
+            for n, w in enumerate(owners):
+                machine.add_word(w, n)
+            machine.make_automaton()
+            asks = [np.array(x) for x in owners.values()]
+            row, score, name = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, "U1")
+            for batch in batches:
+                sight = {s: np.array([q is None or q == s or s == GLOBAL for q in scopes]) for s in batch.column(1).unique().to_pylist()}
+                rows, scores, names, size = [row], [score], [name], 0
+                for i, s, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    hits = {n for _, n in machine.iter(low)} if low else ()
+                    if not hits:
+                        continue
+                    count = np.bincount(np.concatenate([asks[n] for n in hits]), minlength=len(qid)) * sight[s]
+                    at = np.flatnonzero(count)
+                    rows.append(at), scores.append(count[at].astype(float)), names.append(np.full(len(at), i))
+                    size += len(at)
+                    if size > CELLS:
+                        rows, scores, names = ([x] for x in best_of(*map(np.concatenate, (rows, scores, names)), k))
+                        size = 0
+                row, score, name = best_of(*map(np.concatenate, (rows, scores, names)), k)
+            if len(row):
+                yield pa.RecordBatch.from_pydict({"qid": pa.array(qid[row], pa.int64()), "id": pa.array(name.tolist(), pa.string()), "score": pa.array(score)})
+
+        found = memories.select(F.col("id").cast("string").alias("id"), "scope", F.lower("content").alias("low")).mapInArrow(run, "qid long, id string, score double")
+        out = found if out is None else out.unionByName(found)
+    return _top(out, "score", k)
+
+
+def keyword_scores(ranked: DataFrame) -> DataFrame:
+    """A keyword leg's places as scores: 1, 1/2, 1/3, .."""
+    return ranked.withColumn("score", F.lit(1.0) / (F.col("rank") + 1))
 
 
 def _top(scored: DataFrame, by: str, k: int) -> DataFrame:
@@ -86,21 +146,31 @@ def fuse(*legs: DataFrame) -> DataFrame:
     return out.withColumn("rrf", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy("qid")), 9)).select("qid", "id", "rrf")
 
 
-def neighbours(seeds: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
-    """key, id: nodes within some steps of each seed (key, id) along edges either way, the seed aside."""
+def neighbours(seeds: DataFrame, edges: DataFrame, depth: int = 1, deep: str | None = None) -> DataFrame:
+    """key, id: nodes within some steps of each seed (key, id) along edges either way, the seed aside.
+
+    With ``deep``, a boolean column of the seeds, those for which it is false go one step only.
+    """
     both = edges.select(F.col("from_id").alias("at"), F.col("to_id").alias("next")).union(edges.select("to_id", "from_id")).distinct()
-    front, seen = seeds.select("key", "id"), seeds.select("key", "id")
-    for _ in range(depth):
-        front = front.join(both, F.col("id") == F.col("at")).select("key", F.col("next").alias("id")).distinct()
-        seen = seen.unionByName(front).distinct()
+    keep = ["key", "id", *([deep] if deep else [])]
+    front, seen = seeds.select(*keep), seeds.select("key", "id")
+    for step in range(depth):
+        front = front if step == 0 or deep is None else front.filter(deep)
+        front = front.join(both, F.col("id") == F.col("at")).select("key", F.col("next").alias("id"), *keep[2:]).distinct()
+        seen = seen.unionByName(front.select("key", "id")).distinct()
     return seen.join(seeds.select("key", "id"), ["key", "id"], "left_anti")
 
 
-def graph_mass(fused: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
-    """qid, id, graph: the fused score of the best seeds that reach a node, scaled to a largest of 1."""
+def graph_mass(fused: DataFrame, edges: DataFrame, depth: int = 1, deep: DataFrame | None = None) -> DataFrame:
+    """qid, id, graph: the fused score of the best seeds that reach a node, scaled to a largest of 1.
+
+    ``deep`` (qid, deep) tells which questions go two steps, the others going one.
+    """
     order = Window.partitionBy("qid").orderBy(F.desc("rrf"), "id")
-    seeds = fused.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SEEDS).select(F.struct("qid", F.col("id").alias("seed"), "rrf").alias("key"), "id")
-    reached = neighbours(seeds, edges, depth).select("key.qid", "id", "key.rrf")
+    seeds = fused.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SEEDS)
+    seeds = seeds.select(F.struct("qid", F.col("id").alias("seed"), "rrf").alias("key"), "id", "qid")
+    seeds = seeds.drop("qid") if deep is None else seeds.join(deep, "qid").drop("qid")
+    reached = neighbours(seeds, edges, depth if deep is None else 2, None if deep is None else "deep").select("key.qid", "id", "key.rrf")
     mass = reached.groupBy("qid", "id").agg(F.sum("rrf").alias("raw"))
     return mass.withColumn("graph", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy("qid")), 9)).select("qid", "id", "graph")
 
@@ -135,34 +205,134 @@ def distinct_enough(ranked: DataFrame, k: int, same: float = SAME, text: str = "
     return ids.join(ranked, ["qid", "id"])
 
 
-def recall(queries: DataFrame, memories: DataFrame, edges: DataFrame, now, k: int = TOP, depth: int = 1, candidates: int = CANDIDATES) -> DataFrame:
-    """The whole path: legs, fusion, graph, ranking and removal of repeats."""
-    d = dense(queries, memories, candidates)
-    s = bm25(queries, memories, candidates)
-    fused = fuse(d, s)
-    graph = graph_mass(fused, edges, depth)
-    scope = queries.select("qid", F.col("scope").alias("q_scope"))
-    both = fused.join(graph, ["qid", "id"], "full_outer").join(d.select("qid", "id", "sim"), ["qid", "id"], "left").join(scope, "qid")
-    both = both.fillna(0.0, ["rrf", "graph", "sim"])
-    known = memories.filter("status = 'active' and not hub").drop("vec")
-    seen = both.join(known, "id").filter(F.col("q_scope").isNull() | (F.col("scope") == F.col("q_scope")) | (F.col("scope") == "global"))
-    ranked = score(seen, now)
+_SIGNALS = ["id", "scope", "cognitive", "importance", "confidence", "last_seen_at", "reinforced", "stale"]
+
+
+def candidates_of(queries: DataFrame, memories: DataFrame, edges: DataFrame, now, depth: int | None = None, candidates: int = CANDIDATES) -> DataFrame:
+    """qid, id, rrf, sim, graph, the signals, score, and rank from 0: all that the legs and the graph bring up.
+
+    Both legs are written once, and contents stay out of the ranking. A question that spans subjects
+    goes two steps into the graph, unless a depth is given for all.
+    """
+    queries = saved(queries.select("qid", "text", "scope", "vec"), "questions")
+    live = memories.filter("status = 'active' and not coalesce(hub, false)")
+    d = saved(dense(queries, live, candidates), "dense")
+    fused = saved(fuse(d, saved(bm25(queries, live, candidates), "keywords")), "fused")
+    deep = queries.select("qid", (ft.multi_hop(F.col("text")) if depth is None else F.lit(depth > 1)).alias("deep"))
+    graph = saved(graph_mass(fused, edges, deep=deep), "graph")
+    both = fused.join(graph, ["qid", "id"], "full_outer").join(d.select("qid", "id", "sim"), ["qid", "id"], "left").fillna(0.0, ["rrf", "graph", "sim"])
+    both = saved(both.join(queries.select("qid", F.col("scope").alias("q_scope")), "qid"), "candidates")
+    seen = few(both, 96).join(live.select(*_SIGNALS), "id").filter(sees())
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return distinct_enough(ranked.withColumn("rank", F.row_number().over(order).cast("long") - 1), k)
+    return saved(score(seen, now).withColumn("rank", F.row_number().over(order).cast("long") - 1).drop("q_scope"), "ranked")
+
+
+def recall(queries: DataFrame, memories: DataFrame, edges: DataFrame, now, k: int = TOP, depth: int | None = None, candidates: int = CANDIDATES, reranker=None) -> DataFrame:
+    """The whole path: legs, fusion, graph, ranking, removal of repeats, and on request a second ranking.
+
+    Gives qid, place from 0, and the memory's columns but its vector. ``reranker`` maps the columns of a
+    question's tokens and a content to a relevance, like ``lexical``; more are fetched for it.
+    """
+    fetch = k if reranker is None else max(k, RERANK_FETCH)
+    ranked = candidates_of(queries, memories, edges, now, depth, max(candidates, k))
+    ids = saved(ranked.select("id").distinct(), "ids")
+    known = memories.drop("vec", *_SIGNALS[1:]).join(few(ids, 48), "id")
+    hits = distinct_enough(ranked.join(known, "id"), fetch)
+    if reranker is None:
+        return hits
+    again = rerank(hits.drop("rank").withColumnRenamed("place", "rank"), queries, scorer=reranker)
+    return again.filter(F.col("place") < k).drop("score").withColumnRenamed("final", "score")
+
 
+def touch(memories: DataFrame, hits: DataFrame, now) -> DataFrame:
+    """Memories after recall has surfaced some: each hit is a reinforcement."""
+    n = hits.groupBy("id").agg(F.count("*").cast("double").alias("_n"))
+    both = memories.join(n, "id", "left").withColumn("reinforced", F.coalesce("reinforced", F.lit(0.0)) + F.coalesce("_n", F.lit(0.0)))
+    return both.withColumn("last_seen_at", F.when(F.col("_n").isNotNull(), now).otherwise(F.col("last_seen_at"))).select(*memories.columns)
 
-def rerank(hits: DataFrame, queries: DataFrame, n: int = RERANKED, blend: float = BLEND) -> DataFrame:
-    """Blend the best n scores with how well query terms are covered; the tail stays after them."""
+
+def lexical(asked, words):
+    """How well a content's words cover a question's terms, and how densely."""
+    coverage = F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, F.array_distinct(words))) / F.size(asked)).otherwise(0.0)
+    density = F.when(F.size(words) > 0, F.size(F.filter(words, lambda t: F.array_contains(asked, t))) / F.size(words)).otherwise(0.0)
+    return F.when((F.size(asked) > 0) & (F.size(words) > 0), 0.7 * coverage + 0.3 * density).otherwise(0.0)
+
+
+def rerank(hits: DataFrame, queries: DataFrame, n: int = RERANKED, blend: float = BLEND, scorer=lexical) -> DataFrame:
+    """Blend the best n scores with a second relevance; the tail stays after them, as it was."""
     q = queries.select("qid", ft.tokens(F.col("text")).alias("asked"))
-    words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0))
-    both = hits.join(q, "qid").withColumn("words", words)
-    coverage = F.when(F.size("asked") > 0, F.size(F.array_intersect("asked", F.array_distinct("words"))) / F.size("asked")).otherwise(0.0)
-    density = F.when(F.size("words") > 0, F.size(F.filter("words", lambda t: F.array_contains("asked", t))) / F.size("words")).otherwise(0.0)
-    lexical = F.when((F.size("asked") > 0) & (F.size("words") > 0), 0.7 * coverage + 0.3 * density).otherwise(0.0)
+    both = hits.join(q, "qid").withColumn("words", F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0)))
+    return _blended(both.withColumn("again", scorer(F.col("asked"), F.col("words"))), n, blend).drop("asked", "words", "again")
+
+
+def cross_rerank(hits: DataFrame, queries: DataFrame, model, n: int = RERANKED, blend: float = BLEND) -> DataFrame:
+    """rerank() by a model of (question, content), such as a pandas function; its scores are scaled to 0..1 per question."""
+    both = hits.join(queries.select("qid", F.col("text").alias("question")), "qid")
+    raw = both.withColumn("raw", F.when(F.col("rank") < n, model(F.col("question"), F.col("content"))))
+    per = Window.partitionBy("qid")
+    low, high = F.min("raw").over(per), F.max("raw").over(per)
+    scaled = raw.withColumn("again", (F.col("raw") - low) / F.when(high > low, high - low).otherwise(1.0))
+    return _blended(scaled, n, blend).drop("question", "raw", "again")
+
+
+def _blended(both: DataFrame, n: int, blend: float) -> DataFrame:
     top = F.col("rank") < n
-    both = both.withColumn("final", F.round(F.when(top, (1 - blend) * F.col("score") + blend * lexical).otherwise(F.col("score")), 6))
+    both = both.withColumn("final", F.round(F.when(top, (1 - blend) * F.col("score") + blend * F.col("again")).otherwise(F.col("score")), 6))
     order = Window.partitionBy("qid").orderBy((~top).cast("int"), F.when(top, -F.col("final")).otherwise(F.col("rank").cast("double")), "id")
-    return both.withColumn("place", F.row_number().over(order).cast("long") - 1).drop("asked", "words")
+    return both.withColumn("place", F.row_number().over(order).cast("long") - 1)
+
+
+def about(queries: DataFrame, memories: DataFrame, edges: DataFrame, now, k: int = TOP, related: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(facts, related): what is known of each subject, with source and flags, and what the best fact is tied to."""
+    m = complete(memories)
+    hits = saved(recall(queries, m, edges, now, k).select("qid", "place", "id"), "about")
+    source = F.get(F.col("provenance"), F.lit(0))["agent"].alias("source")
+    facts = few(hits, 48).join(m, "id").select("qid", "place", "id", "type", "content", F.bround("confidence", 2).alias("confidence"), source, "stale", "conflict")
+    best = hits.filter("place = 0").select(F.col("qid").alias("key"), "id")
+    near = neighbours(best, edges).withColumnRenamed("key", "qid").join(m.filter("status = 'active'").select("id", "type", "hub", "content"), "id")
+    near = near.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("id"))).filter((F.col("k") <= related) & ~F.col("hub"))
+    return facts, near.select("qid", "id", "type", "content")
+
+
+def proactive(queries: DataFrame, memories: DataFrame, edges: DataFrame, now, k: int = 3, confidence: float = 0.6) -> DataFrame:
+    """The first few of four times as many hits that are certain enough and not stale; nothing rather than something marginal."""
+    fit = recall(queries, memories, edges, now, 4 * k).filter((F.col("confidence") >= confidence) & ~F.coalesce("stale", F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("place")).cast("long") - 1
+    return fit.withColumn("place", place).filter(F.col("place") < k)
+
+
+def matching(queries: DataFrame, memories: DataFrame, edges: DataFrame, now) -> DataFrame:
+    """qid, id: the best match of each question, for verbs that take an id or a question."""
+    return recall(queries, memories, edges, now, 1).select("qid", "id")
+
+
+CONTEXT_HITS, CONTEXT_NEWEST = 20, 200
+
+
+def standing(queries: DataFrame, memories: DataFrame, now, newest: int = CONTEXT_NEWEST, top: int = CONTEXT_HITS) -> DataFrame:
+    """What matters in a scope without a question: of its newest memories the most salient, in the shape of hits.
+
+    The scope is taken exactly; a null one means all. Only the newest of each scope leave the scan.
+    """
+    live = memories.filter("status = 'active'")
+    order = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("created_at"), "id"))
+    asked = queries.select("qid", F.col("scope").alias("q_scope"))
+    own = live.withColumn("n", order("scope")).filter(F.col("n") <= newest)
+    named = own.join(few(asked.filter("q_scope is not null"), 48), F.col("scope") == F.col("q_scope"))
+    last = live.orderBy(F.desc("created_at"), "id").limit(newest).withColumn("n", F.lit(0))
+    anywhere = last.crossJoin(few(asked.filter("q_scope is null"), 48))  # newest rows at most, for each question
+    both = named.unionByName(anywhere).filter(~F.coalesce("hub", F.lit(False))).withColumn("score", F.round(lifecycle.salience(now), 9))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")).cast("long") - 1
+    return both.withColumn("rank", rank).filter(F.col("rank") < top).drop("n", "q_scope")
+
+
+def context(queries: DataFrame, memories: DataFrame, edges: DataFrame, now, budget: int = BUDGET) -> DataFrame:
+    """What matters here, packed under a budget: for questions their hits, for those without text what stands."""
+    plain = memories.drop("vec")
+    asked, open_ = queries.filter("text is not null"), queries.filter("text is null")
+    hits = recall(asked, memories, edges, now, CONTEXT_HITS).drop("rank").withColumnRenamed("place", "rank")
+    shape = ["qid", "rank", "id", "type", "content", "score"]
+    return pack(hits.select(*shape).unionByName(standing(open_, plain, now).select(*shape)), budget)
 
 
 def within_budget(hits: DataFrame, budget: int = BUDGET, order_by: str = "rank") -> DataFrame:
@@ -188,5 +358,5 @@ def pack(hits: DataFrame, budget: int = BUDGET, floor: float = FLOOR) -> DataFra
     kept = distinct_enough(strong, 1_000_000, PACK_SAME)
     placed = edges_first(within_budget(kept))
     line = F.concat(F.lit("- ("), F.col("type"), F.lit(") "), F.col("content"))
-    lines = F.array_sort(F.collect_list(F.struct("position", line.alias("line"))))
+    lines = F.array_sort(F.collect_list(F.struct("position", line.alias("line"))))  # within the budget
     return placed.groupBy("qid").agg(F.count("*").alias("n_facts"), F.sum("cost").alias("n_tokens"), F.concat_ws("\n", F.transform(lines, lambda x: x["line"])).alias("context"))

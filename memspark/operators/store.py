@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memspark.schema import GLOBAL, VISIBILITIES
+from memspark.functions.text import iso
+from memspark.schema import GLOBAL, VISIBILITIES, complete
 
 
 def scan(memories: DataFrame, scope: str | None = None, statuses: tuple[str, ...] = ("active",), limit: int | None = None) -> DataFrame:
@@ -58,3 +59,49 @@ def row_fingerprints(memories: DataFrame, edges: DataFrame) -> DataFrame:
     m = memories.select(F.concat_ws("|", F.lit("M"), *[text(c) for c in ("id", "type", "content", "scope", "status")]).alias("line"))
     e = edges.select(F.concat_ws("|", F.lit("E"), *[text(c) for c in ("from_id", "relation", "to_id")]).alias("line"))
     return m.unionByName(e)
+
+
+def count(memories: DataFrame, statuses: tuple[str, ...] = ("active",)) -> int:
+    return memories.filter(F.col("status").isin(*statuses)).count()
+
+
+def history(log: DataFrame, limit: int = 100) -> DataFrame:
+    """The newest entries of the log of operations."""
+    return log.orderBy(F.desc("seq")).limit(limit)
+
+
+def public(memories: DataFrame) -> DataFrame:
+    """card() with the origin of the first provenance, and times in ISO 8601."""
+    m = complete(memories)
+    origin = F.get(F.col("provenance"), F.lit(0))["origin"].alias("origin")
+    return m.select("id", "type", "cognitive", "content", "scope", F.bround("confidence", 3).alias("confidence"), F.bround("importance", 3).alias("importance"), "status", iso(F.col("valid_from")).alias("valid_from"), iso(F.col("valid_to")).alias("valid_to"), origin)
+
+
+def detail(memories: DataFrame) -> DataFrame:
+    """public() with times, provenance, and attributes but the private ones."""
+    m = complete(memories)
+    said = F.transform("provenance", lambda p: p.withField("ingested_at", iso(p["ingested_at"])))
+    more = [iso(F.col(c)).alias(c) for c in ("created_at", "updated_at", "last_seen_at")]
+    extra = m.select("id", *more, said.alias("provenance"), F.map_filter("attributes", lambda k, _: ~k.startswith("_")).alias("attributes"))
+    return public(m).join(extra, "id")
+
+
+def flagged(memories: DataFrame) -> DataFrame:
+    """public() with the flags that trust depends on."""
+    m = complete(memories)
+    flags = m.select("id", "stale", "conflict", F.col("sig").isNotNull().alias("signed"), F.col("reinforced").cast("int").alias("reinforced"))
+    return public(m).join(flags, "id")
+
+
+def hit_cards(hits: DataFrame, memories: DataFrame, now) -> DataFrame:
+    """public() of hits (qid, place, id, score, sim), with rounded score, similarity and salience."""
+    from memspark.operators.lifecycle import salience
+
+    m = complete(memories).join(hits.select("id").distinct(), "id", "left_semi")
+    scores = hits.select("qid", "place", "id", F.bround("score", 4).alias("score"), F.bround("sim", 4).alias("similarity"))
+    return scores.join(public(m), "id").join(m.select("id", F.bround(salience(now), 4).alias("salience")), "id")
+
+
+def concise(rows: DataFrame) -> DataFrame:
+    """The few columns that a tool's answer needs."""
+    return rows.select(*[c for c in ("qid", "place", "id", "type", "content", "scope", "score") if c in rows.columns])

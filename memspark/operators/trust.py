@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memspark.functions import text as ft
 from memspark.operators.store import shareable, visibility
 from memspark.schema import TYPES
+from memspark.session import numbered, saved
 
 
 def pii_flags(text) -> list:
@@ -33,7 +34,11 @@ def classify_import(facts: DataFrame, tombstones: DataFrame, trusted: DataFrame)
     f = f.join(tombstones.select(F.col("fp").alias("own"), F.lit(True).alias("erased")).distinct(), "own", "left")
     f = f.join(trusted.select("contributor", F.lit(True).alias("known")).distinct(), "contributor", "left")
     verdict = F.when(F.col("own") != F.col("fingerprint"), "tampered").when(F.col("signed") & ~F.col("sig_ok"), "forged").when(F.col("erased"), "erased").when(F.col("known"), "accepted").otherwise("quarantined")
-    return f.withColumn("verdict", verdict).drop("erased", "known").dropDuplicates(["own", "verdict"])
+    f = f.withColumn("verdict", verdict).drop("erased", "known")
+    # Of equal facts the one of the smallest id stays, or of the first contributor.
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("id", "contributor", "scope", "content") if c in f.columns]
+    first = F.min_by(F.struct(*f.columns), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]))
+    return f.groupBy("own", "verdict").agg(first.alias("x")).select("x.*")
 
 
 def chain_breaks(audit: DataFrame) -> DataFrame:
@@ -51,17 +56,16 @@ def chain_breaks(audit: DataFrame) -> DataFrame:
 def merkle_levels(leaves: DataFrame, fan: int = 2) -> DataFrame:
     """root of sorted leaf hashes (leaf), pairwise; an odd last one is paired with itself.
 
-    Positions come from counts per range partition, levels from one aggregation each.
+    Leaves are numbered range by range and written once; a level is an aggregation, and levels are
+    written every few, so that no plan holds all of them.
     """
-    ordered = leaves.repartitionByRange("leaf").sortWithinPartitions("leaf").select("leaf", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    counts = ordered.groupBy("p").agg(F.count("*").alias("n"), F.min("m").alias("first"))
-    base = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    level = ordered.join(F.broadcast(base), "p").select((F.col("base") + F.col("m") - F.col("first")).alias("i"), F.col("leaf").alias("h"))
-    n = leaves.count()
+    level = numbered(leaves.select("leaf", F.monotonically_increasing_id().alias("tie")), F.col("leaf"), F.col("tie"), name="i").select("i", F.col("leaf").alias("h"))
+    n, k = leaves.count(), 0
     while n > 1:
         pairs = level.groupBy(F.floor(F.col("i") / fan).alias("i")).agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b"))
         level = pairs.select("i", F.sha2(F.concat("a", "b"), 256).alias("h"))
-        n = -(-n // fan)
+        n, k = -(-n // fan), k + 1
+        level = saved(level, "merkle") if k % 8 == 0 else level
     return level.select(F.col("h").alias("root"))
 
 
@@ -91,3 +95,8 @@ def macs(facts: DataFrame, key: bytes) -> DataFrame:
         return text.map(lambda t: ft.mac_text(key, t))
 
     return facts.withColumn("mac", mac(F.concat("type", F.lit("|"), F.lower(F.trim("content")))))
+
+
+def verify_macs(facts: DataFrame, key: bytes) -> DataFrame:
+    """facts with ``ok``: whether their mac is that of macs()."""
+    return macs(facts.withColumnRenamed("mac", "_said"), key).withColumn("ok", F.col("_said") == F.col("mac")).drop("mac").withColumnRenamed("_said", "mac")

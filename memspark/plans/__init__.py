@@ -22,7 +22,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from memspark.plans import corpus, recall  # noqa: F401  they register their queries
+    from memspark.plans import corpus, recall, writing  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable]:

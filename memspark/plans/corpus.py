@@ -6,32 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as ft
-from memspark.functions.vectors import nearest
-from memspark.operators import analytics, graph, lifecycle, merge, store, trust
-from memspark.plans import register
-from memspark.plans.model import EDGES, MEM, NOW, QUESTIONS, START, edges, memories, now, questions, table, vectors
+from memspark.operators import analytics, evaluate, governance, graph, lifecycle, merge, store, trust
+from memspark.plans import register, words
+from memspark.plans.model import EDGES, MEM, NOW, START, edges, memories, now, table
 from memspark.plans.recall import SALIENCE
+from memspark.session import saved
 from memspark.sources import notes, snapshots
 from memspark.streaming import ingest
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in ft.STOPWORDS) + "]"
-_SQL_CUE = lambda p: "'(?i)" + p.replace("'", "''") + "'"
-
-
-def _entities(c: str) -> str:
-    """key_entities() in SQL, as a set in order of first mention."""
-    found = f"list_transform(regexp_extract_all({c}, '[A-Za-z][A-Za-z0-9.+#_-]*'), lambda t: regexp_replace(t, '[.+#_-]+$', ''))"
-    return f"list_filter(list_distinct(list_transform(list_filter({found}, lambda t: length(t) >= 3 AND regexp_matches(t, '^[A-Z]|[.+#_0-9-]')), lambda t: lower(t))), lambda t: NOT list_contains({_STOP}, t))"
-
-
-def _kind(c: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({c}, {_SQL_CUE(p)}) THEN '{k}'" for k, p in ft.TYPE_CUES) + " ELSE 'fact' END"
-
-
-def _gate(c: str) -> str:
-    return f"(CASE WHEN regexp_matches({c}, {_SQL_CUE(ft.FACT_CUE)}) THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN len(regexp_extract_all({c}, '\\S+')) BETWEEN 4 AND 400 THEN 0.2::DOUBLE ELSE 0 END)"
-
-
 _NOTES = [
     "# Notes\n- We decided to use Postgres over Mongo because it needs ACID.\n* always use pytest for tests\nok thanks\n```\nsecret fenced code line here\n```\nThe billing service is built with FastAPI. Deploys are frozen on Fridays!\n---\n1. I prefer dark mode rather than light",
     "My name is Alice and I work as an engineer.\n\nRemember: we always use pytest, never unittest.",
@@ -39,11 +21,13 @@ _NOTES = [
 ]
 
 
-def _fx_notes(spark):
-    return spark.createDataFrame(list(enumerate(_NOTES)), "note long, text string")
+def _fx_notes(spark, d):
+    """The notes above, and all documents as notes."""
+    fixed = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(_NOTES)], "note long, text string")
+    return fixed.unionByName(table(spark, d, "documents").select(F.col("doc_id").alias("note"), "text"))
 
 
-_FX_NOTES = "fx AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for i, t in enumerate(_NOTES)) + ") AS t(note, text))"
+_FX_NOTES = "fx AS (SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, '" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for i, t in enumerate(_NOTES)) + ") AS t(note, text) UNION ALL SELECT doc_id, text FROM documents)"
 
 # Scans, projections, predicates.
 
@@ -79,15 +63,25 @@ def s06(spark, d):
     return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select(F.col("event_id").alias("seq"), F.col("event_type").alias("op"))
 
 
-@register("s12_markdown", f"WITH {MEM} SELECT scope, '## ' || scope || chr(10) || chr(10) || string_agg('- **' || type || '**: ' || content, chr(10) ORDER BY type, id) AS body FROM mem WHERE status = 'active' GROUP BY scope")
+@register("s12_markdown", f"WITH {MEM}, a AS (SELECT * FROM mem WHERE status = 'active') SELECT scope AS section, '1' || type || ' ' || id AS place, '- **' || type || '**: ' || content AS line FROM a UNION ALL SELECT DISTINCT scope, '0', '## ' || scope FROM a")
 def s12(spark, d):
     return notes.markdown(store.scan(memories(spark, d)))
 
 
-@register("s13_portable_json", f"""WITH {MEM} SELECT id, '{{"id":"' || id || '","type":"' || type || '"' AS head FROM mem""")
+@register("s13_portable_json", f"""WITH {MEM} SELECT id, type, scope, CAST(round_even(confidence, 3) AS DOUBLE) AS confidence, CAST(round_even(importance, 3) AS DOUBLE) AS importance, sha256(content) AS content_sha,
+strftime(make_timestamp(valid_from * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS valid_from, strftime(make_timestamp(valid_to * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS valid_to FROM mem""")
 def s13(spark, d):
-    r = snapshots.records(memories(spark, d))
-    return r.select("id", F.regexp_extract("record", r'^(\{"id":"[^"]*","type":"[^"]*")', 1).alias("head"))
+    r = spark.createDataFrame([], snapshots.RECORD).schema
+    x = snapshots.records(memories(spark, d)).select(F.from_json("record", r).alias("r"))
+    return x.select("r.id", "r.type", "r.scope", "r.confidence", "r.importance", F.sha2("r.content", 256).alias("content_sha"), "r.valid_from", "r.valid_to")
+
+
+@register("s13b_portable_root", f"""WITH RECURSIVE {MEM}, l AS (SELECT row_number() OVER (ORDER BY h) - 1 AS i, h FROM (SELECT sha256(type || '|' || lower(trim(content, ' '))) AS h FROM mem WHERE status = 'active' AND NOT hub)),
+t AS (SELECT list(h ORDER BY i) AS hs FROM l UNION ALL SELECT list_transform(range(0, (len(hs) + 1) // 2), lambda k: sha256(hs[2 * k + 1] || coalesce(hs[2 * k + 2], hs[2 * k + 1]))) FROM t WHERE len(hs) > 1)
+SELECT 'portable-agent-memory' AS format, (SELECT count(*) FROM l) AS n, hs[1] AS merkle_root FROM t WHERE len(hs) = 1""")
+def s13b(spark, d):
+    head = snapshots.portable(memories(spark, d), edges(spark, d), "memspark", now())["header"]
+    return head.select(F.get_json_object("header", "$.format").alias("format"), F.get_json_object("header", "$.count").cast("long").alias("n"), F.get_json_object("header", "$.integrity.merkle_root").alias("merkle_root"))
 
 
 @register("s21_fingerprint_sha", f"WITH {MEM} SELECT id, sha256(type || '|' || lower(trim(content, ' '))) AS fp FROM mem")
@@ -106,22 +100,22 @@ def f05(spark, d):
     return m.select("id", store.visibility(m).alias("visibility"))
 
 
-@register("f06_share_select", f"WITH {MEM} SELECT id FROM mem WHERE status = 'active' AND NOT hub AND (scope = 'project:src0' OR starts_with(scope, 'project:src0:')) AND (visibility IS NOT NULL OR type <> 'identity')")
+@register("f06_share_select", f"WITH {MEM} SELECT id FROM mem WHERE status = 'active' AND NOT hub AND (scope = 'project:src1' OR starts_with(scope, 'project:src1:')) AND (visibility IS NOT NULL OR type <> 'identity')")
 def f06(spark, d):
-    return store.shareable(memories(spark, d), "project:src0").select("id")
+    return store.shareable(memories(spark, d), "project:src1").select("id")
 
 
-@register("f07_gate", f"SELECT doc_id, round({_gate('text')}, 6) AS gate FROM documents")
+@register("f07_gate", f"SELECT doc_id, round({words.gate('text')}, 6) AS gate FROM documents")
 def f07(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(ft.gate(F.col("text")), 6).alias("gate"))
 
 
-@register("f08_multi_hop", f"SELECT item_id, regexp_matches(text, {_SQL_CUE(ft.MULTIHOP_CUE)}) OR len({_entities('text')}) >= 2 AS multi FROM benchmark")
+@register("f08_multi_hop", f"SELECT doc_id, {words.multi_hop('text')} AS multi FROM documents")
 def f08(spark, d):
-    return table(spark, d, "benchmark").select("item_id", ft.multi_hop(F.col("text")).alias("multi"))
+    return table(spark, d, "documents").select("doc_id", ft.multi_hop(F.col("text")).alias("multi"))
 
 
-@register("f09_contradicts", f"WITH {MEM} SELECT id, regexp_matches(content, {_SQL_CUE(ft.NEGATION_CUE)}) OR type = 'identity' AS against FROM mem")
+@register("f09_contradicts", f"WITH {MEM} SELECT id, regexp_matches(content, {words.NEGATION}) OR type = 'identity' AS against FROM mem")
 def f09(spark, d):
     return memories(spark, d).select("id", ft.contradicts(F.col("content"), F.col("type")).alias("against"))
 
@@ -140,7 +134,7 @@ def t02(spark, d):
     return table(spark, d, "documents").select("doc_id", *trust.pii_flags(F.col("text")))
 
 
-@register("t03_secret_kinds", "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in ft.SECRETS) + ") AS kinds FROM documents")
+@register("t03_secret_kinds", "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in words.SECRETS) + ") AS kinds FROM documents")
 def t03(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws(",", ft.secret_kinds(F.col("text"))).alias("kinds"))
 
@@ -150,7 +144,7 @@ def t01(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(ft.redact(F.col("text")), 256).alias("redacted_sha256"))
 
 
-@register("t04_entities", f"SELECT doc_id, list_sort({_entities('text')})::VARCHAR[] AS names FROM documents")
+@register("t04_entities", f"SELECT doc_id, list_sort({words.entities('text')})::VARCHAR[] AS names FROM documents")
 def t04(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_sort(ft.key_entities(F.col("text"))).alias("names"))
 
@@ -160,12 +154,12 @@ def t06(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(ft.sentences(F.col("text"))).alias("sentence"))
 
 
-@register("t07_type", f"SELECT doc_id, {_kind('text')} AS kind FROM documents")
+@register("t07_type", f"SELECT doc_id, {words.kind('text')} AS kind FROM documents")
 def t07(spark, d):
     return table(spark, d, "documents").select("doc_id", ft.infer_type(F.col("text")).alias("kind"))
 
 
-@register("t08_importance", f"SELECT doc_id, round(least(0.4::DOUBLE + 0.4::DOUBLE * {_gate('text')} + CASE {_kind('text')} WHEN 'decision' THEN 0.2::DOUBLE WHEN 'convention' THEN 0.15 WHEN 'identity' THEN 0.15 WHEN 'project' THEN 0.1 ELSE 0 END, 1.0), 3) AS importance FROM documents")
+@register("t08_importance", f"SELECT doc_id, round(least(0.4::DOUBLE + 0.4::DOUBLE * {words.gate('text')} + CASE {words.kind('text')} WHEN 'decision' THEN 0.2::DOUBLE WHEN 'convention' THEN 0.15 WHEN 'identity' THEN 0.15 WHEN 'project' THEN 0.1 ELSE 0 END, 1.0), 3) AS importance FROM documents")
 def t08(spark, d):
     return table(spark, d, "documents").select("doc_id", ft.importance(ft.infer_type(F.col("text")), ft.gate(F.col("text"))).alias("importance"))
 
@@ -175,18 +169,19 @@ f AS (SELECT *, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (
 b AS (SELECT note, k, trim(regexp_replace(line, '^([-*+]|\d+[.)])\s+', ''), ' ') AS text FROM f WHERE fenced = 0 AND line <> '' AND NOT starts_with(line, '#') AND NOT starts_with(line, '```') AND NOT regexp_matches(line, '^[-=*_]+$'))
 SELECT CAST(note AS BIGINT) AS note, CAST(row_number() OVER (PARTITION BY note ORDER BY k) - 1 AS INT) AS slice, text FROM b WHERE len(regexp_extract_all(text, '\S+')) >= 3""")
 def t11(spark, d):
-    return notes.slices(_fx_notes(spark))
+    return notes.slices(_fx_notes(spark, d))
 
 
-@register("t09_extract", rf"""WITH {_FX_NOTES}, s AS (SELECT CAST(note AS BIGINT) AS note, trim(unnest(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+')), ' ') AS content FROM fx)
-SELECT note, content, {_kind('content')} AS type, round({_gate('content')}, 6) AS gate FROM s WHERE len(regexp_extract_all(content, '\S+')) >= 3""")
+@register("t09_extract", rf"""WITH {_FX_NOTES}, s AS (SELECT CAST(note AS BIGINT) AS note, trim(unnest(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+')), ' ') AS content FROM fx),
+long AS (SELECT * FROM s WHERE len(regexp_extract_all(content, '\S+')) >= 3), x AS (SELECT * FROM long UNION ALL SELECT note, text FROM fx WHERE note NOT IN (SELECT note FROM long))
+SELECT note, content, {words.kind('content')} AS type, round({words.gate('content')}, 6) AS gate FROM x""")
 def t09(spark, d):
-    return notes.extract(_fx_notes(spark)).select("note", "content", "type", "gate")
+    return notes.extract(_fx_notes(spark, d)).select("note", "content", "type", "gate")
 
 
 @register("t12_hash_embed")
 def t12(spark, d):
-    return table(spark, d, "benchmark").select("item_id", ft.hash_embed(F.col("text")).alias("vec"))
+    return table(spark, d, "documents").select("doc_id", ft.hash_embed(F.col("text")).alias("vec"))
 
 
 @register("t14_slug", "SELECT doc_id, CASE WHEN len(w) > 0 THEN array_to_string(w[1:6], '-') ELSE 'mem' END AS slug FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)")
@@ -196,16 +191,28 @@ def t14(spark, d):
 
 @register("t17_contains", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(trim(d.text)), lower(trim(b.text))) OR contains(lower(trim(b.text)), lower(trim(d.text)))")
 def t17(spark, d):
-    from memspark.operators.evaluate import matches
-
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("gold"))
-    small = b.limit(50_001).count() <= 50_000
-    return table(spark, d, "documents").join(F.broadcast(b) if small else b, matches(F.col("text"), F.col("gold"))).select("item_id", "doc_id")
+    return evaluate.containing(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-@register("t18_cache_key", "SELECT item_id, sha256('m' || chr(1) || text) AS key FROM benchmark")
+@register("t18_cache_key", "SELECT doc_id, sha256('model' || chr(0) || coalesce(lang, '') || chr(0) || text) AS key FROM documents")
 def t18(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.sha2(F.concat_ws("\x01", F.lit("m"), "text"), 256).alias("key"))
+    return table(spark, d, "documents").select("doc_id", ft.cache_key(F.lit("model"), F.col("lang"), F.col("text")).alias("key"))
+
+
+@register("t16_iso", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS iso, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS back FROM events")
+def t16(spark, d):
+    e = table(spark, d, "events").select("event_id", ft.iso(F.col("ts")).alias("iso"))
+    return e.select("event_id", "iso", F.unix_timestamp(ft.parse_iso(F.col("iso"))).alias("back"))
+
+
+@register("a12_entropy", r"""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9+/_=-]{12,}'))) AS token FROM documents),
+c AS (SELECT doc_id, token, ch, count(*) / length(token) AS p FROM (SELECT doc_id, token, unnest(string_split(token, '')) AS ch FROM t) GROUP BY doc_id, token, ch),
+e AS (SELECT doc_id, token, -sum(p * log2(p)) AS bits FROM c GROUP BY doc_id, token)
+SELECT doc_id, token, round(bits, 6) AS bits, length(token) >= 24 AND regexp_matches(token, '[a-z]') AND regexp_matches(token, '[A-Z0-9]') AND bits >= 4.0 AS odd FROM e""")
+def a12(spark, d):
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{12,}"), F.lit(0)))
+    t = table(spark, d, "documents").select("doc_id", F.explode(found).alias("token"))
+    return t.select("doc_id", "token", F.round(ft.entropy(F.col("token")), 6).alias("bits"), F.array_contains(ft.high_entropy(F.col("token")), F.col("token")).alias("odd"))
 
 
 # Upkeep and consolidation.
@@ -247,31 +254,6 @@ def c14(spark, d):
     return lifecycle.promote(memories(spark, d)).select("id", "type", "cognitive", F.round("confidence", 9).alias("confidence"))
 
 
-_NEAR = """near AS (SELECT a.id AS cand, b.id AS near_id, a.type, b.type AS near_type, a.content, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS sim FROM vec a, vec b
-  WHERE a.vec_id % 100 = 0 AND b.status = 'active' AND NOT b.hub AND a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY sim DESC, b.id) = 1)"""
-
-
-@register("c01_decision", f"""WITH {MEM}, {QUESTIONS}, {_NEAR} SELECT cand, near_id, sim, CASE WHEN type = near_type AND sim >= 0.97 THEN 'NOOP' WHEN type = near_type AND sim >= 0.82 AND (regexp_matches(content, {_SQL_CUE(ft.NEGATION_CUE)}) OR type = 'identity') THEN 'SUPERSEDE' WHEN type = near_type AND sim >= 0.82 THEN 'UPDATE' ELSE 'ADD' END AS op FROM near""")
-def c01(spark, d):
-    return _decided(spark, d).select("cand", "near_id", "sim", "op")
-
-
-def _decided(spark, d):
-    v = vectors(spark, d)
-    asked = v.filter(F.col("vec_id") % 100 == 0)
-    q = asked.select(F.col("vec_id").alias("qid"), "vec", F.lit(None).cast("string").alias("scope"))
-    near = nearest(q, v.filter("status = 'active' and not hub"), 2).filter(F.col("id") != F.concat(F.lit("m"), F.col("qid").cast("string")))
-    near = near.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).filter("k = 1").select("qid", F.col("id").alias("near_id"), "sim")
-    kinds = v.select(F.col("id").alias("near_id"), F.col("type").alias("near_type"))
-    c = asked.select(F.col("vec_id").alias("qid"), F.col("id").alias("cand"), "type", "content", "importance", "confidence")
-    return lifecycle.decide(c.join(near, "qid").join(kinds, "near_id"))
-
-
-@register("a06_op_tally", f"""WITH {MEM}, {QUESTIONS}, {_NEAR} SELECT CASE WHEN type = near_type AND sim >= 0.97 THEN 'NOOP' WHEN type = near_type AND sim >= 0.82 AND (regexp_matches(content, {_SQL_CUE(ft.NEGATION_CUE)}) OR type = 'identity') THEN 'SUPERSEDE' WHEN type = near_type AND sim >= 0.82 THEN 'UPDATE' ELSE 'ADD' END AS op, count(*) AS n FROM near GROUP BY op""")
-def a06(spark, d):
-    return analytics.tally(_decided(spark, d))
-
-
 @register("c03_update_values", f"""WITH {MEM}, p AS (SELECT a.id, a.content AS oc, b.content AS nc, a.importance AS oi, b.importance AS ni, a.confidence AS cf FROM mem a JOIN mem b ON b.n = a.n + 1)
 SELECT id, sha256(CASE WHEN length(nc) > length(oc) THEN nc ELSE oc END) AS content_sha, length(nc) > length(oc) AS takes_new_vector, greatest(oi, ni) AS importance, round(least(cf + 0.05, 1.0), 9) AS confidence FROM p""")
 def c03(spark, d):
@@ -281,18 +263,11 @@ def c03(spark, d):
     return lifecycle.merged(pairs).select("id", F.sha2("content", 256).alias("content_sha"), "takes_new_vector", "importance", F.round("confidence", 9).alias("confidence"))
 
 
-@register("c01_exact")
-def c01x(spark, d):
-    v = vectors(spark, d).withColumn("scope", F.when(F.col("n") % 7 == 0, "global").otherwise(F.col("scope")))
-    new = v.filter(F.col("n") % 2 == 1).withColumn("seq", F.col("n"))
-    return lifecycle.fold(new, v.filter(F.col("n") % 2 == 0))
-
-
 _REPLACED = "SELECT old.id AS old_id, old.content AS oc, new.content AS nc, old.scope FROM edg JOIN mem new ON new.id = from_id JOIN mem old ON old.id = to_id WHERE relation = 'supersedes'"
 
 
-@register("c08_stale_flags", f"""WITH {MEM}, {EDGES}, rep AS ({_REPLACED}), dr AS (SELECT scope, old_id, nc, list_filter({_entities('oc')}, lambda e: NOT list_contains({_entities('nc')}, e)) AS dropped FROM rep),
-recent AS (SELECT id, scope, {_entities('content')} AS names FROM mem WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY scope ORDER BY created_at DESC, id) <= 200)
+@register("c08_stale_flags", f"""WITH {MEM}, {EDGES}, rep AS ({_REPLACED}), dr AS (SELECT scope, old_id, nc, list_filter({words.entities('oc')}, lambda e: NOT list_contains({words.entities('nc')}, e)) AS dropped FROM rep),
+recent AS (SELECT id, scope, {words.entities('content')} AS names FROM mem WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY scope ORDER BY created_at DESC, id) <= 200)
 SELECT r.id, old_id, 'references ''' || list_min(list_intersect(dropped, names)) || ''', superseded by: ' || substr(nc, 1, 80) AS reason FROM dr JOIN recent r USING (scope) WHERE r.id <> old_id AND len(list_intersect(dropped, names)) > 0""")
 def c08(spark, d):
     m = memories(spark, d)
@@ -301,22 +276,26 @@ def c08(spark, d):
     return lifecycle.stale_dependents(rep.select("scope", F.col("to_id").alias("old_id"), "old_content", "new_content"), m)
 
 
-@register("c21_hub_links", f"WITH {MEM} SELECT 'hub_' || scope AS from_id, id AS to_id, 'has_member' AS relation FROM mem WHERE status = 'active' AND NOT hub AND starts_with(scope, 'project:')")
+_HUB = "'hub_' || array_to_string(regexp_extract_all(lower(scope), '[a-z0-9]+')[1:6], '-')"
+
+
+@register("c21_hub_links", f"WITH {MEM} SELECT {_HUB} AS from_id, id AS to_id, 'has_member' AS relation FROM mem WHERE status = 'active' AND NOT hub AND starts_with(scope, 'project:')")
 def c21(spark, d):
     return graph.hub_links(memories(spark, d)).select("from_id", "to_id", "relation")
 
 
-@register("c24_outcomes", "SELECT id, success_count, reliability::DOUBLE AS reliability FROM (VALUES ('a', 2, 0.55), ('b', 3, 0.8), ('c', 0, 0.2)) AS t(id, success_count, reliability)")
-def c24(spark, d):
-    fx = spark.sql("SELECT * FROM VALUES ('a', array(true, true, false)), ('b', array(true, true, true)), ('c', array(false, false)) AS t(id, outcomes)")
-    return lifecycle.outcomes(fx)
+@register("c21b_hubs", f"WITH {MEM} SELECT DISTINCT {_HUB} AS id, 'Project: ' || substr(scope, 9) AS content, scope, 0.2::DOUBLE AS importance, 0.9::DOUBLE AS confidence, 'entity' AS type FROM mem WHERE starts_with(scope, 'project:')")
+def c21b(spark, d):
+    return graph.hubs(memories(spark, d), now()).filter("hub and vec is null").select("id", "content", "scope", "importance", "confidence", "type")
 
 
-@register("k05_procedures", f"""WITH {MEM}, {QUESTIONS}, p AS (SELECT id, scope, embedding, (n % 10) / 10.0 AS reliability FROM vec WHERE type = 'procedure' AND status = 'active')
-SELECT qid, rank, id, total FROM (SELECT q.qid, p.id, round(0.7 * list_dot_product(qv::DOUBLE[], embedding::DOUBLE[]) + 0.3 * reliability, 6) AS total, row_number() OVER (PARTITION BY q.qid ORDER BY round(0.7 * list_dot_product(qv::DOUBLE[], embedding::DOUBLE[]) + 0.3 * reliability, 6) DESC, p.id) AS rank FROM q JOIN p USING (scope)) WHERE rank <= 3""")
-def k05(spark, d):
-    p = vectors(spark, d).filter("type = 'procedure' and status = 'active'").select("id", "scope", "vec", ((F.col("n") % 10) / 10.0).alias("reliability"))
-    return lifecycle.procedures_for(questions(spark, d), p)
+@register("c24_outcomes", """WITH RECURSIVE o AS (SELECT user_id, value > 30 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n, 0.5::DOUBLE AS r FROM events
+UNION ALL SELECT f.user_id, o.k, CASE WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok THEN least(0.5::DOUBLE + 0.1::DOUBLE * (n + 1), 1.0) ELSE greatest(r - 0.15::DOUBLE, 0.0) END FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
+SELECT user_id AS id, arg_max(n, k) AS success_count, round(arg_max(r, k), 6) AS reliability FROM f GROUP BY user_id""")
+def c24(spark, d):
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("value") > 30).alias("ok")))).alias("rows"))
+    return lifecycle.outcomes(e.select("id", F.transform("rows", lambda x: x["ok"]).alias("outcomes")))
 
 
 # Graph and time.
@@ -406,7 +385,7 @@ def m06(spark, d):
 
 @register("g02_bundle")
 def g02(spark, d):
-    return trust.bundle(memories(spark, d), "project:src0")
+    return trust.bundle(memories(spark, d), "project:src1")
 
 
 @register("g04_mac")
@@ -426,41 +405,69 @@ def g06(spark, d):
     return trust.classify_import(facts, tomb, trusted).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@register("g10_audit_chain", """WITH RECURSIVE e AS (SELECT item_id AS seq, sha256(text) AS body FROM benchmark), c AS (
-SELECT seq, sha256('' || '|' || body) AS hash FROM e WHERE seq = 0 UNION ALL SELECT e.seq, sha256(c.hash || '|' || e.body) FROM c JOIN e ON e.seq = c.seq + 1)
-SELECT seq, seq % 10 <> 7 AS ok FROM c""")
+_CHAIN = """e AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS seq, md5(text) AS body, doc_id % 10 = 7 AS edited FROM documents), c AS (
+SELECT seq, '' AS prev, edited, sha256('|t|a|x|' || body || '|') AS hash FROM e WHERE seq = 0 UNION ALL SELECT e.seq, c.hash, e.edited, sha256(c.hash || '|t|a|x|' || e.body || '|') FROM c JOIN e ON e.seq = c.seq + 1)"""
+
+
+def _chain(spark, d):
+    e = table(spark, d, "documents").select(F.col("doc_id").alias("at"), F.lit("t").alias("ts"), F.lit("a").alias("actor"), F.lit("x").alias("action"), F.md5("text").alias("target"), F.lit("").alias("detail"))
+    half = saved(governance.append_audit(None, e.filter(F.col("at") < 300)), "audit")
+    return saved(governance.append_audit(half, e.filter(F.col("at") >= 300)), "audit")  # in two goes, one behind the other
+
+
+@register("g10_audit_append", f"WITH RECURSIVE {_CHAIN} SELECT seq, prev AS prev_hash, hash FROM c")
+def g10b(spark, d):
+    return _chain(spark, d).select("seq", "prev_hash", "hash")
+
+
+@register("g10_audit_chain", f"WITH RECURSIVE {_CHAIN} SELECT seq, NOT edited AS ok FROM c")
 def g10(spark, d):
-    e = table(spark, d, "benchmark").select(F.col("item_id").alias("seq"), F.sha2("text", 256).alias("body"))
-    # A chain is made one link after the other, here over the few benchmark items; then some are edited.
-    rows, prev = [], ""
-    import hashlib
-
-    for r in e.orderBy("seq").toLocalIterator():
-        h = hashlib.sha256("|".join([prev, "t", "a", "x", r["body"], ""]).encode()).hexdigest()
-        rows.append((r["seq"], "t", "a", "edited" if r["seq"] % 10 == 7 else "x", r["body"], "", prev, h))
-        prev = h
-    log = spark.createDataFrame(rows, "seq long, ts string, actor string, action string, target string, detail string, prev_hash string, hash string")
+    ids = table(spark, d, "documents").select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("seq"), (F.col("doc_id") % 10 == 7).alias("bad"))
+    log = _chain(spark, d).join(ids, "seq").withColumn("action", F.when(F.col("bad"), "edited").otherwise(F.col("action"))).drop("bad")
     return trust.chain_breaks(log)
 
 
-@register("a11_merkle", """WITH RECURSIVE l AS (SELECT row_number() OVER (ORDER BY sha256(text), item_id) - 1 AS i, sha256(text) AS h, count(*) OVER () AS n FROM benchmark),
-t AS (SELECT 0 AS lvl, list(h ORDER BY i) AS hs FROM l UNION ALL
-SELECT lvl + 1, list_transform(range(0, (len(hs) + 1) // 2), lambda k: sha256(hs[2 * k + 1] || coalesce(hs[2 * k + 2], hs[2 * k + 1]))) FROM t WHERE len(hs) > 1)
+@register("s07_audit_log", f"WITH RECURSIVE {_CHAIN} SELECT seq, hash FROM c ORDER BY seq DESC LIMIT 100")
+def s07(spark, d):
+    return governance.audit_log(_chain(spark, d)).select("seq", "hash")
+
+
+@register("a11_merkle", """WITH RECURSIVE l AS (SELECT row_number() OVER (ORDER BY sha256(text), doc_id) - 1 AS i, sha256(text) AS h FROM documents),
+t AS (SELECT list(h ORDER BY i) AS hs FROM l UNION ALL
+SELECT list_transform(range(0, (len(hs) + 1) // 2), lambda k: sha256(hs[2 * k + 1] || coalesce(hs[2 * k + 2], hs[2 * k + 1]))) FROM t WHERE len(hs) > 1)
 SELECT hs[1] AS root FROM t WHERE len(hs) = 1""")
 def a11(spark, d):
-    return trust.merkle_levels(table(spark, d, "benchmark").select(F.sha2("text", 256).alias("leaf")))
+    return trust.merkle_levels(table(spark, d, "documents").select(F.sha2("text", 256).alias("leaf")))
 
 
-@register("g13_conformance", f"WITH {MEM} SELECT scope AS doc, count(*) AS count, sum(CASE WHEN confidence > 0.95 THEN 1 ELSE 0 END)::BIGINT AS n_errors FROM mem GROUP BY scope")
+@register("g13_conformance", f"""WITH {MEM}, x AS (SELECT scope AS doc, (CASE WHEN n % 13 = 0 THEN 1 ELSE 0 END) + (CASE WHEN n % 11 = 0 THEN 1 ELSE 0 END) + (CASE WHEN n % 7 = 3 THEN 1 ELSE 0 END) AS bad, n % 5 <> 0 AS signed FROM mem)
+SELECT doc, count(*) AS count, CAST(sum(bad) AS BIGINT) AS n_errors, sum(bad) = 0 AS valid, CASE WHEN sum(bad) > 0 THEN NULL WHEN bool_and(signed) THEN 'signed' ELSE 'core' END AS level FROM x GROUP BY doc""")
 def g13(spark, d):
-    r = memories(spark, d).select(F.col("scope").alias("doc"), "id", "type", "content", F.col("created_at").cast("string").alias("created_at"), F.lit("p").alias("provenance"), F.when(F.col("confidence") > 0.95, 2.0).otherwise(F.col("confidence")).alias("confidence"), F.lit(None).cast("string").alias("signature"))
-    return trust.conformance(r).select("doc", "count", "n_errors")
+    n = F.col("n")
+    r = memories(spark, d).select(F.col("scope").alias("doc"), F.when(n % 13 != 0, F.col("id")).alias("id"), F.when(n % 11 == 0, "odd").otherwise(F.col("type")).alias("type"), F.col("id").alias("content"), F.col("created_at").cast("string").alias("created_at"), F.lit("p").alias("provenance"), F.when(n % 7 == 3, 2.0).otherwise(F.col("confidence")).alias("confidence"), F.when(n % 5 != 0, "s").alias("signature"))
+    return trust.conformance(r)
 
 
-@register("c17_erase", f"WITH {MEM}, {EDGES}, g AS (SELECT id FROM mem WHERE status = 'forgotten') SELECT DISTINCT from_id AS id FROM edg WHERE relation = 'derived_from' AND to_id IN (SELECT id FROM g) AND from_id NOT IN (SELECT id FROM g)")
+_GONE = "g AS (SELECT id FROM mem WHERE status = 'forgotten')"
+
+
+@register("c17_erase", f"WITH {MEM}, {EDGES}, {_GONE} SELECT DISTINCT from_id AS id FROM edg WHERE relation = 'derived_from' AND to_id IN (SELECT id FROM g) AND from_id NOT IN (SELECT id FROM g)")
 def c17(spark, d):
+    return _erased(spark, d)["derived"]
+
+
+@register("c17b_erase_rest", f"""WITH {MEM}, {EDGES}, {_GONE} SELECT 'memories' AS part, count(*) AS n FROM mem WHERE id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'edges', count(*) FROM edg WHERE from_id NOT IN (SELECT id FROM g) AND to_id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'tombstones', count(DISTINCT sha256(type || '|' || lower(trim(content, ' ')))) FROM mem WHERE id IN (SELECT id FROM g)""")
+def c17b(spark, d):
+    parts = _erased(spark, d)
+    n = lambda name: parts[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+    return n("memories").unionByName(n("edges")).unionByName(n("tombstones"))
+
+
+def _erased(spark, d):
     m = memories(spark, d)
-    return trust.erase(m, edges(spark, d), m.filter("status = 'forgotten'").select("id"))["derived"]
+    return trust.erase(m, edges(spark, d), m.filter("status = 'forgotten'").select("id"))
 
 
 # Analytics.
@@ -480,7 +487,7 @@ def a01b(spark, d):
     return analytics.most_recalled(memories(spark, d))
 
 
-@register("a02_themes", f"WITH {MEM}, t AS (SELECT id, created_at, unnest({_entities('content')}) AS topic FROM mem WHERE status = 'active' AND NOT hub) SELECT topic, count(*) AS n, arg_max(id, (created_at, id)) AS example FROM t GROUP BY topic ORDER BY n DESC, topic LIMIT 8")
+@register("a02_themes", f"WITH {MEM}, t AS (SELECT id, created_at, unnest({words.entities('content')}) AS topic FROM mem WHERE status = 'active' AND NOT hub) SELECT topic, count(*) AS n, arg_max(id, (created_at, id)) AS example FROM t GROUP BY topic ORDER BY n DESC, topic LIMIT 8")
 def a02(spark, d):
     return analytics.themes(memories(spark, d))
 
@@ -503,19 +510,42 @@ def a14(spark, d):
 # Sources and streams.
 
 
-@register("s10_repo_facts", """SELECT * FROM (VALUES ('r', 'This project is written in Python.'), ('r', 'This project uses ruff for linting.'), ('r', 'This project uses pytest for tests.'), ('r', 'CI runs via GitHub Actions.'),
-('r', 'Code ownership (CODEOWNERS): @alice, @bob.'), ('r', 'This project uses Node.js / JavaScript.'), ('r', 'This project uses React.')) AS t(root, fact)""")
+@register("s10_repo_facts", """WITH r AS (SELECT 'r' || s_suppkey AS root, s_suppkey AS k FROM supplier), f AS (
+SELECT root, unnest(['This project is written in Python.', CASE WHEN k % 2 = 0 THEN 'This project uses ruff for linting.' END, CASE WHEN k % 3 = 0 THEN 'This project uses pytest for tests.' END]) AS fact FROM r WHERE k % 4 <> 1
+UNION ALL SELECT root, unnest(['This project uses Node.js / JavaScript.', CASE WHEN k % 5 = 0 THEN 'This project uses React.' END, CASE WHEN k % 5 = 1 THEN 'This project uses Vitest for tests.' END]) FROM r WHERE k % 3 <> 2
+UNION ALL SELECT root, 'CI runs via GitHub Actions.' FROM r WHERE k % 7 = 0 UNION ALL SELECT root, 'This project is managed with uv.' FROM r WHERE k % 6 = 1
+UNION ALL SELECT root, CASE WHEN k % 2 = 0 THEN 'Code ownership (CODEOWNERS): @alice, @bob' || k || '.' ELSE 'Code ownership (CODEOWNERS): @carol.' END FROM r WHERE k % 8 < 4)
+SELECT root, fact FROM f WHERE fact IS NOT NULL""")
 def s10(spark, d):
-    files = [("r", "pyproject.toml", "[tool.ruff]\n[project]\ndependencies = ['pytest']"), ("r", ".github/workflows/ci.yml", "on: push"), ("r", "CODEOWNERS", "# who\n* @bob @alice\n"), ("r", "package.json", '{"dependencies": {"react": "18"}}'), ("r", "CONTRIBUTING.md", "# How")]
-    return notes.repository_facts(spark.createDataFrame(files, "root string, path string, text string"))
-
-
-@register("t10_model_json", "SELECT * REPLACE (importance::DOUBLE AS importance, confidence::DOUBLE AS confidence) FROM (VALUES (CAST(1 AS BIGINT), 0, 'decision', 'Use Postgres', 1.0, 0.7), (1, 1, 'fact', 'Odd kind', 0.6, 0.7)) AS t(reply, n, type, content, importance, confidence)")
+    k = F.col("s_suppkey")
+    file = lambda path, text, there: F.when(there, F.struct(F.lit(path).alias("path"), text.alias("text")))
+    toml = F.concat(F.when(k % 2 == 0, F.lit("[tool.ruff]\n")).otherwise(F.lit("")), F.lit("[project]\n"), F.when(k % 3 == 0, F.lit("dependencies = ['pytest']")).otherwise(F.lit("")))
+    package = F.when(k % 5 == 0, F.lit('{"dependencies": {"react": "18"}}')).when(k % 5 == 1, F.lit('{"devDependencies": {"vitest": "1"}}')).when(k % 5 == 2, F.lit("broken")).otherwise(F.lit("{}"))
+    owners = F.when(k % 2 == 0, F.concat(F.lit("# who\n* @bob"), k, F.lit(" @alice\n"))).otherwise(F.lit("/x @carol\n/y @carol"))
+    every = F.array(file("pyproject.toml", toml, k % 4 != 1), file("package.json", package, k % 3 != 2), file(".github/workflows/ci.yml", F.lit("on: push"), k % 7 == 0), file("uv.lock", F.lit(""), k % 6 == 1), file("CODEOWNERS", owners, k % 8 < 4), file("docs/CODEOWNERS", F.lit("* @late"), k % 8 < 4))
+    files = table(spark, d, "supplier").select(F.concat(F.lit("r"), k).alias("root"), F.explode(F.array_compact(every)).alias("f")).select("root", "f.path", "f.text")
+    return notes.repository_facts(files)
+
+
+@register("s11_contributing", "SELECT 'r' || s_suppkey AS root, CASE WHEN s_suppkey % 2 = 0 THEN 'CONTRIBUTING.md' ELSE 'AGENTS.md' END AS path FROM supplier WHERE s_suppkey % 5 <> 0")
+def s11(spark, d):
+    k = F.col("s_suppkey")
+    paths = F.array_compact(F.array(F.when(k % 2 == 0, F.lit("CONTRIBUTING.md")), F.when(k % 5 != 0, F.lit("AGENTS.md")), F.lit("README.md")))
+    files = table(spark, d, "supplier").filter(k % 5 != 0).select(F.concat(F.lit("r"), k).alias("root"), F.explode(paths).alias("path"), F.lit("x").alias("text"))
+    return notes.contributing(files)
+
+
+@register("t10_model_json", """SELECT doc_id AS reply, CAST(0 AS INT) AS n, CASE WHEN doc_id % 3 = 0 THEN 'decision' ELSE 'fact' END AS type, 'c' || doc_id AS content, CASE doc_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 WHEN 2 THEN 0.0 ELSE 0.25 END::DOUBLE AS importance, 0.7::DOUBLE AS confidence
+FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0""")
 def t10(spark, d):
     from memspark.schema import TYPES
 
-    raw = [(1, '{"facts": [{"type": "decision", "content": "Use Postgres", "importance": 3}, {"type": "odd", "content": "Odd kind"}]}'), (2, "not json")]
-    return notes.parse_model_facts(spark.createDataFrame(raw, "reply long, raw string"), TYPES)
+    i = F.col("doc_id")
+    kind = F.when(i % 3 == 0, F.lit("decision")).otherwise(F.lit("odd"))
+    score = F.when(i % 4 == 0, F.lit(', "importance": 3')).when(i % 4 == 2, F.lit(', "importance": -1')).when(i % 4 == 3, F.lit(', "importance": 0.25')).otherwise(F.lit(""))
+    content = F.when(i % 7 == 0, F.lit("  ")).otherwise(F.concat(F.lit("c"), i))
+    raw = F.when(i % 5 == 0, F.lit("not json")).otherwise(F.concat(F.lit('{"facts": [{"type": "'), kind, F.lit('", "content": "'), content, F.lit('"'), score, F.lit("}]}")))
+    return notes.parse_model_facts(table(spark, d, "documents").select(i.alias("reply"), raw.alias("raw")), TYPES)
 
 
 @register("x01_turn_facts", rf"""WITH s AS (SELECT conv_id, turn, role, trim(unnest(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+')), ' ') AS content FROM conversations)

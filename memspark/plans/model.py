@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.schema import TYPES, cognitive_of
+from memspark.schema import TYPES, cognitive_of, provenance
 from memspark.session import ship
 
 START, NOW = 1704067200, 1748736000
@@ -86,3 +86,40 @@ EDGES = """edg AS (
   SELECT id AS from_id, 'm' || (n // 3) AS to_id, CASE n % 6 WHEN 0 THEN 'supersedes' WHEN 1 THEN 'conflicts_with' WHEN 2 THEN 'derived_from' ELSE 'related_to' END AS relation FROM mem WHERE n > 0
   UNION ALL SELECT id, 'm' || (n // 2), 'related_to' FROM mem WHERE n > 0),
 adj AS (SELECT DISTINCT * FROM (SELECT from_id AS at, to_id AS nxt FROM edg UNION ALL SELECT to_id, from_id FROM edg))"""
+
+
+#: How near the members of a group of eight facts are to its first: weights of its vector and of their own.
+NEAR = [(0.0, 1.0), (1.0, 0.0), (0.985, 0.1726), (0.99, 0.1411), (0.9, 0.4359), (0.85, 0.5268), (0.7, 0.7141), (0.9, 0.4359)]
+GROUP_TYPES = ["decision", "fact", "identity", "convention"]
+
+
+def facts(spark: SparkSession, d: str) -> DataFrame:
+    """A fact for each vector, in groups of eight that are near one another: copies, refinements, contradictions.
+
+    Those of the first kind of a group are known already, unless the group is a fourth one.
+    """
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("n"), F.col("embedding").cast("array<double>").alias("own"))
+    first = e.filter(F.col("n") % 8 == 0).select(F.floor(F.col("n") / 8).alias("g"), F.col("own").alias("lead"))
+    both = e.withColumn("g", F.floor(F.col("n") / 8)).join(first, "g")
+    r, g, n = (F.col("n") % 8).cast("int"), F.col("g"), F.col("n")
+    weight = lambda k: F.element_at(F.array(*[F.lit(w[k]) for w in NEAR]), r + 1)
+    vec = F.zip_with("lead", "own", lambda a, b: F.round(weight(0) * a + weight(1) * b, 6))
+    said = F.when(n % 3 == 0, "We use").when(n % 3 == 1, "We no longer use").otherwise("The team runs")
+    content = F.concat(said, F.lit(" Tool"), g, F.lit(" with Lib"), n % 4, F.lit(" for builds"), F.repeat(F.lit("!"), (n % 7).cast("int")))
+    kind = F.element_at(F.array(*[F.lit(t) for t in GROUP_TYPES]), (g % 4 + 1).cast("int"))
+    scope = F.when((g % 3 == 0) | (r == 5), F.lit("global")).otherwise(F.concat(F.lit("project:p"), g % 5))
+    return both.select(
+        n.alias("seq"), F.concat(F.lit("f"), n).alias("id"), kind.alias("type"), cognitive_of(kind).alias("cognitive"), content.alias("content"), scope.alias("scope"), vec.alias("vec"),
+        ((n % 11) / 10.0).alias("importance"), ((n % 13) / 12.0).alias("confidence"), ((r == 0) & (g % 4 != 3)).alias("known"), n.alias("n"),
+        F.array(provenance(F.concat(F.lit("a"), n % 2), "x")).alias("provenance"),
+        *[F.timestamp_seconds(F.lit(START) + n * 3600).alias(c) for c in ("created_at", "updated_at", "last_seen_at", "valid_from")],
+    )
+
+
+#: ``fact``: the same.
+FACTS = f"""fact AS (SELECT n AS seq, 'f' || n AS id, ['decision', 'fact', 'identity', 'convention'][CAST(g % 4 AS INT) + 1] AS type,
+  (CASE n % 3 WHEN 0 THEN 'We use' WHEN 1 THEN 'We no longer use' ELSE 'The team runs' END) || ' Tool' || g || ' with Lib' || (n % 4) || ' for builds' || repeat('!', CAST(n % 7 AS INT)) AS content,
+  CASE WHEN g % 3 = 0 OR n % 8 = 5 THEN 'global' ELSE 'project:p' || (g % 5) END AS scope,
+  list_transform(range(1, 65), lambda i: round([0.0, 1.0, 0.985, 0.99, 0.9, 0.85, 0.7, 0.9][CAST(n % 8 AS INT) + 1]::DOUBLE * lead[i]::DOUBLE + [1.0, 0.0, 0.1726, 0.1411, 0.4359, 0.5268, 0.7141, 0.4359][CAST(n % 8 AS INT) + 1]::DOUBLE * own[i]::DOUBLE, 6)) AS vec,
+  (n % 11) / 10.0::DOUBLE AS importance, (n % 13) / 12.0::DOUBLE AS confidence, n % 8 = 0 AND g % 4 <> 3 AS known, n, {START} + n * 3600 AS created_at
+  FROM (SELECT a.vec_id AS n, a.vec_id // 8 AS g, a.embedding AS own, b.embedding AS lead FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 8))"""

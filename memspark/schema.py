@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,15 +17,20 @@ COGNITIVE = {
 VISIBILITIES = ["personal", "team", "public"]
 GLOBAL = "global"
 
+_PROVENANCE = "array<struct<agent:string,ref:string,extractor:string,origin:string,ingested_at:timestamp>>"
+#: Columns of a memory, their types, and what stands for one that a table hasn't.
+MEMORIES: dict[str, tuple[str, object]] = {
+    "id": ("string", None), "type": ("string", "fact"), "cognitive": ("string", "semantic"), "content": ("string", ""), "scope": ("string", GLOBAL),
+    "importance": ("double", 0.5), "confidence": ("double", 0.5), "status": ("string", "active"),
+    "valid_from": ("timestamp", None), "valid_to": ("timestamp", None), "recorded_at": ("timestamp", None), "created_at": ("timestamp", None),
+    "updated_at": ("timestamp", None), "last_seen_at": ("timestamp", None), "reinforced": ("double", 0.0), "hub": ("boolean", False),
+    "stale": ("boolean", False), "stale_reason": ("string", None), "conflict": ("boolean", False), "consolidated": ("boolean", False),
+    "reflection": ("boolean", False), "clock": ("bigint", 0), "replica": ("string", ""), "visibility": ("string", None),
+    "contributor": ("string", None), "proposed": ("boolean", False), "sig": ("string", None), "signer": ("string", None), "sig_scheme": ("string", None),
+    "provenance": (_PROVENANCE, []), "attributes": ("map<string,string>", {}), "trigger": ("string", None), "steps": ("array<string>", None),
+    "success_signal": ("string", None), "success_count": ("bigint", 0), "reliability": ("double", None), "vec": ("array<double>", None),
+}
 PROVENANCE = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("agent", "ref", "extractor", "origin")] + [T.StructField("ingested_at", T.TimestampType())]))
-MEMORIES = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("id", "type", "cognitive", "content", "scope")]
-    + [T.StructField(n, T.DoubleType()) for n in ("importance", "confidence")]
-    + [T.StructField("status", T.StringType())]
-    + [T.StructField(n, T.TimestampType()) for n in ("valid_from", "valid_to", "recorded_at", "created_at", "updated_at", "last_seen_at")]
-    + [T.StructField("reinforced", T.DoubleType()), T.StructField("hub", T.BooleanType()), T.StructField("stale", T.BooleanType())]
-    + [T.StructField("clock", T.LongType()), T.StructField("replica", T.StringType()), T.StructField("visibility", T.StringType())]
-)
 EDGES = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "from_id", "to_id", "relation")] + [T.StructField("weight", T.DoubleType())])
 
 
@@ -33,3 +38,27 @@ def cognitive_of(kind: Column) -> Column:
     """The cognitive kind of a memory type."""
     pairs = [F.lit(x) for kv in COGNITIVE.items() for x in kv]
     return F.coalesce(F.element_at(F.create_map(*pairs), kind), F.lit("semantic"))
+
+
+def _default(kind: str, value: object) -> Column:
+    if value == []:
+        return F.array().cast(kind)
+    if value == {}:
+        return F.create_map().cast(kind)
+    return F.lit(value).cast(kind)
+
+
+def complete(memories: DataFrame, *more: str) -> DataFrame:
+    """A table of memories with all columns of the model; of further ones those named are kept."""
+    have = set(memories.columns)
+    return memories.select(*more, *[(F.col(n).cast(k) if n in have else _default(k, v)).alias(n) for n, (k, v) in MEMORIES.items()])
+
+
+def provenance(agent: Column | str, extractor: Column | str, origin: str = "agent-ingested", ref: Column | None = None, at: Column | None = None) -> Column:
+    """Where a memory comes from, as an element of its provenance."""
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    none = F.lit(None)
+    return F.struct(
+        text(agent).cast("string").alias("agent"), (none if ref is None else ref).cast("string").alias("ref"), text(extractor).cast("string").alias("extractor"),
+        F.lit(origin).alias("origin"), (none if at is None else at).cast("timestamp").alias("ingested_at"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.functions import text as ft
@@ -30,6 +30,7 @@ DEPENDENCIES = [
     ("prettier", "This project uses Prettier for formatting."),
     ("vitest", "This project uses Vitest for tests."),
 ]
+# Where guides and owners are looked for, in order.
 CONTRIBUTING = ["CONTRIBUTING.md", ".github/CONTRIBUTING.md", "AGENTS.md", "CLAUDE.md"]
 OWNERS = ["CODEOWNERS", ".github/CODEOWNERS", "docs/CODEOWNERS"]
 
@@ -110,14 +111,18 @@ def parse_model_facts(replies: DataFrame, types: list[str], column: str = "raw")
 
 
 def markdown(memories: DataFrame) -> DataFrame:
-    """scope, body: memories of a scope as a Markdown section, by type."""
+    """section, place, line: memories as lines of Markdown, by scope and type; each section is headed by its scope.
+
+    Lines come one by one, ordered by (section, place), so no scope is too large; see ``write_markdown``.
+    """
     line = F.concat(F.lit("- **"), F.col("type"), F.lit("**: "), F.col("content"))
-    rows = F.array_sort(F.collect_list(F.struct("type", "id", line.alias("line"))))
-    per = memories.groupBy("scope").agg(rows.alias("rows"))
-    return per.select("scope", F.concat(F.lit("## "), F.col("scope"), F.lit("\n\n"), F.concat_ws("\n", F.transform("rows", lambda r: r["line"]))).alias("body"))
+    rows = memories.select(F.col("scope").alias("section"), F.concat(F.lit("1"), F.col("type"), F.lit(" "), F.col("id")).alias("place"), line.alias("line"))
+    head = memories.select(F.col("scope").alias("section")).distinct().select("section", F.lit("0").alias("place"), F.concat(F.lit("## "), F.col("section")).alias("line"))
+    return rows.unionByName(head)
 
 
-def newest(memories: DataFrame, n: int) -> DataFrame:
-    """The newest n memories of each scope."""
-    order = Window.partitionBy("scope").orderBy(F.desc("created_at"), "id")
-    return memories.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
+def write_markdown(memories: DataFrame, path: str) -> None:
+    """markdown() as text files that follow one another in order."""
+    lines = markdown(memories)
+    ordered = lines.repartitionByRange("section", "place").sortWithinPartitions("section", "place")
+    ordered.select(F.when(F.col("place") == "0", F.concat(F.lit("\n"), F.col("line"), F.lit("\n"))).otherwise(F.col("line")).alias("value")).write.mode("overwrite").text(path)

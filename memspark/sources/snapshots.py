@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import hmac
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memspark.functions.text import fingerprint, iso
+from memspark.operators.trust import merkle_levels
+from memspark.schema import complete
+from memspark.session import file_system
+
 SCHEMES = {"file": "directory", "hdfs": "directory", "s3": "object store", "s3a": "object store", "gs": "object store", "abfss": "object store"}
 
 
@@ -16,16 +26,41 @@ def backend(uri: str) -> str:
     return SCHEMES[scheme]
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def put(spark: SparkSession, root: str, name: str, data: bytes) -> None:
+    """An object of a store, of any kind that the cluster has a file system for; it appears whole."""
+    backend(root)
+    fs, p = file_system(spark, f"{root}/{name}")
+    draft = p.getParent().suffix(f"/_draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(data))
+    out.close()
+    fs.delete(p, False)
+    if not fs.rename(draft, p):
+        raise OSError(f"{name} could not be put in place")
+
+
+def get(spark: SparkSession, root: str, name: str) -> bytes:
+    """put()'s object."""
+    backend(root)
+    fs, p = file_system(spark, f"{root}/{name}")
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def names(spark: SparkSession, root: str) -> list[str]:
+    """The objects of a store."""
+    fs, p = file_system(spark, root)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if not s.getPath().getName().startswith("_")) if fs.exists(p) else []
 
 
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Complete versions of a store, in order."""
-    fs, p = _fs(spark, root)
-    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-    return sorted(int(n[2:]) for n in names if n.startswith("v="))
+    fs, p = file_system(spark, root)
+    found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[2:]) for n in found if n.startswith("v="))
 
 
 def push(tables: dict[str, DataFrame], root: str) -> int:
@@ -38,8 +73,8 @@ def push(tables: dict[str, DataFrame], root: str) -> int:
         out = df.write.mode("overwrite")
         out = out.partitionBy("status") if name == "memories" and "status" in df.columns else out
         out.parquet(f"{draft}/{name}")
-    fs, src = _fs(spark, draft)
-    if not fs.rename(src, _fs(spark, f"{root}/v={n}")[1]):
+    fs, src = file_system(spark, draft)
+    if not fs.rename(src, file_system(spark, f"{root}/v={n}")[1]):
         raise OSError(f"version {n} could not be published")
     return n
 
@@ -50,11 +85,58 @@ def pull(spark: SparkSession, root: str, table: str, version: int | None = None)
     return spark.read.parquet(f"{root}/v={version}/{table}")
 
 
+def rollback(spark: SparkSession, root: str, version: int) -> int:
+    """An older version as the newest; those in between stay."""
+    found = names(spark, f"{root}/v={version}")
+    return push({t: pull(spark, root, t, version) for t in found}, root)
+
+
+def pull_merge(spark: SparkSession, root: str, memories: DataFrame, edges: DataFrame | None, tombstones: DataFrame, now: Column, version: int | None = None) -> dict[str, DataFrame]:
+    """Another store's memories merged into this one through consolidation."""
+    from memspark.operators.merge import merge_strand
+
+    return merge_strand(memories, edges, pull(spark, root, "memories", version), tombstones, now)
+
+
+FORMAT, STANDARD = "portable-agent-memory", "1.0"
+
+
 def records(memories: DataFrame) -> DataFrame:
-    """Portable JSON records of memories."""
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias(c)
-    fields = ["id", "type", "content", "scope", F.bround("confidence", 3).alias("confidence"), F.bround("importance", 3).alias("importance"), iso("valid_from"), iso("valid_to"), iso("created_at")]
-    return memories.select("id", F.to_json(F.struct(*fields)).alias("record"))
+    """id, record: portable JSON records of memories, with lineage and, where there is one, the signature."""
+    m = complete(memories)
+    said = F.transform("provenance", lambda p: F.struct(p["agent"].alias("agent"), p["extractor"].alias("extractor"), p["origin"].alias("origin"))).alias("provenance")
+    times = [iso(F.col(c)).alias(c) for c in ("valid_from", "valid_to", "created_at")]
+    signature = F.when(F.col("sig").isNotNull(), F.struct(F.col("sig_scheme").alias("scheme"), "signer", "sig")).alias("signature")
+    fields = ["id", "type", "content", "scope", F.bround("confidence", 3).alias("confidence"), F.bround("importance", 3).alias("importance"), *times, said, signature]
+    return m.select("id", F.to_json(F.struct(*fields)).alias("record"))
+
+
+def portable(memories: DataFrame, edges: DataFrame, generator: str, now: Column) -> dict[str, DataFrame]:
+    """A portable export: records, edges but those of hubs, and a header with the Merkle root over all fingerprints."""
+    m = complete(memories).filter("status = 'active' and not hub")
+    links = edges.filter("relation <> 'has_member'").select(F.to_json(F.struct(F.col("from_id").alias("from"), F.col("to_id").alias("to"), "relation")).alias("edge"))
+    root = merkle_levels(m.select(fingerprint(F.col("type"), F.col("content")).alias("leaf")))
+    counted = m.agg(F.count("*").alias("n")).crossJoin(root.limit(1)) if m.limit(1).count() else m.agg(F.count("*").alias("n")).withColumn("root", F.lit(None).cast("string"))
+    integrity = F.when(F.col("root").isNotNull(), F.struct(F.lit("sha256").alias("algo"), F.col("root").alias("merkle_root")))
+    header = counted.select(F.to_json(F.struct(F.lit(FORMAT).alias("format"), F.lit(STANDARD).alias("version"), F.lit(generator).alias("generator"), iso(now).alias("created_at"), F.col("n").alias("count"), integrity.alias("integrity"))).alias("header"))
+    return {"records": records(m), "edges": links, "header": header}
+
+
+def write_portable(parts: dict[str, DataFrame], path: str) -> None:
+    """Each part as lines of JSON."""
+    for name, df in parts.items():
+        df.select(df.columns[-1]).write.mode("overwrite").text(f"{path}/{name}")
+
+
+RECORD = (
+    "id string, type string, content string, scope string, confidence double, importance double, valid_from string, valid_to string, created_at string, "
+    "provenance array<struct<agent:string,extractor:string,origin:string>>, signature struct<scheme:string,signer:string,sig:string>"
+)
+
+
+def read_portable(spark: SparkSession, path: str) -> DataFrame:
+    """The records of write_portable()."""
+    return spark.read.schema(RECORD).json(f"{path}/records")
 
 
 def write_bundle(facts: DataFrame, path: str, contributor: str) -> None:
@@ -64,3 +146,56 @@ def write_bundle(facts: DataFrame, path: str, contributor: str) -> None:
 
 def read_bundle(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
+
+
+def _digest(df: DataFrame) -> DataFrame:
+    """Of each row's canonical JSON a hash."""
+    return df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256).alias("leaf"))
+
+
+def export_container(tables: dict[str, DataFrame], root: str, key: bytes, strand: str) -> dict:
+    """Tables with a signed manifest: counts and Merkle roots over their rows. Returns the manifest.
+
+    What stands in the container can be read with any Parquet reader; the signature is a keyed MAC, and
+    there is no encryption.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    held = {}
+    for name, df in sorted(tables.items()):
+        df.write.mode("overwrite").parquet(f"{root}/data/{name}")
+        written = spark.read.schema(df.schema).parquet(f"{root}/data/{name}")
+        n = written.count()
+        held[name] = {"rows": n, "merkle_root": merkle_levels(_digest(written)).first()["root"] if n else None, "schema": df.schema.json()}
+    manifest = {"format": "memspark-container", "version": 1, "strand": strand, "algo": "sha256", "tables": held}
+    body = json.dumps(manifest, sort_keys=True)
+    put(spark, root, "manifest.json", json.dumps({"manifest": manifest, "mac": hmac.new(key, body.encode(), hashlib.sha256).hexdigest()}).encode())
+    return manifest
+
+
+def read_manifest(spark: SparkSession, root: str, key: bytes) -> dict:
+    """The manifest of a container; raises where its signature doesn't hold."""
+    got = json.loads(get(spark, root, "manifest.json"))
+    body = json.dumps(got["manifest"], sort_keys=True)
+    if not hmac.compare_digest(got["mac"], hmac.new(key, body.encode(), hashlib.sha256).hexdigest()):
+        raise ValueError("the manifest is not signed with this key")
+    return got["manifest"]
+
+
+def verify_container(spark: SparkSession, root: str, key: bytes) -> dict[str, bool]:
+    """Whether each table is as the manifest says."""
+    from pyspark.sql import types as T
+
+    out = {}
+    for name, held in read_manifest(spark, root, key)["tables"].items():
+        df = spark.read.schema(T.StructType.fromJson(json.loads(held["schema"]))).parquet(f"{root}/data/{name}")
+        n = df.count()
+        out[name] = n == held["rows"] and (not n or merkle_levels(_digest(df)).first()["root"] == held["merkle_root"])
+    return out
+
+
+def import_container(spark: SparkSession, root: str, key: bytes) -> dict[str, DataFrame]:
+    """The tables of a container, once verified."""
+    broken = [name for name, ok in verify_container(spark, root, key).items() if not ok]
+    if broken:
+        raise ValueError(f"not as the manifest says: {', '.join(broken)}")
+    return {name: spark.read.parquet(f"{root}/data/{name}") for name in read_manifest(spark, root, key)["tables"]}

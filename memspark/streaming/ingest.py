@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.functions import text as ft
+from memspark.operators import write
+from memspark.session import numbered
+from memspark.sources import snapshots
 from memspark.sources.notes import extract
 
 
@@ -34,3 +37,26 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     e = events.withWatermark("ts", late) if events.isStreaming else events
     per = e.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return per.select("user_id", F.unix_timestamp(F.col("session_window.start")).alias("start"), "n")
+
+
+def remember_into(turns: DataFrame, root: str, checkpoint: str, scope: str = "global"):
+    """Each batch of turns through the write path, on the newest version of the store at root, and pushed as the next.
+
+    A batch that runs again after a failure finds its number in the store and changes nothing.
+    """
+    spark = turns.sparkSession
+
+    def write_batch(batch: DataFrame, number: int) -> None:
+        have = snapshots.versions(spark, root)
+        if have and snapshots.pull(spark, root, "batches").filter(F.col("number") == number).limit(1).count():
+            return
+        memories = snapshots.pull(spark, root, "memories") if have else spark.createDataFrame([], "id string, scope string, content string")
+        edges = snapshots.pull(spark, root, "edges") if have else None
+        texts = numbered(batch.filter("text is not null").select("conv_id", "turn", "role", "text"), F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text"), name="seq")
+        now = F.current_timestamp()
+        out = write.remember(memories, edges, texts.select("seq", F.lit(scope).alias("scope"), "text"), now, agent="stream", origin="agent-ingested")
+        done = spark.createDataFrame([(number,)], "number long")
+        done = snapshots.pull(spark, root, "batches").unionByName(done) if have else done
+        snapshots.push({"memories": out["memories"], "edges": out["edges"], "batches": done}, root)
+
+    return turns.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
