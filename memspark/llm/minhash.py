@@ -6,7 +6,8 @@ either collection, so 2 * m * r minhashes serve tables that would take 2 * m * m
 
 1. Documents of equal sets form a class, found by a digest of the set; all later steps see classes.
 2. Only signatures that another class shares make keys. In each table's bucket the most central class
-   is the hub; every member is compared with it on full sets. No bucket is expanded into pairs.
+   is the hub. A member is compared on full sets with the hub it meets in most tables, then with its
+   other hubs unless one component holds both by then. No bucket is expanded into pairs.
 3. In groups that a hub doesn't explain, members are measured against a pivot set in their midst. The
    one next to it is compared with all. Other pairs can only be linked if they share so many of their
    differences from the pivot, which a prefix filter turns into groups around rare shingles. Of a group
@@ -34,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files, places
@@ -48,6 +49,8 @@ M, R = 8, 2
 PERCENT = 85
 #: Partners that meet one copy of a hub's set; members of a group that are compared with the others in its first round.
 PARTNERS, FIRST = 256, 4
+#: Parts that the narrow rows of a hub with many partners are looked up in.
+SALTS = 64
 
 _RNG = np.random.default_rng(85)
 _XOR = _RNG.integers(0, 1 << 63, 2 * M * R, dtype=np.uint64)
@@ -122,32 +125,46 @@ def _sets(docs: DataFrame, folder: str) -> DataFrame:
     """node and shingles of the marked rows."""
 
     def run(batch, table, lo, hi):
-        if table is None:
-            return
-        at = np.flatnonzero(hi > lo)
-        node, texts = table.column("node").to_numpy()[lo[at]], batch.column(0).take(pa.array(at))
-        buf, offs = tx.flat(texts)
-        for a, b in tx.slices(offs):
-            sets, first = shingles(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-            yield pa.RecordBatch.from_arrays([pa.array(node[a:b]), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["node", "shingles"])
+        for a, b in tx.slices(tx.flat(batch.column(0))[1]) if table is not None else ():
+            at = a + np.flatnonzero(hi[a:b] > lo[a:b])
+            sets, first = shingles(*tx.flat(batch.column(0).take(pa.array(at))))
+            node = table.column("node").to_numpy()[lo[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["node", "shingles"])
 
     return places.beside(docs, [docs["text"].cast("string").alias("text")], folder, run, "node long, shingles array<bigint>")
 
 
-def _dealt(pairs: DataFrame, hubs: DataFrame) -> DataFrame:
-    """pairs(.., hub) with the columns of hubs(hub, ..), of which each chunk of partners gets its own copy."""
-    mark = files.token()
-    n, chunk = f"_n_{mark}", f"_chunk_{mark}"
-    sized = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).alias(n))
-    copies = hubs.join(sized.hint("merge"), "hub").withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))).drop(n)
-    spread = pairs.join(sized.hint("merge"), "hub").withColumn(chunk, F.pmod(F.xxhash64("node"), F.col(n))).drop(n)
-    return spread.join(copies.hint("merge"), ["hub", chunk]).drop(chunk)
+def _chunked(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """pairs(node, hub) with the chunk of partners that each falls into, and (hub, chunks) of hubs with several.
+
+    Most hubs have one chunk. The few others are looked up by spread keys, so that no task gets all
+    partners of one.
+    """
+    sized = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).alias("_chunks")).filter("_chunks > 1")
+    hot = files.saved(sized, "hot")
+    spread = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    both = salted.join(spread.hint("merge"), ["hub", "_salt"], "left")
+    return both.withColumn(name, F.pmod(F.xxhash64("node", F.lit(1)), F.coalesce("_chunks", F.lit(1)))).drop("_salt", "_chunks"), hot
+
+
+def _dealt(hubs: DataFrame, hot: DataFrame, name: str) -> DataFrame:
+    """hubs(hub, ..), of which each chunk of partners gets its own copy."""
+    many = hubs.join(few(hot, 24), "hub", "left")
+    return many.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_chunks", F.lit(1)) - 1))).drop("_chunks")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(node, hub) with both full sets, sa and sb, and the size of their intersection."""
-    left = pairs.join(sets.select("node", F.col("shingles").alias("sa")).hint("merge"), "node")
-    both = _dealt(left, sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sb")))
+    """pairs(node, hub) with both full sets, sa and sb, and the size of their intersection.
+
+    Of the sets only those that a pair asks for are shuffled.
+    """
+    chunked, hot = _chunked(files.saved(pairs, "compared"), "_chunk")
+    chunked = files.saved(chunked, "chunked")
+    n = chunked.count()
+    left = few(chunked, 48, n).join(sets.select("node", F.col("shingles").alias("sa")), "node")
+    right = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sb")).join(few(chunked.select("hub").distinct(), 24, n), "hub", "left_semi")
+    both = left.join(_dealt(right, hot, "_chunk").hint("merge"), ["hub", "_chunk"]).drop("_chunk")
     return both.withColumn("inter", F.size(F.array_intersect("sa", "sb")).cast("long"))
 
 
@@ -166,18 +183,18 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def hub_pairs(per: DataFrame) -> DataFrame:
-    """Distinct (node, hub) over the buckets of all tables."""
+    """node, hub, tables: in how many tables a class meets each of its hubs."""
     each = per.select("node", F.posexplode(F.concat("a", "b")).alias("k", "x"))
     crowd = each.groupBy("k", "x").agg(F.count("*").alias("n")).filter("n > 1")
     shared = each.join(crowd.hint("merge"), ["k", "x"]).groupBy("node").agg(F.sum("n").alias("central"), F.bit_or(F.expr("shiftleft(1, k)")).alias("has"))
     live = shared.filter((F.col("has") % (1 << M) > 0) & (F.col("has") >= 1 << M))
-    live = per.select("node", "a", "b").join(live.hint("merge"), "node")
+    live = files.saved(per.select("node", "a", "b").join(live.hint("merge"), "node"), "live")
     sides = [F.posexplode(c).alias(i, x) for c, i, x in (("a", "i", "x"), ("b", "j", "y"))]
     keys = live.select("node", "central", "has", sides[0], "b").filter("shiftright(has, i) % 2 = 1").select("node", "central", "has", "i", "x", sides[1])
     keys = keys.filter(f"shiftright(has, j + {M}) % 2 = 1").select("node", "central", F.xxhash64("i", "j", "x", "y").alias("key"))
     best = F.max(F.struct("central", (-F.col("node")).alias("minus")))
     hub = keys.groupBy("key").agg(F.count("*").alias("n"), best.alias("hub")).filter("n > 1").select("key", (-F.col("hub.minus")).alias("hub"))
-    return keys.select("key", "node").join(hub.hint("merge"), "key").filter("node <> hub").select("node", "hub").distinct()
+    return keys.select("key", "node").join(hub.hint("merge"), "key").filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("tables"))
 
 
 def measured(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -190,13 +207,17 @@ def measured(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     diff, as they are rarer.
     """
     c = percent / (100 + percent)
-    sized = group.groupBy("hub").agg(F.count("*").alias("n"))
-    some = group.join(sized.hint("merge"), "hub").filter(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / 32)) == 0).select("node", "hub")
-    some = some.union(sized.select(F.col("hub").alias("node"), "hub")).join(sets.hint("merge"), "node")
+    chunked, hot = _chunked(group, "_chunk")
+    chunked = files.saved(chunked, "group")
+    # Some 32 members in all: of a group in several chunks fewer of each.
+    held = F.count("*").over(Window.partitionBy("hub", "_chunk"))
+    part = chunked.withColumn("_held", held).join(few(hot, 24), "hub", "left")
+    part = part.filter(F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("_held") / 32) * F.coalesce("_chunks", F.lit(1))) == 0).select("node", "hub")
+    some = part.union(group.select(F.col("hub").alias("node"), "hub")).distinct().join(sets.hint("merge"), "node")
     votes = some.groupBy("hub").agg(F.count("*").alias("voters"))
     token = some.select("hub", F.explode("shingles").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("k"))
     pivot = token.join(votes.hint("merge"), "hub").groupBy("hub").agg(F.collect_list(F.when(2 * F.col("k") > F.col("voters"), F.col("token"))).alias("pivot"))
-    e = _dealt(group.join(sets.withColumnRenamed("shingles", "s").hint("merge"), "node"), pivot)
+    e = chunked.join(sets.withColumnRenamed("shingles", "s").hint("merge"), "node").join(_dealt(pivot, hot, "_chunk").hint("merge"), ["hub", "_chunk"]).drop("_chunk")
     e = e.withColumn("added", F.array_sort(F.array_except("s", "pivot"))).withColumn("missed", F.array_sort(F.array_except("pivot", "s")))
     f = F.lit(1 - c) * F.size("missed") + F.lit(c) * F.size("added")
     return e.select("node", "hub", F.size("s").alias("n"), f.alias("f"), (F.lit(1 - 2 * c) * F.size("pivot")).alias("room"), F.concat("added", "missed").alias("diff"))
@@ -225,14 +246,17 @@ def _heads(members: DataFrame) -> tuple[DataFrame, DataFrame]:
         return at.select("hub", "token", F.col("node").alias(name), F.col("n").alias(f"n_{name}"), rest.alias(f"rest_{name}"), F.col("f").alias(f"f_{name}"), F.col("room").alias(f"room_{name}"))
 
     x, y = side(members.filter("open"), as_x, "a"), side(members, as_y, "b")
+    # Differences that no open member shares with anyone, most of them by far, lead nowhere.
     crowd = x.groupBy("hub", "token").agg(F.ceil(F.count("*") / FIRST).alias("parts"))
+    met = y.groupBy("hub", "token").agg(F.count("*").alias("n")).filter("n > 1").select("hub", "token")
+    crowd = files.saved(crowd.join(met.hint("merge"), ["hub", "token"]), "crowd")
     place = F.pmod(F.xxhash64("a", "token"), F.col("parts"))
     x = x.join(crowd.hint("merge"), ["hub", "token"]).withColumn("round", F.floor(F.log2(place + 1)).cast("int")).drop("parts")
-    return files.saved(x, "open"), files.saved(y, "heads")
+    return files.saved(x, "open"), files.saved(y.join(crowd.select("hub", "token").hint("merge"), ["hub", "token"]), "heads")
 
 
-def late_links(members: DataFrame, sets: DataFrame, links: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """components() of the links and of those among members that no hub explains, round by round."""
+def late_links(members: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The components after links among members that no hub explains, round by round."""
     x, y = _heads(members)
     last = x.agg(F.max("round")).first()[0]
     for k in range(0 if last is None else last + 1):
@@ -243,8 +267,7 @@ def late_links(members: DataFrame, sets: DataFrame, links: DataFrame, found: Dat
         pairs = files.saved(pairs.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("hub")).distinct(), "late-pairs")
         more = files.saved(_compare(pairs, sets).filter(_linked(percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")), "late")
         if more.limit(1).count():
-            links = found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)
-            found = components(links)
+            found = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     return found
 
 
@@ -254,21 +277,41 @@ def link_components(docs: DataFrame, per: DataFrame, percent: int = PERCENT) ->
     nodes = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
     wanted = per.select("node", "file", "row").join(nodes.hint("merge"), "node")
     sets = files.saved(_sets(docs, places.mark(wanted.select("file", "row", "node"))), "sets")
-    edges = files.saved(_compare(pairs, sets).select("node", "hub", _linked(percent).alias("linked")), "edges")
-    links = edges.filter("linked").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    # Groups in which someone is not linked to the hub and has company.
-    unsettled = edges.groupBy("hub").agg(F.count("*").alias("n"), F.min("linked").alias("all")).filter("n > 1 and not all").select("hub")
-    group = edges.join(unsettled.hint("merge"), "hub").select("node", "hub")
+    # Each member first meets the hub that it shares most tables with; then those it isn't in one component with.
+    best = pairs.groupBy("node").agg(F.max(F.struct("tables", (-F.col("hub")).alias("minus"))).alias("x")).select("node", (-F.col("x.minus")).alias("hub"))
+    links = _linked_pairs(best, sets, percent)
+    found = components(links)
+    apart = _apart(pairs.join(best.hint("merge"), ["node", "hub"], "left_anti"), found)
+    more = _linked_pairs(apart.select("node", "hub"), sets, percent)
+    if more.limit(1).count():
+        links = links.union(more)
+        found = components(links)
+    # Groups that fall into several components have pairs of members that nobody has compared yet.
+    several = pairs.groupBy("hub").agg(F.count("*").alias("n")).filter("n > 1").select("hub")
+    unsettled = files.saved(_apart(pairs, found).select("hub").distinct().join(several.hint("merge"), "hub"), "unsettled")
+    group = files.saved(pairs.join(few(unsettled, 16), "hub", "left_semi").select("node", "hub"), "unsettled-group")
     members = files.saved(measured(group, sets, percent), "members")
     closest = members.groupBy("hub").agg(F.min(F.struct("f", "node")).alias("m")).select("hub", F.col("m.f").alias("low"), F.col("m.node").alias("mid"))
     members = files.saved(members.join(closest.hint("merge"), "hub"), "near")
     star = members.filter("node <> mid").select("node", F.col("mid").alias("hub")).distinct()
     star = files.saved(_compare(star, sets).select("node", F.col("hub").alias("mid"), _linked(percent).alias("linked")), "star")
-    links = links.union(star.filter("linked").select("node", "mid"))
-    found = components(links)
+    near = star.filter("linked").select(F.col("node").alias("a"), F.col("mid").alias("b"))
+    found = components(links.union(near)) if near.limit(1).count() else found
     apart = star.filter("not linked").select("node", "mid", F.lit(True).alias("open"))
     members = members.join(apart.hint("merge"), ["node", "mid"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    return late_links(members, sets, links, found, percent)
+    return late_links(members, sets, found, percent)
+
+
+def _linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b of the pairs(node, hub) whose full sets are similar enough."""
+    return files.saved(_compare(pairs, sets).filter(_linked(percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")), "links")
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs(node, hub) that are in different components so far."""
+    label = lambda side, name: found.select(F.col("node").alias(side), F.col("label").alias(name)).hint("merge")
+    both = pairs.join(label("node", "_a"), "node", "left").join(label("hub", "_b"), "hub", "left")
+    return both.filter(F.coalesce("_a", "node") != F.coalesce("_b", "hub")).drop("_a", "_b")
 
 
 def _named(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
