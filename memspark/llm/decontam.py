@@ -1,7 +1,7 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
 Documents are gathered into shards of some megabytes. Of each a suffix array over all its words is
-built, by doubling the number of words that ranks look at until it passes a window's. Every suffix of
+built, by ranks of words, then of runs of ranks, until they look as deep as a window. Every suffix of
 every benchmark item is then binary-searched in it; the interval that it finds are the occurrences of
 its first ``width`` words, and neighbouring occurrences on one diagonal join into the longest verbatim
 matches with their locations. Documents with a match are removed.
@@ -37,7 +37,7 @@ from . import text as tx
 
 WIDTH = 10
 #: Bytes of benchmark text in a block, and of documents in a shard.
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 _held: dict[str, "Index"] = {}
 
 
@@ -94,7 +94,7 @@ class Index:
         hi = shard.bound(query, self.start[asked], self.length[asked], True)
         n = hi - lo
         where = shard.array[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        return shard.word[where], np.repeat(asked, n)
+        return shard.word[where].astype(np.int64), np.repeat(asked, n)
 
     def expand(self, where: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, item, offset in the item) for each occurrence and each item that owns it."""
@@ -126,20 +126,26 @@ class Shard:
         self.line = np.zeros(len(h) + rows + width, np.int32)
         place = np.arange(len(h)) + tx.row_of(first)
         self.line[place] = number + 1
-        self.word = np.full(len(self.line), -1, np.int64)
+        self.word = np.full(len(self.line), -1, np.int32)
         self.word[place] = np.arange(len(h))
-        rank, depth = self.line.astype(np.uint64), 1
-        order = np.argsort(rank, kind="stable")
-        while depth < width:
-            after = np.zeros(len(rank), np.uint64)
-            after[: len(rank) - depth] = rank[depth:]
-            both = (rank << np.uint64(32)) | after
-            order = np.argsort(both, kind="stable")
-            new = np.ones(len(both), np.uint64)
-            new[0], new[1:] = 0, both[order][1:] != both[order][:-1]
+        del number, place
+        # As many neighbouring ranks as fit 64 bits make the next ranks, which look at so many times the words.
+        rank, depth, order = self.line.astype(np.uint64), 1, np.zeros(0, np.int64)
+        while depth < width or not len(order):
+            bits = max(1, int(rank.max()).bit_length()) if len(rank) else 1
+            many = max(2, min(64 // bits, -(-width // depth)))
+            both = rank.copy()
+            for k in range(1, many):
+                both <<= np.uint64(bits)
+                both[: len(rank) - k * depth] |= rank[k * depth :]
+            order = np.argsort(both)
+            both = both[order]
+            new = np.ones(len(both), bool)
+            new[:1], new[1:] = False, both[1:] != both[:-1]
             rank[order] = np.cumsum(new)
-            depth *= 2
-        self.array = order[self.line[order] > 0]
+            depth *= many
+        del rank, both, new
+        self.array = order[self.line[order] > 0].astype(np.int32)
         count = np.bincount(self.line[self.array], minlength=len(self.vocabulary) + 2)
         #: Suffixes that begin with a word are array[begin[word]:begin[word + 1]].
         self.begin = np.concatenate(([0], np.cumsum(count)))
@@ -152,7 +158,7 @@ class Shard:
             if not len(open_):
                 return lo
             mid = (lo[open_] + hi[open_]) >> 1
-            suffix, s, n = self.array[mid], start[open_], length[open_]
+            suffix, s, n = self.array[mid].astype(np.int64), start[open_], length[open_]
             less = np.full(len(open_), past)  # what begins with the query is less than the end
             tied = np.arange(len(open_))
             for k in range(1, int(n.max())):
