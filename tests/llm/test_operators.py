@@ -87,7 +87,7 @@ def shingle_set(text: str | None) -> frozenset:
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def brute_components(rows) -> dict:
+def brute_components(rows, percent: int = 85) -> dict:
     sets = [shingle_set(t) for _, t in rows]
     label = list(range(len(rows)))
 
@@ -100,7 +100,7 @@ def brute_components(rows) -> dict:
         for j in range(i):
             b = sets[j]
             n = len(a & b)
-            if a and b and rows[i][0] is not None and rows[j][0] is not None and 100 * n >= 85 * (len(a) + len(b) - n):
+            if a and b and rows[i][0] is not None and rows[j][0] is not None and 100 * n >= percent * (len(a) + len(b) - n):
                 x, y = sorted((root(i), root(j)))
                 label[y] = x
     low = defaultdict(list)

@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import zstandard
-from test_operators import brute_components, vary
+from test_operators import brute_components, odd_rows, vary
 
 import corpus_pipeline
 from memspark.llm import mixing, quality
@@ -38,12 +38,33 @@ def brute_quality(text):
     return lo <= pack(data) <= hi and sum(odd) <= bands.chunk_share * len(odd)
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _spans array<long>, _items string, shard_file string, manifest_version int, _run string, file string, row long, copies int, hub long, t long"
+
+
+def test_stages_take_empty_odd_and_clashing_tables(spark, tmp_path):
+    rows = [(*r[:5], [1], "i", "mine", 5, "r", "f", 2, 9, 3, 4) for r in odd_rows()]
+    rows += [(300 + i, vary(i, 300, base=40 + i), *[None] * 13) for i in range(3)] + [(None, vary(1, 300, base=41), *[None] * 13)]
+    spark.createDataFrame([("b", vary(2, 300, base=42))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for part, table in enumerate((spark.createDataFrame(rows, ODD).repartition(3), spark.createDataFrame([], ODD))):
+        docs, n = table, table.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, f"{tmp_path}")
+            last = name == "shard_documents"
+            assert out.columns == table.columns + ["shard_file_", "manifest_version_"] * last, name
+            out.write.parquet(f"{tmp_path}/{part}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{part}-{name}")
+            assert docs.count() <= (n if name != "mix_sources" else 3 * n), name
+            n = docs.count()
+        assert sorted({r.doc_id for r in docs.collect()}, key=repr) == ([300, 301, None] if not part else [])
+        assert {r.shard_file for r in docs.collect()} <= {"mine", None}
+
+
 def test_stages_match_brute_force(spark, tmp_path):
     rows, item = folder(spark, tmp_path)
     d = f"{tmp_path}"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     good = [r for r in rows if brute_quality(r[1])]
-    comps = brute_components([(r[0], r[1]) for r in good])
+    comps = brute_components([(r[0], r[1]) for r in good], corpus_pipeline.NEAR_PERCENT)
     one = {c for _, _, c in comps}
     clean = {r[0] for r in good if r[0] in one and item not in r[1]}
     want = [{r[0] for r in good}, one, clean]
