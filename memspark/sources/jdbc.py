@@ -26,5 +26,5 @@ def write(df: DataFrame, url: str, table: str, mode: str = "append", **options:
 
 def vectors(rows: DataFrame, column: str = "embedding") -> DataFrame:
     """rows with vectors that a database shows as text, [1,2,3], as arrays named vec."""
-    numbers = F.split(F.regexp_replace(F.col(column), r"[\\[\\]\\s]", ""), ",")
+    numbers = F.split(F.regexp_replace(F.col(column), r"[\[\]\s]", ""), ",")
     return rows.withColumn("vec", F.when(F.length(column) > 2, F.transform(numbers, lambda x: x.cast("double")))).drop(column)

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memspark.functions.text import fingerprint, iso
 from memspark.operators.trust import merkle_levels
@@ -63,31 +64,47 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n[2:]) for n in found if n.startswith("v="))
 
 
-def push(tables: dict[str, DataFrame], root: str) -> int:
-    """Write all tables as the next version; it appears by one rename once all are written."""
+def push(tables: dict[str, DataFrame], root: str, same: tuple[str, ...] = ()) -> int:
+    """Write tables as the next version; it appears by one rename once all are written.
+
+    Tables named in ``same`` are those of the version before, which are referred to and not copied.
+    """
     backend(root)
     spark = next(iter(tables.values())).sparkSession
-    n = (versions(spark, root) or [0])[-1] + 1
-    draft = f"{root}/_draft-{n}"
+    have = versions(spark, root)
+    n = (have or [0])[-1] + 1
+    draft = f"{root}/_draft-{n}-{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
         out = df.write.mode("overwrite")
         out = out.partitionBy("status") if name == "memories" and "status" in df.columns else out
         out.parquet(f"{draft}/{name}")
+        put(spark, draft, f"{name}.schema", df.schema.json().encode())
+    for name in same:
+        put(spark, draft, f"{name}.same", str(_holder(spark, root, name, have[-1])).encode())
     fs, src = file_system(spark, draft)
-    if not fs.rename(src, file_system(spark, f"{root}/v={n}")[1]):
+    goal = file_system(spark, f"{root}/v={n}")[1]
+    if fs.exists(goal) or not fs.rename(src, goal):
         raise OSError(f"version {n} could not be published")
     return n
 
 
+def _holder(spark: SparkSession, root: str, table: str, version: int) -> int:
+    """The version that holds a table's files for this one."""
+    fs, p = file_system(spark, f"{root}/v={version}/{table}.same")
+    return int(get(spark, f"{root}/v={version}", f"{table}.same")) if fs.exists(p) else version
+
+
 def pull(spark: SparkSession, root: str, table: str, version: int | None = None) -> DataFrame:
     """A table of a version, the newest if none is given; older ones serve as backups to go back to."""
     version = versions(spark, root)[-1] if version is None else version
-    return spark.read.parquet(f"{root}/v={version}/{table}")
+    folder = f"{root}/v={_holder(spark, root, table, version)}"
+    schema = T.StructType.fromJson(json.loads(get(spark, folder, f"{table}.schema")))
+    return spark.read.schema(schema).parquet(f"{folder}/{table}").select(*schema.names)
 
 
 def rollback(spark: SparkSession, root: str, version: int) -> int:
     """An older version as the newest; those in between stay."""
-    found = names(spark, f"{root}/v={version}")
+    found = sorted({n.removesuffix(".same") for n in names(spark, f"{root}/v={version}") if not n.endswith(".schema")})
     return push({t: pull(spark, root, t, version) for t in found}, root)
 
 
@@ -183,8 +200,6 @@ def read_manifest(spark: SparkSession, root: str, key: bytes) -> dict:
 
 def verify_container(spark: SparkSession, root: str, key: bytes) -> dict[str, bool]:
     """Whether each table is as the manifest says."""
-    from pyspark.sql import types as T
-
     out = {}
     for name, held in read_manifest(spark, root, key)["tables"].items():
         df = spark.read.schema(T.StructType.fromJson(json.loads(held["schema"]))).parquet(f"{root}/data/{name}")
