@@ -210,6 +210,7 @@ def _shards(batches, column: int):
         buf, offs = tx.flat(batch.column(column))
         for a, b in tx.slices(offs, SHARD_BYTES):
             yield batch.slice(a, b - a), buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+        tx.trim()
 
 
 def _judge(paths: list[str], width: int, buf, offs):

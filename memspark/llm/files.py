@@ -51,14 +51,24 @@ def folder(spark: SparkSession, name: str, keep: bool = False) -> str:
     return path
 
 
+#: Rows of texts that a Python worker gets at a time while a scope is open.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 @contextlib.contextmanager
 def scope(spark: SparkSession):
-    """Deletes the folders made inside and not kept."""
+    """Deletes the folders made inside and not kept.
+
+    Jobs inside hand texts to Python in smaller batches, which take less memory on either side.
+    """
     inside: list[str] = []
-    before = _scopes.set((*_scopes.get(), inside))
+    before, rows = _scopes.set((*_scopes.get(), inside)), spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
     try:
         yield
     finally:
+        spark.conf.set(_BATCH, rows)
         _scopes.reset(before)
         for path in inside:
             with contextlib.suppress(Exception):  # already gone

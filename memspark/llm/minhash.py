@@ -115,6 +115,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 place = [batch.column(k).slice(lo, hi - lo) for k in (0, 1, 2)]
                 cols = [*place, pa.array(n, pa.int64()), pa.array(_digests(sets, first), pa.binary()), *both, batch.column(4).slice(lo, hi - lo)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+            tx.trim()
 
     text = docs["text"].cast("string")
     rows = docs.select(*places.place(docs), docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.when(text.isNotNull(), F.xxhash64(text)).alias("text_key"))
@@ -144,7 +145,7 @@ def _chunked(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     hot = files.saved(sized, "hot")
     spread = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    both = salted.join(spread.hint("merge"), ["hub", "_salt"], "left")
+    both = salted.join(few(spread, 32, hot.count() * SALTS), ["hub", "_salt"], "left")
     return both.withColumn(name, F.pmod(F.xxhash64("node", F.lit(1)), F.coalesce("_chunks", F.lit(1)))).drop("_salt", "_chunks"), hot
 
 
@@ -213,11 +214,11 @@ def measured(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     held = F.count("*").over(Window.partitionBy("hub", "_chunk"))
     part = chunked.withColumn("_held", held).join(few(hot, 24), "hub", "left")
     part = part.filter(F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("_held") / 32) * F.coalesce("_chunks", F.lit(1))) == 0).select("node", "hub")
-    some = part.union(group.select(F.col("hub").alias("node"), "hub")).distinct().join(sets.hint("merge"), "node")
+    some = few(files.saved(part.union(group.select(F.col("hub").alias("node"), "hub")).distinct(), "voters"), 24).join(sets, "node")
     votes = some.groupBy("hub").agg(F.count("*").alias("voters"))
     token = some.select("hub", F.explode("shingles").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("k"))
     pivot = token.join(votes.hint("merge"), "hub").groupBy("hub").agg(F.collect_list(F.when(2 * F.col("k") > F.col("voters"), F.col("token"))).alias("pivot"))
-    e = chunked.join(sets.withColumnRenamed("shingles", "s").hint("merge"), "node").join(_dealt(pivot, hot, "_chunk").hint("merge"), ["hub", "_chunk"]).drop("_chunk")
+    e = few(chunked, 48).join(sets.withColumnRenamed("shingles", "s"), "node").join(_dealt(pivot, hot, "_chunk").hint("merge"), ["hub", "_chunk"]).drop("_chunk")
     e = e.withColumn("added", F.array_sort(F.array_except("s", "pivot"))).withColumn("missed", F.array_sort(F.array_except("pivot", "s")))
     f = F.lit(1 - c) * F.size("missed") + F.lit(c) * F.size("added")
     return e.select("node", "hub", F.size("s").alias("n"), f.alias("f"), (F.lit(1 - 2 * c) * F.size("pivot")).alias("room"), F.concat("added", "missed").alias("diff"))
@@ -251,8 +252,9 @@ def _heads(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = y.groupBy("hub", "token").agg(F.count("*").alias("n")).filter("n > 1").select("hub", "token")
     crowd = files.saved(crowd.join(met.hint("merge"), ["hub", "token"]), "crowd")
     place = F.pmod(F.xxhash64("a", "token"), F.col("parts"))
-    x = x.join(crowd.hint("merge"), ["hub", "token"]).withColumn("round", F.floor(F.log2(place + 1)).cast("int")).drop("parts")
-    return files.saved(x, "open"), files.saved(y.join(crowd.select("hub", "token").hint("merge"), ["hub", "token"]), "heads")
+    crowded = few(crowd, 48)
+    x = x.join(crowded, ["hub", "token"]).withColumn("round", F.floor(F.log2(place + 1)).cast("int")).drop("parts")
+    return files.saved(x, "open"), files.saved(y.join(crowded.select("hub", "token"), ["hub", "token"]), "heads")
 
 
 def late_links(members: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -260,10 +262,11 @@ def late_links(members: DataFrame, sets: DataFrame, found: DataFrame, percent: i
     x, y = _heads(members)
     last = x.agg(F.max("round")).first()[0]
     for k in range(0 if last is None else last + 1):
-        label = lambda df, name: df.join(found.select(F.col("node").alias(name), F.col("label").alias(f"c_{name}")).hint("merge"), name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))  # noqa: E731,B023
+        some, n = x.filter(F.col("round") == k), found.count()
+        label = lambda df, name: df.join(few(found.select(F.col("node").alias(name), F.col("label").alias(f"c_{name}")), 24, n), name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))  # noqa: E731,B023
         fits = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
         enough = F.least("rest_a", "rest_b") >= F.col("f_a") + F.col("f_b") - F.col("room_a") - _EPS
-        pairs = label(x.filter(F.col("round") == k), "a").join(label(y, "b").hint("merge"), ["hub", "token"]).filter((F.col("c_a") != F.col("c_b")) & fits & enough)
+        pairs = label(y, "b").join(few(label(some, "a"), 96, some.count()), ["hub", "token"]).filter((F.col("c_a") != F.col("c_b")) & fits & enough)
         pairs = files.saved(pairs.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("hub")).distinct(), "late-pairs")
         more = files.saved(_compare(pairs, sets).filter(_linked(percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")), "late")
         if more.limit(1).count():
@@ -275,13 +278,14 @@ def link_components(docs: DataFrame, per: DataFrame, percent: int = PERCENT) ->
     """node, label: components of the confirmed links between classes; nodes without links are left out."""
     pairs = files.saved(hub_pairs(per), "pairs")
     nodes = pairs.select("node").union(pairs.select(F.col("hub").alias("node"))).distinct()
-    wanted = per.select("node", "file", "row").join(nodes.hint("merge"), "node")
+    wanted = per.select("node", "file", "row").join(few(files.saved(nodes, "nodes"), 16), "node")
     sets = files.saved(_sets(docs, places.mark(wanted.select("file", "row", "node"))), "sets")
     # Each member first meets the hub that it shares most tables with; then those it isn't in one component with.
     best = pairs.groupBy("node").agg(F.max(F.struct("tables", (-F.col("hub")).alias("minus"))).alias("x")).select("node", (-F.col("x.minus")).alias("hub"))
+    best = files.saved(best, "best")
     links = _linked_pairs(best, sets, percent)
     found = components(links)
-    apart = _apart(pairs.join(best.hint("merge"), ["node", "hub"], "left_anti"), found)
+    apart = _apart(pairs.join(few(best, 24), ["node", "hub"], "left_anti"), found)
     more = _linked_pairs(apart.select("node", "hub"), sets, percent)
     if more.limit(1).count():
         links = links.union(more)
@@ -292,13 +296,13 @@ def link_components(docs: DataFrame, per: DataFrame, percent: int = PERCENT) ->
     group = files.saved(pairs.join(few(unsettled, 16), "hub", "left_semi").select("node", "hub"), "unsettled-group")
     members = files.saved(measured(group, sets, percent), "members")
     closest = members.groupBy("hub").agg(F.min(F.struct("f", "node")).alias("m")).select("hub", F.col("m.f").alias("low"), F.col("m.node").alias("mid"))
-    members = files.saved(members.join(closest.hint("merge"), "hub"), "near")
+    members = files.saved(members.join(few(files.saved(closest, "closest"), 24), "hub"), "near")
     star = members.filter("node <> mid").select("node", F.col("mid").alias("hub")).distinct()
     star = files.saved(_compare(star, sets).select("node", F.col("hub").alias("mid"), _linked(percent).alias("linked")), "star")
     near = star.filter("linked").select(F.col("node").alias("a"), F.col("mid").alias("b"))
     found = components(links.union(near)) if near.limit(1).count() else found
     apart = star.filter("not linked").select("node", "mid", F.lit(True).alias("open"))
-    members = members.join(apart.hint("merge"), ["node", "mid"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    members = members.join(few(apart, 32), ["node", "mid"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
     return late_links(members, sets, found, percent)
 
 
@@ -309,7 +313,8 @@ def _linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs(node, hub) that are in different components so far."""
-    label = lambda side, name: found.select(F.col("node").alias(side), F.col("label").alias(name)).hint("merge")
+    n = found.count()
+    label = lambda side, name: few(found.select(F.col("node").alias(side), F.col("label").alias(name)), 24, n)
     both = pairs.join(label("node", "_a"), "node", "left").join(label("hub", "_b"), "hub", "left")
     return both.filter(F.coalesce("_a", "node") != F.coalesce("_b", "hub")).drop("_a", "_b")
 

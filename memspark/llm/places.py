@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
+from . import text as tx
 
 #: Rows of an input file whose marks share a file.
 CHUNK = 1 << 17
@@ -76,7 +77,7 @@ def mark(marks: DataFrame, *order: str, name: str = "marks", keep: bool = False)
                         sink = place_.__enter__()
                         part = batch.slice(a, 0)
                         schema = pa.schema(list(part.schema)[1:])
-                        out = pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                        out = pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False))
                     part = batch.slice(a, b - a)
                     out.write_batch(pa.RecordBatch.from_arrays(part.columns[1:], schema=schema))
                     count += b - a
@@ -116,7 +117,7 @@ class Reader:
         def read():
             try:
                 with files.opened(_path(self.folder, *key)) as f:
-                    yield from pa.ipc.open_stream(f)
+                    yield from pa.ipc.open_stream(f, options=pa.ipc.IpcReadOptions(use_threads=False))
             except FileNotFoundError:  # no row of the chunk has a mark
                 return
 
@@ -163,5 +164,6 @@ def beside(docs: DataFrame, columns: list, folder: str, run, schema) -> DataFram
             plain = pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width])
             for a, b, table, lo, hi in reader.marks(batch.column(width), batch.column(width + 1).to_numpy()):
                 yield from run(plain.slice(a, b - a), table, lo, hi)
+            tx.trim()
 
     return named.mapInArrow(work, schema)

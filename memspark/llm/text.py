@@ -6,6 +6,9 @@ number of numpy passes and no Python work per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,6 +24,13 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _pow: dict[int, np.ndarray] = {}
 
+def trim() -> None:
+    """Give memory that was freed back to the system; allocators keep it otherwise, for as long as a worker lives."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
