@@ -44,11 +44,11 @@ K = 64
 #: Period of the difference cover.
 PERIOD = 32
 #: Bytes of stretches that are sorted together, and stretches of a bucket up to which it isn't split.
-BLOCK_BYTES, BUCKET = 1 << 20, 20_000
+BLOCK_BYTES, BUCKET = 256 << 10, 20_000
 #: Strings of a stretch that stay together when a bucket is split, level by level.
 WIDTHS = (8, 1)
-#: Strings that are sorted together, roughly; bytes of text that anchors are sought in together.
-TILE, SLICE = 200_000, 512 << 10
+#: Strings that are sorted together, roughly; bytes of text that anchors are sought in together, and that are worked on at a time.
+TILE, SLICE, WINDOW = 50_000, 128 << 10, 1 << 20
 
 
 def difference_cover(period: int) -> list[int]:
@@ -215,8 +215,10 @@ def _emit(docs: DataFrame, folder: str) -> DataFrame:
         return rows[row], anchor, whole, p - i0, p - i1, p - offs[row] + base
 
     def run(batch, table, lo, hi):
-        if table is None:
-            return
+        for a, b in tx.slices(tx.flat(batch.column(0))[1], WINDOW) if table is not None else ():
+            yield from window(batch.slice(a, b - a), table, lo[a:b], hi[a:b])
+
+    def window(batch, table, lo, hi):
         at = np.flatnonzero(hi > lo)
         ids, twice = table.column("t").to_numpy()[lo[at]], table.column("twice").to_numpy()[lo[at]]
         buf, offs = tx.flat(batch.column(0).take(pa.array(at)))
@@ -271,8 +273,10 @@ def _fetch(docs: DataFrame, folder: str) -> DataFrame:
     """anchor, whole, left, times and bytes of the marked stretches."""
 
     def run(batch, table, lo, hi):
-        if table is None:
-            return
+        for a, b in tx.slices(tx.flat(batch.column(0))[1], WINDOW) if table is not None else ():
+            yield from window(batch.slice(a, b - a), table, lo[a:b], hi[a:b])
+
+    def window(batch, table, lo, hi):
         buf, offs = tx.flat(batch.column(0))
         view = memoryview(np.ascontiguousarray(buf))
         row = np.repeat(np.arange(batch.num_rows), hi - lo)
@@ -321,6 +325,7 @@ def _sorted(rows: DataFrame) -> DataFrame:
                 yield block(table.slice(0, cut).combine_chunks())
                 rest = table.slice(cut).combine_chunks()
                 held, size = rest.to_batches(), int(offs[-1] - offs[cut])
+            tx.trim()
         table = pa.Table.from_batches(held) if held else None
         if table is not None and table.num_rows:
             yield block(table.combine_chunks())
@@ -408,8 +413,11 @@ def removed(docs: DataFrame) -> DataFrame:
     """One row per document: its bytes, those removed, the runs they form, and a digest of the rest."""
     docs = places.rooted(docs)
     with files.scope(docs.sparkSession):
-        found = files.saved(repeats(docs), "spans")
-        folder = places.mark(found, "first", name="spans", keep=True)
+        return files.saved(_removed(docs, places.mark(files.saved(repeats(docs), "spans"), "first", name="spans")), "removed", keep=True)
+
+
+def _removed(docs: DataFrame, folder: str) -> DataFrame:
+    """removed() from the marks of repeated strings."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batch, table, lo, hi):
