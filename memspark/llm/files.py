@@ -86,7 +86,7 @@ def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 
 #: Bytes of a table up to which it is broadcast.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def few(df: DataFrame, row_bytes: int = 64, rows: int | None = None) -> DataFrame:
