@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from memspark.session import ship
 
-from . import chat, decontam, langid, minhash, mixing, quality, sharding, sufdedup, tokcount, warc
+from . import chat, decontam, divergence, langid, minhash, mixing, packing, quality, sharding, sufdedup, tokcount, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,13 +143,77 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str, vocabulary: str = tokc
     return tokcount.count(_table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are from each other, and the terms that set each apart."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+grp AS (SELECT DISTINCT lang, source FROM d),
+one AS (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM one GROUP BY ALL HAVING count(*) >= 10),
+size AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+own AS (SELECT lang, source, term, sum(one.n) AS n FROM one SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+total AS (SELECT lang, source, coalesce(sum(own.n), 0) AS total FROM grp LEFT JOIN own USING (lang, source) GROUP BY ALL),
+share AS (SELECT g.lang, g.source, k.term, coalesce(own.n, 0) AS n,
+    1 + (1000000000 * (coalesce(own.n, 0) + 2)) // (g.total + 2 * size.v) AS p, 1 + (1000000000 * (k.n + 2)) // (size.total + 2 * size.v) AS q
+  FROM total g JOIN kept k USING (lang) JOIN size USING (lang) LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(f, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS xs, y.source AS ys, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS f
+    FROM share x JOIN share y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s ON s.lang = a.lang AND xs = a.source AND ys = b.source),
+term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM share WHERE n > 0 AND p > q),
+every AS (SELECT *, 'pair' AS part FROM pair UNION ALL SELECT *, 'term' AS part FROM term)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every) WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of rebuilt conversations."""
+    return trie.prefixes(_table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = r"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'k': {'role': role, 'text': text}, 'words': len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))}
+  ORDER BY turn NULLS FIRST, md5(CAST(strlen(role) AS VARCHAR) || ':' || role || text)) AS t FROM turns GROUP BY conv_id),
+crc AS (SELECT conv_id, s, k, v FROM (
+  WITH RECURSIVE step AS (
+    SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS k, CAST(4294967295 AS BIGINT) AS v FROM c
+    UNION ALL SELECT conv_id, s, k + 1, list_reduce([xor(v, ascii(substr(s, k + 1, 1)))] || range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) FROM step WHERE k < length(s))
+  SELECT * FROM step WHERE k = length(s))),
+h AS (SELECT conv_id, CAST(xor(v, 4294967295) % 4 AS INT) AS h FROM crc),
+r AS (SELECT c.conv_id, coalesce(b.t[1:h], []) || c.t[h + 1:] AS t FROM c JOIN h USING (conv_id) LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+each AS (SELECT conv_id, len(t) AS size, d, list_transform(t[1:d], lambda x: x.k) AS path, CASE WHEN d = 0 THEN 0 ELSE t[d].words END AS words
+  FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM r)),
+named AS (SELECT *, min(conv_id) OVER (PARTITION BY d, path) AS node FROM each),
+node AS (SELECT d, node, count(*) AS n, max(words) AS words, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (size = d), '') AS ends FROM named GROUP BY d, node),
+up AS (SELECT DISTINCT a.d, a.node, b.node AS parent FROM named a JOIN named b ON a.conv_id = b.conv_id AND b.d = a.d - 1),
+kids AS (SELECT d - 1 AS d, parent AS node, count(*) AS n FROM up GROUP BY ALL),
+below AS (SELECT DISTINCT a.d, a.node, b.d AS bd, b.node AS bn FROM named a JOIN named b ON a.conv_id = b.conv_id AND b.d >= a.d),
+sums AS (SELECT below.d, below.node, count(*) FILTER (kids.n IS NULL) AS leaves, sum((x.n - 1) * x.words) AS saved
+  FROM below JOIN node x ON x.d = bd AND x.node = bn LEFT JOIN kids ON kids.d = bd AND kids.node = bn GROUP BY ALL)
+SELECT node.node AS conv_id, CAST(node.d AS BIGINT) AS depth, parent AS parent_conv_id, node.n AS n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM node JOIN sums USING (d, node) LEFT JOIN kids USING (d, node) LEFT JOIN up ON up.d = node.d AND up.node = node.node
+"""
+
+
+def op13_concatenate_and_cut(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """Every document's pieces in sequences of 1024 tokens."""
+    return packing.pieces(_table(spark, sf_dir, "documents"), path=vocabulary)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_compression_bands, op2_tiered_compaction, op3_mixture_language_id, op4_tensored_minhash, op5_suffix_decontamination,
         op6_columnar_chat, op7_difference_cover_dedup, op8_gzip_normaliser, op9_cube_mixing, op10_separator_scan,
+        op11_source_divergence, op12_prefix_trie, op13_concatenate_and_cut,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_tiered_compaction": OP2_SQL, "op4_tensored_minhash": OP4_SQL, "op5_suffix_decontamination": OP5_SQL, "op6_columnar_chat": OP6_SQL, "op8_gzip_normaliser": OP8_SQL}
+    return {"op2_tiered_compaction": OP2_SQL, "op4_tensored_minhash": OP4_SQL, "op5_suffix_decontamination": OP5_SQL, "op6_columnar_chat": OP6_SQL, "op8_gzip_normaliser": OP8_SQL, "op11_source_divergence": OP11_SQL, "op12_prefix_trie": OP12_SQL}
