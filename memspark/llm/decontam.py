@@ -11,9 +11,14 @@ window. Words are those of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower
 told apart by 64-bit hashes; a window of ten words only matches another by mistake if a word's hash
 does: with 10^9 different words here and 10^6 there, one such pair of words exists with a chance of 5e-5.
 
-The benchmark is cut into blocks of ``BLOCK_BYTES`` of text, written to the shared folder, some 25 bytes
-a word. A task holds one shard and one block at a time and takes all blocks to each shard, so documents
-are read once whatever the benchmark's size.
+The benchmark is cut into blocks of ``BLOCK_BYTES`` of text, written to the shared folder, some 40 bytes
+a word; equal items may lie in several. A task holds one shard and one block at a time and takes all blocks
+to each shard, so documents are read once whatever the benchmark's size.
+
+Windows meet documents before items come in: which words are hit needs no items at all, and items that own
+the same windows are sets with a number, of which a document notes each once. How far a match goes on is
+asked of a suffix array of the block's different items, sorted to their ends, so neither many equal items
+nor a text that repeats itself makes pairs of items and places.
 
 Cases: null and empty texts have no words and are clean. Equal rows are judged row by row; rows of the
 benchmark with one id count as one item, a null id as the empty string. An empty benchmark leaves all
@@ -36,6 +41,9 @@ from . import files
 from . import text as tx
 
 WIDTH = 10
+_BASE, _INVERSE, _ZERO = tx._BASE, tx._BASE_INV, np.zeros(1, np.uint64)
+#: Items, or occurrences of items, that are laid out at once.
+LAID_OUT = 2 << 20
 #: Bytes of benchmark text in a block, and of documents in a shard.
 BLOCK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 _held: dict[str, "Index"] = {}
@@ -47,6 +55,14 @@ def _words(texts) -> tuple[np.ndarray, np.ndarray]:
     return tx.word_hashes(buf, offs, tx.ALNUM)
 
 
+def _scaled(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of words, from running sums of their hashes times powers."""
+    x = sums[end] - sums[start]
+    if len(start):
+        x = x * tx.powers(_INVERSE, len(sums))[start]
+    return tx.mix(x + (end - start).astype(np.uint64))
+
+
 class Index:
     """The items of a block: their words as numbers, and the suffixes that are searched."""
 
@@ -75,6 +91,88 @@ class Index:
         order = np.argsort(back, kind="stable")
         self.owner, self.offset = item[order].astype(np.int32), step[order].astype(np.int32)
         self.bound = np.searchsorted(back[order], np.arange(len(at) + 1))
+        self._sets()
+        whole = h.copy()
+        whole *= tx.powers(_BASE, len(h))
+        self.sum = np.concatenate((_ZERO, np.cumsum(whole, dtype=np.uint64)))
+        self.end = np.repeat(first[1:], n)
+        self._sort(first[:-1], n)
+
+    def _sets(self) -> None:
+        """Number the different sets of items that own suffixes: suffix k is owned by set_of[k], set j by members[edge[j]:edge[j + 1]]."""
+        suffix = np.repeat(np.arange(len(self.start)), np.diff(self.bound))
+        one = np.ones(len(suffix), bool)  # an item owns a suffix once, wherever it has it; owners are in order
+        one[1:] = (suffix[1:] != suffix[:-1]) | (self.owner[1:] != self.owner[:-1])
+        suffix, owner = suffix[one], self.owner[one]
+        size = np.bincount(suffix, minlength=len(self.start))
+        begin = np.concatenate(([0], np.cumsum(size)))
+        name = np.concatenate((_ZERO, np.cumsum(tx.mix(owner.astype(np.uint64) + np.uint64(1)), dtype=np.uint64)))
+        name = tx.mix(name[begin[1:]] - name[begin[:-1]]) + size.astype(np.uint64)
+        _, one, self.set_of = np.unique(name, return_index=True, return_inverse=True)
+        n = size[one]
+        self.edge = np.concatenate(([0], np.cumsum(n)))
+        self.members = owner[np.repeat(begin[one], n) + np.arange(n.sum()) - np.repeat(self.edge[:-1], n)]
+
+    def _sort(self, begin: np.ndarray, n: np.ndarray) -> None:
+        """The suffix array of the different items that have a window's words, sorted to the items' ends."""
+        name = self._name(begin, begin + n)
+        _, one = np.unique(name, return_index=True)
+        one = one[n[one] >= self.width]
+        n, begin = n[one], begin[one]
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        line = np.zeros(len(at) + len(one), np.int64)
+        place = np.arange(len(at)) + np.repeat(np.arange(len(one)), n)
+        line[place] = self.number[at] + 1
+        rank, depth, most = line.astype(np.uint64), 1, int(n.max()) if len(n) else 0
+        while depth <= most:
+            both = rank << np.uint64(32)
+            both[: max(0, len(rank) - depth)] |= rank[depth:]
+            order = np.argsort(both, kind="stable")
+            both = both[order]
+            new = np.ones(len(both), bool)
+            new[:1], new[1:] = False, both[1:] != both[:-1]
+            rank[order] = np.cumsum(new)
+            depth *= 2
+        back = np.full(len(line), -1, np.int64)
+        back[place] = at
+        order = np.argsort(rank, kind="stable")
+        #: Words of the block at which suffixes begin, in their order.
+        self.array = back[order][back[order] >= 0]
+
+    def _name(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _scaled(self.sum, start, end)
+
+    def reach(self, h: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """From words h[at] on, up to end, the most words that some item of the block has in a row."""
+        if not len(self.array) or not len(at):
+            return np.zeros(len(at), np.int64)
+        sums = h.copy()
+        sums *= tx.powers(_BASE, len(h))
+        sums = np.concatenate((_ZERO, np.cumsum(sums, dtype=np.uint64)))
+
+        def shared(suffix: np.ndarray) -> np.ndarray:
+            lo, hi = np.zeros(len(at), np.int64), np.minimum(end - at, self.end[suffix] - suffix)
+            while (lo < hi).any():
+                mid = (lo + hi + 1) >> 1
+                same = _scaled(sums, at, at + mid) == self._name(suffix, suffix + mid)
+                lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+            return lo
+
+        best = np.zeros(len(at), np.int64)
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.array))
+        padded = np.append(h, np.uint64(0))
+        while (lo < hi).any():
+            mid = np.minimum((lo + hi) >> 1, len(self.array) - 1)
+            suffix = self.array[mid]
+            n = shared(suffix)
+            open_ = lo < hi
+            best = np.where(open_, np.maximum(best, n), best)  # the nearest suffixes are among those it meets
+            # The vocabulary is in the order of hashes, and what ends comes first.
+            mine, its = at + n < end, suffix + n < self.end[suffix]
+            word = self.vocabulary[self.number[np.minimum(suffix + n, len(self.number) - 1)]]
+            after = mine & (~its | (padded[np.minimum(at + n, len(h))] > word))
+            lo, hi = np.where(open_ & after, mid + 1, lo), np.where(open_ & ~after, mid, hi)
+        return best
 
     def search(self, shard: "Shard") -> tuple[np.ndarray, np.ndarray]:
         """(word, suffix) for each occurrence of a suffix of the block in the shard."""
@@ -96,17 +194,26 @@ class Index:
         where = shard.array[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         return shard.word[where].astype(np.int64), np.repeat(asked, n)
 
-    def expand(self, where: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, item, offset in the item) for each occurrence and each item that owns it."""
+    def groups(self, where: np.ndarray, key: np.ndarray, row: np.ndarray):
+        """(where, key, first item, item past the last) of groups of rows and items that are laid out together."""
         n = self.bound[key + 1] - self.bound[key]
-        own = np.repeat(self.bound[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(where, n), self.owner[own].astype(np.int64), self.offset[own].astype(np.int64)
-
-    def matches(self, where: np.ndarray, key: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
-        """Longest verbatim matches: row, item, first word, offset in the item, words."""
-        n = self.length[key]
-        word, item, off = self.expand(where, key)
-        long = np.repeat(n, self.bound[key + 1] - self.bound[key])
+        cut = np.cumsum(np.bincount(row[where], n, int(row[where].max()) + 1)) // LAID_OUT if len(where) else np.zeros(0)
+        for g in np.unique(cut[row[where]]):
+            mine = cut[row[where]] == g
+            parts = max(1, -(-int(n[mine].sum()) // LAID_OUT))
+            step = max(1, -(-len(self.ids) // parts))
+            for at in range(0, len(self.ids), step):
+                yield where[mine], key[mine], at, at + step
+
+    def matches(self, where: np.ndarray, key: np.ndarray, row: np.ndarray, low: int, high: int) -> list[np.ndarray]:
+        """Longest verbatim matches with items from low up to high: row, item, first word, offset in the item, words."""
+        # Owners of a suffix are in order, so those of a range are a range.
+        name = np.repeat(np.arange(len(self.start)), np.diff(self.bound)) * np.int64(len(self.ids)) + self.owner
+        begin = np.searchsorted(name, key * np.int64(len(self.ids)) + low)
+        n = np.searchsorted(name, key * np.int64(len(self.ids)) + min(high, len(self.ids))) - begin
+        own = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        word, item, off = np.repeat(where, n), self.owner[own].astype(np.int64), self.offset[own].astype(np.int64)
+        long = np.repeat(self.length[key], n)
         order = np.lexsort((word, word - off, item, row[word]))
         word, item, off, long = word[order], item[order], off[order], long[order]
         new = np.ones(len(word), bool)
@@ -175,10 +282,11 @@ class Shard:
 def blocks(benchmark: DataFrame, width: int = WIDTH):
     """The benchmark's indexes, one for each block of a checked size."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = items.distinct()  # an item twice is one item
+    total = items.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
     for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         got = part.toArrow()
         yield Index(got["item_id"].to_pylist(), got["text"], width)
 
@@ -213,27 +321,67 @@ def _shards(batches, column: int):
         tx.trim()
 
 
-def _judge(paths: list[str], width: int, buf, offs):
-    """Per row: words, mask of hit words, items found, and words and place of the longest match."""
+def _hits(paths: list[str], width: int, buf, offs):
+    """Block by block: hashes of words, each row's first, the words hit so far, and (index, row of each word, suffix, word) of occurrences."""
     h, first = _words((buf, offs))
-    shard, row, rows = Shard(h, first, width), tx.row_of(first), len(offs) - 1
-    hit, found = np.zeros(len(h), bool), [set() for _ in range(rows)]
-    longest, at = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    shard, row = Shard(h, first, width), tx.row_of(first)
+    hit = np.zeros(len(h), bool)
     for path in paths:
         index = _block(path, len(paths) == 1)
         where, key = index.search(shard)
+        if len(where):
+            hit |= tx.covered(where, index.length[key], len(h))
+        yield h, first, hit, (index, row, key, where)
+
+
+def _judge(paths: list[str], width: int, buf, offs):
+    """Words of each row, whether each is hit, each row's first, and words and place of its longest match; and by block the sets of items found, as (row, set)."""
+    rows = len(offs) - 1
+    longest, at, sets = np.zeros(rows, np.int64), np.zeros(rows, np.int64), []
+    for h, first, hit, told in _hits(paths, width, buf, offs):
+        index, row, key, where = told
         if not len(where):
+            sets.append(None)
             continue
-        hit |= tx.covered(where, index.length[key], len(h))
-        r, i, w, _, n = index.matches(where, key, row)
-        for a, b in {*zip(r.tolist(), i.tolist(), strict=True)}:
-            found[a].add(index.ids[b])
+        pairs = np.unique(row[where] * np.int64(len(index.edge)) + index.set_of[key])
+        sets.append((pairs // len(index.edge), pairs % len(index.edge)))
+        n = index.length[key]
+        full = n == width
+        n[full] = index.reach(h, where[full], first[row[where[full]] + 1])
+        r, w = row[where], where
         order = np.lexsort((w, -n, r))
         best = order[np.flatnonzero(np.diff(r[order], prepend=-1))]  # of each row the longest, then the first
         r, w, n = r[best], w[best] - first[r[best]], n[best]
         better = (n > longest[r]) | ((n == longest[r]) & (w < at[r]))
         longest[r[better]], at[r[better]] = n[better], w[better]
-    return np.diff(first), hit, first, found, longest, at
+    return np.diff(first), hit, first, sets, longest, at
+
+
+def _found(paths: list[str], sets: list, rows: int) -> tuple[np.ndarray, list[str]]:
+    """Of each row the number of items found, and the digest of their ids; a few rows' ids are laid out at a time."""
+    none = hashlib.sha256(b"").hexdigest()
+    count, digest, seen = np.zeros(rows, np.int64), [none] * rows, {}
+    touched = np.unique(np.concatenate([s[0] for s in sets if s is not None])) if any(s is not None for s in sets) else []
+    for r in touched:
+        mine = []
+        for k, s in enumerate(sets):
+            if s is not None:
+                lo, hi = np.searchsorted(s[0], r, "left"), np.searchsorted(s[0], r, "right")
+                if hi > lo:
+                    mine.append((k, tuple(s[1][lo:hi].tolist())))
+        mine = tuple(mine)
+        if mine not in seen:  # many rows have the same
+            ids: set[str] = set()
+            for k, own in mine:
+                index = _block(paths[k], len(paths) == 1)
+                there = np.zeros(len(index.ids), bool)
+                for j in own:
+                    there[index.members[index.edge[j] : index.edge[j + 1]]] = True
+                ids.update(index.ids[there].tolist())
+            seen = {} if len(seen) > 1000 else seen
+            seen[mine] = len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+        count[r], digest[r] = seen[mine]
+    return count, digest
 
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_at long"
@@ -251,10 +399,9 @@ def score(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFram
 
     def run(batches):
         for part, buf, offs in _shards(batches, 1):
-            n, hit, first, found, longest, at = _judge(paths, width, buf, offs)
+            n, hit, first, sets, longest, at = _judge(paths, width, buf, offs)
             n_hit = tx.per_row(hit, first)
-            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]
-            cols = [n, n_hit, [len(x) for x in found], digest, n_hit > 0, longest]
+            cols = [n, n_hit, *_found(paths, sets, len(n)), n_hit > 0, longest]
             cols = [part.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=False)], pa.array(at, pa.int64(), mask=longest == 0)]
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
@@ -273,9 +420,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFr
             shard, row = Shard(h, first, width), tx.row_of(first)
             for path in paths:
                 index = _block(path, len(paths) == 1)
-                r, i, w, o, n = index.matches(*index.search(shard), row)
-                cols = [part.column(0).take(pa.array(r)), pa.array(index.ids[i], pa.string()), pa.array(w - first[r]), pa.array(o), pa.array(n)]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                for where, key, low, high in index.groups(*index.search(shard), row):
+                    r, i, w, o, n = index.matches(where, key, row, low, high)
+                    cols = [part.column(0).take(pa.array(r)), pa.array(index.ids[i], pa.string()), pa.array(w - first[r]), pa.array(o), pa.array(n)]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, item_id string, doc_word long, item_word long, n_words long")
 
@@ -286,7 +434,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
 
     def run(batches):
         for part, buf, offs in _shards(batches, text):
-            _, hit, first, _, _, _ = _judge(paths, width, buf, offs)
+            for _, first, hit, _ in _hits(paths, width, buf, offs):  # no more than which words are hit
+                pass
             yield part.filter(pa.array(tx.per_row(hit, first) == 0))
 
     return docs.mapInArrow(run, docs.schema)

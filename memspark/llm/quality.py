@@ -102,12 +102,11 @@ def ratios(data: memoryview, bands: Bands, z: zstandard.ZstdCompressor) -> tuple
     whole = len(z.compress(data)) / n
     chunks = low = high = 0
     for at in range(0, n, bands.chunk) if n > bands.chunk else ():
-        part = data[at : at + bands.chunk]
-        if len(part) * 2 >= bands.chunk:
-            r = len(z.compress(part)) / len(part)
-            chunks += 1
-            low += r < bands.chunk_low
-            high += r > bands.chunk_high
+        at = min(at, n - bands.chunk)  # the last ends where the text does
+        r = len(z.compress(data[at : at + bands.chunk])) / bands.chunk
+        chunks += 1
+        low += r < bands.chunk_low
+        high += r > bands.chunk_high
     return whole, chunks, low, high
 
 

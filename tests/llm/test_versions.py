@@ -86,6 +86,45 @@ def test_a_wave_gives_way_to_another_compaction(spark, tmp_path):
 def test_empty_and_named_shards(spark, tmp_path):
     odd = odd_table(spark)
     out, root, version = sharding.shard(odd.limit(0), f"file://{tmp_path}/e")
-    assert out.count() == 0 and out.columns == odd.columns and version == 2
+    assert out.count() == 0 and out.columns == odd.columns and version == 1  # nothing to merge, nothing to commit
     out, _, _ = sharding.shard(odd, f"file://{tmp_path}/n", file="where")
     assert out.columns == [*odd.columns, "where"] and out.filter(F.col("where").endswith(".parquet")).count() == odd.count()
+
+
+def test_later_columns_stay_and_clashes_are_refused(spark, tmp_path):
+    root = f"file://{tmp_path}/c"
+    one = spark.range(40).selectExpr("id AS doc_id", "concat('t', id) AS text").repartition(6)
+    two = spark.range(40, 60).selectExpr("concat('t', id) AS text", "id AS doc_id", "'en' AS lang").repartition(5)
+    sharding.append(one, root), sharding.append(two, root)
+    want = Counter([(i, f"t{i}", None if i < 40 else "en") for i in range(60)])
+    for version in (2, sharding.compact(spark, root)):
+        out = sharding.read(spark, root, version)
+        assert out.columns == ["doc_id", "text", "lang"] and Counter(map(tuple, out.collect())) == want
+    assert sharding.read(spark, root, 1).columns == ["doc_id", "text"] and version == 3
+    with pytest.raises(ValueError, match="doc_id"):
+        sharding.append(spark.createDataFrame([("x",)], "doc_id string"), root)
+    assert sharding.versions(spark, root)[-1] == 3
+
+
+def test_many_shards_become_files_near_the_target(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "RUNS_A_JOB", 3)
+    root = f"file://{tmp_path}/m"
+    docs = spark.range(0, 5000, 1, 50).selectExpr("id AS doc_id", "repeat(sha2(cast(id AS string), 256), cast(1 + id % 9 AS int)) AS text")
+    sharding.append(docs, root, arrivals=10)
+    before = sharding.manifest(spark, root)
+    assert before.count() == 500 and sharding.versions(spark, root) == [1]
+    target = before.agg(F.sum("bytes")).first()[0] // 12
+    assert sharding.compact(spark, root, target) == 2
+    after = sharding.manifest(spark, root)
+    assert after.count() < 60 and after.agg(F.max("bytes")).first()[0] <= 1.5 * target
+    assert sharding.read(spark, root).exceptAll(docs).count() == 0 and sharding.read(spark, root).count() == 5000
+    runs = sharding.plan(before, target).select("run").distinct().count()
+    assert after.filter("level = 1").count() == runs  # a file a run
+    assert sharding.compact(spark, root, target) in (2, 3)
+
+
+def test_small_tables_are_merged_too(spark, tmp_path):
+    docs = spark.range(0, 300, 1, 1).selectExpr("id AS doc_id", "sha2(cast(id AS string), 512) AS text")
+    out, root, version = sharding.shard(docs, f"file://{tmp_path}/t")
+    assert version == 2 and sharding.manifest(spark, root, 2).count() < sharding.manifest(spark, root, 1).count() == sharding.ARRIVALS
+    assert out.exceptAll(docs).count() == 0 and out.count() == 300
