@@ -6,8 +6,9 @@ each partition again and cuts it at the multiples of the width: windows that lie
 whole, the one at either end is a boundary record, and only boundary records are shuffled and stitched.
 So nothing but the last sequence needs padding, and no task sees more than its partition.
 
-Texts are encoded stretch by stretch, cut before a space between two ASCII letters, where no token of the
-vocabulary's pre-tokeniser can lie across; each distinct stretch of a slice is encoded once.
+A byte-level BPE whose merges are in the order of their ids is the same vocabulary to a faster library, which
+encodes texts of the plain Latin letters and signs that both tell apart alike; all else goes to the
+tokenizer itself. Long texts are cut before a space between two ASCII letters, where no token can lie across.
 
 Cases: a null or empty text is the end id alone. Rows are documents of their own, also those that share a
 doc_id or have none. A text of any length may fill many sequences; its ids are one row, encoded piece by
@@ -16,8 +17,11 @@ piece. An empty table has no sequences. Extra columns are not looked at.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,15 +31,17 @@ from . import text as tx
 
 #: Tokens of a sequence, and the id that ends a document.
 WIDTH, END = 1024, 0
-#: Distinct stretches that a task remembers.
-REMEMBERED = 200_000
-#: Bytes of texts that are encoded together.
+#: Bytes of a text that are encoded together.
 SLICE_BYTES = 1 << 20
 _LETTER = tx.lut(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
 PIECE = "doc_id: bigint, start: bigint, length: bigint, doc_tokens: bigint, offset: bigint"
 TOKENS = "part int, at long, doc_id long, n long, ids binary"
 FRAGMENTS = f"sequence_id long, first int, ids binary, pieces array<struct<{PIECE}>>"
-_tokenizers: dict[int, object] = {}
+#: Bytes that may stand in texts for the faster library: printable ASCII, tab, line ends, and U+00A0 to U+027F.
+_PLAIN = tx.lut(lambda b: 0x20 <= b <= 0x7E or b in (9, 10, 13) or 0x80 <= b <= 0xBF or 0xC2 <= b <= 0xC9)
+# Fixed value: the pattern that a byte-level pre-tokeniser cuts texts by.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_encoders: dict[int, Encoder] = {}
 
 
 def vocabulary() -> str:
@@ -45,13 +51,25 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _tokenizer(text: str):
-    from tokenizers import Tokenizer
+def _bytes_of() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: itself if printable, else the next free one from 256 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
 
-    key = hash(text)
-    if key not in _tokenizers:
-        _tokenizers[key] = Tokenizer.from_str(text)
-    return _tokenizers[key]
+def _ranks(told: dict) -> dict[bytes, int] | None:
+    """The vocabulary as bytes and ranks, or None where ids don't tell the order of merges or texts are changed first."""
+    model, pre = told.get("model") or {}, told.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    if not plain or told.get("normalizer") or told.get("truncation") or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    letters, vocab = _bytes_of(), model["vocab"]
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(a >= b for a, b in zip(made, made[1:], strict=False)) or any(c not in vocab for c in letters) or max(vocab[c] for c in letters) > made[0]:
+        return None
+    known = {*made, *(vocab[c] for c in letters)}
+    return {bytes(letters[c] for c in t): i for t, i in vocab.items() if i in known}
 
 
 def cuts(buf: np.ndarray) -> np.ndarray:
@@ -63,70 +81,44 @@ def cuts(buf: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts, each distinct stretch encoded once while it is remembered."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def _flat(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of consecutive rows, and how many each row has; bytes of a slice at most, or one row."""
-        inner = cuts(buf)
-        starts = np.unique(np.concatenate((inner, offs[:-1][np.diff(offs) > 0])))
-        if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
-        bounds = np.append(starts, len(buf)).astype(np.int32)
-        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(buf))).dictionary_encode()
-        stretches = coded.dictionary.to_pylist()
-        if len(self.known) + len(stretches) > REMEMBERED:
-            self._forget()
-        new = [s for s in stretches if s not in self.known]
-        for s, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[s] = len(self.ids)
-            self.ids.append(np.array(e.ids, np.uint32))
-        each = [self.ids[self.known[s]] for s in stretches]
-        size = np.array([len(x) for x in each], np.int64)
-        begin = np.concatenate(([0], np.cumsum(size)))
-        code = coded.indices.to_numpy()
-        n = size[code]
-        at = np.concatenate(([0], np.cumsum(n)))
-        ids = np.concatenate(each)[np.repeat(begin[code] - at[:-1], n) + np.arange(at[-1])]
-        return ids, np.diff(at[np.searchsorted(starts, offs)])
-
-    def rows(self, texts: pa.Array):
-        """The ids of each text, with the end id, as consecutive rows' (ids, lengths)."""
-        buf, offs = tx.flat(texts)
-        for a, b in tx.slices(offs, SLICE_BYTES):
-            part, own = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-            if b - a == 1 and len(part) > SLICE_BYTES:
-                ids = [self._flat(part[x:y], np.array([0, y - x]))[0] for x, y in self._pieces(part)]
-                ids.append(np.array([END], np.uint32))
-                ids = np.concatenate(ids)
-                yield ids, np.array([len(ids)])
-                continue
-            ids, n = self._flat(part, own)
-            out = np.full(len(ids) + b - a, END, np.uint32)
-            out[np.arange(len(ids)) + np.repeat(np.arange(b - a), n)] = ids
-            yield out, n + 1
-
-    @staticmethod
-    def _pieces(buf: np.ndarray):
-        """(first, past the last) bytes of a long text's pieces, each up to the first cut past a slice."""
-        at = 0
-        while at < len(buf):
-            to, low = len(buf), at + SLICE_BYTES
-            while low < len(buf):
-                found = cuts(buf[low : low + SLICE_BYTES + 2])
-                if len(found):
-                    to = low + int(found[0])
-                    break
-                low += SLICE_BYTES
-            yield at, to
-            at = to
+    """Ids of texts, as the tokenizer of a vocabulary gives them."""
+
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        told = json.loads(vocabulary)
+        self.tokenizer, ranks = Tokenizer.from_str(vocabulary), _ranks(told)
+        self.special = [x["content"].encode() for x in told.get("added_tokens") or []]
+        self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+
+    def ids(self, buf: np.ndarray) -> np.ndarray:
+        """Ids of one text."""
+        if len(buf) <= SLICE_BYTES:
+            return self._piece(buf)
+        return np.concatenate([self._piece(buf[a:b]) for a, b in pieces_of(buf)])
+
+    def _piece(self, buf: np.ndarray) -> np.ndarray:
+        data = buf.tobytes()
+        # U+0080 to U+009F are control characters.
+        plain = self.fast and _PLAIN[buf].all() and not ((buf[1:] < 0xA0) & (buf[:-1] == 0xC2)).any() and not any(x in data for x in self.special)
+        if plain:
+            return self.fast.encode_to_numpy(data.decode(), disallowed_special=())
+        return np.array(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids, np.uint32)
+
+
+def pieces_of(buf: np.ndarray):
+    """(first, past the last) bytes of a long text's pieces, each up to the first cut past a slice."""
+    at = 0
+    while at < len(buf):
+        to, low = len(buf), at + SLICE_BYTES
+        while low < len(buf):
+            found = cuts(buf[low : low + SLICE_BYTES + 2])
+            if len(found):
+                to = low + int(found[0])
+                break
+            low += SLICE_BYTES
+        yield at, to
+        at = to
 
 
 def tokenise(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -138,17 +130,22 @@ def tokenise(docs: DataFrame, path: str | None = None) -> DataFrame:
         told = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        encoder, part, at = Encoder(_tokenizer(told.value)), TaskContext.get().partitionId(), 0
+        key, part, at = hash(told.value), TaskContext.get().partitionId(), 0
+        if key not in _encoders:
+            _encoders[key] = Encoder(told.value)
+        encode, last = _encoders[key].ids, np.array([END], np.uint32)
         for batch in batches:
-            row = 0
-            for ids, n in encoder.rows(batch.column(1)):
+            buf, offs = tx.flat(batch.column(1))
+            for a, b in tx.slices(offs, SLICE_BYTES):
+                each = [x for k in range(a, b) for x in (encode(buf[offs[k] : offs[k + 1]]), last)]
+                n = np.array([len(x) + 1 for x in each[::2]], np.int64)
                 ends = np.cumsum(n)
-                offsets = np.concatenate(([0], ends * 4)).astype(np.int64)
-                data = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])
+                bounds = np.concatenate(([0], ends * 4)).astype(np.int64)
+                data = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(bounds), pa.py_buffer(np.concatenate(each).astype("<u4"))])
                 yield pa.RecordBatch.from_pydict({
-                    "part": pa.array(np.full(len(n), part, np.int32)), "at": pa.array(at + ends - n), "doc_id": batch.column(0).slice(row, len(n)), "n": pa.array(n), "ids": data.cast(pa.binary()),
+                    "part": pa.array(np.full(b - a, part, np.int32)), "at": pa.array(at + ends - n), "doc_id": batch.column(0).slice(a, b - a), "n": pa.array(n), "ids": data.cast(pa.binary()),
                 })
-                at, row = at + int(ends[-1]), row + len(n)
+                at += int(ends[-1])
             tx.trim()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -229,8 +226,8 @@ def sequences(docs: DataFrame, width: int = WIDTH, path: str | None = None) -> D
     if width < 1:
         raise ValueError("a sequence holds one token or more")
     spark = docs.sparkSession
-    with files.scope(spark):  # smaller batches; the tokens are kept for the result
-        tokens = files.saved(tokenise(docs, path), "tokens", keep=True)
+    with files.scope(spark):
+        tokens = files.saved(tokenise(docs, path), "tokens")
         cut = files.saved(fragments(tokens, width), "fragments", keep=True)
     whole = (F.col("first") == 0) & (F.octet_length("ids") == 4 * width)
     ordered = F.array_sort(F.collect_list(F.struct("first", "ids", "pieces")))

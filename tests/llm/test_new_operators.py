@@ -8,7 +8,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from test_operators import odd_rows, rows_of, vary
 from tokenizers import Tokenizer
@@ -179,8 +178,13 @@ def test_packing_matches_brute_force(spark, monkeypatch, tmp_path, width, parts,
     assert packing.pieces(docs.limit(0)).count() == 0
 
 
-def test_stretches_have_the_ids_of_their_text():
-    encoder = packing.Encoder(Tokenizer.from_file(packing.vocabulary()))
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 30])
+def test_ids_are_the_tokenizers(monkeypatch, slice_bytes):
+    monkeypatch.setattr(packing, "SLICE_BYTES", slice_bytes)
+    with open(packing.vocabulary(), encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    assert encoder.fast is not None
     texts = ["a b", " a b ", "it's 'll we'd x", "a  b\t c \n d", "é b à", "x 1 y2 z", "", "don't\n\nstop now .,", "ß a" * 50, "naïve café au lait " * 40, "你 b 好 c d"]
-    got = [ids[at - n : at - 1].tolist() for ids, sizes in encoder.rows(pa.array(texts)) for n, at in zip(sizes, np.cumsum(sizes), strict=True)]
-    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["".join(map(chr, range(lo, hi))) for lo, hi in ((0, 128), (128, 256), (160, 640), (0x2000, 0x2100))] + ["a <|endoftext|> b" * 5, "\u00a0 \u00a0x\u00bd 1\u00b2", "z" * 5000, " " * 500 + "x", "\r\n \r\n"]
+    for t in texts:
+        assert encoder.ids(np.frombuffer(t.encode(), np.uint8)).tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, t[:20]
