@@ -119,8 +119,11 @@ def capabilities(memories: DataFrame, planted: DataFrame, stale: DataFrame) -> D
     open_ = (F.size(ft.secret_kinds(F.col("content"))) > 0) | (F.size(ft.high_entropy(F.col("content"))) > 0)
     rate = lambda df, name, ok: df.agg(F.round(F.avg(ok.cast("double")), 3).alias("rate"), F.count("*").alias("n")).select(F.lit(name).alias("name"), "rate", "n")
     out = rate(m, "secret_block", ~open_)
-    leaks = m.crossJoin(F.broadcast(planted.limit(1000))).groupBy("id").agg(F.max(F.col("content").contains(F.col("text"))).alias("leak"))  # planted by hand
-    out = out.unionByName(rate(leaks, "pii_block", ~F.col("leak")))
+    number = lambda c: F.xxhash64(c)
+    pairs = containing(m.select(number("id").alias("doc_id"), F.col("content").alias("text")), planted.filter("text <> ''").select(number("text").alias("item_id"), "text"))
+    held = pairs.join(m.select("id", number("id").alias("doc_id"), "content"), "doc_id").join(planted.select(number("text").alias("item_id"), "text"), "item_id")
+    leaky = held.filter(F.lower("content").contains(F.lower(F.trim("text")))).select("id").distinct().withColumn("leak", F.lit(True))
+    out = out.unionByName(rate(m.select("id").join(leaky, "id", "left"), "pii_block", F.col("leak").isNull()))
     return out.unionByName(rate(stale, "stale_catch", F.col("should") == F.col("flagged")))
 
 
@@ -132,33 +135,14 @@ def conflict_rate(memories: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.agg(F.round(F.avg(ok.cast("double")), 3).alias("rate"), F.count("*").alias("n")).select(F.lit("conflict_handling").alias("name"), "rate", "n")
 
 
-#: A small benchmark of what an agent keeps in mind: (case, memory, scope), and (question, gold memory, scope).
-CASES = [
-    ("service", "The invoice service keeps its data in CockroachDB because it needs serializable transactions.", "project:invoices"),
-    ("service", "Error bodies follow the problem+json format in every endpoint.", "project:invoices"),
-    ("service", "The invoice service runs on Nomad and is written with Litestar.", "project:invoices"),
-    ("service", "Events travel over Pulsar topics.", "project:invoices"),
-    ("habits", "I prefer hypothesis for property tests.", "global"),
-    ("habits", "Format Python code with ruff before every commit.", "global"),
-    ("habits", "Public functions always carry type annotations.", "global"),
-    ("scopes", "This service caches responses in Valkey.", "project:north"),
-    ("scopes", "This service caches responses in Hazelcast.", "project:south"),
-]
-QUESTIONS = [
-    ("which data store does the invoice service use", 0, "project:invoices"), ("what is the format of error bodies", 1, "project:invoices"),
-    ("over what do events travel", 3, "project:invoices"), ("which library do I prefer for property tests", 4, "global"),
-    ("what formats Python code", 5, "global"), ("in what does this service cache responses", 7, "project:north"),
-]
-
-
-def benchmark(spark, now, k: int = 5) -> DataFrame:
-    """qid, precision, recall, rr of the built-in benchmark through the write path and recall."""
-    from memspark.operators import retrieve, write
-
-    texts = spark.createDataFrame([(i, scope, text) for i, (_, text, scope) in enumerate(CASES)], "seq long, scope string, text string")
-    store = write.remember(spark.createDataFrame([], "id string, scope string, content string"), None, texts, now)
-    asked = spark.createDataFrame([(i, q, scope) for i, (q, _, scope) in enumerate(QUESTIONS)], "qid long, text string, scope string")
-    asked = asked.withColumn("vec", ft.hash_embed(F.col("text")))
-    hits = retrieve.recall(asked, saved(store["memories"], "benchmark"), store["edges"], now, k)
-    gold = spark.createDataFrame([(i, i, CASES[g][1]) for i, (_, g, _) in enumerate(QUESTIONS)], "qid long, gold_id long, text string")
+def benchmark(memories: DataFrame, edges: DataFrame | None, questions: DataFrame, gold: DataFrame, now, k: int = 5) -> DataFrame:
+    """qid, precision, recall, rr: how well recall answers questions (qid, text, scope) from memories with vectors.
+
+    ``gold`` (qid, gold_id, text) tells what an answer has to hold.
+    """
+    from memspark.operators import retrieve
+
+    asked = questions.select("qid", "text", "scope").withColumn("vec", ft.hash_embed(F.coalesce("text", F.lit(""))))
+    none = memories.sparkSession.createDataFrame([], "from_id string, to_id string")
+    hits = retrieve.recall(asked, memories, none if edges is None else edges, now, k)
     return at_k(hits.select("qid", F.col("place").alias("rank"), "content"), gold, k)

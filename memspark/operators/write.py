@@ -5,9 +5,10 @@ earlier candidates have left it: a near copy is a NOOP, the same subject an UPDA
 contradicts, a SUPERSEDE, all else an ADD, in conflict if it contradicts something close.
 
 Only memories and candidates at least ``GRAY`` similar bear on a decision, so candidates fall into
-clusters that know nothing of each other: those that are that near to one another or share a memory
-that near. Clusters are found by labels that spread to whom they are near, and fold side by side, each
-streaming through one task in order; a task holds the memories of one cluster, not its candidates.
+clusters that know nothing of each other: those that are that near to one another, in each other's sight, or
+share a memory that near. Who is near is found by a join of tiles; clusters by labels that spread along what
+it links. They fold side by side, each streaming through one task in order; a task holds the memories of
+one cluster, not its candidates.
 
 A candidate knows its ``KNOWN`` nearest memories. Where earlier candidates have changed all of those,
 a further one could be nearer than what is left; the cluster stops there, and what is left of it
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark.functions import text as ft
-from memspark.functions.vectors import nearest, smallest_near
+from memspark.functions import tiles
 from memspark.operators import graph, lifecycle
 from memspark.operators.lifecycle import BUMP, DUPLICATE, GRAY, UPDATE
 from memspark.schema import GLOBAL, cognitive_of, complete, provenance
@@ -40,11 +41,15 @@ Adjudicator = Callable[[str, str], str | None]
 
 
 def _clusters(candidates: DataFrame, known: DataFrame) -> DataFrame:
-    """seq, label: the smallest seq of each candidate's cluster. known has seq and id of near memories."""
-    vectors = saved(candidates.select("seq", "vec"), "vectors")
-    labels = saved(vectors.select("seq", F.col("seq").alias("label")), "labels")
+    """seq, label: the smallest seq of each candidate's cluster. known has seq and id of near memories.
+
+    Similar candidates are found once; then only labels move, along links and through memories.
+    """
+    links = tiles.linked(candidates.select("seq", "scope", "vec"), GRAY)
+    ways = saved(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = saved(candidates.select("seq", F.col("seq").alias("label")), "labels")
     while True:
-        near = smallest_near(vectors.join(labels, "seq"), GRAY)
+        near = ways.join(labels.withColumnRenamed("seq", "b"), "b").groupBy(F.col("a").alias("seq")).agg(F.min("label").alias("near"))
         held = known.join(labels, "seq")
         by_memory = held.groupBy("id").agg(F.min("label").alias("least"))
         through = held.join(by_memory, "id").groupBy("seq").agg(F.min("least").alias("through"))
@@ -124,7 +129,7 @@ def _decide(c: _Cluster, r: dict, adjudicate: Adjudicator | None) -> tuple | Non
 def _round(candidates: DataFrame, memories: DataFrame, adjudicate: Adjudicator | None) -> DataFrame:
     """DECISIONS of the candidates; op is null for those that another round has to decide."""
     asked = candidates.select(F.col("seq").alias("qid"), "vec", "scope")
-    known = saved(nearest(asked, memories, KNOWN, floor=GRAY).withColumnRenamed("qid", "seq"), "known")
+    known = saved(tiles.best(asked, memories, KNOWN, GRAY).withColumnRenamed("qid", "seq"), "known")
     labels = saved(_clusters(candidates, known.select("seq", "id")), "clusters")
     # The least similarity known of, where the list is full and further memories may follow.
     floor = known.groupBy("seq").agg(F.when(F.count("*") >= KNOWN, F.min("sim")).alias("floor"))

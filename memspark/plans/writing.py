@@ -294,14 +294,18 @@ def g06b(spark, d):
 
 @register("e05_benchmark")
 def e05(spark, d):
-    return evaluate.benchmark(spark, now())
+    """How many of the benchmark's items recall finds again, asked with their own texts, in documents embedded by hashes."""
+    live = memories(spark, d).filter("status = 'active' and not hub").withColumn("vec", ft.hash_embed(F.coalesce("content", F.lit(""))))
+    b = table(spark, d, "benchmark")
+    asked = b.select(F.col("item_id").alias("qid"), "text", F.lit(None).cast("string").alias("scope"))
+    return evaluate.benchmark(saved(live, "live"), edges(spark, d), asked, b.select(F.col("item_id").alias("qid"), F.col("item_id").alias("gold_id"), "text"), now())
 
 
 @register("e06_capability")
 def e06(spark, d):
     """Secrets and personal data of all documents against the write path's redaction, and staleness of the facts' groups."""
     kept = table(spark, d, "documents").select(F.concat(F.lit("m"), F.col("doc_id")).alias("id"), ft.redact(F.col("text")).alias("content"), F.lit("active").alias("status"), F.lit(False).alias("hub"))
-    mails = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z.]+@[a-z]+[.][a-z]+"), F.lit(0))).alias("text")).distinct().limit(50).select(F.lit("mail").alias("kind"), "text")
+    mails = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z.]+@[a-z]+[.][a-z]+"), F.lit(0))).alias("text")).distinct().select(F.lit("mail").alias("kind"), "text")
     wrote = _wrote(spark, d)
     flags = wrote["memories"].filter("status = 'active' and not hub").select(F.col("stale").alias("should"), F.col("stale_reason").isNotNull().alias("flagged"))
     pairs = wrote["decisions"].filter("conflict").select(F.col("id").alias("a"), F.col("near_id").alias("b"))
@@ -310,8 +314,11 @@ def e06(spark, d):
 
 @register("s22_demo")
 def s22(spark, d):
+    """A store seeded with the benchmark's items, each linked to the one before."""
     empty = spark.createDataFrame([], "id string, scope string, content string")
-    return demo.seed(spark, empty, None, now())["memories"].select("id", "type", "scope", "content", "hub")
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("seq"), F.concat(F.lit("project:p"), F.col("item_id") % 5).alias("scope"), "text")
+    links = b.select(F.col("seq").alias("a"), (F.col("seq") - 1).alias("b"))
+    return demo.seed(empty, None, b, links, now())["memories"].select("id", "type", "scope", "content", "hub")
 
 
 @register("k06_newest_changes", f"WITH {MEM}, {EDGES} SELECT from_id, to_id, a.created_at AS changed_at FROM edg JOIN mem a ON a.id = from_id JOIN mem b ON b.id = to_id WHERE relation = 'supersedes' ORDER BY changed_at DESC, from_id, to_id LIMIT 100")

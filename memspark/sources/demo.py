@@ -1,30 +1,18 @@
-"""A small store to look around in."""
+"""A small store to look around in, from texts at hand."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark.operators import graph, write
 
-FACTS = [
-    ("project:payments", "We decided on CockroachDB over MySQL for payments because it needs serializable transactions."),
-    ("project:payments", "The payments service is built with Litestar and runs on Nomad."),
-    ("project:payments", "Error bodies follow the problem+json format."),
-    ("project:payments", "Events flow through Pulsar."),
-    ("project:payments", "Sessions use short-lived tokens that are refreshed in the background."),
-    ("project:payments", "The staging database is reset every night."),
-    ("global", "I prefer hypothesis for property tests."),
-    ("global", "Always format Python code with ruff."),
-]
-LINKS = [(0, 1), (1, 3), (0, 5), (3, 4), (1, 2)]
 
-
-def seed(spark: SparkSession, memories: DataFrame, edges: DataFrame | None, now: Column) -> dict[str, DataFrame]:
-    """The facts through the write path, and links between them; a second time only reinforces."""
-    texts = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(FACTS)], "seq long, scope string, text string")
+def seed(memories: DataFrame, edges: DataFrame | None, texts: DataFrame, links: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """Texts (seq, scope, text) through the write path, and links (a, b) between their numbers; a second time only reinforces."""
     out = write.remember(memories, edges, texts, now, agent="demo")
     ids = out["decisions"].select("seq", "id")
-    pairs = spark.createDataFrame(LINKS, "a long, b long").join(ids.select(F.col("seq").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("seq").alias("b"), F.col("id").alias("y")), "b")
-    out["edges"] = out["edges"].unionByName(pairs.select(*graph.edge(F.col("x"), F.col("y"), "related_to"))).dropDuplicates(["id"])
+    pairs = links.select("a", "b").join(ids.select(F.col("seq").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("seq").alias("b"), F.col("id").alias("y")), "b")
+    more = pairs.filter("x <> y").select(*graph.edge(F.col("x"), F.col("y"), "related_to"))
+    out["edges"] = out["edges"].unionByName(more).dropDuplicates(["id"])
     return out

@@ -92,14 +92,22 @@ def test_effects_of_the_four_operations(spark):
     assert sorted(r.op for r in out["history"].collect()) == ["add", "add", "conflict", "noop", "stale-suspect", "supersede", "update"]
 
 
+def demo_texts(spark):
+    """Unlike facts of two scopes, and links between them."""
+    said = ["We keep invoices in a Derby database because audits need them.", "Builds run nightly under Gradle.", "Reviews need two approvals.", "Logs are kept for ninety days.", "The search page is written in Elm.", "Alerts go to the duty phone."]
+    texts = spark.createDataFrame([(i, "global" if i > 3 else "project:ledger", t) for i, t in enumerate(said)], "seq long, scope string, text string")
+    return texts, spark.createDataFrame([(0, 1), (1, 2), (4, 0)], "a long, b long")
+
+
 def test_remembering_twice_only_reinforces(spark):
-    once = demo.seed(spark, spark.createDataFrame([], EMPTY), None, now())
+    texts, links = demo_texts(spark)
+    once = demo.seed(spark.createDataFrame([], EMPTY), None, texts, links, now())
     m = once["memories"]
     m.write.mode("overwrite").saveAsTable("seeded")
-    again = demo.seed(spark, spark.table("seeded"), once["edges"], now())
+    again = demo.seed(spark.table("seeded"), once["edges"], texts, links, now())
     assert {r.op for r in again["decisions"].collect()} == {"NOOP"}
     assert again["memories"].count() == m.count() and again["memories"].filter("not hub").agg(F.min("reinforced")).first()[0] == 1.0
-    assert again["edges"].filter("relation = 'related_to'").count() == len(demo.LINKS)
+    assert again["edges"].filter("relation = 'related_to'").count() == links.count()
     spark.sql("drop table seeded")
 
 
@@ -323,8 +331,12 @@ def test_turns_are_remembered_once(spark, tmp_path):
     assert snapshots.pull(spark, root, "memories").count() == first and snapshots.pull(spark, root, "memories").agg(F.max("reinforced")).first()[0] == 1.0
 
 
-def test_built_in_benchmark_and_capabilities(spark):
-    got = evaluate.benchmark(spark, now()).agg(F.avg("recall").alias("recall"), F.avg("rr").alias("mrr"), F.count("*").alias("n")).first()
+def test_benchmark_and_capabilities(spark):
+    texts, _ = demo_texts(spark)
+    held = write.remember(spark.createDataFrame([], EMPTY), None, texts, now())
+    asked = texts.select(F.col("seq").alias("qid"), F.regexp_replace("text", r"^\S+ ", "what about ").alias("text"), "scope")
+    gold = texts.select(F.col("seq").alias("qid"), F.col("seq").alias("gold_id"), "text")
+    got = evaluate.benchmark(held["memories"], held["edges"], asked, gold, now()).agg(F.avg("recall").alias("recall"), F.avg("rr").alias("mrr"), F.count("*").alias("n")).first()
     assert got.n == 6 and got.recall > 0.5 and got.mrr > 0
     texts = spark.createDataFrame([(0, "g", "my key is sk-" + "A" * 26), (1, "g", "reach me at dev@example.com about the deploy")], "seq long, scope string, text string")
     kept = write.remember(spark.createDataFrame([], EMPTY), None, texts, now())["memories"]
