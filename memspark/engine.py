@@ -1,12 +1,14 @@
 """A store and its verbs in one place: each reads the newest version at a root folder and publishes the next.
 
-Verbs take tables, so one call serves one memory or millions. Versions share the tables that a verb left
-alone. Time is the caller's, or the clock's.
+Verbs take tables, so one call serves one memory or millions. A verb writes the rows that it changes and
+refers to the rest; what it has read is the version that it builds on, and where another writer was faster it
+does its work again on the newer one. Time is the caller's, or the clock's.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,9 @@ from pyspark.sql import functions as F
 from memspark.functions import text as ft
 from memspark.operators import analytics, governance, graph, lifecycle, merge, retrieve, store, trust, write
 from memspark.schema import MEMORIES, complete
-from memspark.session import numbered, saved, ship
+from memspark.session import few, numbered, saved, ship
 from memspark.sources import demo, notes, snapshots
+from memspark.sources.snapshots import Change
 
 TABLES = {
     "memories": ", ".join(f"{n} {k}" for n, (k, _) in MEMORIES.items()),
@@ -27,6 +30,49 @@ TABLES = {
 }
 
 
+class _State:
+    """The version that a verb builds on."""
+
+    def __init__(self, engine: Engine, version: int):
+        self.engine, self.version = engine, version
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.engine.table(name, self.version)
+
+    def some(self, ids: DataFrame) -> DataFrame:
+        """The memories of these ids, written for the verb."""
+        return saved(self("memories").join(few(ids.select("id").distinct()), "id", "left_semi"), "touched")
+
+    def new(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows whose id the table hasn't."""
+        return rows.join(self(name).select("id"), "id", "left_anti")
+
+    def differing(self, new: DataFrame, name: str = "memories") -> Change:
+        """How a table as it should be differs from what it is; rows are told apart by digests."""
+        old = self(name)
+        told = [F.to_json(F.col(f.name)) if f.dataType.typeName() == "map" else F.col(f.name) for f in old.schema]
+        digest = F.xxhash64(*told, *[c.isNull() for c in told])
+        rows = new.select(*old.columns).withColumn("_digest", digest).join(old.select("id", digest.alias("_digest")), ["id", "_digest"], "left_anti").drop("_digest")
+        return Change(rows, old.select("id").join(new.select("id"), "id", "left_anti"))
+
+    def buried(self, tombstones: DataFrame) -> Change:
+        return Change(tombstones.select("fp").distinct().join(self("tombstones"), "fp", "left_anti"), key=None)
+
+    def log(self, new: DataFrame) -> Change:
+        """New entries (op, memory_id, detail) of the history, numbered on."""
+        last = snapshots.rows(self.engine.spark, self.engine.root, "history", self.version)
+        more = numbered(new.select("op", "memory_id", "detail"), F.col("op"), F.col("memory_id"), F.col("detail"), name="k")
+        return Change(more.select((F.col("k") + last).alias("seq"), "op", "memory_id", "detail"), key=None)
+
+    def entries(self, op: str, ids: DataFrame) -> Change:
+        return self.log(ids.select(F.lit(op).alias("op"), F.col("id").alias("memory_id"), F.lit("{}").alias("detail")))
+
+    def audit(self, action: str, ids: DataFrame, actor: str = "user") -> Change:
+        stamp = ft.iso(self.engine.now).alias("ts")
+        entries = ids.select(F.col("id").alias("at"), stamp, F.lit(actor).alias("actor"), F.lit(action).alias("action"), F.col("id").alias("target"), F.lit("").alias("detail"))
+        return Change(governance.append_audit(self("audit"), entries).join(self("audit").select("seq"), "seq", "left_anti"), key=None)
+
+
 class Engine:
     """A store at ``root``; ``key`` signs facts and containers, ``me`` names this replica."""
 
@@ -43,34 +89,34 @@ class Engine:
     def table(self, name: str, version: int | None = None) -> DataFrame:
         return snapshots.pull(self.spark, self.root, name, version)
 
-    def _push(self, **tables: DataFrame) -> int:
-        return snapshots.push(tables, self.root, tuple(n for n in TABLES if n not in tables))
-
-    def _log(self, new: DataFrame) -> DataFrame:
-        """The history with new entries (op, memory_id, detail) behind the old ones."""
-        old = self.table("history")
-        last = old.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-        more = numbered(new.select("op", "memory_id", "detail"), F.col("op"), F.col("memory_id"), F.col("detail"), name="k")
-        return old.unionByName(more.select((F.col("k") + last + 1).alias("seq"), "op", "memory_id", "detail"))
-
-    def _audit(self, action: str, ids: DataFrame, actor: str = "user") -> DataFrame:
-        stamp = ft.iso(self.now).alias("ts")
-        entries = ids.select(F.col("id").alias("at"), stamp, F.lit(actor).alias("actor"), F.lit(action).alias("action"), F.col("id").alias("target"), F.lit("").alias("detail"))
-        return governance.append_audit(self.table("audit"), entries)
-
-    def _entries(self, op: str, ids: DataFrame) -> DataFrame:
-        return self._log(ids.select(F.lit(op).alias("op"), F.col("id").alias("memory_id"), F.lit("{}").alias("detail")))
-
-    def _wrote(self, out: dict[str, DataFrame], **more: DataFrame) -> DataFrame:
-        made = saved(out["decisions"], "made")
-        self._push(memories=out["memories"], edges=out["edges"], history=self._log(out["history"]), **more)
-        return made
+    def _do(self, verb: Callable[[_State], dict[str, DataFrame | Change]]) -> int:
+        """What a verb makes of the newest version, published on it; done again where that has moved on."""
+        while True:
+            state = _State(self, snapshots.versions(self.spark, self.root)[-1])
+            tables = verb(state)
+            try:
+                return snapshots.commit(self.spark, self.root, tables, tuple(n for n in TABLES if n not in tables), state.version)
+            except snapshots.Conflict:
+                continue
+
+    def _wrote(self, make: Callable[[_State], dict[str, DataFrame]], more: Callable[[_State], dict[str, Change]] = lambda _: {}) -> dict[str, DataFrame]:
+        """A write path's outcome, of which rows that it changed are kept; the outcome."""
+        out: dict[str, DataFrame] = {}
+
+        def verb(t: _State) -> dict[str, Change]:
+            out.clear()
+            out.update(make(t))
+            out["decisions"] = saved(out["decisions"], "made")
+            return {"memories": Change(out["changed"]), "edges": Change(t.new("edges", out["edges"])), "history": t.log(out["history"]), **more(t)}
+
+        self._do(verb)
+        return out
 
     # Writing.
 
     def remember(self, texts: DataFrame, **how) -> DataFrame:
         """Texts (seq, scope, text) through the write path; the decisions."""
-        return self._wrote(write.remember(self.table("memories"), self.table("edges"), texts, self.now, **how))
+        return self._wrote(lambda t: write.remember(t("memories"), t("edges"), texts, self.now, **how))["decisions"]
 
     def ingest(self, texts: DataFrame, scope: str = "global") -> DataFrame:
         """Notes (path, text) sliced into facts; operations by kind."""
@@ -81,21 +127,27 @@ class Engine:
     def ingest_dir(self, path: str, scope: str = "global", pattern: str = "*.md") -> DataFrame:
         return self.ingest(notes.read_files(self.spark, path, pattern), scope)
 
-    def seed_demo(self) -> DataFrame:
-        return self._wrote(demo.seed(self.spark, self.table("memories"), self.table("edges"), self.now))
+    def ingest_repo(self, path: str, scope: str = "global") -> DataFrame:
+        """What the files of a repository's folder tell of it; operations by kind."""
+        found = notes.read_repo(self.spark, path)
+        rows = numbered(found, F.col("path"), F.col("text"), name="seq").select("seq", F.lit(scope).alias("scope"), "text")
+        return write.tally(self.remember(rows, agent="repo", origin="agent-ingested"))
+
+    def seed_demo(self, texts: DataFrame, links: DataFrame) -> DataFrame:
+        """Texts (seq, scope, text), and links (a, b) between their numbers."""
+        return self._wrote(lambda t: demo.seed(t("memories"), t("edges"), texts, links, self.now))["decisions"]
 
     def learn(self, recipes: DataFrame) -> None:
-        new = lifecycle.learn_procedures(recipes, self.now)
-        old = self.table("memories")
-        self._push(memories=old.unionByName(new.join(old.select("id"), "id", "left_anti")), history=self._entries("learn-procedure", new))
+        new = saved(lifecycle.learn_procedures(recipes, self.now), "learned")
+        self._do(lambda t: {"memories": Change(t.new("memories", new)), "history": t.entries("learn-procedure", new)})
 
     def record_outcomes(self, results: DataFrame) -> None:
-        self._push(memories=lifecycle.record_outcomes(self.table("memories"), results, self.now))
+        self._do(lambda t: {"memories": Change(lifecycle.record_outcomes(t.some(results), results, self.now))})
 
     def relate(self, pairs: DataFrame) -> None:
         """Edges for pairs (from_id, to_id, relation)."""
-        new = pairs.select(*graph.edge(F.col("from_id"), F.col("to_id"), F.col("relation")))
-        self._push(edges=self.table("edges").unionByName(new).dropDuplicates(["id"]), history=self._entries("relate", pairs.select(F.col("from_id").alias("id"))))
+        new = pairs.select(*graph.edge(F.col("from_id"), F.col("to_id"), F.col("relation"))).dropDuplicates(["id"])
+        self._do(lambda t: {"edges": Change(t.new("edges", new)), "history": t.entries("relate", pairs.select(F.col("from_id").alias("id")))})
 
     # Reading.
 
@@ -106,7 +158,7 @@ class Engine:
         """Hits of questions (qid, text, scope); with ``touch`` they count as used."""
         hits = saved(retrieve.recall(self._asked(questions), self.table("memories"), self.table("edges"), self.now, k, **how), "hits")
         if touch:
-            self._push(memories=retrieve.touch(self.table("memories"), hits, self.now))
+            self._do(lambda t: {"memories": Change(retrieve.touch(t.some(hits), hits, self.now))})
         return hits
 
     def context(self, questions: DataFrame, budget: int = retrieve.BUDGET) -> DataFrame:
@@ -151,55 +203,73 @@ class Engine:
     # Upkeep.
 
     def forget(self, ids: DataFrame) -> None:
-        self._push(memories=lifecycle.forget(self.table("memories"), ids, self.now), history=self._entries("forget", ids))
+        self._do(lambda t: {"memories": Change(lifecycle.forget(t.some(ids), ids, self.now)), "history": t.entries("forget", ids)})
 
     def edit(self, edits: DataFrame) -> None:
-        self._push(memories=lifecycle.edit(self.table("memories"), edits, self.now, self.me), history=self._entries("edit", edits))
+        clock = lambda t: t("memories").agg(F.coalesce(F.max("clock"), F.lit(0))).first()[0]  # noqa: E731  one column is read
+        self._do(lambda t: {"memories": Change(lifecycle.edit(t.some(edits), edits, self.now, self.me, clock(t))), "history": t.entries("edit", edits)})
 
     def resolve_stale(self, verdicts: DataFrame) -> None:
-        self._push(memories=lifecycle.resolve_stale(self.table("memories"), verdicts, self.now), history=self._entries("review", verdicts))
+        self._do(lambda t: {"memories": Change(lifecycle.resolve_stale(t.some(verdicts), verdicts, self.now)), "history": t.entries("review", verdicts)})
 
     def erase(self, ids: DataFrame) -> None:
-        left = trust.erase(self.table("memories"), self.table("edges"), ids)
-        flagged = left["memories"].join(left["derived"].withColumn("_hit", F.lit(True)), "id", "left")
-        hit = F.coalesce("_hit", F.lit(False))
-        flagged = flagged.withColumn("stale", F.col("stale") | hit).withColumn("stale_reason", F.when(hit, F.lit("a source fact was erased")).otherwise(F.col("stale_reason"))).drop("_hit")
-        self._push(memories=flagged, edges=left["edges"], tombstones=self.table("tombstones").union(left["tombstones"]).distinct(), history=self._entries("erase", ids), audit=self._audit("erase", ids))
+        def verb(t: _State) -> dict[str, Change]:
+            gone = saved(t.some(ids).select("id", "type", "content"), "erased")
+            left = trust.erase(gone, t("edges"), ids)
+            derived = saved(left["derived"], "derived")
+            flagged = t.some(derived).withColumns({"stale": F.lit(True), "stale_reason": F.lit("a source fact was erased")})
+            cut = t("edges").join(few(left["edges"].select("id")), "id", "left_anti").select("id")
+            return {
+                "memories": Change(flagged, gone.select("id")), "edges": Change(gone=cut), "tombstones": t.buried(left["tombstones"]),
+                "history": t.entries("erase", ids), "audit": t.audit("erase", ids),
+            }
+
+        self._do(verb)
 
     def maintain(self) -> None:
-        self._push(memories=lifecycle.maintain(self.table("memories"), self.now))
+        self._do(lambda t: {"memories": t.differing(lifecycle.maintain(t("memories"), self.now))})
 
     def purge(self, days: int = lifecycle.RETENTION_DAYS) -> None:
-        left, buried = lifecycle.purge(self.table("memories"), self.now, days)
-        gone = self.table("memories").select("id").join(left.select("id"), "id", "left_anti")
-        self._push(memories=left, tombstones=self.table("tombstones").union(buried).distinct(), audit=self._audit("purge", gone))
+        def verb(t: _State) -> dict[str, Change]:
+            left, buried = lifecycle.purge(t("memories"), self.now, days)
+            gone = saved(t("memories").select("id").join(left.select("id"), "id", "left_anti"), "purged")
+            return {"memories": Change(gone=gone), "tombstones": t.buried(buried), "audit": t.audit("purge", gone)}
+
+        self._do(verb)
 
     def sleep(self) -> None:
-        self._push(memories=lifecycle.promote(self.table("memories")))
+        self._do(lambda t: {"memories": t.differing(lifecycle.promote(t("memories")))})
 
     def reembed(self, embed=ft.hash_embed) -> None:
-        self._push(memories=lifecycle.reembed(self.table("memories"), embed))
+        """All vectors anew; the one verb that rewrites the table."""
+        self._do(lambda t: {"memories": lifecycle.reembed(t("memories"), embed)})
 
     # Trust and exchange.
 
     def propose(self, facts: DataFrame) -> None:
-        new = governance.propose(facts, self.now)
-        old = self.table("memories")
-        new = saved(new.join(old.select("id"), "id", "left_anti"), "proposed")
-        self._push(memories=old.unionByName(new.select(*old.columns)), history=self._entries("propose", new), audit=self._audit("propose", new, "proposer"))
+        made = saved(governance.propose(facts, self.now), "proposed")
+
+        def verb(t: _State) -> dict[str, Change]:
+            new = saved(t.new("memories", made), "new")
+            return {"memories": Change(new), "history": t.entries("propose", new), "audit": t.audit("propose", new, "proposer")}
+
+        self._do(verb)
 
     def review_incoming(self, limit: int = 100) -> DataFrame:
         return governance.review_incoming(self.table("memories"), limit)
 
     def approve(self, ids: DataFrame) -> None:
-        self._push(memories=governance.approve(self.table("memories"), ids, self.now), history=self._entries("approve-incoming", ids), audit=self._audit("approve", ids))
+        self._do(lambda t: {"memories": Change(governance.approve(t.some(ids), ids, self.now)), "history": t.entries("approve-incoming", ids), "audit": t.audit("approve", ids)})
 
     def reject(self, ids: DataFrame) -> None:
-        left, buried = governance.reject(self.table("memories"), ids)
-        self._push(memories=left, tombstones=self.table("tombstones").union(buried).distinct(), history=self._entries("reject-incoming", ids), audit=self._audit("reject", ids))
+        def verb(t: _State) -> dict[str, Change]:
+            _, buried = governance.reject(t.some(ids), ids)
+            return {"memories": Change(gone=ids), "tombstones": t.buried(buried), "history": t.entries("reject-incoming", ids), "audit": t.audit("reject", ids)}
+
+        self._do(verb)
 
     def sign_facts(self) -> None:
-        self._push(memories=governance.sign(self.table("memories"), self.key, self.now))
+        self._do(lambda t: {"memories": t.differing(governance.sign(t("memories"), self.key, self.now))})
 
     def verify_facts(self) -> DataFrame:
         return governance.verify(self.table("memories"), self.key)
@@ -208,47 +278,61 @@ class Engine:
         return not trust.chain_breaks(self.table("audit")).filter("not ok").limit(1).count()
 
     def trust_contributor(self, name: str) -> None:
-        self._push(trusted=self.table("trusted").unionByName(self.spark.createDataFrame([(name,)], "contributor string")).distinct())
+        new = self.spark.createDataFrame([(name,)], "contributor string")
+        self._do(lambda t: {"trusted": Change(new.join(t("trusted"), "contributor", "left_anti"), key=None)})
 
     def share(self, path: str, scope: str) -> None:
-        facts = trust.bundle(self.table("memories"), scope).drop("id").withColumn("signed", F.lit(False)).withColumn("sig_ok", F.lit(False))
-        snapshots.write_bundle(facts, path, self.me)
-
-    def import_share(self, path: str) -> DataFrame:
-        shape = "type string, content string, scope string, confidence double, importance double, visibility string, fingerprint string, signed boolean, sig_ok boolean, contributor string"
-        facts = snapshots.read_bundle(self.spark, path, shape)
-        out = governance.import_share(self.table("memories"), self.table("edges"), facts, self.table("tombstones"), self.table("trusted"), self.now)
-        verdicts = saved(out["verdicts"], "verdicts")
-        self._wrote(out)
-        return verdicts
+        """A scope's facts as a bundle; each is signed as it is shared, if this store has a key."""
+        facts = trust.bundle(self.table("memories"), scope).drop("id")
+        sig = governance.hmac(governance.payload(), self.key) if self.key else F.lit(None).cast("string")
+        snapshots.write_bundle(facts.withColumns({"sig": sig, "sig_scheme": F.when(sig.isNotNull(), F.lit(governance.HMAC)), "signer": F.lit(self.me)}), path, self.me)
+
+    def import_share(self, path: str, keys: dict[str, bytes] | None = None) -> DataFrame:
+        """A bundle's facts by their verdict. ``keys`` has the keys of signers that are known here, besides its own.
+
+        What the sender says of signatures isn't looked at: a fact counts as signed if its signer's key is
+        known, and its signature holds if it follows from type and content under that key.
+        """
+        shape = "type string, content string, scope string, confidence double, importance double, visibility string, fingerprint string, sig string, sig_scheme string, signer string, contributor string"
+        facts = governance.checked(snapshots.read_bundle(self.spark, path, shape), {self.me: self.key, **(keys or {})})
+        out = self._wrote(lambda t: governance.import_share(t("memories"), t("edges"), facts, t("tombstones"), t("trusted"), self.now))
+        return saved(out["verdicts"], "verdicts")
 
     def handoff(self, ids: DataFrame, scope: str, agent: str = "agent") -> DataFrame:
-        return self._wrote(merge.handoff(self.table("memories"), self.table("edges"), ids, scope, self.table("tombstones"), self.now, agent), audit=self._audit("handoff", ids, agent))
+        return self._wrote(lambda t: merge.handoff(t("memories"), t("edges"), ids, scope, t("tombstones"), self.now, agent), lambda t: {"audit": t.audit("handoff", ids, agent)})["decisions"]
 
     def merge(self, other: str) -> DataFrame:
         """Another store's newest version merged into this one; operations by kind."""
-        out = snapshots.pull_merge(self.spark, other, self.table("memories"), self.table("edges"), self.table("tombstones"), self.now)
-        tally = saved(out["tally"], "tally")
-        self._wrote(out)
-        return tally
-
-    def merge_replica(self, other: str) -> None:
-        """Another replica's edits by clock: existence adds up, and of two versions the later wins."""
-        mine = complete(self.table("memories"))
-        theirs = merge.without_tombstoned(complete(snapshots.pull(self.spark, other, "memories")).filter("not hub"), self.table("tombstones")).select(*mine.columns)
-        both = mine.unionByName(theirs)
-        won = merge.last_writer(both).select("id", *[F.col(c).alias(f"_{c}") for c in ("content", "type", "scope", "clock", "replica", "importance", "confidence", "provenance")])
-        ticket = F.struct("clock", "replica", "updated_at", "content", "type", "scope")
-        rows = both.groupBy("id").agg(F.max_by(F.struct(*both.columns), ticket).alias("x")).select("x.*").join(won, "id")
-        new = {c: F.col(f"_{c}") for c in ("importance", "confidence", "provenance")}
-        self._push(memories=rows.withColumns(new).select(*mine.columns))
+        out = self._wrote(lambda t: snapshots.pull_merge(self.spark, other, t("memories"), t("edges"), t("tombstones"), self.now))
+        return saved(out["tally"], "tally")
+
+    def merge_replica(self, other: str, keys: dict[str, bytes] | None = None) -> None:
+        """Another replica's edits by clock: existence adds up, and of two versions the later wins.
+
+        Facts that their signer's key, where it is known, shows to be forged are left out.
+        """
+        known = {self.me: self.key, **(keys or {})}
+
+        def verb(t: _State) -> dict[str, Change]:
+            mine = complete(t("memories"))
+            fit = merge.without_tombstoned(complete(snapshots.pull(self.spark, other, "memories")).filter("not hub"), t("tombstones"))
+            theirs = merge.without_forged(governance.checked(fit, known)).select(*mine.columns)
+            both = mine.unionByName(theirs)
+            won = merge.last_writer(both).select("id", *[F.col(c).alias(f"_{c}") for c in ("content", "type", "scope", "clock", "replica", "importance", "confidence", "provenance")])
+            ticket = F.struct("clock", "replica", "updated_at", "content", "type", "scope")
+            rows = both.groupBy("id").agg(F.max_by(F.struct(*both.columns), ticket).alias("x")).select("x.*").join(won, "id")
+            new = {c: F.col(f"_{c}") for c in ("importance", "confidence", "provenance")}
+            return {"memories": t.differing(rows.withColumns(new).select(*mine.columns))}
+
+        self._do(verb)
 
     def export(self, path: str) -> dict:
         return snapshots.export_container({n: self.table(n) for n in TABLES}, path, self.key, self.me)
 
     def import_(self, path: str) -> int:
         """Replace all tables by those of a container; the versions before stay."""
-        return self._push(**snapshots.import_container(self.spark, path, self.key))
+        tables = snapshots.import_container(self.spark, path, self.key)
+        return self._do(lambda _: tables)
 
     def rollback(self, version: int) -> int:
         return snapshots.rollback(self.spark, self.root, version)

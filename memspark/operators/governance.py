@@ -150,6 +150,16 @@ def quarantined(facts: DataFrame, now: Column) -> DataFrame:
     return complete(made).dropDuplicates(["id"])
 
 
+def checked(facts: DataFrame, keys: dict[str, bytes]) -> DataFrame:
+    """Facts with signed, whether their signer's key is among those known here, and sig_ok, whether the signature follows from it."""
+    own = F.lit(None).cast("string")
+    for signer, key in keys.items():
+        if key:
+            own = F.when(F.col("signer") == signer, hmac(payload(), key)).otherwise(own)
+    signed = F.coalesce((F.col("sig_scheme") == HMAC) & F.col("sig").isNotNull() & own.isNotNull(), F.lit(False))
+    return facts.withColumns({"signed": signed, "sig_ok": F.coalesce(F.col("sig") == own, F.lit(False))})
+
+
 def import_share(memories: DataFrame, edges: DataFrame | None, facts: DataFrame, tombstones: DataFrame, trusted: DataFrame, now: Column) -> dict[str, DataFrame]:
     """Shared facts by their verdict: trusted ones through consolidation, others into quarantine, the rest dropped."""
     from memspark.operators.trust import classify_import
@@ -162,6 +172,6 @@ def import_share(memories: DataFrame, edges: DataFrame | None, facts: DataFrame,
         "provenance": F.array(provenance(F.col("contributor"), "share", at=now)),
     })
     out = write.consolidate(memories, edges, numbered(complete(fit), F.col("id"), name="seq"), now)
-    out["memories"] = out["memories"].unionByName(held)
+    out["memories"], out["changed"] = out["memories"].unionByName(held), out["changed"].unionByName(held)
     out["verdicts"] = judged.groupBy("verdict").agg(F.count("*").alias("n"))
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memspark.functions import text as ft
 from memspark.functions.vectors import dot
 from memspark.schema import cognitive_of, complete, provenance
+from memspark.session import numbered, saved
 
 # Half-lives in days, growth per reinforcement, thresholds of upkeep and consolidation.
 HALF_LIFE = {"episodic": 7.0, "procedural": 90.0, "semantic": 3650.0, "entity": 3650.0}
@@ -173,23 +174,25 @@ def forget(memories: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     return both.withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at"))).select(*memories.columns)
 
 
-def edit(memories: DataFrame, edits: DataFrame, now: Column, replica: str = "") -> DataFrame:
+def edit(memories: DataFrame, edits: DataFrame, now: Column, replica: str = "", clock: int | None = None) -> DataFrame:
     """Memories after edits (id, and content, scope, type, importance where they are to change; seq).
 
     Content is redacted and embedded again if it changed; importance is clamped; an edited memory gets a
     clock after all others, edits in the order of seq. Several edits of one memory: the last counts.
+    ``clock`` is the largest there is, where memories aren't all.
     """
     last = edits.groupBy("id").agg(*[F.max_by(c, "seq").alias(f"_{c}") for c in ("content", "scope", "type", "importance")], F.max("seq").alias("_seq"))
-    before = F.coalesce(F.sum(F.lit(1)).over(Window.orderBy("_seq", "id").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    last = last.withColumn("_tick", before)  # as many rows as memories edited by hand
+    last = numbered(last, F.col("_seq"), F.col("id"), name="_at").withColumn("_tick", F.col("_at") + 1).drop("_at")
     m = complete(memories)
-    top = m.agg(F.coalesce(F.max("clock"), F.lit(0))).first()[0]
+    top = m.agg(F.coalesce(F.max("clock"), F.lit(0))).first()[0] if clock is None else clock
     both = m.join(last, "id", "left")
     hit = F.col("_seq").isNotNull()
     both = both.withColumn("_content", ft.redact(F.col("_content")))
     changed = hit & F.col("_content").isNotNull() & (F.col("_content") != F.col("content"))
     kind = F.coalesce("_type", "type")
+    signed = changed | hit & (kind != F.col("type"))  # what was signed is no longer said
     both = both.withColumns({
+        **{c: F.when(~signed, F.col(c)) for c in ("sig", "signer", "sig_scheme")},
         "vec": F.when(changed, ft.hash_embed(F.coalesce("_content", F.lit("")))).otherwise(F.col("vec")), "content": F.coalesce("_content", "content"), "scope": F.coalesce("_scope", "scope"),
         "type": kind, "cognitive": F.when(F.col("_type").isNotNull(), cognitive_of(kind)).otherwise(F.col("cognitive")),
         "importance": F.when(F.col("_importance").isNull(), F.col("importance")).otherwise(F.least(F.greatest(F.col("_importance").cast("double"), F.lit(0.0)), F.lit(1.0))),
@@ -237,7 +240,6 @@ def reflect(memories: DataFrame, edges: DataFrame, synthesize, now: Column, **ho
     """insights() written as memories that cite their sources by derived_from edges."""
     from memspark.operators import graph
     from memspark.operators.write import consolidate, new_id
-    from memspark.session import numbered, saved
 
     found = numbered(insights(memories, synthesize, **how), F.col("scope"), F.col("at"), name="seq")
     found = saved(found.withColumns({

@@ -38,8 +38,12 @@ def united(rows: DataFrame, ticket: Column) -> DataFrame:
 
 
 def without_forged(facts: DataFrame) -> DataFrame:
-    """Facts but those whose signature anyone can check, and which fails: sig_ok says whether it holds."""
-    return facts.filter(~F.coalesce((F.col("sig_scheme") == "ed25519") & F.col("sig").isNotNull() & ~F.col("sig_ok"), F.lit(False)))
+    """Facts but those whose signature can be checked, and which fails: sig_ok says whether it holds.
+
+    ``signed`` tells which can be checked here; without it those of a public-key scheme.
+    """
+    can = F.col("signed") if "signed" in facts.columns else (F.col("sig_scheme") == "ed25519") & F.col("sig").isNotNull()
+    return facts.filter(~F.coalesce(can & ~F.col("sig_ok"), F.lit(False)))
 
 
 def merge_replicas(mine: DataFrame, theirs: DataFrame, tombstones: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from memspark.functions import tiles
 from memspark.operators import graph, lifecycle
 from memspark.operators.lifecycle import BUMP, DUPLICATE, GRAY, UPDATE
 from memspark.schema import GLOBAL, cognitive_of, complete, provenance
-from memspark.session import numbered, saved
+from memspark.session import few, numbered, saved
 from memspark.sources.notes import extract
 
 KNOWN = 8
@@ -200,7 +200,7 @@ def _after(state: DataFrame, candidates: DataFrame, made: DataFrame) -> DataFram
 
 
 def apply(memories: DataFrame, edges: DataFrame, candidates: DataFrame, made: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """What decisions leave: memories, edges, and history (seq, op, memory_id, detail).
+    """What decisions leave: memories, and of them those that are new or changed, edges, and history (seq, op, memory_id, detail).
 
     NOOP and UPDATE reinforce a memory, add to its confidence and provenance; an UPDATE keeps the longer
     content, with its vector, the larger importance, and adds attributes, later ones first. A SUPERSEDE
@@ -216,6 +216,10 @@ def apply(memories: DataFrame, edges: DataFrame, candidates: DataFrame, made: Da
         fresh = fresh.withColumn(name, F.lit(None))
     fresh = complete(fresh.withColumn("status", F.lit("active")).withColumn("reinforced", F.lit(0.0)))
     all_ = complete(memories).unionByName(fresh)
+    # Only what decisions name changes, and is written; the rest is read as it is.
+    own = by_seq.select("id").unionByName(by_seq.filter("op = 'SUPERSEDE' or conflict").select(F.col("near_id").alias("id"))).distinct()
+    own = few(saved(own, "ids"))
+    mine = all_.join(own, "id", "left_semi")
 
     touch = by_seq.filter("op in ('NOOP', 'UPDATE')")
     per = touch.groupBy("id").agg(F.count("*").alias("n"), F.max(F.when(F.col("op") == "UPDATE", F.col("importance"))).alias("new_importance"))
@@ -225,9 +229,10 @@ def apply(memories: DataFrame, edges: DataFrame, candidates: DataFrame, made: Da
     named = named.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("new_attributes"))
     closed = by_seq.filter("op = 'SUPERSEDE'").select(F.col("near_id").alias("id")).distinct().withColumn("closed", F.lit(True))
     torn = by_seq.filter("conflict").select(F.explode(F.array("id", "near_id")).alias("id")).distinct().withColumn("torn", F.lit(True))
-    x = all_.join(per, "id", "left").join(said, "id", "left").join(named, "id", "left").join(_longest(touch.filter("op = 'UPDATE'")), "id", "left").join(closed, "id", "left").join(torn, "id", "left")
+    x = mine.join(per, "id", "left").join(said, "id", "left").join(named, "id", "left").join(_longest(touch.filter("op = 'UPDATE'")), "id", "left").join(closed, "id", "left").join(torn, "id", "left")
     n, longer, gone = F.coalesce("n", F.lit(0)), F.coalesce(F.length("new_content") > F.length("content"), F.lit(False)), F.coalesce("closed", F.lit(False))
     x = x.withColumns({
+        **{c: F.when(~longer, F.col(c)) for c in ("sig", "signer", "sig_scheme")},  # another content is not what was signed
         "vec": F.when(longer, F.col("new_vec")).otherwise(F.col("vec")), "content": F.when(longer, F.col("new_content")).otherwise(F.col("content")),
         "importance": F.greatest("importance", "new_importance"), "confidence": F.when(n > 0, F.least(F.col("confidence") + BUMP * n, F.lit(1.0))).otherwise(F.col("confidence")),
         "reinforced": F.coalesce("reinforced", F.lit(0.0)) + n, "last_seen_at": F.when(n > 0, now).otherwise(F.col("last_seen_at")),
@@ -236,7 +241,8 @@ def apply(memories: DataFrame, edges: DataFrame, candidates: DataFrame, made: Da
         "updated_at": F.when((n > 0) | gone, now).otherwise(F.col("updated_at")), "valid_to": F.when(gone, now).otherwise(F.col("valid_to")),
         "status": F.when(gone, F.lit("superseded")).otherwise(F.col("status")), "conflict": F.coalesce("conflict", F.lit(False)) | F.coalesce("torn", F.lit(False)),
     })
-    x = saved(x.select(*all_.columns), "memories")
+    mine = saved(x.select(*all_.columns), "changed")
+    x = all_.join(own, "id", "left_anti").select(*all_.columns).unionByName(mine)
 
     old = x.select(F.col("id").alias("old_id"), F.col("scope").alias("old_scope"), F.col("content").alias("old_content"))
     replaced = by_seq.filter("op = 'SUPERSEDE'").select("seq", F.col("near_id").alias("old_id"), F.col("content").alias("new_content"), F.col("id").alias("new_id")).join(old, "old_id")
@@ -244,8 +250,9 @@ def apply(memories: DataFrame, edges: DataFrame, candidates: DataFrame, made: Da
     flags = flags.join(replaced.select("old_id", "seq", "new_id"), "old_id").filter(F.col("id") != F.col("new_id"))
     flags = saved(flags.groupBy("id").agg(F.min_by(F.struct("reason", "old_id"), F.struct("seq", "old_id")).alias("because")).select("id", F.col("because.reason").alias("why"), "because.old_id"), "stale")
     hit = F.col("why").isNotNull()
-    out = x.join(flags.select("id", "why"), "id", "left").withColumn("stale", F.coalesce("stale", F.lit(False)) | hit).withColumn("stale_reason", F.coalesce("why", "stale_reason"))
+    out = x.join(few(flags.select("id", "why")), "id", "left").withColumn("stale", F.coalesce("stale", F.lit(False)) | hit).withColumn("stale_reason", F.coalesce("why", "stale_reason"))
     out = out.withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at"))).select(*all_.columns)
+    moved = few(saved(mine.select("id").union(flags.select("id")).distinct(), "ids"))
 
     made_edges = by_seq.filter("op = 'SUPERSEDE'").select(*graph.edge(F.col("id"), F.col("near_id"), "supersedes"))
     made_edges = made_edges.unionByName(by_seq.filter("conflict").select(*graph.edge(F.col("id"), F.col("near_id"), "conflicts_with")))
@@ -258,7 +265,7 @@ def apply(memories: DataFrame, edges: DataFrame, candidates: DataFrame, made: Da
     history = by_seq.select("seq", F.lower("op").alias("op"), F.col("id").alias("memory_id"), detail.alias("detail"))
     history = history.unionByName(by_seq.filter("conflict").select("seq", F.lit("conflict").alias("op"), F.col("id").alias("memory_id"), F.to_json(F.struct(F.col("near_id").alias("with"), F.round("sim", 3).alias("sim"))).alias("detail")))
     history = history.unionByName(flags.select(F.lit(None).cast("long").alias("seq"), F.lit("stale-suspect").alias("op"), F.col("id").alias("memory_id"), F.to_json(F.struct(F.col("old_id").alias("because"))).alias("detail")))
-    return {"memories": out.unionByName(complete(hubs)), "edges": both, "history": history, "decisions": made}
+    return {"memories": out.unionByName(complete(hubs)), "changed": out.join(moved, "id", "left_semi").unionByName(complete(hubs)), "edges": both, "history": history, "decisions": made}
 
 
 def consolidate(memories: DataFrame, edges: DataFrame | None, candidates: DataFrame, now: Column, adjudicate: Adjudicator | None = None) -> dict[str, DataFrame]:

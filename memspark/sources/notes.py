@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.functions import text as ft
+from memspark.session import file_system
 
 # Files, substrings and dependencies that tell a fact about a repository.
 TOOLING = [
@@ -93,6 +96,24 @@ def repository_facts(files: DataFrame) -> DataFrame:
     return facts.unionByName(first.select("root", F.concat(F.lit("Code ownership (CODEOWNERS): "), F.concat_ws(", ", F.slice("owners", 1, 6)), F.lit(".")).alias("fact")))
 
 
+def read_repo(spark: SparkSession, root: str) -> DataFrame:
+    """path, text of what a repository's folder tells: facts of its tooling and owners, and the lines of its guide for contributors."""
+    fs, top = file_system(spark, root)
+    base = fs.makeQualified(top).toString().rstrip("/")
+    wanted = sorted({p for p, _, _ in TOOLING} | {"package.json", "uv.lock", *OWNERS, *CONTRIBUTING})
+    found = [f"{base}/{p}" for p in wanted if fs.exists(file_system(spark, f"{base}/{p}")[1])]
+    flows = file_system(spark, f"{base}/.github/workflows")[1]
+    found += [s.getPath().toString() for s in fs.listStatus(flows) if s.isFile()] if fs.exists(flows) else []
+    if not found:
+        return spark.createDataFrame([], "path string, text string")
+    text = spark.read.option("wholetext", "true").text(found)
+    at = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
+    inside = F.split(at, re.escape(base.removeprefix("file:")) + "/", 2)[1]
+    files = text.select(F.lit(root).alias("root"), inside.alias("path"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
+    guide = files.join(contributing(files), ["root", "path"]).select("path", "text")
+    return repository_facts(files).select(F.lit("").alias("path"), F.col("fact").alias("text")).unionByName(slices(guide).select("path", "text"))
+
+
 def contributing(files: DataFrame) -> DataFrame:
     """root, path of each repository's guide for contributors, by preference."""
     rank = F.array_position(F.array(*[F.lit(c) for c in CONTRIBUTING]), F.col("path"))

@@ -1,7 +1,18 @@
-"""Versioned snapshots of the relations, and bundles for exchange."""
+"""Versioned snapshots of the relations, and bundles for exchange.
+
+A version is a small folder that tells, of each table, the files that hold it: a base, and deltas on top,
+rows that are new or changed and keys that are gone. A verb writes its delta and the next version; what it
+leaves alone is referred to. A version is published by one rename that fails if it exists, and on a stated
+version before it: who has read an older one is told by ``Conflict`` and does its work again on the newer
+one, so no update is lost. Readers see a version whole, whatever is written meanwhile.
+
+Where a table has ``MAX_DELTAS`` of them, the next commit folds them into one, or into the base once they
+hold a good part of its rows; so a reader merges few files, and a row is rewritten few times.
+"""
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import hmac
 import json
@@ -14,8 +25,10 @@ from pyspark.sql import types as T
 from memspark.functions.text import fingerprint, iso
 from memspark.operators.trust import merkle_levels
 from memspark.schema import complete
-from memspark.session import file_system
+from memspark.session import BROADCAST_BYTES, file_system
 
+#: Deltas of a table before they are folded, and the part of the base's rows from which they go into the base.
+MAX_DELTAS, FOLD = 8, 0.25
 SCHEMES = {"file": "directory", "hdfs": "directory", "s3": "object store", "s3a": "object store", "gs": "object store", "abfss": "object store"}
 
 
@@ -35,9 +48,27 @@ def put(spark: SparkSession, root: str, name: str, data: bytes) -> None:
     out = fs.create(draft, True)
     out.write(bytearray(data))
     out.close()
-    fs.delete(p, False)
-    if not fs.rename(draft, p):
-        raise OSError(f"{name} could not be put in place")
+    _rename(spark, draft, p, "OVERWRITE")  # in one step, so readers find one or the other
+
+
+def _rename(spark: SparkSession, src, goal, how: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    options[0] = getattr(getattr(hadoop, "Options$Rename"), how)
+    uri = file_system(spark, goal.toString())[0].makeQualified(goal).toUri()
+    hadoop.FileContext.getFileContext(uri, spark.sparkContext._jsc.hadoopConfiguration()).rename(src, goal, options)
+
+
+def _publish(spark: SparkSession, draft: str, root: str, version: int) -> int:
+    fs, src = file_system(spark, draft)
+    try:
+        _rename(spark, src, file_system(spark, f"{root}/v={version}")[1], "NONE")
+    except Exception as e:
+        if "FileAlreadyExists" not in str(e):
+            raise
+        fs.delete(src, True)
+        raise Conflict(f"another writer has published version {version}") from e
+    return version
 
 
 def get(spark: SparkSession, root: str, name: str) -> bytes:
@@ -64,48 +95,163 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n[2:]) for n in found if n.startswith("v="))
 
 
-def push(tables: dict[str, DataFrame], root: str, same: tuple[str, ...] = ()) -> int:
-    """Write tables as the next version; it appears by one rename once all are written.
+class Conflict(Exception):
+    """Another writer has published a version since the one that was read."""
+
 
-    Tables named in ``same`` are those of the version before, which are referred to and not copied.
+@dataclasses.dataclass
+class Change:
+    """What a verb does to a table: rows that are new, or take the place of those of equal key, and keys that go.
+
+    Without a key rows are added only. Both come from a table of their own, so they are read once.
     """
-    backend(root)
+
+    rows: DataFrame | None = None
+    gone: DataFrame | None = None
+    key: str | None = "id"
+
+
+def _written(df: DataFrame, path: str, parts: tuple[str, ...] = ()) -> int:
+    """Write a table; its rows."""
+    df.write.partitionBy(*parts).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).count()
+
+
+def _put_table(spark: SparkSession, draft: str, name: str, schema: T.StructType, files: dict) -> None:
+    put(spark, draft, f"{name}.schema", schema.json().encode())
+    put(spark, draft, f"{name}.files", json.dumps(files).encode())
+
+
+def _full(df: DataFrame, root: str, name: str) -> dict:
+    path = f"{root}/data/{uuid.uuid4().hex[:12]}-{name}"
+    return {"base": path, "rows": _written(df, path, ("status",) if name == "memories" and "status" in df.columns else ()), "key": None, "deltas": []}
+
+
+def push(tables: dict[str, DataFrame], root: str, same: tuple[str, ...] = (), base: int | None = None) -> int:
+    """Write tables whole as the next version; those named in ``same`` stay those of the version before."""
     spark = next(iter(tables.values())).sparkSession
+    return commit(spark, root, tables, same=same, base=base)
+
+
+def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame | Change], same: tuple[str, ...] = (), base: int | None = None) -> int:
+    """Publish the next version: tables written whole or changed, and those of the version before in ``same``.
+
+    With ``base``, it must still be the newest; else ``Conflict`` is raised, and nothing of this is seen.
+    """
+    backend(root)
     have = versions(spark, root)
-    n = (have or [0])[-1] + 1
-    draft = f"{root}/_draft-{n}-{uuid.uuid4().hex[:8]}"
+    last = base if base is not None else (have or [0])[-1]
+    if base is not None and have and have[-1] != base:
+        raise Conflict(f"version {base} was read, and {have[-1]} is there")
+    draft = f"{root}/_draft-{last + 1}-{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
-        out = df.write.mode("overwrite")
-        out = out.partitionBy("status") if name == "memories" and "status" in df.columns else out
-        out.parquet(f"{draft}/{name}")
-        put(spark, draft, f"{name}.schema", df.schema.json().encode())
+        if isinstance(df, Change):
+            schema, files = _entry(spark, root, name, last)
+            _put_table(spark, draft, name, schema, _with(spark, root, name, schema, files, df))
+        else:
+            _put_table(spark, draft, name, df.schema, _full(df, root, name))
     for name in same:
-        put(spark, draft, f"{name}.same", str(_holder(spark, root, name, have[-1])).encode())
-    fs, src = file_system(spark, draft)
-    goal = file_system(spark, f"{root}/v={n}")[1]
-    if fs.exists(goal) or not fs.rename(src, goal):
-        raise OSError(f"version {n} could not be published")
-    return n
+        put(spark, draft, f"{name}.same", str(_holder(spark, root, name, last)).encode())
+    return _publish(spark, draft, root, last + 1)
+
+
+def _with(spark: SparkSession, root: str, name: str, schema: T.StructType, files: dict, change: Change) -> dict:
+    """The files of a table after a change, its delta written."""
+    delta, token = {}, uuid.uuid4().hex[:12]
+    for kind, df in (("put", change.rows), ("gone", change.gone)):
+        if df is not None:
+            df = df.select(*schema.names) if kind == "put" else df.select(change.key).distinct()
+            n = _written(df.select(*[F.col(f.name).cast(f.dataType) for f in schema if f.name in df.columns]), path := f"{root}/data/{token}-{name}-{kind}")
+            if n:
+                delta[kind] = [path, n]
+    out = {**files, "key": change.key or files["key"], "deltas": [*files["deltas"], *([delta] if delta else [])]}
+    if len(out["deltas"]) <= MAX_DELTAS:
+        return out
+    rows = sum(x[k][1] for x in out["deltas"] for k in x)
+    if rows >= FOLD * max(1, out["rows"]):
+        return _full(_merged(spark, schema, out), root, name)
+    put_, gone = _folded(spark, schema, out)
+    token, delta = uuid.uuid4().hex[:12], {}
+    for kind, df in (("put", put_), ("gone", gone)):
+        if df is not None and (n := _written(df, path := f"{root}/data/{token}-{name}-{kind}")):
+            delta[kind] = [path, n]
+    return {**out, "deltas": [delta]}
 
 
 def _holder(spark: SparkSession, root: str, table: str, version: int) -> int:
-    """The version that holds a table's files for this one."""
+    """The version that tells a table's files for this one."""
     fs, p = file_system(spark, f"{root}/v={version}/{table}.same")
     return int(get(spark, f"{root}/v={version}", f"{table}.same")) if fs.exists(p) else version
 
 
+def _entry(spark: SparkSession, root: str, table: str, version: int) -> tuple[T.StructType, dict]:
+    folder = f"{root}/v={_holder(spark, root, table, version)}"
+    return T.StructType.fromJson(json.loads(get(spark, folder, f"{table}.schema"))), json.loads(get(spark, folder, f"{table}.files"))
+
+
+def _folded(spark: SparkSession, schema: T.StructType, files: dict) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows that deltas put, the last of each key, and the keys that are gone in the end."""
+    key, put_, marks = files["key"], None, None
+    for k, delta in enumerate(files["deltas"]):
+        for kind, (path, _) in delta.items():
+            df = spark.read.schema(schema if kind == "put" else T.StructType([schema[key]])).parquet(path)
+            if kind == "put":
+                rows = df.select(*schema.names, F.lit(k).alias("_delta"))
+                put_ = rows if put_ is None else put_.unionByName(rows)
+            if key:
+                # In one change rows come after what goes.
+                mark = df.select(F.col(key).alias("_key"), F.lit(2 * k + (kind == "put")).alias("_at"))
+                marks = mark if marks is None else marks.unionByName(mark)
+    if not key or marks is None:
+        return (None if put_ is None else put_.drop("_delta")), None
+    last = marks.groupBy("_key").agg(F.max("_at").alias("_at"))
+    live = None if put_ is None else put_.join(last, (F.col(key) == F.col("_key")) & (F.col("_at") == 2 * F.col("_delta") + 1)).select(*schema.names)
+    return live, last.filter("_at % 2 = 0").select(F.col("_key").alias(key))
+
+
+def _merged(spark: SparkSession, schema: T.StructType, files: dict) -> DataFrame:
+    """A table as its base and deltas make it; keys of deltas are broadcast if they are few by the counts kept."""
+    base = spark.read.schema(schema).parquet(files["base"]).select(*schema.names)
+    if not files["deltas"]:
+        return base
+    put_, gone = _folded(spark, schema, files)
+    key = files["key"]
+    if key:
+        n = sum(x[k][1] for x in files["deltas"] for k in x)
+        keys = None
+        for df in (put_, gone):
+            if df is not None:
+                keys = df.select(key) if keys is None else keys.unionByName(df.select(key))
+        base = base.join(F.broadcast(keys) if n * 64 <= BROADCAST_BYTES else keys, key, "left_anti").select(*schema.names)
+    return base if put_ is None else base.unionByName(put_)
+
+
 def pull(spark: SparkSession, root: str, table: str, version: int | None = None) -> DataFrame:
     """A table of a version, the newest if none is given; older ones serve as backups to go back to."""
-    version = versions(spark, root)[-1] if version is None else version
-    folder = f"{root}/v={_holder(spark, root, table, version)}"
-    schema = T.StructType.fromJson(json.loads(get(spark, folder, f"{table}.schema")))
-    return spark.read.schema(schema).parquet(f"{folder}/{table}").select(*schema.names)
+    return _merged(spark, *_entry(spark, root, table, versions(spark, root)[-1] if version is None else version))
+
+
+def rows(spark: SparkSession, root: str, table: str, version: int) -> int:
+    """Rows of a table that is only added to, by the counts kept; nothing is read."""
+    files = _entry(spark, root, table, version)[1]
+    return files["rows"] + sum(x["put"][1] for x in files["deltas"] if "put" in x)
+
+
+def tables_of(spark: SparkSession, root: str, version: int) -> list[str]:
+    return sorted({n.rsplit(".", 1)[0] for n in names(spark, f"{root}/v={version}") if n.endswith((".schema", ".same"))})
 
 
 def rollback(spark: SparkSession, root: str, version: int) -> int:
-    """An older version as the newest; those in between stay."""
-    found = sorted({n.removesuffix(".same") for n in names(spark, f"{root}/v={version}") if not n.endswith(".schema")})
-    return push({t: pull(spark, root, t, version) for t in found}, root)
+    """An older version as the newest; those in between stay, and nothing is copied."""
+    while True:
+        newest = versions(spark, root)[-1]
+        draft = f"{root}/_draft-{newest + 1}-{uuid.uuid4().hex[:8]}"
+        for t in tables_of(spark, root, version):
+            put(spark, draft, f"{t}.same", str(_holder(spark, root, t, version)).encode())
+        try:
+            return _publish(spark, draft, root, newest + 1)
+        except Conflict:
+            continue
 
 
 def pull_merge(spark: SparkSession, root: str, memories: DataFrame, edges: DataFrame | None, tombstones: DataFrame, now: Column, version: int | None = None) -> dict[str, DataFrame]:

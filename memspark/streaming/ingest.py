@@ -12,6 +12,7 @@ from memspark.operators import write
 from memspark.session import numbered
 from memspark.sources import snapshots
 from memspark.sources.notes import extract
+from memspark.sources.snapshots import Change
 
 
 def facts(turns: DataFrame) -> DataFrame:
@@ -47,16 +48,26 @@ def remember_into(turns: DataFrame, root: str, checkpoint: str, scope: str = "gl
     spark = turns.sparkSession
 
     def write_batch(batch: DataFrame, number: int) -> None:
-        have = snapshots.versions(spark, root)
-        if have and snapshots.pull(spark, root, "batches").filter(F.col("number") == number).limit(1).count():
-            return
-        memories = snapshots.pull(spark, root, "memories") if have else spark.createDataFrame([], "id string, scope string, content string")
-        edges = snapshots.pull(spark, root, "edges") if have else None
-        texts = numbered(batch.filter("text is not null").select("conv_id", "turn", "role", "text"), F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text"), name="seq")
-        now = F.current_timestamp()
-        out = write.remember(memories, edges, texts.select("seq", F.lit(scope).alias("scope"), "text"), now, agent="stream", origin="agent-ingested")
-        done = spark.createDataFrame([(number,)], "number long")
-        done = snapshots.pull(spark, root, "batches").unionByName(done) if have else done
-        snapshots.push({"memories": out["memories"], "edges": out["edges"], "batches": done}, root)
+        while True:
+            have = snapshots.versions(spark, root)
+            base = have[-1] if have else 0
+            if have and snapshots.pull(spark, root, "batches", base).filter(F.col("number") == number).limit(1).count():
+                return
+            memories = snapshots.pull(spark, root, "memories", base) if have else spark.createDataFrame([], "id string, scope string, content string")
+            edges = snapshots.pull(spark, root, "edges", base) if have else None
+            texts = numbered(batch.filter("text is not null").select("conv_id", "turn", "role", "text"), F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text"), name="seq")
+            out = write.remember(memories, edges, texts.select("seq", F.lit(scope).alias("scope"), "text"), F.current_timestamp(), agent="stream", origin="agent-ingested")
+            done = spark.createDataFrame([(number,)], "number long")
+            if have:
+                new = out["edges"].join(edges.select("id"), "id", "left_anti")
+                tables = {"memories": Change(out["changed"]), "edges": Change(new), "batches": Change(done, key=None)}
+            else:
+                tables = {"memories": out["memories"], "edges": out["edges"], "batches": done}
+            same = tuple(t for t in snapshots.tables_of(spark, root, base) if t not in tables) if have else ()
+            try:
+                snapshots.commit(spark, root, tables, same, base)
+                return
+            except snapshots.Conflict:  # on what another writer has published meanwhile
+                continue
 
     return turns.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
