@@ -118,6 +118,11 @@ class Engine:
         """Texts (seq, scope, text) through the write path; the decisions."""
         return self._wrote(lambda t: write.remember(t("memories"), t("edges"), texts, self.now, **how))["decisions"]
 
+    def put(self, memories: DataFrame) -> None:
+        """Memories as they are, in place of those of equal id."""
+        rows = complete(memories)
+        self._do(lambda _: {"memories": Change(rows)})
+
     def ingest(self, texts: DataFrame, scope: str = "global") -> DataFrame:
         """Notes (path, text) sliced into facts; operations by kind."""
         lines = notes.slices(texts.select("path", "text"))
@@ -285,16 +290,16 @@ class Engine:
         """A scope's facts as a bundle; each is signed as it is shared, if this store has a key."""
         facts = trust.bundle(self.table("memories"), scope).drop("id")
         sig = governance.hmac(governance.payload(), self.key) if self.key else F.lit(None).cast("string")
-        snapshots.write_bundle(facts.withColumns({"sig": sig, "sig_scheme": F.when(sig.isNotNull(), F.lit(governance.HMAC)), "signer": F.lit(self.me)}), path, self.me)
+        snapshots.write_bundle(facts.withColumns({"sig": sig, "sig_scheme": F.when(sig.isNotNull(), F.lit(governance.HMAC)), "signer": F.lit(governance.signer_of(self.key) if self.key else None)}), path, self.me)
 
-    def import_share(self, path: str, keys: dict[str, bytes] | None = None) -> DataFrame:
-        """A bundle's facts by their verdict. ``keys`` has the keys of signers that are known here, besides its own.
+    def import_share(self, path: str, keys: tuple[bytes, ...] = ()) -> DataFrame:
+        """A bundle's facts by their verdict. ``keys`` are those of others that are known here.
 
         What the sender says of signatures isn't looked at: a fact counts as signed if its signer's key is
         known, and its signature holds if it follows from type and content under that key.
         """
         shape = "type string, content string, scope string, confidence double, importance double, visibility string, fingerprint string, sig string, sig_scheme string, signer string, contributor string"
-        facts = governance.checked(snapshots.read_bundle(self.spark, path, shape), {self.me: self.key, **(keys or {})})
+        facts = governance.checked(snapshots.read_bundle(self.spark, path, shape), [self.key, *keys])
         out = self._wrote(lambda t: governance.import_share(t("memories"), t("edges"), facts, t("tombstones"), t("trusted"), self.now))
         return saved(out["verdicts"], "verdicts")
 
@@ -306,17 +311,15 @@ class Engine:
         out = self._wrote(lambda t: snapshots.pull_merge(self.spark, other, t("memories"), t("edges"), t("tombstones"), self.now))
         return saved(out["tally"], "tally")
 
-    def merge_replica(self, other: str, keys: dict[str, bytes] | None = None) -> None:
+    def merge_replica(self, other: str, keys: tuple[bytes, ...] = ()) -> None:
         """Another replica's edits by clock: existence adds up, and of two versions the later wins.
 
         Facts that their signer's key, where it is known, shows to be forged are left out.
         """
-        known = {self.me: self.key, **(keys or {})}
-
         def verb(t: _State) -> dict[str, Change]:
             mine = complete(t("memories"))
             fit = merge.without_tombstoned(complete(snapshots.pull(self.spark, other, "memories")).filter("not hub"), t("tombstones"))
-            theirs = merge.without_forged(governance.checked(fit, known)).select(*mine.columns)
+            theirs = merge.without_forged(governance.checked(fit, [self.key, *keys])).select(*mine.columns)
             both = mine.unionByName(theirs)
             won = merge.last_writer(both).select("id", *[F.col(c).alias(f"_{c}") for c in ("content", "type", "scope", "clock", "replica", "importance", "confidence", "provenance")])
             ticket = F.struct("clock", "replica", "updated_at", "content", "type", "scope")

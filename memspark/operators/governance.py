@@ -150,12 +150,11 @@ def quarantined(facts: DataFrame, now: Column) -> DataFrame:
     return complete(made).dropDuplicates(["id"])
 
 
-def checked(facts: DataFrame, keys: dict[str, bytes]) -> DataFrame:
+def checked(facts: DataFrame, keys: list[bytes]) -> DataFrame:
     """Facts with signed, whether their signer's key is among those known here, and sig_ok, whether the signature follows from it."""
     own = F.lit(None).cast("string")
-    for signer, key in keys.items():
-        if key:
-            own = F.when(F.col("signer") == signer, hmac(payload(), key)).otherwise(own)
+    for key in filter(None, keys):
+        own = F.when(F.col("signer") == signer_of(key), hmac(payload(), key)).otherwise(own)
     signed = F.coalesce((F.col("sig_scheme") == HMAC) & F.col("sig").isNotNull() & own.isNotNull(), F.lit(False))
     return facts.withColumns({"signed": signed, "sig_ok": F.coalesce(F.col("sig") == own, F.lit(False))})
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from memspark.functions import text as ft
 from memspark.functions.vectors import nearest
 from memspark.operators import evaluate, governance, retrieve, store
+from memspark.operators.keywords import Keywords
 from memspark.plans import register, words
 from memspark.plans.model import EDGES, MEM, NOW, QUESTIONS, edges, memories, now, questions, table
-from memspark.session import saved
+from memspark.session import folder, saved
 
 _SEES = "(q.scope IS NULL OR {m}.scope = q.scope OR {m}.scope = 'global')"
 
@@ -102,6 +103,19 @@ def r02(spark, d):
     return retrieve.bm25(questions(spark, d), _live(spark, d))
 
 
+@register("r02b_kept_keywords", f"WITH {MEM}, {QUESTIONS}, {bm25_sql()} SELECT qid, rank, id, score FROM sparse")
+def r02b(spark, d):
+    """The same from a kept index, after two additions, of which some are replaced and some go."""
+    index, m = Keywords(spark, folder(spark, "keywords")), memories(spark, d)
+    live, other = m.filter("status = 'active' and not hub"), m.filter("not (status = 'active' and not hub)")
+    some = lambda x, r: x.filter(F.col("n") % 3 == r).select("id", "scope", "content")
+    early = some(live, 0).withColumn("content", F.concat(F.lit("an earlier text of "), "id"))
+    index.put(early.unionByName(some(live, 1)).unionByName(some(other, 1)), new=True)
+    index.put(some(live, 0).unionByName(some(live, 2)))
+    index.remove(other.select("id"))
+    return index.bm25(questions(spark, d))
+
+
 @register("w03_keyword_scores", f"WITH {MEM}, {QUESTIONS}, {bm25_sql()} SELECT qid, id, round(1.0 / (rank + 1), 9) AS score FROM sparse")
 def w03(spark, d):
     return retrieve.keyword_scores(retrieve.bm25(questions(spark, d), _live(spark, d))).select("qid", "id", F.round("score", 9).alias("score"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from memspark.engine import Engine
 from memspark.functions import text as ft
 from memspark.functions.vectors import nearest
 from memspark.operators import analytics, evaluate, governance, graph, lifecycle, merge, retrieve, write
 from memspark.plans import register, words
 from memspark.plans.model import EDGES, FACTS, MEM, NOW, edges, facts, memories, now, table
 from memspark.schema import complete, provenance
-from memspark.session import saved
+from memspark.session import folder, saved
 from memspark.sources import demo
 
 
@@ -184,6 +187,36 @@ def c11b(spark, d):
     return retrieve.touch(memories(spark, d), hits, now()).select("id", "reinforced", F.unix_timestamp("last_seen_at").alias("seen"))
 
 
+_VERBS = f"""WITH {MEM}, a AS (SELECT *, CASE WHEN n % 6 = 0 THEN 'forgotten' ELSE status END AS s1 FROM mem),
+b AS (SELECT *, CASE WHEN n % 4 = 1 THEN 'forgotten' ELSE s1 END AS s2 FROM a),
+c AS (SELECT *, s2 = 'quarantined' AND n % 2 = 0 AS taken FROM b WHERE NOT (status = 'quarantined' AND n % 2 = 1))"""
+
+
+def _stored(spark, d):
+    """A store of all memories after a few verbs, each on the version before it."""
+    e = Engine(spark, folder(spark, "store"), now=dt.datetime.fromtimestamp(NOW, dt.UTC))
+    m = saved(complete(memories(spark, d), "n"), "memories")
+    n = F.col("n")
+    e.put(m)
+    e.forget(m.filter(n % 6 == 0).select("id"))
+    e.resolve_stale(m.filter(n % 4 < 2).select("id", (n % 4 == 0).alias("keep")))
+    e.approve(m.filter(n % 2 == 0).select("id"))
+    e.reject(m.filter("status = 'quarantined'").filter(n % 2 == 1).select("id"))
+    return e
+
+
+@register("c27_store_after_verbs", f"{_VERBS} SELECT id, CASE WHEN taken THEN 'active' ELSE s2 END AS status, stale AND n % 4 <> 0 AS stale, CASE WHEN taken OR n % 4 < 2 OR n % 6 = 0 THEN {NOW} ELSE updated_at END AS updated FROM c")
+def c27(spark, d):
+    return _stored(spark, d).table("memories").select("id", "status", "stale", F.unix_timestamp("updated_at").alias("updated"))
+
+
+@register("c27b_store_history", f"""WITH {MEM}, h AS (SELECT 1 AS v, 'forget' AS op, id FROM mem WHERE n % 6 = 0 UNION ALL SELECT 2, 'review', id FROM mem WHERE n % 4 < 2
+UNION ALL SELECT 3, 'approve-incoming', id FROM mem WHERE n % 2 = 0 UNION ALL SELECT 4, 'reject-incoming', id FROM mem WHERE status = 'quarantined' AND n % 2 = 1)
+SELECT row_number() OVER (ORDER BY v, id) - 1 AS seq, op, id AS memory_id FROM h""")
+def c27b(spark, d):
+    return _stored(spark, d).table("history").select("seq", "op", "memory_id")
+
+
 _RECIPE = "SELECT item_id, 'building ' || item_id AS trigger, ['open ' || item_id, 'run it', 'check ' || length(text)] AS steps, CASE WHEN item_id % 2 = 0 THEN 'global' ELSE 'project:b' END AS scope FROM benchmark"
 
 

@@ -52,11 +52,17 @@ def file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes with the program; nothing is there yet."""
+    path = f"{shared(spark)}/memspark-{uuid.uuid4().hex[:12]}-{name}"
+    _made.append((spark, path))
+    return path
+
+
 def saved(df: DataFrame, name: str = "work") -> DataFrame:
     """df as a written table in the shared folder; its lineage ends here."""
     spark = df.sparkSession
-    path = f"{shared(spark)}/memspark-{uuid.uuid4().hex[:12]}-{name}"
-    _made.append((spark, path))
+    path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
