@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.functions import text as ft
-from memspark.operators import analytics, governance, graph, lifecycle, merge, retrieve, store, trust, write
+from memspark.operators import analytics, governance, graph, lifecycle, merge, ranges, retrieve, store, trust, write
 from memspark.schema import MEMORIES, complete
 from memspark.session import few, numbered, saved, ship
 from memspark.sources import demo, notes, snapshots
@@ -314,18 +314,21 @@ class Engine:
     def merge_replica(self, other: str, keys: tuple[bytes, ...] = ()) -> None:
         """Another replica's edits by clock: existence adds up, and of two versions the later wins.
 
-        Facts that their signer's key, where it is known, shows to be forged are left out.
+        Facts that their signer's key, where it is known, shows to be forged are left out. Trees over ranges of
+        ids tell which rows differ, and only the rows of such ranges are taken over.
         """
         def verb(t: _State) -> dict[str, Change]:
             mine = complete(t("memories"))
-            fit = merge.without_tombstoned(complete(snapshots.pull(self.spark, other, "memories")).filter("not hub"), t("tombstones"))
+            sent, _ = ranges.exchange(mine.filter("not hub"), complete(snapshots.pull(self.spark, other, "memories")).filter("not hub"))
+            fit = merge.without_tombstoned(sent, t("tombstones"))
             theirs = merge.without_forged(governance.checked(fit, [self.key, *keys])).select(*mine.columns)
-            both = mine.unionByName(theirs)
+            theirs = saved(theirs, "theirs")
+            both = t.some(theirs).select(*mine.columns).unionByName(theirs)
             won = merge.last_writer(both).select("id", *[F.col(c).alias(f"_{c}") for c in ("content", "type", "scope", "clock", "replica", "importance", "confidence", "provenance")])
             ticket = F.struct("clock", "replica", "updated_at", "content", "type", "scope")
             rows = both.groupBy("id").agg(F.max_by(F.struct(*both.columns), ticket).alias("x")).select("x.*").join(won, "id")
             new = {c: F.col(f"_{c}") for c in ("importance", "confidence", "provenance")}
-            return {"memories": t.differing(rows.withColumns(new).select(*mine.columns))}
+            return {"memories": Change(rows.withColumns(new).select(*mine.columns))}
 
         self._do(verb)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from memspark.engine import Engine
 from memspark.functions import text as ft
 from memspark.functions.vectors import nearest
-from memspark.operators import analytics, evaluate, governance, graph, lifecycle, merge, retrieve, write
+from memspark.operators import analytics, evaluate, governance, graph, lifecycle, merge, ranges, retrieve, write
 from memspark.plans import register, words
 from memspark.plans.model import EDGES, FACTS, MEM, NOW, edges, facts, memories, now, table
 from memspark.schema import complete, provenance
@@ -217,6 +217,39 @@ def c27b(spark, d):
     return _stored(spark, d).table("history").select("seq", "op", "memory_id")
 
 
+_REPLICAS = f"""WITH {MEM}, a AS (SELECT id, content, clock, n FROM mem),
+b AS (SELECT id, content, CASE WHEN n % 50 = 7 THEN clock + 1 ELSE clock END AS clock, n FROM mem WHERE n % 60 <> 11 UNION ALL SELECT 'x' || n, content, clock, n FROM mem WHERE n % 80 = 3),
+h AS (SELECT *, substr(sha256(id), 1, 3) AS node, sha256(id || chr(1) || coalesce(content, chr(0)) || chr(1) || clock) AS h FROM (SELECT 'a' AS side, * FROM a UNION ALL SELECT 'b', * FROM b)),
+r AS (SELECT node, string_agg(h, '' ORDER BY h) FILTER (side = 'a') IS DISTINCT FROM string_agg(h, '' ORDER BY h) FILTER (side = 'b') AS differs FROM h GROUP BY node),
+up AS (SELECT k AS level, substr(node, 1, CAST(k AS INT)) AS node, bool_or(differs) AS differs FROM r, range(0, 4) t(k) GROUP BY ALL),
+seen AS (SELECT level, node, differs FROM up WHERE level = 0 OR (level - 1, substr(node, 1, CAST(level - 1 AS INT))) IN (SELECT (level, node) FROM up WHERE differs))"""
+
+
+def _replicas(spark, d):
+    """A replica's id, content and clock, and another's in which some are newer, some gone and some new."""
+    m, n = memories(spark, d).select("id", "content", "clock", "n"), F.col("n")
+    other = m.filter(n % 60 != 11).withColumn("clock", F.when(n % 50 == 7, F.col("clock") + 1).otherwise(F.col("clock")))
+    other = other.unionByName(m.filter(n % 80 == 3).withColumn("id", F.concat(F.lit("x"), n)))
+    return m.drop("n"), other.drop("n")
+
+
+@register("m05_ranges_compared", f"{_REPLICAS} SELECT CAST(level AS INTEGER) AS level, node, differs FROM seen")
+def m05(spark, d):
+    return ranges.exchange(*_replicas(spark, d), depth=3)[1]
+
+
+@register("m05b_rows_sent", f"{_REPLICAS} SELECT id, clock FROM b WHERE substr(sha256(id), 1, 3) IN (SELECT node FROM seen WHERE level = 3 AND differs)")
+def m05b(spark, d):
+    return ranges.exchange(*_replicas(spark, d), depth=3)[0].select("id", "clock")
+
+
+@register("m05c_bytes_exchanged", f"""{_REPLICAS} SELECT 'level ' || level AS what, count(*) AS n, count(*) * 32 AS bytes FROM seen GROUP BY level
+UNION ALL SELECT 'rows', count(*), CAST(coalesce(sum(strlen(id) + strlen(CAST(clock AS VARCHAR)) + 18), 0) AS BIGINT) FROM b WHERE substr(sha256(id), 1, 3) IN (SELECT node FROM seen WHERE level = 3 AND differs)""")
+def m05c(spark, d):
+    sent, seen = ranges.exchange(*_replicas(spark, d), depth=3)
+    return ranges.bill(sent.select("id", "clock"), seen)
+
+
 _RECIPE = "SELECT item_id, 'building ' || item_id AS trigger, ['open ' || item_id, 'run it', 'check ' || length(text)] AS steps, CASE WHEN item_id % 2 = 0 THEN 'global' ELSE 'project:b' END AS scope FROM benchmark"
 
 
