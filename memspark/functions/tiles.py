@@ -77,22 +77,33 @@ def near_cells(pivots: np.ndarray, a: dict, b: dict, floor: float) -> list[tuple
 
 
 def joined(left: DataFrame, right: DataFrame | None, floor: float, work: Callable[[Tile, Tile | None], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What ``work`` gives for each two tiles of left and right (key, scope, vec) that may be so similar.
+    """What ``work`` gives for each two tiles of left and right (key, scope, vec; best written tables) that may be so similar.
 
     Without right, the tiles of left meet each other, each two once, and each itself, with None.
     """
     spark = left.sparkSession
     own = lambda df: df.filter(F.col("vec").isNotNull()).select(F.col("key").cast("string").alias("key"), "scope", F.col("vec").cast("array<double>").alias("vec"))
-    chosen = own(left).orderBy(F.xxhash64("key"), "key").limit(PIVOTS).collect()  # bounded, and the same in every run
-    if not chosen:
+    left = own(left)
+    n = left.count()
+    if not n:
         return spark.createDataFrame([], schema)
+    # As many cells as there are tiles: more would only send rows to more places. The same ones in every run.
+    chosen = left.orderBy(F.xxhash64("key"), "key").limit(min(PIVOTS, -(-n // TILE))).collect()
     pivots = np.array([r["vec"] for r in chosen], float)
-    a = saved(_assigned(own(left), pivots), "left")
-    b = a if right is None else saved(_assigned(own(right), pivots), "right")
-    ca = _cells(a)
-    cb = ca if right is None else _cells(b)
+    if len(pivots) == 1:  # one cell, which nothing is ruled out of
+        at = lambda df: df.withColumn("cell", F.lit(0))
+        a, b = at(left), at(left if right is None else own(right))
+        ca = {0: (n, 2.0, np.inf)}
+        cb = ca if right is None else {0: (b.count(), 2.0, np.inf)}
+    else:
+        a = saved(_assigned(left, pivots), "cells")
+        b = a if right is None else saved(_assigned(own(right), pivots), "cells")
+        ca = _cells(a)
+        cb = ca if right is None else _cells(b)
     parts = lambda n: -(-n // TILE)
-    met = [(i, j, parts(ca[i][0]), parts(cb[j][0])) for i, j in near_cells(pivots, ca, cb, floor) if right is not None or i <= j]
+    met = [(i, j, parts(ca[i][0]), parts(cb[j][0])) for i, j in near_cells(pivots, ca, cb, floor) if cb[j][0] and (right is not None or i <= j)]
+    if not met:
+        return spark.createDataFrame([], schema)
     near = F.broadcast(spark.createDataFrame(met, "i int, j int, ki int, kj int"))  # PIVOTS squared rows at most
     place = lambda k: F.pmod(F.xxhash64("key"), F.col(k)).cast("int")
     upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)

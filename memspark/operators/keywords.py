@@ -68,11 +68,12 @@ class Keywords:
         return gone.agg((-F.count("*")).alias("docs"), (-F.coalesce(F.sum("len"), F.lit(0))).cast("long").alias("tokens"))
 
     def put(self, texts: DataFrame, new: bool = False) -> int:
-        """Index texts (id, scope, content), in place of what their ids had; with ``new`` they had nothing."""
+        """Index texts (id, scope, content), in place of what their ids had; with ``new`` they had nothing. A null text isn't found."""
         words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0))
-        rows = saved(texts.select(F.col("id").cast("string").alias("id"), "scope", F.coalesce(words, F.array().cast("array<string>")).alias("words")), "words")
+        rows = saved(texts.select(F.col("id").cast("string").alias("id"), "scope", words.alias("words")), "words")
         n = rows.count()
-        each = rows.select("id", "scope", F.size("words").alias("len"), F.explode(F.concat("words", F.array(F.lit(LENGTH)))).alias("token"))
+        held = rows.filter("words is not null")
+        each = held.select("id", "scope", F.size("words").alias("len"), F.explode(F.concat("words", F.array(F.lit(LENGTH)))).alias("token"))
         counted = each.groupBy("token", "id", "scope", "len").agg(F.count("*").alias("tf"))
         part = F.pmod(F.xxhash64("id"), F.lit(max(1, n // BLOCK)))
         entry = F.struct("id", "scope", "tf", "len")
@@ -80,7 +81,7 @@ class Keywords:
         def verb(base: int) -> dict[str, Change]:
             blocks = counted.groupBy("token", part.alias("part")).agg(F.collect_list(entry).alias("entries"))
             blocks = blocks.select("token", F.lit(base + 1).cast("long").alias("segment"), "entries").repartitionByRange("token").sortWithinPartitions("token")
-            sums = rows.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("words")), F.lit(0)).cast("long").alias("tokens"))
+            sums = held.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("words")), F.lit(0)).cast("long").alias("tokens"))
             out = {"postings": Change(blocks, key=None)}
             if not new:
                 sums = sums.unionByName(self._lost(base, rows))

@@ -163,4 +163,4 @@ def test_a_kept_index_survives_writers_and_removals(spark, tmp_path):
     asked = spark.createDataFrame([(1, "word1 word3", None), (2, "something word2", "project:x"), (3, "nothing", None)], "qid long, text string, scope string")
     want = retrieve.bm25(asked, spark.createDataFrame(rows, kind), 10)
     assert sorted(map(tuple, index.bm25(asked, 10).collect())) == sorted(map(tuple, want.collect()))
-    assert index.bm25(asked, 10, version=2).filter("id = 'gone'").count() == 1
+    assert index.bm25(asked, 10, version=2).filter("id = 'gone'").count() == 2  # as it was then
