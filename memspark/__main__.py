@@ -20,11 +20,11 @@ def main(argv: list[str] | None = None) -> None:
         verb.add_argument("--scope", default="global" if name == "remember" else None)
     for name in ("forget", "erase", "approve", "reject"):
         verbs.add_parser(name).add_argument("id")
-    for name in ("ingest", "export", "share", "import-share", "merge"):
+    for name in ("ingest", "repo", "seed", "export", "share", "import-share", "merge", "merge-replica"):
         verb = verbs.add_parser(name)
         verb.add_argument("path")
         verb.add_argument("--scope", default="global")
-    for name in ("list", "conflicts", "review", "changes", "stats", "analytics", "log", "audit", "seed", "maintain", "purge", "sleep", "incoming"):
+    for name in ("list", "conflicts", "review", "changes", "stats", "analytics", "log", "audit", "maintain", "purge", "sleep", "incoming"):
         verbs.add_parser(name)
     a = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
@@ -38,7 +38,8 @@ def main(argv: list[str] | None = None) -> None:
         "forget": lambda: engine.forget(ids()), "erase": lambda: engine.erase(ids()), "approve": lambda: engine.approve(ids()), "reject": lambda: engine.reject(ids()),
         "ingest": lambda: engine.ingest_dir(a.path, a.scope), "export": lambda: engine.export(a.path), "share": lambda: engine.share(a.path, a.scope),
         "import-share": lambda: engine.import_share(a.path), "merge": lambda: engine.merge(a.path), "list": engine.listed, "conflicts": engine.conflicts, "review": engine.review_queue,
-        "changes": engine.changes, "stats": engine.stats, "analytics": engine.analytics, "log": engine.history, "audit": engine.audit_log, "seed": engine.seed_demo,
+        "changes": engine.changes, "stats": engine.stats, "analytics": engine.analytics, "log": engine.history, "audit": engine.audit_log, "repo": lambda: engine.ingest_repo(a.path, a.scope), "merge-replica": lambda: engine.merge_replica(a.path),
+        "seed": lambda: engine.seed_demo(spark.read.schema("seq long, scope string, text string").json(a.path), spark.createDataFrame([], "a long, b long")),
         "maintain": engine.maintain, "purge": engine.purge, "sleep": engine.sleep, "incoming": engine.review_incoming,
     }
     out = run[a.verb]()
