@@ -112,11 +112,19 @@ def joined(left: DataFrame, right: DataFrame | None, floor: float, work: Callabl
     x = a.join(near, F.col("cell") == F.col("i")).withColumn("s", place("ki")).withColumn("t", F.explode(F.when(diagonal, F.sequence("s", F.col("kj") - 1)).otherwise(upto("kj"))))
     y = b.join(near, F.col("cell") == F.col("j")).withColumn("t", place("kj"))
     y = y.withColumn("s", F.explode(F.when(diagonal, F.filter(upto("ki"), lambda s: s < F.col("t"))).otherwise(upto("ki"))))
+    return met_tiles(x, y, work, schema, alone=right is None)
+
+
+def met_tiles(x: DataFrame, y: DataFrame, work: Callable[[Tile, Tile | None], Iterator[pa.RecordBatch]], schema: str, alone: bool = False) -> DataFrame:
+    """What ``work`` gives for each two tiles: the rows of x and y (i, j, s, t, key, scope, vec) of equal i, j, s, t.
+
+    With ``alone`` a tile on the diagonal meets itself, with None.
+    """
+    spark = x.sparkSession
     columns = ["i", "j", "s", "t"]
     both = x.select(*columns, F.lit(0).alias("side"), "key", "scope", "vec").unionByName(y.select(*columns, F.lit(1).alias("side"), "key", "scope", "vec"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = both.repartition(n, *columns).sortWithinPartitions(*columns, "side")
-    alone = right is None
 
     def run(batches):
         now, held = None, ([], [])

@@ -9,8 +9,9 @@ from memspark.functions import text as ft
 from memspark.functions.vectors import nearest
 from memspark.operators import evaluate, governance, retrieve, store
 from memspark.operators.keywords import Keywords
+from memspark.operators.lists import Lists
 from memspark.plans import register, words
-from memspark.plans.model import EDGES, MEM, NOW, QUESTIONS, edges, memories, now, questions, table
+from memspark.plans.model import EDGES, MEM, NOW, QUESTIONS, edges, memories, now, questions, table, vectors
 from memspark.session import folder, saved
 
 _SEES = "(q.scope IS NULL OR {m}.scope = q.scope OR {m}.scope = 'global')"
@@ -92,6 +93,19 @@ def r01b(spark, d):
     return retrieve.dense(questions(spark, d), _live(spark, d))
 
 
+@register("r01c_kept_vectors", f"WITH {MEM}, {QUESTIONS}, {dense_sql()} SELECT qid, rank, id, sim FROM dense")
+def r01c(spark, d):
+    """The same from kept lists, after two additions, of which some are replaced and some go."""
+    index, m = Lists(spark, folder(spark, "lists")), vectors(spark, d)
+    live, other = m.filter("status = 'active' and not hub"), m.filter("not (status = 'active' and not hub)")
+    some = lambda x, r: x.filter(F.col("n") % 3 == r).select("id", "scope", F.col("vec").cast("array<double>").alias("vec"))
+    early = some(live, 0).withColumn("vec", F.reverse("vec"))
+    index.put(early.unionByName(some(live, 1)).unionByName(some(other, 1)), new=True)
+    index.put(some(live, 0).unionByName(some(live, 2)))
+    index.remove(other.select("id"))
+    return index.nearest(questions(spark, d), retrieve.CANDIDATES)
+
+
 @register("j01_vectors_of_memories", f"WITH {MEM}, {QUESTIONS} SELECT id, scope, label FROM vec JOIN (SELECT vec_id AS v, label FROM embeddings) ON v = vec_id")
 def j01(spark, d):
     labels = table(spark, d, "embeddings").select(F.concat(F.lit("m"), F.col("vec_id").cast("string")).alias("id"), "label")
