@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import text as ft
-from memspark.session import saved
+from memspark.session import few, saved
 
 #: Bytes of gold texts that one pass over the documents is matched with.
 GOLD_BYTES = 1 << 20
@@ -97,14 +97,29 @@ def at_k(ranked: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, column: str, group: str, percents: tuple[int, ...] = (50, 95)) -> DataFrame:
-    """Percentiles by nearest rank: the value at round(p / 100 * (n - 1)) in order."""
-    sizes = values.groupBy(group).agg(F.count("*").alias("n"))
-    # Counts per value put values in place without a sorted list of all.
-    counts = values.groupBy(group, F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    place = F.sum("c").over(Window.partitionBy(group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", place).join(sizes, group)
-    picks = [F.min(F.when(F.col("upto") > F.bround(F.lit(p / 100) * (F.col("n") - 1)), F.col("v"))).alias(f"p{p}") for p in percents]
-    return ranked.groupBy(group).agg(*picks)
+    """Percentiles by nearest rank: the value at round(p / 100 * (n - 1)) in order. Null values don't count.
+
+    Counts per value are written in ranges of values; the ranges' sums tell which holds a percentile, and
+    only those are looked through. A group of all rows is as many ranges as there are tasks.
+    """
+    counts = values.filter(F.col(column).isNotNull()).groupBy(F.col(group).alias("g"), F.col(column).alias("v")).agg(F.count("*").alias("c"))
+    ranges = saved(counts.repartitionByRange("g", "v").sortWithinPartitions("g", "v"), "ranges")
+    part = F.regexp_extract(ranges.metadataColumn("_metadata")["file_name"], r"^part-(\d+)", 1).cast("long").alias("part")
+    placed = ranges.select("g", "v", "c", part)
+    sums = placed.groupBy("g", "part").agg(F.sum("c").alias("c"))
+    whole = Window.partitionBy("g")  # a row for each range of the group
+    upto = F.sum("c").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumns({"upto": upto, "n": F.sum("c").over(whole)})
+    wanted = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.bround(F.lit(p / 100) * (F.col("n") - 1)).alias("rank")) for p in percents]))
+    wanted = sums.withColumn("x", wanted).select("g", "part", F.col("x.p").alias("p"), "x.rank", (F.col("upto") - F.col("c")).alias("before"), "upto")
+    wanted = saved(wanted.filter("rank >= before and rank < upto").drop("upto"), "wanted")
+    held = wanted.select(F.col("g").alias("_g"), F.col("part").alias("_part"), "before").distinct()
+    near = placed.join(few(held), F.col("g").eqNullSafe(F.col("_g")) & (F.col("part") == F.col("_part")))
+    within = F.sum("c").over(Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))  # of one range
+    near = near.select("g", "part", "v", (F.col("before") + within - F.col("c")).alias("from"), (F.col("before") + within).alias("to"))
+    asked = wanted.select(F.col("g").alias("_g"), F.col("part").alias("_part"), "p", "rank")
+    hit = near.join(few(asked), F.col("g").eqNullSafe(F.col("_g")) & (F.col("part") == F.col("_part")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to")))
+    return hit.groupBy(F.col("g").alias(group)).agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
 
 
 def capabilities(memories: DataFrame, planted: DataFrame, stale: DataFrame) -> DataFrame:

@@ -161,6 +161,26 @@ def neighbours(seeds: DataFrame, edges: DataFrame, depth: int = 1, deep: str | N
     return seen.join(seeds.select("key", "id"), ["key", "id"], "left_anti")
 
 
+def reaching(seeds: DataFrame, edges: DataFrame, depth: int = 1, deep: str | None = None) -> DataFrame:
+    """qid, id, mask: which of a question's seeds (qid, id, mask: a bit of its own each) are within some steps of a node.
+
+    Seeds meet at the node in the middle first, and its neighbours read what met there once for all of them,
+    however many seeds a hub has. Bits count a seed once, whatever number of ways leads from it. A seed's
+    own bit isn't set at itself. ``deep`` is as in neighbours().
+    """
+    both = edges.select(F.col("from_id").alias("at"), F.col("to_id").alias("next")).union(edges.select("to_id", "from_id")).distinct()
+    keep = ["qid", *([deep] if deep else [])]
+    met = lambda df: df.groupBy(*keep, "id").agg(F.bit_or("mask").alias("mask"))
+    front, seen = seeds.select(*keep, "id", "mask"), None
+    for step in range(depth):
+        front = front if step == 0 or deep is None else front.filter(deep)
+        front = met(front.join(both, F.col("id") == F.col("at")).select(*keep, F.col("next").alias("id"), "mask"))
+        seen = front if seen is None else seen.unionByName(front)
+    own = seeds.select("qid", "id", F.col("mask").alias("_own"))
+    found = met(seen).join(own, ["qid", "id"], "left").withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("_own", F.lit(0).cast("long")))))
+    return found.filter("mask <> 0").select("qid", "id", "mask")
+
+
 def graph_mass(fused: DataFrame, edges: DataFrame, depth: int = 1, deep: DataFrame | None = None) -> DataFrame:
     """qid, id, graph: the fused score of the best seeds that reach a node, scaled to a largest of 1.
 
@@ -168,10 +188,12 @@ def graph_mass(fused: DataFrame, edges: DataFrame, depth: int = 1, deep: DataFra
     """
     order = Window.partitionBy("qid").orderBy(F.desc("rrf"), "id")
     seeds = fused.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SEEDS)
-    seeds = seeds.select(F.struct("qid", F.col("id").alias("seed"), "rrf").alias("key"), "id", "qid")
-    seeds = seeds.drop("qid") if deep is None else seeds.join(deep, "qid").drop("qid")
-    reached = neighbours(seeds, edges, depth if deep is None else 2, None if deep is None else "deep").select("key.qid", "id", "key.rrf")
-    mass = reached.groupBy("qid", "id").agg(F.sum("rrf").alias("raw"))
+    seeds = seeds.select("qid", "id", "rrf", F.expr("shiftleft(1L, n - 1)").alias("mask"))
+    seeds = seeds if deep is None else seeds.join(deep, "qid")
+    reached = reaching(seeds, edges, depth if deep is None else 2, None if deep is None else "deep")
+    weights = seeds.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("mask", "rrf"))).alias("seeds"))  # SEEDS at most
+    there = F.filter("seeds", lambda x: x["mask"].bitwiseAND(F.col("mask")) != 0)
+    mass = reached.join(weights, "qid").select("qid", "id", F.aggregate(there, F.lit(0.0), lambda s, x: s + x["rrf"]).alias("raw"))
     return mass.withColumn("graph", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy("qid")), 9)).select("qid", "id", "graph")
 
 

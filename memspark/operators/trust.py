@@ -69,6 +69,34 @@ def merkle_levels(leaves: DataFrame, fan: int = 2) -> DataFrame:
     return level.select(F.col("h").alias("root"))
 
 
+def merkle_proofs(leaves: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """id, leaf, path: what leads from a leaf (id, leaf) to merkle_levels()'s root: hashes beside it, level by level, and whether they stand left.
+
+    Of all leaves, or of ``wanted`` ids. A level's pairs are an aggregation, and a path takes one hash of
+    each level by a join, so nothing grows but by the number of levels. Equal leaves have paths of their own.
+    """
+    level = numbered(leaves.select("id", "leaf"), F.col("leaf"), F.col("id"), name="i")
+    paths = level if wanted is None else level.join(wanted.select("id").distinct(), "id", "left_semi")
+    paths = paths.select("id", "leaf", F.col("i").alias("at"), F.array().cast("array<struct<hash:string,left:boolean>>").alias("path"))
+    n, k = leaves.count(), 0
+    level = level.select("i", F.col("leaf").alias("h"))
+    while n > 1:
+        pair = saved(level.groupBy(F.floor(F.col("i") / 2).alias("i")).agg(F.min_by("h", "i").alias("a"), F.max_by("h", "i").alias("b")), "pairs")
+        odd = F.col("at") % 2 == 1
+        step = F.struct(F.when(odd, F.col("a")).otherwise(F.col("b")).alias("hash"), odd.alias("left"))
+        paths = paths.join(pair, F.floor(F.col("at") / 2) == F.col("i")).select("id", "leaf", F.col("i").alias("at"), F.concat("path", F.array(step)).alias("path"))
+        level = pair.select("i", F.sha2(F.concat("a", "b"), 256).alias("h"))
+        n, k = -(-n // 2), k + 1
+        paths = saved(paths, "paths") if k % 8 == 0 else paths
+    return paths.select("id", "leaf", "path")
+
+
+def proven(proofs: DataFrame, root: str) -> DataFrame:
+    """proofs (id, leaf, path) with ``ok``: whether the path leads from the leaf to the root; row by row, nothing else is needed."""
+    up = lambda h, s: F.sha2(F.when(s["left"], F.concat(s["hash"], h)).otherwise(F.concat(h, s["hash"])), 256)
+    return proofs.withColumn("ok", F.coalesce(F.aggregate("path", F.col("leaf"), up) == F.lit(root), F.lit(False)))
+
+
 def erase(memories: DataFrame, edges: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
     """What stays, what is buried, and which derived memories lose their ground."""
     gone = ids.select("id").distinct()

@@ -10,8 +10,8 @@ from memspark.operators import analytics, evaluate, governance, graph, lifecycle
 from memspark.plans import register, words
 from memspark.plans.model import EDGES, MEM, NOW, START, edges, memories, now, table
 from memspark.plans.recall import SALIENCE
-from memspark.session import saved
-from memspark.sources import notes, snapshots
+from memspark.session import folder, saved
+from memspark.sources import notes, sealed, snapshots
 from memspark.streaming import ingest
 
 _NOTES = [
@@ -440,6 +440,27 @@ def a11(spark, d):
     return trust.merkle_levels(table(spark, d, "documents").select(F.sha2("text", 256).alias("leaf")))
 
 
+@register("g03b_proofs", """WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents), t AS (SELECT n, 0 AS steps FROM n UNION ALL SELECT (n + 1) // 2, steps + 1 FROM t WHERE n > 1)
+SELECT doc_id AS id, doc_id % 30 <> 0 AS ok, (SELECT max(steps) FROM t) AS steps FROM documents WHERE doc_id % 10 = 0""")
+def g03b(spark, d):
+    """Every tenth document's proof against the root over all; of every thirtieth the text was changed."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.sha2(F.concat("doc_id", F.lit("|"), F.coalesce("text", F.lit(""))), 256).alias("leaf"))
+    docs = saved(docs, "leaves")
+    root = trust.merkle_levels(docs).first()["root"]
+    proofs = trust.merkle_proofs(docs, docs.filter("id % 10 = 0"))
+    sent = proofs.withColumn("leaf", F.when(F.col("id") % 30 == 0, F.sha2(F.concat("leaf", F.lit("changed")), 256)).otherwise(F.col("leaf")))
+    return trust.proven(sent, root).select("id", "ok", F.size("path").alias("steps"))
+
+
+@register("s15b_sealed", f"WITH {MEM} SELECT id, scope, status, sha256(content) AS sha, coalesce(valid_to, 0) AS valid_to FROM mem")
+def s15b(spark, d):
+    """All memories out of a sealed container."""
+    root, key = folder(spark, "sealed"), b"a key of 16 byte"
+    sealed.seal({"memories": memories(spark, d)}, root, key, "all")
+    out = sealed.unseal(spark, root, key, "memories")
+    return out.select("id", "scope", "status", F.sha2("content", 256).alias("sha"), F.coalesce(F.unix_timestamp("valid_to"), F.lit(0)).alias("valid_to"))
+
+
 @register("g13_conformance", f"""WITH {MEM}, x AS (SELECT scope AS doc, (CASE WHEN n % 13 = 0 THEN 1 ELSE 0 END) + (CASE WHEN n % 11 = 0 THEN 1 ELSE 0 END) + (CASE WHEN n % 7 = 3 THEN 1 ELSE 0 END) AS bad, n % 5 <> 0 AS signed FROM mem)
 SELECT doc, count(*) AS count, CAST(sum(bad) AS BIGINT) AS n_errors, sum(bad) = 0 AS valid, CASE WHEN sum(bad) > 0 THEN NULL WHEN bool_and(signed) THEN 'signed' ELSE 'core' END AS level FROM x GROUP BY doc""")
 def g13(spark, d):
