@@ -12,7 +12,7 @@ from memspark.plans.model import EDGES, MEM, NOW, START, edges, memories, now, t
 from memspark.plans.recall import SALIENCE
 from memspark.session import folder, saved
 from memspark.sources import notes, sealed, snapshots
-from memspark.streaming import ingest
+from memspark.streaming import ingest, replicas
 
 _NOTES = [
     "# Notes\n- We decided to use Postgres over Mongo because it needs ACID.\n* always use pytest for tests\nok thanks\n```\nsecret fenced code line here\n```\nThe billing service is built with FastAPI. Deploys are frozen on Fridays!\n---\n1. I prefer dark mode rather than light",
@@ -352,6 +352,18 @@ def m01(spark, d):
     return merge.last_writer(a.unionByName(b)).select("id", F.sha2("content", 256).alias("sha"), "replica", F.round("importance", 9).alias("importance"), "replicas")
 
 
+@register("m06_lww_stream", f"WITH {MEM}, {_REPLICAS} SELECT id, sha256(arg_max(content, (clock, replica))) AS sha, arg_max(replica, (clock, replica)) AS replica, round(max(importance), 9) AS importance, count(*) AS replicas FROM rep GROUP BY id")
+def m06(spark, d):
+    """m01 as a stream: all versions in three batches in no order, each on the state that those before have left."""
+    a, b = _replicas(spark, d)
+    source, root = folder(spark, "versions"), folder(spark, "replicated")
+    each = a.unionByName(b).withColumn("erased", F.lit(False))
+    each.repartition(3, F.xxhash64("id", "replica")).write.parquet(source)
+    stream = spark.readStream.schema(each.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    replicas.replicate_into(stream, root, folder(spark, "progress")).awaitTermination()
+    return snapshots.pull(spark, root, "replicated").select("id", F.sha2("content", 256).alias("sha"), "replica", F.round("importance", 9).alias("importance"), "replicas")
+
+
 @register("m02_merge_replica", f"WITH {MEM}, {_REPLICAS}, tomb AS (SELECT sha256(type || '|' || lower(trim(content, ' '))) AS fp FROM rep WHERE replica = 'r9' AND n % 3 = 0), ok AS (SELECT * FROM rep WHERE replica <> 'r9' OR sha256(type || '|' || lower(trim(content, ' '))) NOT IN (SELECT fp FROM tomb)) SELECT id, arg_max(replica, (clock, replica)) AS replica, count(*) AS replicas FROM ok GROUP BY id")
 def m02(spark, d):
     a, b = _replicas(spark, d)
