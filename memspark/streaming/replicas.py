@@ -32,6 +32,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
+#: These go to pandas as text: beside a null it would make them floats, which aren't exact, and which state of whole numbers turns to null.
+_WHOLE = ("clock", "updated_at")
 _NAMES = [c.split()[0] for c in STATE.split(", ")]
 
 
@@ -63,7 +65,7 @@ class LastWriter(StatefulProcessor):
         timed = now is not None and now[6]
         for frame in rows:  # some rows at a time, however many an id has
             for row in frame[_NAMES[:-1]].astype(object).itertuples(index=False, name=None):
-                new = [None if v is None or v != v or v is pd.NaT else v for v in row] + [1]
+                new = [None if v is None or v != v else int(v) if n in _WHOLE else v for n, v in zip(_NAMES, row, strict=False)] + [1]
                 if now is None:
                     now = new
                     continue
@@ -92,7 +94,7 @@ def winners(versions: DataFrame, keep: dt.timedelta = dt.timedelta(days=30)) ->
     The session that starts it needs ``SETTINGS``; replicate_into() sees to that.
     """
     told = versions.filter("id is not null").select(
-        "id", F.col("clock").cast("long").alias("clock"), "replica", F.unix_micros("updated_at").alias("updated_at"), "content", "type", "scope",
+        "id", F.col("clock").cast("long").cast("string").alias("clock"), "replica", F.unix_micros("updated_at").cast("string").alias("updated_at"), "content", "type", "scope",
         F.coalesce("erased", F.lit(False)).alias("erased"), F.col("importance").cast("double").alias("importance"), F.col("confidence").cast("double").alias("confidence"),
     )
     return told.groupBy("id").transformWithStateInPandas(LastWriter(keep), OUT, "Update", "ProcessingTime")
