@@ -234,7 +234,8 @@ def _heads(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     tells that the member isn't linked to the one that has it. A link of an open x takes at least
     f_x + low - room > 0 common differences, and more than f_y - low for any y, so that two that are
     linked share one of the first few of their ordered differences. x come with a round: some ``FIRST`` of
-    a group go first, then twice as many each time.
+    a group go first, then twice as many each time. y come with the last round of theirs, which grows with the
+    logarithm of the group they are in.
     """
     size = F.size("diff")
     as_y = size - F.greatest(F.lit(0), F.floor(F.col("f") - F.col("low") + _EPS))
@@ -254,7 +255,8 @@ def _heads(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.pmod(F.xxhash64("a", "token"), F.col("parts"))
     crowded = few(crowd, 48)
     x = x.join(crowded, ["hub", "token"]).withColumn("round", F.floor(F.log2(place + 1)).cast("int")).drop("parts")
-    return files.saved(x, "open"), files.saved(y.join(crowded.select("hub", "token"), ["hub", "token"]), "heads")
+    y = y.join(crowded, ["hub", "token"]).withColumn("last", F.floor(F.log2("parts")).cast("int")).drop("parts")
+    return files.saved(x, "open"), files.saved(y, "heads")
 
 
 def late_links(members: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -266,7 +268,8 @@ def late_links(members: DataFrame, sets: DataFrame, found: DataFrame, percent: i
         label = lambda df, name: df.join(few(found.select(F.col("node").alias(name), F.col("label").alias(f"c_{name}")), 24, n), name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))  # noqa: E731,B023
         fits = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
         enough = F.least("rest_a", "rest_b") >= F.col("f_a") + F.col("f_b") - F.col("room_a") - _EPS
-        pairs = label(y, "b").join(few(label(some, "a"), 96, some.count()), ["hub", "token"]).filter((F.col("c_a") != F.col("c_b")) & fits & enough)
+        asked = y.filter(F.col("last") >= k)  # groups without an open member in this or a later round are through
+        pairs = label(asked, "b").join(few(label(some, "a"), 96, some.count()), ["hub", "token"]).filter((F.col("c_a") != F.col("c_b")) & fits & enough)
         pairs = files.saved(pairs.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("hub")).distinct(), "late-pairs")
         more = files.saved(_compare(pairs, sets).filter(_linked(percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")), "late")
         if more.limit(1).count():

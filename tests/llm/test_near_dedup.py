@@ -44,3 +44,17 @@ def test_rows_of_one_id_are_judged_by_their_own_text(spark):
     assert out.columns == docs.columns
     want = [(1, a), (2, lone), (3, other), (3, third), (5, " "), (6, "short text"), (None, a), (None, a)]
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_a_round_takes_only_the_groups_that_have_open_members_in_it(spark):
+    # One group of 200 around a difference, and 400 of two; every member is open.
+    diffs = [(0, n, [1]) for n in range(200)] + [(1 + k, 1000 + 2 * k + i, [10 + k]) for k in range(400) for i in (0, 1)]
+    rows = [(hub, node, 100, 0.5, 0.5, 0.0, diff, True) for hub, node, diff in diffs]
+    members = spark.createDataFrame(rows, "hub long, node long, n int, f double, low double, room double, diff array<long>, open boolean")
+    x, y = minhash._heads(members)
+    rounds = {(r.hub, r.a): r["round"] for r in x.collect()}
+    last = {(r.hub, r.b): r["last"] for r in y.collect()}
+    assert len(rounds) == len(last) == 1000 and max(rounds.values()) >= 4
+    assert all(max(r for (h, _), r in rounds.items() if h == hub) <= last[hub, b] for hub, b in [(0, 0), (0, 199), (1, 1000)])
+    assert all(n == 0 for (hub, _), n in last.items() if hub)  # before, all rows met the labels in every round
+    assert sum(n + 1 for n in last.values()) <= 2 * len(last)
