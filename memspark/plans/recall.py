@@ -69,10 +69,15 @@ def recall_sql(k: int = 8, leg: int = 50) -> str:
     return f"{legs(leg)}, {_GRAPH}, {_SCORED}, {greedy_sql(k, 0.9, 'ranked', 'pick', 'chosen')}"
 
 
+def _texts(spark, d):
+    """All memories that can surface, without vectors."""
+    return memories(spark, d).filter("status = 'active' and not hub")
+
+
 def _live(spark, d):
-    """All memories that can surface, those without a vector too."""
+    """The same with vectors, those without one too."""
     v = table(spark, d, "embeddings").select(F.concat(F.lit("m"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    return memories(spark, d).filter("status = 'active' and not hub").join(v, "id", "left")
+    return _texts(spark, d).join(v, "id", "left")
 
 
 def _all(spark, d):
@@ -114,7 +119,7 @@ def j01(spark, d):
 
 @register("r02_bm25", f"WITH {MEM}, {QUESTIONS}, {bm25_sql()} SELECT qid, rank, id, score FROM sparse")
 def r02(spark, d):
-    return retrieve.bm25(questions(spark, d), _live(spark, d))
+    return retrieve.bm25(questions(spark, d), _texts(spark, d))
 
 
 @register("r02b_kept_keywords", f"WITH {MEM}, {QUESTIONS}, {bm25_sql()} SELECT qid, rank, id, score FROM sparse")
@@ -132,7 +137,7 @@ def r02b(spark, d):
 
 @register("w03_keyword_scores", f"WITH {MEM}, {QUESTIONS}, {bm25_sql()} SELECT qid, id, round(1.0 / (rank + 1), 9) AS score FROM sparse")
 def w03(spark, d):
-    return retrieve.keyword_scores(retrieve.bm25(questions(spark, d), _live(spark, d))).select("qid", "id", F.round("score", 9).alias("score"))
+    return retrieve.keyword_scores(retrieve.bm25(questions(spark, d), _texts(spark, d))).select("qid", "id", F.round("score", 9).alias("score"))
 
 
 @register("r03_keyword_hits", f"""WITH {MEM}, {QUESTIONS}, w AS (SELECT qid, scope, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS x, regexp_extract_all(lower(text), '[a-z0-9]+') AS raw FROM q),
@@ -140,13 +145,13 @@ t AS (SELECT qid, scope, list_slice(list_sort(x, 'ASC'), 1, 0) AS none, list_fil
 s AS (SELECT q.qid, mem.id, CAST(len(list_filter(q.terms[1:8], lambda e: contains(lower(mem.content), e))) AS DOUBLE) AS score FROM t AS q, mem WHERE mem.status = 'active' AND NOT mem.hub AND {_SEES.format(m='mem')})
 SELECT qid, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) - 1 AS rank FROM s WHERE score > 0) WHERE rank < 50""")
 def r03(spark, d):
-    return retrieve.keyword_hits(questions(spark, d), memories(spark, d).filter("status = 'active' and not hub"))
+    return retrieve.keyword_hits(questions(spark, d), _texts(spark, d))
 
 
 @register("r04_hybrid_rrf", f"{legs()} SELECT qid, id, rrf FROM fused")
 def r04(spark, d):
-    q, m = questions(spark, d), _live(spark, d)
-    return retrieve.fuse(retrieve.dense(q, m), retrieve.bm25(q, m))
+    q = questions(spark, d)
+    return retrieve.fuse(retrieve.dense(q, _live(spark, d)), retrieve.bm25(q, _texts(spark, d)))
 
 
 @register("r05_graph_mass", f"{legs()}, {_GRAPH} SELECT qid, id, graph FROM graph")
@@ -299,7 +304,7 @@ p AS (SELECT qid, count(*) AS shown, count(*) FILTER (ok) AS good, min(rank) FIL
 SELECT b.qid, round(coalesce(good, 0) / greatest(coalesce(shown, 0), 1), 6) AS precision, CASE WHEN coalesce(good, 0) > 0 THEN 1.0 ELSE 0.0 END AS recall, round(coalesce(1.0 / (first + 1), 0), 6) AS rr FROM b LEFT JOIN p USING (qid)""")
 def e01(spark, d):
     gold = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("item_id").alias("gold_id"), "text")
-    m = _live(spark, d)
+    m = _texts(spark, d)
     found = retrieve.bm25(gold.select("qid", "text", F.lit(None).cast("string").alias("scope")), m, 5)
     return evaluate.at_k(found.select("qid", "rank", "id").join(m.select("id", "content"), "id"), gold)
 
