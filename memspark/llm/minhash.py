@@ -135,37 +135,41 @@ def _sets(docs: DataFrame, folder: str) -> DataFrame:
     return places.beside(docs, [docs["text"].cast("string").alias("text")], folder, run, "node long, shingles array<bigint>")
 
 
-def _chunked(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """pairs(node, hub) with the chunk of partners that each falls into, and (hub, chunks) of hubs with several.
+def _chunked(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None, list[str]]:
+    """pairs(node, hub), a written table, with the chunk of partners that each falls into; (hub, chunks) of hubs with several; what to join on.
 
-    Most hubs have one chunk. The few others are looked up by spread keys, so that no task gets all
-    partners of one.
+    Most hubs have one chunk, and where all have, pairs stay as they are. The few others are looked up by
+    spread keys, so that no task gets all partners of one.
     """
     sized = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).alias("_chunks")).filter("_chunks > 1")
     hot = files.saved(sized, "hot")
+    if not files.noted(hot):
+        return pairs, None, ["hub"]
     spread = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = pairs.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    both = salted.join(few(spread, 32, hot.count() * SALTS), ["hub", "_salt"], "left")
-    return both.withColumn(name, F.pmod(F.xxhash64("node", F.lit(1)), F.coalesce("_chunks", F.lit(1)))).drop("_salt", "_chunks"), hot
+    both = salted.join(few(spread, 32, files.noted(hot) * SALTS), ["hub", "_salt"], "left")
+    both = both.withColumn("_chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.coalesce("_chunks", F.lit(1)))).drop("_salt", "_chunks")
+    return files.saved(both, "chunked"), hot, ["hub", "_chunk"]
 
 
-def _dealt(hubs: DataFrame, hot: DataFrame, name: str) -> DataFrame:
+def _dealt(hubs: DataFrame, hot: DataFrame | None) -> DataFrame:
     """hubs(hub, ..), of which each chunk of partners gets its own copy."""
+    if hot is None:
+        return hubs
     many = hubs.join(few(hot, 24), "hub", "left")
-    return many.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_chunks", F.lit(1)) - 1))).drop("_chunks")
+    return many.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_chunks", F.lit(1)) - 1))).drop("_chunks")
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(node, hub) with both full sets, sa and sb, and the size of their intersection.
+    """pairs(node, hub), a written table, with both full sets, sa and sb, and the size of their intersection.
 
     Of the sets only those that a pair asks for are shuffled.
     """
-    chunked, hot = _chunked(files.saved(pairs, "compared"), "_chunk")
-    chunked = files.saved(chunked, "chunked")
-    n = chunked.count()
+    n = files.noted(pairs)
+    chunked, hot, by = _chunked(pairs)
     left = few(chunked, 48, n).join(sets.select("node", F.col("shingles").alias("sa")), "node")
-    right = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sb")).join(few(chunked.select("hub").distinct(), 24, n), "hub", "left_semi")
-    both = left.join(_dealt(right, hot, "_chunk").hint("merge"), ["hub", "_chunk"]).drop("_chunk")
+    right = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sb")).join(few(pairs.select("hub").distinct(), 24, n), "hub", "left_semi")
+    both = left.join(_dealt(right, hot).hint("merge"), by).drop("_chunk")
     return both.withColumn("inter", F.size(F.array_intersect("sa", "sb")).cast("long"))
 
 
@@ -208,17 +212,16 @@ def measured(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     diff, as they are rarer.
     """
     c = percent / (100 + percent)
-    chunked, hot = _chunked(group, "_chunk")
-    chunked = files.saved(chunked, "group")
+    chunked, hot, by = _chunked(group)
     # Some 32 members in all: of a group in several chunks fewer of each.
-    held = F.count("*").over(Window.partitionBy("hub", "_chunk"))
-    part = chunked.withColumn("_held", held).join(few(hot, 24), "hub", "left")
+    part = chunked.withColumn("_held", F.count("*").over(Window.partitionBy(*by)))
+    part = part.withColumn("_chunks", F.lit(1)) if hot is None else part.join(few(hot, 24), "hub", "left")
     part = part.filter(F.pmod(F.xxhash64("node", F.lit(2)), F.ceil(F.col("_held") / 32) * F.coalesce("_chunks", F.lit(1))) == 0).select("node", "hub")
     some = few(files.saved(part.union(group.select(F.col("hub").alias("node"), "hub")).distinct(), "voters"), 24).join(sets, "node")
     votes = some.groupBy("hub").agg(F.count("*").alias("voters"))
     token = some.select("hub", F.explode("shingles").alias("token")).groupBy("hub", "token").agg(F.count("*").alias("k"))
     pivot = token.join(votes.hint("merge"), "hub").groupBy("hub").agg(F.collect_list(F.when(2 * F.col("k") > F.col("voters"), F.col("token"))).alias("pivot"))
-    e = few(chunked, 48).join(sets.withColumnRenamed("shingles", "s"), "node").join(_dealt(pivot, hot, "_chunk").hint("merge"), ["hub", "_chunk"]).drop("_chunk")
+    e = few(chunked, 48).join(sets.withColumnRenamed("shingles", "s"), "node").join(_dealt(pivot, hot).hint("merge"), by).drop("_chunk")
     e = e.withColumn("added", F.array_sort(F.array_except("s", "pivot"))).withColumn("missed", F.array_sort(F.array_except("pivot", "s")))
     f = F.lit(1 - c) * F.size("missed") + F.lit(c) * F.size("added")
     return e.select("node", "hub", F.size("s").alias("n"), f.alias("f"), (F.lit(1 - 2 * c) * F.size("pivot")).alias("room"), F.concat("added", "missed").alias("diff"))
@@ -262,18 +265,22 @@ def _heads(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 def late_links(members: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """The components after links among members that no hub explains, round by round."""
     x, y = _heads(members)
-    last = x.agg(F.max("round")).first()[0]
-    for k in range(0 if last is None else last + 1):
-        some, n = x.filter(F.col("round") == k), found.count()
+    size = dict(x.groupBy("round").count().collect()) if files.noted(x) else {}  # a row a round
+    n = found.count() if size else 0
+    for k in sorted(size):
+        some = x.filter(F.col("round") == k)
         label = lambda df, name: df.join(few(found.select(F.col("node").alias(name), F.col("label").alias(f"c_{name}")), 24, n), name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))  # noqa: E731,B023
         fits = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
         enough = F.least("rest_a", "rest_b") >= F.col("f_a") + F.col("f_b") - F.col("room_a") - _EPS
         asked = y.filter(F.col("last") >= k)  # groups without an open member in this or a later round are through
-        pairs = label(asked, "b").join(few(label(some, "a"), 96, some.count()), ["hub", "token"]).filter((F.col("c_a") != F.col("c_b")) & fits & enough)
+        pairs = label(asked, "b").join(few(label(some, "a"), 96, size[k]), ["hub", "token"]).filter((F.col("c_a") != F.col("c_b")) & fits & enough)
         pairs = files.saved(pairs.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("hub")).distinct(), "late-pairs")
+        if not files.noted(pairs):
+            continue
         more = files.saved(_compare(pairs, sets).filter(_linked(percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")), "late")
-        if more.limit(1).count():
+        if files.noted(more):
             found = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+            n = found.count()
     return found
 
 
@@ -289,8 +296,8 @@ def link_components(docs: DataFrame, per: DataFrame, percent: int = PERCENT) ->
     links = _linked_pairs(best, sets, percent)
     found = components(links)
     apart = _apart(pairs.join(few(best, 24), ["node", "hub"], "left_anti"), found)
-    more = _linked_pairs(apart.select("node", "hub"), sets, percent)
-    if more.limit(1).count():
+    more = _linked_pairs(files.saved(apart.select("node", "hub"), "apart"), sets, percent)
+    if files.noted(more):
         links = links.union(more)
         found = components(links)
     # Groups that fall into several components have pairs of members that nobody has compared yet.
@@ -300,17 +307,17 @@ def link_components(docs: DataFrame, per: DataFrame, percent: int = PERCENT) ->
     members = files.saved(measured(group, sets, percent), "members")
     closest = members.groupBy("hub").agg(F.min(F.struct("f", "node")).alias("m")).select("hub", F.col("m.f").alias("low"), F.col("m.node").alias("mid"))
     members = files.saved(members.join(few(files.saved(closest, "closest"), 24), "hub"), "near")
-    star = members.filter("node <> mid").select("node", F.col("mid").alias("hub")).distinct()
-    star = files.saved(_compare(star, sets).select("node", F.col("hub").alias("mid"), _linked(percent).alias("linked")), "star")
+    star = files.saved(members.filter("node <> mid").select("node", F.col("mid").alias("hub")).distinct(), "mid-pairs")
+    star = files.saved(_compare(star, sets).select("node", F.col("hub").alias("mid"), _linked(percent).alias("linked")), "star", linked=F.count_if("linked"))
     near = star.filter("linked").select(F.col("node").alias("a"), F.col("mid").alias("b"))
-    found = components(links.union(near)) if near.limit(1).count() else found
+    found = components(links.union(near)) if files.noted(star, "linked") else found
     apart = star.filter("not linked").select("node", "mid", F.lit(True).alias("open"))
     members = members.join(few(apart, 32), ["node", "mid"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
     return late_links(members, sets, found, percent)
 
 
 def _linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs(node, hub) whose full sets are similar enough."""
+    """a, b of the pairs(node, hub), a written table, whose full sets are similar enough."""
     return files.saved(_compare(pairs, sets).filter(_linked(percent)).select(F.col("node").alias("a"), F.col("hub").alias("b")), "links")
 
 

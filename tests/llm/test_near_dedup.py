@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_operators import shingle_set
 
 import corpus_pipeline
-from memspark.llm import minhash
+from memspark.llm import files, minhash
 
 
 def pair(k: int, changed: int, words: int = 204) -> tuple[str, str]:
@@ -58,3 +59,17 @@ def test_a_round_takes_only_the_groups_that_have_open_members_in_it(spark):
     assert all(max(r for (h, _), r in rounds.items() if h == hub) <= last[hub, b] for hub, b in [(0, 0), (0, 199), (1, 1000)])
     assert all(n == 0 for (hub, _), n in last.items() if hub)  # before, all rows met the labels in every round
     assert sum(n + 1 for n in last.values()) <= 2 * len(last)
+
+
+def test_tables_are_counted_while_they_are_written_and_small_groups_get_no_chunks(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join([*words[:59], f"x{n}"]) for n in range(12)]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate([*near, " ".join(words[::-1])])], "doc_id long, text string")
+    made = len(files._made)
+    out = minhash.deduplicate(docs, 80)
+    assert sorted(r.doc_id for r in out.collect()) == [0, 12]
+    names = [path.rsplit("-", 1)[-1] for _, path in files._made[made:]]
+    assert "hot" in names and "chunked" not in names  # before, each comparison wrote pairs twice and looked all of them up
+    table = files.saved(spark.range(7).withColumn("odd", F.col("id") % 2), "table", odd=F.sum("odd"))
+    assert (files.noted(table), files.noted(table, "odd")) == (7, 3)
+    assert files.noted(files.saved(spark.range(0), "none")) == 0
