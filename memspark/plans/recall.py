@@ -81,7 +81,13 @@ def _live(spark, d):
 
 
 def _all(spark, d):
-    return questions(spark, d), _live(spark, d), edges(spark, d), now()
+    """Questions, memories without vectors, the graph and the time; recall takes _vectors() beside them."""
+    return questions(spark, d), _texts(spark, d), edges(spark, d), now()
+
+
+def _vectors(spark, d):
+    """The vectors of all memories that can surface and have one, without texts."""
+    return vectors(spark, d).select("id", "scope", "status", "hub", F.col("vec").cast("array<double>").alias("vec"))
 
 
 @register("r01_dense_topk", """WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0)
@@ -162,30 +168,30 @@ def r05(spark, d):
 
 @register("r06_score", f"{legs()}, {_GRAPH}, {_SCORED} SELECT qid, id, score FROM scored")
 def r06(spark, d):
-    return retrieve.candidates_of(*_all(spark, d)).select("qid", "id", "score")
+    return retrieve.candidates_of(*_all(spark, d), vectors=_vectors(spark, d)).select("qid", "id", "score")
 
 
 @register("r12_recall", f"{recall_sql()} SELECT qid, place, id, score FROM chosen JOIN ranked USING (qid, rank)")
 def r12(spark, d):
-    return retrieve.recall(*_all(spark, d)).select("qid", "place", "id", "score")
+    return retrieve.recall(*_all(spark, d), vectors=_vectors(spark, d)).select("qid", "place", "id", "score")
 
 
 @register("r14_about", f"""{recall_sql()}, best AS (SELECT qid, id FROM chosen JOIN ranked USING (qid, rank) WHERE place = 0),
 near AS (SELECT DISTINCT qid, nxt AS id FROM best JOIN adj ON best.id = adj.at WHERE nxt <> best.id)
 SELECT qid, id, type FROM (SELECT qid, id, type, hub FROM near JOIN mem USING (id) WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY id) <= 5) WHERE NOT hub""")
 def r14(spark, d):
-    q, m, e, t = _all(spark, d)
-    return retrieve.about(q, memories(spark, d).join(m.select("id", "vec"), "id", "left"), e, t)[1].select("qid", "id", "type")
+    q, _, e, t = _all(spark, d)
+    return retrieve.about(q, memories(spark, d), e, t, vectors=_vectors(spark, d))[1].select("qid", "id", "type")
 
 
 @register("r14b_about_facts", f"{recall_sql()} SELECT qid, place, id, type, round_even(confidence, 2) AS confidence, stale FROM chosen JOIN ranked USING (qid, rank)")
 def r14b(spark, d):
-    return retrieve.about(*_all(spark, d))[0].select("qid", "place", "id", "type", "confidence", "stale")
+    return retrieve.about(*_all(spark, d), vectors=_vectors(spark, d))[0].select("qid", "place", "id", "type", "confidence", "stale")
 
 
 @register("f10_proactive", f"""{recall_sql(12)} SELECT qid, id, score FROM chosen JOIN ranked USING (qid, rank) WHERE confidence >= 0.6 AND NOT stale QUALIFY row_number() OVER (PARTITION BY qid ORDER BY place) <= 3""")
 def f10(spark, d):
-    return retrieve.proactive(*_all(spark, d)).select("qid", "id", "score")
+    return retrieve.proactive(*_all(spark, d), vectors=_vectors(spark, d)).select("qid", "id", "score")
 
 
 _RERANK = """rr0 AS (SELECT c.qid, c.place, r.id, r.score, list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')) AS asked, regexp_extract_all(lower(r.content), '[a-z0-9]+') AS ws FROM chosen c JOIN ranked r USING (qid, rank) JOIN q USING (qid)),
@@ -195,20 +201,20 @@ again AS (SELECT qid, id, final, row_number() OVER (PARTITION BY qid ORDER BY pl
 
 @register("r09_lexical_rerank", f"{recall_sql(30)}, {_RERANK} SELECT qid, place, id, final FROM again")
 def r09(spark, d):
-    hits = retrieve.recall(*_all(spark, d), k=retrieve.RERANK_FETCH).drop("rank").withColumnRenamed("place", "rank")
+    hits = retrieve.recall(*_all(spark, d), vectors=_vectors(spark, d), k=retrieve.RERANK_FETCH).drop("rank").withColumnRenamed("place", "rank")
     return retrieve.rerank(hits, questions(spark, d)).select("qid", "place", "id", "final")
 
 
 @register("r11_recall_reranked", f"{recall_sql(30)}, {_RERANK} SELECT qid, place, id, final AS score FROM again WHERE place < 8")
 def r11(spark, d):
-    return retrieve.recall(*_all(spark, d), reranker=retrieve.lexical).select("qid", "place", "id", "score")
+    return retrieve.recall(*_all(spark, d), vectors=_vectors(spark, d), reranker=retrieve.lexical).select("qid", "place", "id", "score")
 
 
 @register("r10_cross_rerank", f"""{recall_sql(30)}, m AS (SELECT c.qid, c.place, r.id, r.score, length(r.content) % 97 AS raw FROM chosen c JOIN ranked r USING (qid, rank)), lo AS (SELECT qid, min(raw) AS lo, max(raw) AS hi FROM m WHERE place < 25 GROUP BY qid),
 f AS (SELECT qid, id, place, CASE WHEN place < 25 THEN round(0.5 * score + 0.5 * (raw - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1.0 END, 6) ELSE round(score, 6) END AS final FROM m JOIN lo USING (qid))
 SELECT qid, id, final, row_number() OVER (PARTITION BY qid ORDER BY place >= 25, CASE WHEN place < 25 THEN -final ELSE place END, id) - 1 AS place FROM f""")
 def r10(spark, d):
-    hits = retrieve.recall(*_all(spark, d), k=retrieve.RERANK_FETCH).drop("rank").withColumnRenamed("place", "rank")
+    hits = retrieve.recall(*_all(spark, d), vectors=_vectors(spark, d), k=retrieve.RERANK_FETCH).drop("rank").withColumnRenamed("place", "rank")
     return retrieve.cross_rerank(hits, questions(spark, d), lambda question, content: F.length(content) % 97).select("qid", "id", "final", "place")
 
 
@@ -216,14 +222,14 @@ def r10(spark, d):
 s AS (SELECT *, sum(cost) OVER (PARTITION BY qid ORDER BY rank) AS spent FROM c)
 SELECT qid, id, cost, CAST(spent AS BIGINT) AS spent FROM s QUALIFY max(CASE WHEN spent > 1500 THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY rank) = 0""")
 def r08(spark, d):
-    ranked = retrieve.candidates_of(*_all(spark, d)).select("qid", "id", "rank").join(memories(spark, d).select("id", "content"), "id")
+    ranked = retrieve.candidates_of(*_all(spark, d), vectors=_vectors(spark, d)).select("qid", "id", "rank").join(memories(spark, d).select("id", "content"), "id")
     return retrieve.within_budget(ranked).select("qid", "id", "cost", "spent")
 
 
 @register("w05_edge_order", f"""{recall_sql()}, n AS (SELECT qid, id, place AS i, count(*) OVER (PARTITION BY qid) AS n FROM chosen JOIN ranked USING (qid, rank))
 SELECT qid, id, CAST(CASE WHEN i % 2 = 0 THEN i // 2 ELSE n - 1 - (i - 1) // 2 END AS BIGINT) AS position FROM n""")
 def w05(spark, d):
-    return retrieve.edges_first(retrieve.recall(*_all(spark, d)), "place").select("qid", "id", "position")
+    return retrieve.edges_first(retrieve.recall(*_all(spark, d), vectors=_vectors(spark, d)), "place").select("qid", "id", "position")
 
 
 _PACK = f"""strong AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY first) - 1 AS rank FROM hits WHERE score >= 0.22 * best),
@@ -240,7 +246,7 @@ def _packed(df):
 
 @register("r13_context", f"{recall_sql(20)}, hits AS (SELECT c.qid, c.place AS first, c.place AS rank, r.type, r.content, r.score, r.words, max(r.score) OVER (PARTITION BY c.qid) AS best FROM chosen c JOIN ranked r USING (qid, rank)), {_PACK}")
 def r13(spark, d):
-    return _packed(retrieve.context(*_all(spark, d)))
+    return _packed(retrieve.context(*_all(spark, d), vectors=_vectors(spark, d)))
 
 
 _STANDING = f"""scopes AS (SELECT DISTINCT scope FROM mem UNION ALL SELECT NULL), asked AS (SELECT row_number() OVER (ORDER BY scope NULLS LAST) AS qid, scope AS q_scope FROM scopes),
@@ -261,21 +267,21 @@ def k04(spark, d):
 
 @register("r13b_context_open", f"WITH RECURSIVE {MEM}, {_STANDING}, hits AS (SELECT qid, rank AS first, rank, type, content, score, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) AS words, max(score) OVER (PARTITION BY qid) AS best FROM stand), {_PACK}")
 def r13b(spark, d):
-    _, m, e, t = _all(spark, d)
-    return _packed(retrieve.context(_scopes(spark, d), memories(spark, d).join(m.select("id", "vec"), "id", "left"), e, t))
+    _, _, e, t = _all(spark, d)
+    return _packed(retrieve.context(_scopes(spark, d), memories(spark, d), e, t, vectors=_vectors(spark, d)))
 
 
 @register("r15_export_subject", f"{recall_sql(40)} SELECT qid, place, id, type, scope, confidence, created_at FROM chosen JOIN ranked USING (qid, rank)")
 def r15(spark, d):
     q, m, e, t = _all(spark, d)
-    found = governance.subject_export(retrieve.recall(q, m, e, t, 40), m)
+    found = governance.subject_export(retrieve.recall(q, m, e, t, 40, vectors=_vectors(spark, d)), m)
     return found.select("qid", "place", "id", "type", "scope", "confidence", F.unix_timestamp("created_at").alias("created_at"))
 
 
 @register("f11b_hit_cards", f"{recall_sql()} SELECT qid, place, id, round_even(score, 4) AS score, round_even(sim, 4) AS similarity, round_even({SALIENCE}, 4) AS salience, strftime(make_timestamp(valid_from * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS valid_from FROM chosen JOIN ranked USING (qid, rank)")
 def f11b(spark, d):
     q, m, e, t = _all(spark, d)
-    return store.hit_cards(retrieve.recall(q, m, e, t), m, t).select("qid", "place", "id", "score", "similarity", "salience", "valid_from")
+    return store.hit_cards(retrieve.recall(q, m, e, t, vectors=_vectors(spark, d)), m, t).select("qid", "place", "id", "score", "similarity", "salience", "valid_from")
 
 
 @register("f12_flag_cards", f"WITH {MEM} SELECT id, status, stale, false AS conflict, false AS signed, CAST(reinforced AS INT) AS reinforced FROM mem")
